@@ -7,6 +7,7 @@ from importlib import import_module
 #: Query name -> module of this subpackage that has the function of that name.
 _WHERE = {
     "op3_best_fit_packing": "packing",
+    "op4_winnowing": "winnowing",
     "op8_directly_addressable_codes": "dac",
 }
 
