@@ -15,7 +15,7 @@ _GAP = re.compile(r"(?<=\S) (?=\S)")
 #: One run of Latin letters and then ASCII marks: two pre-tokens at most.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\[-`{-~]*)")
 #: Distinct words whose ids a task keeps at a time.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 500_000
 _AS_IS = "\0"
 
 
