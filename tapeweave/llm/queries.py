@@ -9,6 +9,7 @@ _WHERE = {
     "op10_universe_partition": "jaccard",
     "op3_best_fit_packing": "packing",
     "op4_winnowing": "winnowing",
+    "op9_maximum_scoring_segments": "toxicity",
     "op8_directly_addressable_codes": "dac",
 }
 
