@@ -10,6 +10,7 @@ _WHERE = {
     "op3_best_fit_packing": "packing",
     "op4_winnowing": "winnowing",
     "op9_maximum_scoring_segments": "toxicity",
+    "op5_merkle_tree": "merkle",
     "op6_hidden_markov": "hmm",
     "op8_directly_addressable_codes": "dac",
 }
