@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: Query name -> module of this subpackage that has the function of that name.
 _WHERE = {
+    "op1_weak_supervision": "pii",
     "op10_universe_partition": "jaccard",
     "op3_best_fit_packing": "packing",
     "op4_winnowing": "winnowing",
