@@ -7,19 +7,64 @@ from importlib import import_module
 #: Query name -> module of this subpackage that has the function of that name.
 _WHERE = {
     "op1_weak_supervision": "pii",
-    "op10_universe_partition": "jaccard",
+    "op2_association_rules": "urls",
     "op3_best_fit_packing": "packing",
     "op4_winnowing": "winnowing",
-    "op9_maximum_scoring_segments": "toxicity",
     "op5_merkle_tree": "merkle",
     "op6_hidden_markov": "hmm",
+    "op7_schema_fingerprints": "chat",
     "op8_directly_addressable_codes": "dac",
+    "op9_maximum_scoring_segments": "toxicity",
+    "op10_universe_partition": "jaccard",
 }
 
+_FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+_OP4 = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_FOLD}, '{_WORD}') AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all({_FOLD}, '{_WORD}') AS w FROM benchmark),
+iw AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS win
+  FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - least(10, len(w)) + 1)) AS i FROM b WHERE len(w) > 0)
+),
+dw AS (
+  SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS win
+  FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)
+),
+hits AS (SELECT doc_id, i, dw.n AS n, item_id FROM dw JOIN iw ON dw.win = iw.win AND dw.n = iw.n),
+hw AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS p FROM hits) GROUP BY doc_id),
+hi AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)
+"""
+
+_CONTROLS = ("<|", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "\\")
+
+
+def _escaped_length(column: str) -> str:
+    marks = " + ".join(f"(length({column}) - length(replace({column}, '{c}', ''))) // {len(c)}" for c in _CONTROLS)
+    return f"(length({column}) + {marks})"
+
+
+_OP7 = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum({_escaped_length("role")} + {_escaped_length("text")} + {len("<|turn|><|text|><|end|>") + 1}) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
 
 def queries() -> dict:
     return {name: getattr(import_module(f".{module}", __package__), name) for name, module in _WHERE.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_winnowing": _OP4, "op7_schema_fingerprints": _OP7}
