@@ -38,9 +38,11 @@ from . import common
 
 WORDS = 5
 PERCENT = 75
-#: Counters of the corpus-wide count of shingles, and index entries that one task groups, about.
-COUNTERS = 1 << 18
-ENTRIES = 2_000_000
+#: Counters of the corpus-wide count of shingles; index entries that a bucket holds, about, and that a
+#: task groups before it sends them.
+COUNTERS = 1 << 22
+ENTRIES = 1_000_000
+HELD = 400_000
 FILTER_BITS = 1 << 24
 
 _TAG = np.uint64(0xE7037ED1A0B428DB)
@@ -153,28 +155,29 @@ def classes(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(COUNTERS, np.int64)
+        seen = np.zeros(COUNTERS, np.uint32)
         for batch in batches:
             for lo, hi, sh, _, count, whole in _steps(batch, words):
-                seen += np.bincount((sh & _U(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+                np.add.at(seen, (sh & _U(COUNTERS - 1)).astype(np.int64), np.uint32(1))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(count), pa.array(whole.view(np.int64)), pa.nulls(hi - lo, pa.binary())], ["doc_id", "n", "class", "seen"])
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([-1]), pa.nulls(1, pa.int64()), pa.array([seen.astype("<u4").tobytes()])], ["doc_id", "n", "class", "seen"])
+        # a task's count of a counter ends at 255, which is frequent enough
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([-1]), pa.nulls(1, pa.int64()), pa.array([np.minimum(seen, 255).astype(np.uint8).tobytes()])], ["doc_id", "n", "class", "seen"])
 
     rows = common.stored(docs.mapInArrow(run, "doc_id long, n long, class long, seen binary"), "classes")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
+        total = np.zeros(COUNTERS, np.uint32)
         for batch in batches:
-            for seen in batch.column(0).to_pylist():
-                total += np.frombuffer(seen, "<u4" if len(seen) == 4 * COUNTERS else "<i8")
+            for seen in batch.column(0):
+                total += np.frombuffer(seen.as_buffer(), np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["seen"])
 
     sketches = rows.where("seen is not null").select("seen")
     sums = sketches.coalesce(max(1, math.isqrt(sketches.rdd.getNumPartitions()))).mapInArrow(add, "seen binary")
-    total = np.zeros(COUNTERS, np.int64)
+    total = np.zeros(COUNTERS, np.uint32)
     for row in sums.toLocalIterator():
-        total += np.frombuffer(row["seen"], "<i8")
-    price = np.minimum(255, np.floor(8 * np.log2(1 + total))).astype(np.uint8)
+        total += np.frombuffer(row["seen"], np.uint32)
+    price = np.minimum(255, np.floor(8 * np.log2(1 + total.astype(np.float32)))).astype(np.uint8)
     return rows.where("n >= 0").select("doc_id", "n", "class"), price
 
 
@@ -203,7 +206,12 @@ def _stars(sig, cls, size, wide) -> np.ndarray:
     return np.unique(rows, axis=0) if len(rows) else rows.reshape(0, 3)
 
 
-_BLOB = "bucket int, sig binary, class binary, wide binary"
+#: `names`: the distinct classes of a blob; `at`: the place there of each entry's; `wide`: a bit each.
+_BLOB = "bucket int, sig binary, names binary, at binary, wide binary"
+
+
+def _place_type(n: int):
+    return np.dtype("<u2" if n <= 1 << 16 else "<u4")
 
 
 def _blobs(bucket: np.ndarray, sig, cls, wide) -> Iterator[pa.RecordBatch]:
@@ -214,8 +222,17 @@ def _blobs(bucket: np.ndarray, sig, cls, wide) -> Iterator[pa.RecordBatch]:
     cuts = [(int(a), int(b)) for a, b in zip(start, stop, strict=True)]
     for at in range(0, len(cuts), 64):
         own = cuts[at : at + 64]
-        cols = [[x[a:b].tobytes() for a, b in own] for x in (sig, cls, wide)]
-        yield pa.RecordBatch.from_arrays([pa.array([int(bucket[a]) for a, _ in own], pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], ["bucket", "sig", "class", "wide"])
+        rows = []
+        for a, b in own:
+            names, at_ = np.unique(cls[a:b], return_inverse=True)
+            rows.append((int(bucket[a]), sig[a:b].tobytes(), names.tobytes(), at_.astype(_place_type(len(names))).tobytes(), np.packbits(wide[a:b].astype(bool)).tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], ["bucket", "sig", "names", "at", "wide"])
+
+
+def _unblob(blob: tuple, kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    sig, names, at, wide = blob
+    sig, names = np.frombuffer(sig, kind), np.frombuffer(names, "<i8")
+    return sig, names[np.frombuffer(at, _place_type(len(names)))], np.unpackbits(np.frombuffer(wide, np.uint8), count=len(sig)).astype(bool)
 
 
 def index(docs: DataFrame, price: np.ndarray, buckets: int, words: int, percent: int, combine: bool) -> DataFrame:
@@ -261,7 +278,7 @@ def index(docs: DataFrame, price: np.ndarray, buckets: int, words: int, percent:
                 sig, who = index_entries(sh[own], number[of[own]], count[rows], table, percent, len(table))
                 parts.append((sig, whole[rows].view(np.int64)[who]))
                 held += len(sig)
-                if held >= ENTRIES:
+                if held >= HELD:
                     yield from flush()
                     held = 0
                     met.clear()
@@ -278,16 +295,16 @@ def _by_bucket(blobs: DataFrame, work, schema: str) -> DataFrame:
 
         def flush():
             if held:
-                sig, cls, wide = (np.concatenate([np.frombuffer(h[i], k) for h in held]) for i, k in ((0, "<u4"), (1, "<i8"), (2, "u1")))
+                sig, cls, wide = (np.concatenate(x) for x in zip(*held, strict=True))
                 held.clear()
-                yield from work(now, sig, cls, wide.astype(bool))
+                yield from work(now, sig, cls, wide)
 
         for batch in batches:
             for bucket, *blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if bucket != now:
                     yield from flush()
                     now = bucket
-                held.append(blob)
+                held.append(_unblob(blob, "<u4"))
         yield from flush()
 
     n = common.shuffle_partitions(blobs.sparkSession)
@@ -310,11 +327,11 @@ def candidates(blobs: DataFrame) -> DataFrame:
 
     def unpack(batches):
         for batch in batches:
-            for a, b, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                yield _pair_batch(np.stack([np.frombuffer(a, "<i8"), np.frombuffer(b, "<i8"), np.frombuffer(more, "u1").astype(np.int64)], 1))
+            for blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield _pair_batch(np.stack([x.astype(np.int64) for x in _unblob(blob, "<i8")], 1))
 
     kind = "a long, b long, more int"
-    within = blobs.where("bucket < 0").select("sig", "class", "wide").mapInArrow(unpack, kind)
+    within = blobs.where("bucket < 0").drop("bucket").mapInArrow(unpack, kind)
     across = _by_bucket(blobs.where("bucket >= 0"), work, kind)
     return within.union(across).groupBy("a", "b").agg(F.max("more").alias("more"))
 
@@ -329,24 +346,42 @@ def bitmap(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     return out.view(np.uint8)
 
 
+#: Bytes kept of each member in a set that is verified: chance matches within a pair stay below 1e-8
+#: for sets of a thousand members.
+MEMBER_BYTES = 6
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(class, members) for the documents `wanted` (doc_id), and a few more that the filter lets by."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap(wanted))
+    """(class, left, right, members) for the documents `wanted` (doc_id, left, right), and a few more
+    that the filters let by; left and right: the sides of pairs that the class stands on."""
+    shared = docs.sparkSession.sparkContext.broadcast([bitmap(wanted.where(side).select("doc_id")) for side in ("left", "right")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
+        tables = shared.value
         for batch in batches:
             place = np.mod(batch.column(2).to_numpy(zero_copy_only=False), FILTER_BITS)
-            batch = batch.filter(pa.array((table[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)))
-            for lo, hi, sh, of, count, whole in _steps(batch, words):
+            sides = [(t[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool) for t in tables]
+            some = sides[0] | sides[1]
+            left, right = (s[some] for s in sides)
+            for lo, hi, sh, _, count, whole in _steps(batch.filter(pa.array(some)), words):
                 ends = np.concatenate([[0], np.cumsum(count)])
-                yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array([sh[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary())], ["class", "members"])
+                kept = np.ascontiguousarray(sh).view(np.uint8).reshape(-1, 8)[:, :MEMBER_BYTES]
+                yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array(left[lo:hi]), pa.array(right[lo:hi]), pa.array([kept[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary())], ["class", "left", "right", "members"])
+
+    return docs.withColumn("h", F.xxhash64("doc_id")).mapInArrow(run, "class long, left boolean, right boolean, members binary")
+
 
-    return docs.withColumn("h", F.xxhash64("doc_id")).mapInArrow(run, "class long, members binary")
+def _members(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // MEMBER_BYTES, 8), np.uint8)
+    wide[:, :MEMBER_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, MEMBER_BYTES)
+    return wide.view(np.uint64).ravel()
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of `pairs` (a, b, ...) whose sets are similar enough: `same` is true, others false."""
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, sided: bool = True) -> DataFrame:
+    """`pairs` (a, b, ...) and whether the whole sets are similar enough: `same`.
+
+    sided: every a is a left and every b a right class of the stars, so only those sets are moved.
+    """
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,14 +389,14 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             left, right = (batch.column(batch.schema.get_field_index(c)) for c in ("ma", "mb"))
             same = []
             for i in range(batch.num_rows):
-                x, y = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in (left, right))
+                x, y = (_members(c[i].as_py()) for c in (left, right))
                 common_ = len(np.intersect1d(x, y, assume_unique=True))
                 same.append(100 * common_ >= percent * (len(x) + len(y) - common_))
             keep = [batch.column(i) for i, n in enumerate(batch.schema.names) if n not in ("ma", "mb")]
             yield pa.RecordBatch.from_arrays([*keep, pa.array(same, pa.bool_())], [*(n for n in batch.schema.names if n not in ("ma", "mb")), "same"])
 
-    with_b = pairs.join(sets.select(F.col("class").alias("b"), F.col("members").alias("mb")), "b")
-    both = with_b.join(sets.select(F.col("class").alias("a"), F.col("members").alias("ma")), "a")
+    with_b = pairs.join((sets.where("right") if sided else sets).select(F.col("class").alias("b"), F.col("members").alias("mb")), "b")
+    both = with_b.join((sets.where("left") if sided else sets).select(F.col("class").alias("a"), F.col("members").alias("ma")), "a")
     return both.select(*pairs.columns, "ma", "mb").mapInArrow(run, f"{kinds}, same boolean")
 
 
@@ -422,9 +457,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     buckets = max(1, math.ceil(entries / ENTRIES))
     pairs = common.stored(candidates(index(docs, price, buckets, words, percent, True)), "pairs")
 
-    named = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-    wanted = rows.join(named, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    sets = common.stored(sets_of(docs, wanted.select("doc_id"), words).join(named, "class", "left_semi"), "sets")
+    sides = pairs.select(F.col("a").alias("class"), F.lit(True).alias("left"), F.lit(False).alias("right")).union(pairs.select("b", F.lit(False), F.lit(True)))
+    named = sides.groupBy("class").agg(F.max("left").alias("left"), F.max("right").alias("right"))
+    heads = rows.groupBy("class").agg(F.min("doc_id").alias("doc_id"))
+    sets = common.stored(sets_of(docs, heads.join(named, "class"), words), "sets")
 
     nearest = pairs.groupBy("b").agg(F.min("a").alias("a"), F.max("more").alias("more")).select("a", "b", "more")
     links = [common.stored(verified(nearest, sets, percent), "links")]
@@ -439,7 +475,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         every = index(docs, price, buckets, words, percent, False)
         ends = loose.select(F.col("a").alias("class")).union(loose.select("b")).distinct()
         rest = rest_of_groups(every, ends, labels).join(pairs.select("a", "b"), ["a", "b"], "left_anti").withColumn("more", F.lit(0))
-        links.append(common.stored(verified(rest, sets, percent), "links"))
+        links.append(common.stored(verified(rest, sets, percent, False), "links"))
         labels = components(reduce(DataFrame.union, links).where("same"))
 
     of = rows.join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))

@@ -231,6 +231,13 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
     return docs.select(F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"k{i}") for i, c in enumerate(keep))).mapInArrow(run, schema)
 
 
+def below(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of `docs`, all columns, that score less than `threshold`."""
+    names = docs.columns
+    found = score(docs.toDF(*(f"c{i}" for i in range(len(names)))).withColumn("text", F.col(f"c{names.index('text')}")), model, tuple(f"c{i}" for i in range(len(names))))
+    return found.where(F.col("score") < threshold).select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(names)))
+
+
 def remainder(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3
 
