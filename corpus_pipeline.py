@@ -1,3 +1,64 @@
-STAGES = []
+"""From documents to packed training sequences, in five stages that each write what they keep.
+
+Every stage but the last returns the columns of `documents`; clean documents pass all of them.
+A doc_id that stands on several rows is judged row by row in the first stage; near duplicates keep one
+row of each text; contamination drops all rows of a doc_id that holds a benchmark passage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tapeweave.llm import common, jaccard, packing, pii, toxicity, winnowing
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose toxicity score reaches the threshold; learns from `docs` and labels."""
+    model = toxicity.fit(docs, common.read(spark, sf_dir, "labels"), toxicity.learns)
+    return toxicity.below(docs, model)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest doc_id of each group of near duplicates; texts without words all stay."""
+    found = jaccard.near_duplicates(docs)
+    heads = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.min("n_shingles").alias("_n"))
+    kept = docs.join(heads, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
+    again = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id"))
+    return kept.withColumn("_again", again).where("_again = 1 or _n = 0").select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a window of a benchmark item."""
+    hit = winnowing.contamination(docs, common.read(spark, sf_dir, "benchmark")).where("n_hit > 0").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(hit, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti")
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Puts the kind of each personal span in its place."""
+    return pii.redacted(docs, pii.train(docs))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents with their sequence and place."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("benchmark decontamination", decontaminate),
+    ("PII", redact_personal_data),
+    ("best-fit packing", pack),
+]
+
+#: Learned models and a tokenizer decide: SQL can't express it. See tests/llm/test_pipeline.py.
 ORACLE_SQL = None
-run = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, one after another, on the whole table `documents`."""
+    docs = common.read(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = common.stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs
