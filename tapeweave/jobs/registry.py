@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bar_queries
+from . import bar_queries, trade_queries
 
-_PARTS = [bar_queries]
+_PARTS = [bar_queries, trade_queries]
 
 
 def queries() -> dict:

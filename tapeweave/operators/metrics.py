@@ -127,7 +127,7 @@ def global_equity(events: DataFrame, start: float) -> DataFrame:
     days are summed first, the small table of days is added up, rows are added up within their day."""
     day = F.to_date("ts")
     days = events.groupBy(day.alias("_day")).agg(F.sum("cash").alias("_sum"))
-    before = Window.partitionBy(F.year("_day") * 0).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
     starts = days.select("_day", F.coalesce(F.sum("_sum").over(before), F.lit(0.0)).alias("_first"))
     inner = Window.partitionBy("_day").orderBy("ts", "symbol_rank").rowsBetween(Window.unboundedPreceding, 0)
     rows = events.withColumn("_day", day).withColumn("_run", F.sum("cash").over(inner)).join(starts, "_day")
