@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bar_queries, trade_queries
+from . import bar_queries, stream_queries, study_queries, trade_queries
 
-_PARTS = [bar_queries, trade_queries]
+_PARTS = [bar_queries, trade_queries, study_queries, stream_queries]
 
 
 def queries() -> dict:
@@ -16,4 +16,5 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark, sf_dir):
-    return queries()["e1_ema"](spark, sf_dir)
+    """Hourly bars, crossing averages, stops and costs: the figures of a backtest by symbol."""
+    return queries()["x1_backtest_metrics"](spark, sf_dir)
