@@ -45,7 +45,7 @@ PATTERNS = {
 #: What a text must hold for a pattern to be tried.
 _NEEDS = {"email": "@", "phone": r"\+[0-9]", "name": r"(?:Mr|Mrs|Ms|Dr|Prof)\. "}
 STRICT = {
-    "email": r"^[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}$",
+    "email": r"^[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)++[A-Za-z]{2,24}$",
     "ip": r"^(?:[1-9][0-9]{0,2})(?:\.(?:0|[1-9][0-9]{0,2})){3}$",
     "card": r"^(?:[0-9]{4}[ -]?){3}[0-9]{2,7}$",
     "phone": r"^\+[1-9][0-9]{0,2}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{2,4}[ .-]?[0-9]{2,6}$",

@@ -33,6 +33,8 @@ from . import common
 
 BUCKETS = 1 << 20
 MAX_LABELLED = 200_000
+#: Weight of the prior in texts (half of all texts at most), least deviation of odds that count, how fast
+#: odds gain weight beyond it, cost of a word.
 PRIOR, LEAST_Z, SHRINK, DRIFT = 300.0, 2.0, 4.0, 0.3
 THRESHOLD = 0.7
 SIGNIFICANT = 0.05
@@ -113,18 +115,22 @@ def _counts(train: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _weights(total: np.ndarray, texts: np.ndarray) -> np.ndarray:
-    pooled = PRIOR * (total[0] + total[1]) / max(1, texts.sum())
+    prior = min(PRIOR, texts.sum() / 2)
+    pooled = prior * (total[0] + total[1]) / max(1, texts.sum())
     toxic, clean = total[0] + pooled, total[1] + pooled
     some = pooled > 0
     odds, error = np.zeros(BUCKETS), np.ones(BUCKETS)
-    odds[some] = np.log(toxic[some] / (texts[0] + PRIOR)) - np.log(clean[some] / (texts[1] + PRIOR))
+    odds[some] = np.log(toxic[some] / (texts[0] + prior)) - np.log(clean[some] / (texts[1] + prior))
     error[some] = 1 / toxic[some] + 1 / clean[some]
     z2 = odds**2 / error
     return (np.where(z2 >= LEAST_Z**2, odds * z2 / (z2 + SHRINK), 0.0) - DRIFT).astype(np.float32)
 
 
 def _scale(weight: np.ndarray, clean_words: np.ndarray) -> float:
-    """The positive root of sum p(s) exp(x s) = 1 over clean words."""
+    """The positive root of sum p(s) exp(x s) = 1 over clean words; the worst word counts once more,
+    so that there is a root even if clean texts hold no word of positive score."""
+    clean_words = clean_words.copy()
+    clean_words[weight.argmax()] += 1
     p = clean_words / max(1, clean_words.sum())
     used = p > 0
     p, s = p[used], weight[used].astype(np.float64)
