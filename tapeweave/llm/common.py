@@ -12,6 +12,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,19 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Arrow batches of at most so many rows for the jobs run inside; rows that carry whole texts or
+    sets would else fill an executor's memory beside its heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def range_bounds(df: DataFrame, key: str, ranges: int) -> np.ndarray:
     """At most `ranges` - 1 ascending values of `key` that split its rows evenly (values that occur)."""
     if ranges < 2:
@@ -63,23 +77,20 @@ def range_bounds(df: DataFrame, key: str, ranges: int) -> np.ndarray:
 # --- Arrow batches -------------------------------------------------------------------------------
 
 
-def text_steps(batch: pa.RecordBatch, column: str, step_bytes: int = STEP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_steps(batch: pa.RecordBatch, column: str, step_bytes: int = STEP_BYTES, step_rows: int = 512) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, UTF-8 bytes, offsets) for runs of rows of about `step_bytes`."""
-    col = batch.column(batch.schema.get_field_index(column))
-    col = col.cast(pa.large_string())
-    if col.null_count:
-        col = col.fill_null("")
-    n = len(col)
-    if not n:
-        return
-    _, offs, data = col.buffers()
-    offs = np.frombuffer(offs, np.int64, n + 1 + col.offset)[col.offset :]
-    data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
-    lo = 0
-    while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + step_bytes, "right")) - 1)
-        yield lo, hi, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
-        lo = hi
+    whole = batch.column(batch.schema.get_field_index(column))
+    for at in range(0, len(whole), step_rows):
+        col = whole.slice(at, step_rows).cast(pa.large_string()).fill_null("")
+        n = len(col)
+        _, offs, data = col.buffers()
+        offs = np.frombuffer(offs, np.int64, n + 1 + col.offset)[col.offset :]
+        data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+        lo = 0
+        while lo < n:
+            hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + step_bytes, "right")) - 1)
+            yield at + lo, at + hi, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
+            lo = hi
 
 
 def by_doc(values: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
