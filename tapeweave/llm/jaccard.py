@@ -40,7 +40,7 @@ WORDS = 5
 PERCENT = 75
 #: Counters of the corpus-wide count of shingles; index entries that a bucket holds, about, and that a
 #: task groups before it sends them.
-COUNTERS = 1 << 22
+COUNTERS, BLOCKS = 1 << 22, 16
 ENTRIES = 1_000_000
 HELD = 400_000
 FILTER_BITS = 1 << 24
@@ -79,6 +79,37 @@ def set_hashes(sh: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarr
         return np.where(count > 0, common.mix(total[first + count] - total[first] + count.astype(np.uint64)), 0)
 
 
+def parities(sh: np.ndarray, of: np.ndarray, count: np.ndarray) -> list[bytes]:
+    """For each set, which of some 2 n hash places an odd number of members has.
+
+    Two sets that differ in d members differ in d places at most. The number of places is a power of
+    two, so the longer of two folds onto the shorter.
+    """
+    bits = 1 << np.clip(np.ceil(np.log2(np.maximum(2 * count, 64))).astype(np.int64), 6, 14)
+    start = np.cumsum(bits) - bits
+    place = (common.mix(sh + _TAG) & (bits[of] - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(start[of] + place, minlength=int(bits.sum())) & 1
+    packed = np.packbits(odd.astype(np.uint8), bitorder="little")
+    return [packed[a // 8 : (a + n) // 8].tobytes() for a, n in zip(start.tolist(), bits.tolist(), strict=True)]
+
+
+_ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+
+
+def places_apart(x: np.ndarray, y: np.ndarray) -> int:
+    """In how many places two parities differ, at least so many members as the sets differ in."""
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(_ONES[x ^ y].sum())
+
+
+def may_link(na: int, nb: int, x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """False only for sets that can't be similar enough, by their sizes and parities."""
+    return 100 * min(na, nb) >= percent * max(na, nb) and places_apart(x, y) <= (na + nb) * (100 - percent) // (100 + percent)
+
+
 def most_apart(n: np.ndarray, percent: int) -> np.ndarray:
     """H for a set of n members and the largest partner it can have."""
     return (n + n * 100 // percent) * (100 - percent) // (100 + percent)
@@ -106,7 +137,7 @@ def index_entries(sh, of, n, price, percent: int, counters: int) -> tuple[np.nda
     for space, rows in ((own, apart >= 2), (upper, (apart >= 2) & (upper != own))):
         rows, level = np.flatnonzero(rows), 0
         while len(rows):
-            segments = (3 * 4 ** (space + 1) // 4) << (3 * level)
+            segments = (2 * 4 ** (space + 1)) << (3 * level)
             member = np.zeros(len(n), bool)
             member[rows] = True
             at = np.flatnonzero(member[of])
@@ -149,36 +180,41 @@ def _steps(batch: pa.RecordBatch, words: int):
 
 
 def classes(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n, class) of every row, and the price of a shingle by its low bits.
+    """(doc_id, n, class, parity) of every row, and the price of a shingle by its low bits.
 
-    The count of shingles has COUNTERS entries whatever the corpus; a task sends its own once.
+    The count of shingles has COUNTERS entries whatever the corpus; a task sends its own once, in
+    blocks that are added up side by side.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(COUNTERS, np.uint32)
+        seen = np.zeros(COUNTERS, np.uint16)
+        names = ["doc_id", "n", "class", "parity", "block", "seen"]
         for batch in batches:
-            for lo, hi, sh, _, count, whole in _steps(batch, words):
-                np.add.at(seen, (sh & _U(COUNTERS - 1)).astype(np.int64), np.uint32(1))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(count), pa.array(whole.view(np.int64)), pa.nulls(hi - lo, pa.binary())], ["doc_id", "n", "class", "seen"])
-        # a task's count of a counter ends at 255, which is frequent enough
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([-1]), pa.nulls(1, pa.int64()), pa.array([np.minimum(seen, 255).astype(np.uint8).tobytes()])], ["doc_id", "n", "class", "seen"])
+            for lo, hi, sh, of, count, whole in _steps(batch, words):
+                at, n = np.unique((sh & _U(COUNTERS - 1)).astype(np.int64), return_counts=True)
+                seen[at] = np.minimum(seen[at] + n, 255)  # a task's count ends there, which is frequent enough
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(count), pa.array(whole.view(np.int64)), pa.array(parities(sh, of, count)), pa.nulls(hi - lo, pa.int32()), pa.nulls(hi - lo, pa.binary())], names)
+        for b in range(0, COUNTERS, COUNTERS // BLOCKS):
+            part = seen[b : b + COUNTERS // BLOCKS].astype(np.uint8).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([-1]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([b], pa.int32()), pa.array([part])], names)
 
-    rows = common.stored(docs.mapInArrow(run, "doc_id long, n long, class long, seen binary"), "classes")
+    rows = common.stored(docs.mapInArrow(run, "doc_id long, n long, class long, parity binary, block int, seen binary"), "classes")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.uint32)
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for seen in batch.column(0):
-                total += np.frombuffer(seen.as_buffer(), np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["seen"])
+            for b, seen in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                total.setdefault(b, np.zeros(COUNTERS // BLOCKS, np.uint32))
+                total[b] += np.frombuffer(seen.as_buffer(), np.uint8)
+        for b, n in total.items():
+            level = np.minimum(255, np.floor(8 * np.log2(1 + n.astype(np.float32)))).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([level.tobytes()])], ["block", "seen"])
 
-    sketches = rows.where("seen is not null").select("seen")
-    sums = sketches.coalesce(max(1, math.isqrt(sketches.rdd.getNumPartitions()))).mapInArrow(add, "seen binary")
-    total = np.zeros(COUNTERS, np.uint32)
-    for row in sums.toLocalIterator():
-        total += np.frombuffer(row["seen"], np.uint32)
-    price = np.minimum(255, np.floor(8 * np.log2(1 + total.astype(np.float32)))).astype(np.uint8)
-    return rows.where("n >= 0").select("doc_id", "n", "class"), price
+    blocks = rows.where("seen is not null").select("block", "seen").repartition(BLOCKS, "block").mapInArrow(add, "block int, seen binary")
+    price = np.zeros(COUNTERS, np.uint8)
+    for row in blocks.toLocalIterator():
+        price[row["block"] : row["block"] + COUNTERS // BLOCKS] = np.frombuffer(row["seen"], np.uint8)
+    return rows.where("n >= 0").select("doc_id", "n", "class", "parity"), price
 
 
 def _grouped(sig: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -215,9 +251,11 @@ def _place_type(n: int):
 
 
 def _blobs(bucket: np.ndarray, sig, cls, wide) -> Iterator[pa.RecordBatch]:
+    if not len(bucket):
+        return
     order = np.argsort(bucket, kind="stable")
     bucket, sig, cls, wide = bucket[order], sig[order], cls[order], wide[order]
-    start = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.empty(0, np.int64)
+    start = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     stop = np.append(start[1:], len(bucket))
     cuts = [(int(a), int(b)) for a, b in zip(start, stop, strict=True)]
     for at in range(0, len(cuts), 64):
@@ -235,8 +273,8 @@ def _unblob(blob: tuple, kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return sig, names[np.frombuffer(at, _place_type(len(names)))], np.unpackbits(np.frombuffer(wide, np.uint8), count=len(sig)).astype(bool)
 
 
-def index(docs: DataFrame, price: np.ndarray, buckets: int, words: int, percent: int, combine: bool) -> DataFrame:
-    """Index entries in blobs by bucket; with `combine`, one entry a hash and task, and in bucket -1 the stars of its others."""
+def index(docs: DataFrame, price: np.ndarray, buckets: int, words: int, percent: int) -> DataFrame:
+    """Index entries in blobs by bucket, one a hash and stretch of a task; in bucket -1 the stars of its others."""
     shared = docs.sparkSession.sparkContext.broadcast(price)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,12 +289,11 @@ def index(docs: DataFrame, price: np.ndarray, buckets: int, words: int, percent:
             parts.clear()
             sig, cls, size = _grouped(sig, cls)
             wide = size > 1
-            if combine:
-                pairs = _stars(sig, cls, size, np.zeros(len(sig), bool))
-                if len(pairs):
-                    yield from _blobs(np.full(len(pairs), -1), pairs[:, 0], pairs[:, 1], pairs[:, 2].astype(np.uint8))
-                lone = np.concatenate([[True], sig[1:] != sig[:-1]]) if len(sig) else wide
-                sig, cls, wide = sig[lone], cls[lone], wide[lone]
+            pairs = _stars(sig, cls, size, np.zeros(len(sig), bool))
+            if len(pairs):
+                yield from _blobs(np.full(len(pairs), -1), pairs[:, 0], pairs[:, 1], pairs[:, 2].astype(np.uint8))
+            lone = np.concatenate([[True], sig[1:] != sig[:-1]]) if len(sig) else wide
+            sig, cls, wide = sig[lone], cls[lone], wide[lone]
             bucket = (sig % _U(buckets)).astype(np.int64)
             yield from _blobs(bucket, (sig >> _U(32)).astype("<u4"), cls, wide.astype(np.uint8))
 
@@ -351,9 +388,11 @@ def bitmap(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
 MEMBER_BYTES = 6
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(class, left, right, members) for the documents `wanted` (doc_id, left, right), and a few more
-    that the filters let by; left and right: the sides of pairs that the class stands on."""
+def sets_of(docs: DataFrame, heads: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """(class, left, right, members) of the classes in `pairs` (a, b), each by its first document, and
+    of a few more that the filters let by; left, right: the sides of pairs that the class stands on."""
+    sides = pairs.select(F.col("a").alias("class"), F.lit(True).alias("left"), F.lit(False).alias("right")).union(pairs.select("b", F.lit(False), F.lit(True)))
+    wanted = heads.join(sides.groupBy("class").agg(F.max("left").alias("left"), F.max("right").alias("right")), "class")
     shared = docs.sparkSession.sparkContext.broadcast([bitmap(wanted.where(side).select("doc_id")) for side in ("left", "right")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,7 +407,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 kept = np.ascontiguousarray(sh).view(np.uint8).reshape(-1, 8)[:, :MEMBER_BYTES]
                 yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array(left[lo:hi]), pa.array(right[lo:hi]), pa.array([kept[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary())], ["class", "left", "right", "members"])
 
-    return docs.withColumn("h", F.xxhash64("doc_id")).mapInArrow(run, "class long, left boolean, right boolean, members binary")
+    return common.stored(docs.withColumn("h", F.xxhash64("doc_id")).mapInArrow(run, "class long, left boolean, right boolean, members binary"), "sets")
 
 
 def _members(data: bytes) -> np.ndarray:
@@ -377,11 +416,8 @@ def _members(data: bytes) -> np.ndarray:
     return wide.view(np.uint64).ravel()
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int, sided: bool = True) -> DataFrame:
-    """`pairs` (a, b, ...) and whether the whole sets are similar enough: `same`.
-
-    sided: every a is a left and every b a right class of the stars, so only those sets are moved.
-    """
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """`pairs` (a, b, ...) and whether the whole sets are similar enough: `same`."""
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -395,8 +431,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, sided: bool = True
             keep = [batch.column(i) for i, n in enumerate(batch.schema.names) if n not in ("ma", "mb")]
             yield pa.RecordBatch.from_arrays([*keep, pa.array(same, pa.bool_())], [*(n for n in batch.schema.names if n not in ("ma", "mb")), "same"])
 
-    with_b = pairs.join((sets.where("right") if sided else sets).select(F.col("class").alias("b"), F.col("members").alias("mb")), "b")
-    both = with_b.join((sets.where("left") if sided else sets).select(F.col("class").alias("a"), F.col("members").alias("ma")), "a")
+    with_b = pairs.join(sets.where("right").select(F.col("class").alias("b"), F.col("members").alias("mb")), "b")
+    both = with_b.join(sets.where("left").select(F.col("class").alias("a"), F.col("members").alias("ma")), "a")
     return both.select(*pairs.columns, "ma", "mb").mapInArrow(run, f"{kinds}, same boolean")
 
 
@@ -422,61 +458,179 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns)
 
 
-def rest_of_groups(blobs: DataFrame, loose: DataFrame, labels: DataFrame) -> DataFrame:
-    """All pairs of different components in the index groups that hold one of `loose` (class)."""
-    shared = blobs.sparkSession.sparkContext.broadcast(bitmap(loose))
+def filtered(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """`pairs` (a, b, more) with `may`: false for those that sizes and parities rule out."""
+    for x in "ab":
+        pairs = pairs.join(heads.select(F.col("class").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}")), x)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb, x, y = (batch.column(i).to_pylist() for i in range(3, 7))
+            may = [may_link(*r[:2], np.frombuffer(r[2], np.uint8), np.frombuffer(r[3], np.uint8), percent) for r in zip(na, nb, x, y, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(may, pa.bool_())], ["a", "b", "more", "may"])
+
+    return pairs.select("a", "b", "more", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long, more int, may boolean")
 
-    def work(bucket, sig, cls, wide):
-        sig, cls, size = _grouped(sig, cls)
-        sig, cls = sig[size > 2], cls[size > 2]
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sig), bucket, np.int32)), pa.array(sig.astype(np.int64)), pa.array(cls)], ["bucket", "sig", "class"])
 
-    groups = _by_bucket(blobs.where("bucket >= 0"), work, "bucket int, sig long, class long")
+#: Index entries of one cluster that a task looks at together.
+CLUSTER = 2_000_000
 
-    def marked(batches):
-        table = shared.value
+
+def entries_of(docs: DataFrame, classes_: DataFrame, price: np.ndarray, words: int, percent: int) -> DataFrame:
+    """(class, sigs) of the documents of `classes_` (class), repeats included, and of a few others."""
+    shared = docs.sparkSession.sparkContext.broadcast((price, class_filter(classes_)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        price, table = shared.value
+        for batch in batches:
+            for _, _, sh, of, count, whole in _steps(batch, words):
+                place = (common.mix(whole) & _U(FILTER_BITS - 1)).astype(np.int64)
+                rows = np.flatnonzero((table[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool) & (count > 0))
+                if len(rows):
+                    number = np.full(len(whole), -1)
+                    number[rows] = np.arange(len(rows))
+                    own = number[of] >= 0
+                    sig, who = index_entries(sh[own], number[of[own]], count[rows], price, percent, len(price))
+                    order = np.argsort(who, kind="stable")
+                    edge = np.searchsorted(who[order], np.arange(len(rows) + 1))
+                    sig = sig[order]
+                    yield pa.RecordBatch.from_arrays([pa.array(whole[rows].view(np.int64)), pa.array([sig[a:b].tobytes() for a, b in zip(edge, edge[1:], strict=False)], pa.binary())], ["class", "sigs"])
+
+    return docs.mapInArrow(run, "class long, sigs binary").dropDuplicates(["class"])
+
+
+def class_filter(ids: DataFrame) -> np.ndarray:
+    """A bitmap of FILTER_BITS over the mixed values of a long column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = (common.mix(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)) & _U(FILTER_BITS - 1)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array((place >> 6).astype(np.int32)), pa.array(np.int64(1) << (place & 63))], ["w", "b"])
+
+    words = ids.mapInArrow(run, "w int, b long").groupBy("w").agg(F.bit_or("b").alias("b"))
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    for w, b in words.toLocalIterator():
+        out[w] = b
+    return out.view(np.uint8)
+
+
+def cross_pairs(comp: np.ndarray, n: np.ndarray, parity: list, sig: np.ndarray, who: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs (i, j) of sets that share an entry, aren't in one component and may be similar enough."""
+    order = np.lexsort((comp[who], sig))
+    sig, who = sig[order], who[order]
+    start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.empty(0, np.int64)
+    stop = np.append(start[1:], len(sig))[: len(start)]
+    parts, looked, held = [], set(), 0
+    size = len(comp)
+    for a, b in zip(start.tolist(), stop.tolist(), strict=True):
+        if b - a < 2 or comp[who[a]] == comp[who[b - 1]]:  # sorted by component within a group
+            continue
+        own = np.unique(who[a:b])
+        if (key := own.tobytes()) in looked:
+            continue
+        looked.add(key)
+        for k in range(0, len(own), 1024):
+            left = own[k : k + 1024]
+            i, j = np.nonzero((left[:, None] < own[None, :]) & (comp[left][:, None] != comp[own][None, :]) & (100 * np.minimum(n[left][:, None], n[own][None, :]) >= percent * np.maximum(n[left][:, None], n[own][None, :])))
+            parts.append(left[i] * size + own[j])
+            held += len(i)
+        if held > 4_000_000:
+            parts = [np.unique(np.concatenate(parts))]
+            held = len(parts[0])
+    codes = np.unique(np.concatenate(parts)) if parts else np.empty(0, np.int64)
+    keep = [may_link(int(n[i]), int(n[j]), parity[i], parity[j], percent) for i, j in zip((codes // size).tolist(), (codes % size).tolist(), strict=True)] if len(codes) else []
+    codes = codes[np.array(keep, bool)]
+    return np.stack([codes // size, codes % size], 1)
+
+
+def rest_of_clusters(docs: DataFrame, loose: DataFrame, pairs: DataFrame, labels: DataFrame, heads: DataFrame, price: np.ndarray, words: int, percent: int) -> DataFrame:
+    """All pairs (a, b) of different components that share an entry and may be similar enough, in the
+    clusters that hold one of `loose` (class); a cluster is what the stars connect, similar or not.
+    Clusters of many entries are looked at in parts, by entry."""
+    clusters = components(pairs).withColumnRenamed("component", "cluster")
+    open_ = clusters.join(loose, "class").select("cluster").distinct()
+    members = clusters.join(open_, "cluster").join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    members = common.stored(members.join(heads.select("class", "n", "parity"), "class"), "members")
+    rows = common.stored(members.join(entries_of(docs, members.select("class"), price, words, percent), "class"), "entries")
+    sizes = rows.groupBy("cluster").agg(F.ceil(F.sum(F.length("sigs") / 8) / CLUSTER).cast("int").alias("parts"))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            place = np.mod(batch.column(3).to_numpy(zero_copy_only=False), FILTER_BITS)
-            hit = (table[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(hit)], ["bucket", "sig", "class", "hit"])
+            take, part, sigs = [], [], []
+            for i, (packed, parts) in enumerate(zip(batch.column(5).to_pylist(), batch.column(6).to_pylist(), strict=True)):
+                own = np.frombuffer(packed, np.uint64)
+                of = (common.mix(own) % _U(max(1, parts))).astype(np.int64)
+                for p in np.unique(of).tolist():
+                    take.append(i)
+                    part.append(p)
+                    sigs.append(own[of == p].tobytes())
+            at = pa.array(take, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(5)), pa.array(sigs, pa.binary()), pa.array(part, pa.int32())], [*batch.schema.names[:6], "part"])
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def flush():
+            if len(held) > 1:
+                cls, comp, n = (np.array([h[i] for h in held], np.int64) for i in range(3))
+                parity = [np.frombuffer(h[3], np.uint8) for h in held]
+                sig = [np.frombuffer(h[4], np.uint64) for h in held]
+                who = np.repeat(np.arange(len(held)), [len(x) for x in sig])
+                found = cls[cross_pairs(comp, n, parity, np.concatenate(sig), who, percent)]
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+            held.clear()
+
+        for batch in batches:
+            cols = {c: batch.column(i).to_pylist() for i, c in enumerate(batch.schema.names)}
+            for key, *row in zip(zip(cols["cluster"], cols["part"], strict=True), cols["class"], cols["component"], cols["n"], cols["parity"], cols["sigs"], strict=True):
+                if key != now:
+                    yield from flush()
+                    now = key
+                held.append(row)
+        yield from flush()
 
-    rows = common.stored(groups.withColumn("h", F.xxhash64("class")).mapInArrow(marked, "bucket int, sig long, class long, hit boolean"), "groups")
-    open_ = rows.groupBy("bucket", "sig").agg(F.max("hit").alias("hit")).where("hit").drop("hit")
-    named = rows.drop("hit").join(open_, ["bucket", "sig"]).join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    named = common.stored(named, "open-groups")
-    left, right = (named.select("bucket", "sig", F.col("class").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-    return left.join(right, ["bucket", "sig"]).where("ca < cb").select("a", "b").distinct()
+    kind = "cluster long, class long, component long, n long, parity binary, sigs binary, part int"
+    dealt = rows.join(sizes, "cluster").select("cluster", "class", "component", "n", "parity", "sigs", "parts").mapInArrow(deal, kind)
+    dealt = dealt.repartition(common.shuffle_partitions(docs.sparkSession), "cluster", "part").sortWithinPartitions("cluster", "part")
+    return dealt.mapInArrow(look, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of `docs` (doc_id, text)."""
-    spark = docs.sparkSession
+    with common.small_batches(docs.sparkSession):
+        return _near_duplicates(docs, words, percent)
+
+
+def _near_duplicates(docs: DataFrame, words: int, percent: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows, price = classes(docs, words)
+    heads = common.stored(rows.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("parity").alias("parity")), "heads")
     entries = rows.agg(F.sum(F.col("n") / 2)).first()[0] or 0
     buckets = max(1, math.ceil(entries / ENTRIES))
-    pairs = common.stored(candidates(index(docs, price, buckets, words, percent, True)), "pairs")
+    met = common.stored(candidates(index(docs, price, buckets, words, percent)), "met")
+    pairs = common.stored(filtered(met, heads, percent), "pairs")
+    usable = pairs.where("may").select("a", "b")
+    sets = sets_of(docs, heads, usable, words)
 
-    sides = pairs.select(F.col("a").alias("class"), F.lit(True).alias("left"), F.lit(False).alias("right")).union(pairs.select("b", F.lit(False), F.lit(True)))
-    named = sides.groupBy("class").agg(F.max("left").alias("left"), F.max("right").alias("right"))
-    heads = rows.groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    sets = common.stored(sets_of(docs, heads.join(named, "class"), words), "sets")
-
-    nearest = pairs.groupBy("b").agg(F.min("a").alias("a"), F.max("more").alias("more")).select("a", "b", "more")
+    nearest = usable.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = [common.stored(verified(nearest, sets, percent), "links")]
     labels = components(links[0].where("same"))
-    others = common.stored(_apart(pairs.join(nearest, ["a", "b"], "left_anti"), labels), "others")
+    others = common.stored(_apart(usable.join(nearest, ["a", "b"], "left_anti"), labels), "others")
     if others.take(1):
         links.append(common.stored(verified(others, sets, percent), "links"))
         labels = components(reduce(DataFrame.union, links).where("same"))
-    failed = reduce(DataFrame.union, links).where("not same").join(pairs.select("a", "b", F.col("more").alias("any")), ["a", "b"]).where("any > 0").select("a", "b")
+    # groups of more than a pair, of which a pair failed: the star says nothing of the others there
+    same = reduce(DataFrame.union, links).where("same").select("a", "b")
+    failed = pairs.where("more > 0").select("a", "b").join(same, ["a", "b"], "left_anti")
     loose = common.stored(_apart(failed, labels), "loose")
     if loose.take(1):
-        every = index(docs, price, buckets, words, percent, False)
         ends = loose.select(F.col("a").alias("class")).union(loose.select("b")).distinct()
-        rest = rest_of_groups(every, ends, labels).join(pairs.select("a", "b"), ["a", "b"], "left_anti").withColumn("more", F.lit(0))
-        links.append(common.stored(verified(rest, sets, percent, False), "links"))
-        labels = components(reduce(DataFrame.union, links).where("same"))
+        seen = reduce(DataFrame.union, links).select("a", "b")
+        rest = rest_of_clusters(docs, ends, pairs.select("a", "b"), labels, heads, price, words, percent)
+        rest = common.stored(rest.join(seen, ["a", "b"], "left_anti").join(seen.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "rest")
+        if rest.take(1):
+            links.append(common.stored(verified(rest, sets_of(docs, heads, rest, words), percent), "links"))
+            labels = components(reduce(DataFrame.union, links).where("same"))
 
     of = rows.join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
     heads = of.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
