@@ -12,11 +12,11 @@ shared passages are thus left out wherever a set has enough else. A set with too
 segments is indexed in a finer partition too, until it has enough. Where H is 1, the whole set and its
 one-deletion neighbours are indexed instead.
 
-Sets that meet are joined in stars: every set with the smallest of its group, first within a task, so
-that a group of any size sends one entry a task. Candidates are verified on the whole sets, nearest
-first; then only pairs not yet connected; then, for groups of which a star's pair failed, all pairs
-of different components. So every component comes out exactly, while copies are never paired with
-one another. Equal sets are one class from the start.
+Sets that meet are connected by a forest of pairs, first within a task, so that a group of any size
+sends one entry a task. Pairs that sizes or parities don't rule out are verified on the whole sets;
+where one of a cluster fails, all pairs of different components that share an entry are looked at
+there. So every component comes out exactly, while copies are never all paired with one another.
+Equal sets are one class from the start.
 
 A text's words are `[^ \\t-\\r]+` with A-Z lower-cased; fewer than `words` words: the sequence is one
 shingle; none: an empty set, linked with nothing. Null text: empty. Repeated rows come back repeated
@@ -217,44 +217,54 @@ def classes(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
     return rows.where("n >= 0").select("doc_id", "n", "class", "parity"), price
 
 
-def _grouped(sig: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Entries by hash and class without repeats, and the size of the group of each."""
+def _distinct(sig: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries by hash and class without repeats."""
     order = np.lexsort((cls, sig))
     sig, cls = sig[order], cls[order]
     fresh = np.ones(len(sig), bool)
     fresh[1:] = (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])
-    sig, cls = sig[fresh], cls[fresh]
-    start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.empty(0, np.int64)
-    size = np.diff(np.append(start, len(sig)))
-    return sig, cls, np.repeat(size, size)
+    return sig[fresh], cls[fresh]
 
 
-def _stars(sig, cls, size, wide) -> np.ndarray:
-    """Distinct (smallest of the group, other, 1 if the group had more than this pair)."""
-    many = size > 1
-    sig, cls, size, wide = sig[many], cls[many], size[many], wide[many]
-    start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.empty(0, np.int64)
+def _forest(sig: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    """Pairs (smallest of a group, other) that connect what the groups connect, and no more of them."""
+    if not len(sig):
+        return np.empty((0, 2), np.int64)
+    start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
     each = np.diff(np.append(start, len(sig)))
-    more = np.repeat(np.maximum.reduceat(wide, start), each) | (size > 2) if len(start) else wide
     rep = np.repeat(cls[start], each)
     pair = rep != cls
-    rows = np.stack([rep[pair], cls[pair], more[pair].astype(np.int64)], 1)
-    return np.unique(rows, axis=0) if len(rows) else rows.reshape(0, 3)
+    if not pair.any():
+        return np.empty((0, 2), np.int64)
+    stars = np.unique(np.stack([rep[pair], cls[pair]], 1), axis=0)
+    head: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := head.get(x, x)) != x:
+            head[x] = x = head.get(up, up)
+        return x
 
+    keep = np.zeros(len(stars), bool)
+    for k, (a, b) in enumerate(stars.tolist()):
+        if (x := find(a)) != (y := find(b)):
+            head[max(x, y)] = min(x, y)
+            keep[k] = True
+    return stars[keep]
 
-#: `names`: the distinct classes of a blob; `at`: the place there of each entry's; `wide`: a bit each.
-_BLOB = "bucket int, sig binary, names binary, at binary, wide binary"
+
+#: `names`: the distinct classes of a blob; `at`: the place there of each entry's.
+_BLOB = "bucket int, sig binary, names binary, at binary"
 
 
 def _place_type(n: int):
     return np.dtype("<u2" if n <= 1 << 16 else "<u4")
 
 
-def _blobs(bucket: np.ndarray, sig, cls, wide) -> Iterator[pa.RecordBatch]:
+def _blobs(bucket: np.ndarray, sig, cls) -> Iterator[pa.RecordBatch]:
     if not len(bucket):
         return
     order = np.argsort(bucket, kind="stable")
-    bucket, sig, cls, wide = bucket[order], sig[order], cls[order], wide[order]
+    bucket, sig, cls = bucket[order], sig[order], cls[order]
     start = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     stop = np.append(start[1:], len(bucket))
     cuts = [(int(a), int(b)) for a, b in zip(start, stop, strict=True)]
@@ -263,14 +273,14 @@ def _blobs(bucket: np.ndarray, sig, cls, wide) -> Iterator[pa.RecordBatch]:
         rows = []
         for a, b in own:
             names, at_ = np.unique(cls[a:b], return_inverse=True)
-            rows.append((int(bucket[a]), sig[a:b].tobytes(), names.tobytes(), at_.astype(_place_type(len(names))).tobytes(), np.packbits(wide[a:b].astype(bool)).tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], ["bucket", "sig", "names", "at", "wide"])
+            rows.append((int(bucket[a]), sig[a:b].tobytes(), names.tobytes(), at_.astype(_place_type(len(names))).tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 3), strict=True)], ["bucket", "sig", "names", "at"])
 
 
-def _unblob(blob: tuple, kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    sig, names, at, wide = blob
-    sig, names = np.frombuffer(sig, kind), np.frombuffer(names, "<i8")
-    return sig, names[np.frombuffer(at, _place_type(len(names)))], np.unpackbits(np.frombuffer(wide, np.uint8), count=len(sig)).astype(bool)
+def _unblob(blob: tuple, kind) -> tuple[np.ndarray, np.ndarray]:
+    sig, names, at = blob
+    names = np.frombuffer(names, "<i8")
+    return np.frombuffer(sig, kind), names[np.frombuffer(at, _place_type(len(names)))]
 
 
 def index(docs: DataFrame, price: np.ndarray, buckets: int, words: int, percent: int) -> DataFrame:
@@ -287,15 +297,14 @@ def index(docs: DataFrame, price: np.ndarray, buckets: int, words: int, percent:
                 return
             sig, cls = (np.concatenate(x) for x in zip(*parts, strict=True))
             parts.clear()
-            sig, cls, size = _grouped(sig, cls)
-            wide = size > 1
-            pairs = _stars(sig, cls, size, np.zeros(len(sig), bool))
-            if len(pairs):
-                yield from _blobs(np.full(len(pairs), -1), pairs[:, 0], pairs[:, 1], pairs[:, 2].astype(np.uint8))
-            lone = np.concatenate([[True], sig[1:] != sig[:-1]]) if len(sig) else wide
-            sig, cls, wide = sig[lone], cls[lone], wide[lone]
-            bucket = (sig % _U(buckets)).astype(np.int64)
-            yield from _blobs(bucket, (sig >> _U(32)).astype("<u4"), cls, wide.astype(np.uint8))
+            if not len(sig):
+                return
+            sig, cls = _distinct(sig, cls)
+            pairs = _forest(sig, cls)
+            yield from _blobs(np.full(len(pairs), -1), pairs[:, 0], pairs[:, 1])
+            lone = np.concatenate([[True], sig[1:] != sig[:-1]])
+            sig, cls = sig[lone], cls[lone]
+            yield from _blobs((sig % _U(buckets)).astype(np.int64), (sig >> _U(32)).astype("<u4"), cls)
 
         held = 0
         for batch in batches:
@@ -325,16 +334,16 @@ def index(docs: DataFrame, price: np.ndarray, buckets: int, words: int, percent:
 
 
 def _by_bucket(blobs: DataFrame, work, schema: str) -> DataFrame:
-    """`work(sig, class, wide)` on all entries of each bucket."""
+    """`work(sig, class)` on all entries of each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
 
         def flush():
             if held:
-                sig, cls, wide = (np.concatenate(x) for x in zip(*held, strict=True))
+                sig, cls = (np.concatenate(x) for x in zip(*held, strict=True))
                 held.clear()
-                yield from work(now, sig, cls, wide)
+                yield from work(sig, cls)
 
         for batch in batches:
             for bucket, *blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -349,28 +358,20 @@ def _by_bucket(blobs: DataFrame, work, schema: str) -> DataFrame:
 
 
 def _pair_batch(pairs: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(pairs[:, 2].astype(np.int32))], ["a", "b", "more"])
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
 def candidates(blobs: DataFrame) -> DataFrame:
-    """Distinct star pairs (a, b, more); more: 1 if their group had others."""
-
-    def work(_, sig, cls, wide):
-        order = np.lexsort((cls, sig))
-        sig, cls, wide = sig[order], cls[order], wide[order]
-        start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-        size = np.diff(np.append(start, len(sig)))
-        yield _pair_batch(_stars(sig, cls, np.repeat(size, size), wide))
+    """Distinct pairs (a, b) that connect all sets that share an entry."""
 
     def unpack(batches):
         for batch in batches:
             for blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                yield _pair_batch(np.stack([x.astype(np.int64) for x in _unblob(blob, "<i8")], 1))
+                yield _pair_batch(np.stack(_unblob(blob, "<i8"), 1))
 
-    kind = "a long, b long, more int"
-    within = blobs.where("bucket < 0").drop("bucket").mapInArrow(unpack, kind)
-    across = _by_bucket(blobs.where("bucket >= 0"), work, kind)
-    return within.union(across).groupBy("a", "b").agg(F.max("more").alias("more"))
+    within = blobs.where("bucket < 0").drop("bucket").mapInArrow(unpack, "a long, b long")
+    across = _by_bucket(blobs.where("bucket >= 0"), lambda sig, cls: iter([_pair_batch(_forest(*_distinct(sig, cls)))]), "a long, b long")
+    return within.union(across).distinct()
 
 
 def bitmap(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
@@ -459,17 +460,17 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def filtered(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
-    """`pairs` (a, b, more) with `may`: false for those that sizes and parities rule out."""
+    """`pairs` (a, b) with `may`: false for those that sizes and parities rule out."""
     for x in "ab":
         pairs = pairs.join(heads.select(F.col("class").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}")), x)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            na, nb, x, y = (batch.column(i).to_pylist() for i in range(3, 7))
+            na, nb, x, y = (batch.column(i).to_pylist() for i in range(2, 6))
             may = [may_link(*r[:2], np.frombuffer(r[2], np.uint8), np.frombuffer(r[3], np.uint8), percent) for r in zip(na, nb, x, y, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(may, pa.bool_())], ["a", "b", "more", "may"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(2)), pa.array(may, pa.bool_())], ["a", "b", "may"])
 
-    return pairs.select("a", "b", "more", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long, more int, may boolean")
+    return pairs.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long, may boolean")
 
 
 #: Index entries of one cluster that a task looks at together.
@@ -477,7 +478,8 @@ CLUSTER = 2_000_000
 
 
 def entries_of(docs: DataFrame, classes_: DataFrame, price: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(class, sigs) of the documents of `classes_` (class), repeats included, and of a few others."""
+    """(class, sigs) of the documents of `classes_` (class), and of a few others; 32 bits of an entry:
+    within a cluster, chance only adds pairs, which are verified."""
     shared = docs.sparkSession.sparkContext.broadcast((price, class_filter(classes_)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -494,7 +496,7 @@ def entries_of(docs: DataFrame, classes_: DataFrame, price: np.ndarray, words: i
                     order = np.argsort(who, kind="stable")
                     edge = np.searchsorted(who[order], np.arange(len(rows) + 1))
                     sig = sig[order]
-                    yield pa.RecordBatch.from_arrays([pa.array(whole[rows].view(np.int64)), pa.array([sig[a:b].tobytes() for a, b in zip(edge, edge[1:], strict=False)], pa.binary())], ["class", "sigs"])
+                    yield pa.RecordBatch.from_arrays([pa.array(whole[rows].view(np.int64)), pa.array([(sig[a:b] >> _U(32)).astype("<u4").tobytes() for a, b in zip(edge, edge[1:], strict=False)], pa.binary())], ["class", "sigs"])
 
     return docs.mapInArrow(run, "class long, sigs binary").dropDuplicates(["class"])
 
@@ -548,18 +550,19 @@ def rest_of_clusters(docs: DataFrame, loose: DataFrame, pairs: DataFrame, labels
     clusters that hold one of `loose` (class); a cluster is what the stars connect, similar or not.
     Clusters of many entries are looked at in parts, by entry."""
     clusters = components(pairs).withColumnRenamed("component", "cluster")
-    open_ = clusters.join(loose, "class").select("cluster").distinct()
+    large = clusters.groupBy("cluster").count().where("count > 2").select("cluster")  # a lone pair is settled
+    open_ = clusters.join(loose, "class").select("cluster").distinct().join(large, "cluster")
     members = clusters.join(open_, "cluster").join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
     members = common.stored(members.join(heads.select("class", "n", "parity"), "class"), "members")
     rows = common.stored(members.join(entries_of(docs, members.select("class"), price, words, percent), "class"), "entries")
-    sizes = rows.groupBy("cluster").agg(F.ceil(F.sum(F.length("sigs") / 8) / CLUSTER).cast("int").alias("parts"))
+    sizes = rows.groupBy("cluster").agg(F.ceil(F.sum(F.length("sigs") / 4) / CLUSTER).cast("int").alias("parts"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             take, part, sigs = [], [], []
             for i, (packed, parts) in enumerate(zip(batch.column(5).to_pylist(), batch.column(6).to_pylist(), strict=True)):
-                own = np.frombuffer(packed, np.uint64)
-                of = (common.mix(own) % _U(max(1, parts))).astype(np.int64)
+                own = np.frombuffer(packed, "<u4")
+                of = (common.mix(own.astype(np.uint64)) % _U(max(1, parts))).astype(np.int64)
                 for p in np.unique(of).tolist():
                     take.append(i)
                     part.append(p)
@@ -574,7 +577,7 @@ def rest_of_clusters(docs: DataFrame, loose: DataFrame, pairs: DataFrame, labels
             if len(held) > 1:
                 cls, comp, n = (np.array([h[i] for h in held], np.int64) for i in range(3))
                 parity = [np.frombuffer(h[3], np.uint8) for h in held]
-                sig = [np.frombuffer(h[4], np.uint64) for h in held]
+                sig = [np.frombuffer(h[4], "<u4") for h in held]
                 who = np.repeat(np.arange(len(held)), [len(x) for x in sig])
                 found = cls[cross_pairs(comp, n, parity, np.concatenate(sig), who, percent)]
                 yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
@@ -619,10 +622,9 @@ def _near_duplicates(docs: DataFrame, words: int, percent: int) -> DataFrame:
     if others.take(1):
         links.append(common.stored(verified(others, sets, percent), "links"))
         labels = components(reduce(DataFrame.union, links).where("same"))
-    # groups of more than a pair, of which a pair failed: the star says nothing of the others there
+    # where a connecting pair failed, it says nothing of the other pairs of its cluster
     same = reduce(DataFrame.union, links).where("same").select("a", "b")
-    failed = pairs.where("more > 0").select("a", "b").join(same, ["a", "b"], "left_anti")
-    loose = common.stored(_apart(failed, labels), "loose")
+    loose = common.stored(_apart(pairs.select("a", "b"), labels).join(same, ["a", "b"], "left_anti"), "loose")
     if loose.take(1):
         ends = loose.select(F.col("a").alias("class")).union(loose.select("b")).distinct()
         seen = reduce(DataFrame.union, links).select("a", "b")
