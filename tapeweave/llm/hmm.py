@@ -6,9 +6,9 @@ its count. So a text's likelihood is exactly the forward probability of its symb
 rarer word, P(word | ending). The states' tables have one size whatever the corpus, while counts
 cover every training word.
 
-Training: counts of all words; a start from at most START_WORDS words, where texts are dealt to
-states at random and separate within some rounds; then `rounds` rounds of Baum-Welch over all
-training texts, whose expected counts are added up block by block across partitions. Scoring: scaled
+Training: counts of all words; a start where each state's emissions are the corpus's, each changed at
+random; then Baum-Welch over all training texts, as many rounds as it takes until a round gains at most
+TOLERANCE a symbol. Expected counts are added up block by block across partitions. Scoring: scaled
 forward recursion over whole texts. Counts of rarer words reach their texts through buckets of the
 word's hash, in blocks: no table of the vocabulary is ever broadcast.
 
@@ -33,14 +33,17 @@ from . import common
 STATES = 12
 HEAD = 1 << 16
 ENDINGS = 4096
-START_WORDS = 400_000
-START_ROUNDS = 12
+#: Training ends with a round that gains no more log likelihood (natural) a symbol than this.
+TOLERANCE = 1e-3
 SMOOTH = 0.1
 #: Weight, in words, of the corpus-wide distribution in each state's.
 PULL = 200.0
 #: Rarer words in one bucket, about; bytes of text in one vectorised step.
 BUCKET_WORDS = 1_000_000
 STEP = 4 << 20
+#: Symbols in one stored row (a longer text is a row of its own) and in one vectorised step of a round.
+ROW_SYMBOLS = 1 << 16
+STEP_SYMBOLS = 1_500_000
 _BLOCK = 8192
 
 
@@ -143,46 +146,63 @@ def symbols(v: Vocabulary, code: np.ndarray, owner: np.ndarray, ending: np.ndarr
     return out, first, count + 1
 
 
-def forward(m: Model, sym: np.ndarray, first: np.ndarray, length: np.ndarray, keep: bool = False):
-    """Natural log of each text's probability; with `keep` also the scaled rows and their scales."""
+def forward(m: Model, sym: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Natural log of each text's probability."""
     order = np.argsort(-length, kind="stable")
     begin, size = first[order], length[order]
     logs = np.zeros(len(order))
-    rows = np.zeros((len(sym), m.emit.shape[1]), np.float32) if keep else None
-    scales = np.zeros(len(sym), np.float32) if keep else None
-    alive = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), "left")  # texts longer than t
     a = None
-    for t, n in enumerate(alive.tolist()):
+    for t, n in enumerate(_alive(size).tolist()):
         at = begin[:n] + t
         a = (np.broadcast_to(m.start, (n, len(m.start))) if t == 0 else a[:n] @ m.move) * m.emit[sym[at]]
         s = a.sum(1)
         a = a / s[:, None]
         logs[:n] += np.log(s)
-        if keep:
-            rows[at], scales[at] = a, s
     out = np.empty(len(order))
     out[order] = logs
-    return (out, rows, scales, begin, alive) if keep else out
+    return out
+
+
+def _alive(size: np.ndarray) -> np.ndarray:
+    """How many texts are longer than t, for each t; `size` descends."""
+    return np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), "left")
 
 
 def expected(m: Model, sym: np.ndarray, first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected starts, moves and emissions (symbols x states), and the log probability."""
-    logs, rows, scales, begin, alive = forward(m, sym, first, length, True)
+    """Expected starts, moves and emissions (symbols x states), and the log probability.
+
+    Texts lie one behind the other in `sym`; here all first symbols come first, then all second ones.
+    """
+    order = np.argsort(-length, kind="stable")
+    alive = _alive(length[order])
+    begin = np.cumsum(alive) - alive
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    turned = np.empty(len(sym), np.int64)
+    turned[begin[np.arange(len(sym)) - np.repeat(first, length)] + np.repeat(rank, length)] = sym
     states = m.emit.shape[1]
+    one = np.ones(states, np.float32)
+    rows, scales = m.emit[turned], np.empty(len(sym), np.float32)
+    for t, (lo, n) in enumerate(zip(begin.tolist(), alive.tolist(), strict=True)):
+        a = rows[lo : lo + n]
+        a *= m.start if t == 0 else rows[before : before + n] @ m.move
+        np.matmul(a, one, out=scales[lo : lo + n])
+        a /= scales[lo : lo + n, None]
+        before = lo
     moves = np.zeros((states, states))
-    beta = np.ones((len(begin), states), np.float32)
+    beta = np.ones((len(order), states), np.float32)
     for t in range(len(alive) - 1, 0, -1):
-        n = int(alive[t])
-        at = begin[:n] + t
-        ahead = m.emit[sym[at]] * beta[:n] / scales[at][:, None]
-        rows[at] *= beta[:n]
-        before = rows[at - 1]
-        moves += before.T @ ahead
+        n, lo, before = int(alive[t]), int(begin[t]), int(begin[t - 1])
+        ahead = m.emit[turned[lo : lo + n]]
+        ahead *= beta[:n]
+        ahead /= scales[lo : lo + n, None]
+        rows[lo : lo + n] *= beta[:n]
+        moves += rows[before : before + n].T @ ahead
         beta[:n] = ahead @ m.move.T
-    rows[begin] *= beta
-    rows /= np.maximum(rows.sum(1, keepdims=True), 1e-30)
-    emissions = np.stack([np.bincount(sym, rows[:, s], len(m.emit)) for s in range(states)], 1)
-    return rows[begin].sum(0).astype(np.float64), moves * m.move, emissions, float(logs.sum())
+    rows[: len(order)] *= beta
+    rows /= np.maximum(rows @ one, 1e-30)[:, None]
+    emissions = np.stack([np.bincount(turned, rows[:, s], len(m.emit)) for s in range(states)], 1)
+    return rows[: len(order)].sum(0).astype(np.float64), moves * m.move, emissions, float(np.log(scales.astype(np.float64)).sum())
 
 
 def _estimate(starts: np.ndarray, moves: np.ndarray, emissions: np.ndarray, unigram: np.ndarray) -> Model:
@@ -193,65 +213,60 @@ def _estimate(starts: np.ndarray, moves: np.ndarray, emissions: np.ndarray, unig
     return Model(start.astype(np.float32), move.astype(np.float32), emit.astype(np.float32))
 
 
-def _first_model(v: Vocabulary, texts: list[np.ndarray], states: int) -> Model:
-    """From a small sample: texts start in states at random."""
+def _first_model(v: Vocabulary, states: int) -> Model:
+    """The corpus's distribution in every state, each entry times a random number."""
     unigram = v.unigram()
-    rng = np.random.default_rng(11)
-    emissions = np.zeros((v.size, states))
-    for sym in texts:
-        np.add.at(emissions[:, rng.integers(states)], sym, 1.0)
-    m = _estimate(np.ones(states), np.eye(states) * 20.0 * states, emissions, unigram)
-    if texts:
-        length = np.array([len(t) for t in texts])
-        flat, first = np.concatenate(texts), np.cumsum(length) - length
-        for _ in range(START_ROUNDS):
-            *found, _ = expected(m, flat, first, length)
-            m = _estimate(*found, unigram)
-    return m
-
-
-def train(docs: DataFrame, states: int = STATES, rounds: int = 2) -> tuple[Vocabulary, Model, DataFrame]:
+    noise = np.random.default_rng(11).exponential(size=(v.size, states))
+    return _estimate(np.ones(states), np.eye(states) * 20.0 * states, v.total * unigram[:, None] * noise, unigram)
+
+
+def train(docs: DataFrame, states: int = STATES) -> tuple[Vocabulary, Model, DataFrame]:
     """The vocabulary, the model and the stored counts (word, ending, n) of `docs` (doc_id, text)."""
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counts = common.stored(word_counts(docs), "word-counts")
     v = vocabulary(counts, docs.count())
-    shared = spark.sparkContext.broadcast(v)
+    texts = stored_symbols(docs, v)
+    model, before = _first_model(v, states), -math.inf
+    while True:
+        model, log = _round(texts, v, model)
+        if not log - before > TOLERANCE * v.total:
+            return v, model, counts
+        before = log
 
-    def as_symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def stored_symbols(docs: DataFrame, v: Vocabulary) -> DataFrame:
+    """(sym, lengths) of all texts of `docs`, some texts a row: what every round reads."""
+    shared = docs.sparkSession.sparkContext.broadcast(v)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, code, owner, ending in _words(batch):
                 sym, first, length = symbols(shared.value, code, owner, ending, hi - lo)
-                yield pa.RecordBatch.from_arrays([pa.array([sym[a : a + n].astype("<u4").tobytes() for a, n in zip(first, length, strict=True)], pa.binary())], ["sym"])
-
-    share = min(1.0, START_WORDS / max(1, v.total))
-    some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    texts, size = [], 0
-    for row in some.select("text").mapInArrow(as_symbols, "sym binary").toLocalIterator():
-        texts.append(np.frombuffer(row["sym"], "<u4").astype(np.int64))
-        size += len(texts[-1])
-        if size > 2 * START_WORDS:
-            break
-    model = _first_model(v, texts, states)
-    for _ in range(rounds):
-        model = _round(docs, v, shared, model)
-    return v, model, counts
+                a = 0
+                while a < len(first):
+                    b = max(a + 1, int(np.searchsorted(first + length, first[a] + ROW_SYMBOLS, "right")))
+                    cols = sym[first[a] : first[b - 1] + length[b - 1]], length[a:b]
+                    yield pa.RecordBatch.from_arrays([pa.array([x.astype("<u4").tobytes()], pa.binary()) for x in cols], ["sym", "lengths"])
+                    a = b
 
+    return common.stored(docs.select("text").mapInArrow(run, "sym binary, lengths binary"), "symbols")
 
-def _round(docs: DataFrame, v: Vocabulary, shared, model: Model) -> Model:
-    """One round of Baum-Welch over all of `docs`: each task adds up its own, blocks meet by number."""
-    now = docs.sparkSession.sparkContext.broadcast(model)
+
+def _round(texts: DataFrame, v: Vocabulary, model: Model) -> tuple[Model, float]:
+    """One round of Baum-Welch over all of `texts` and the log likelihood before it: each task adds up
+    its own, blocks meet by number."""
+    now = texts.sparkSession.sparkContext.broadcast(model)
     states = model.emit.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        starts, moves, emissions = np.zeros(states), np.zeros((states, states)), np.zeros((v_size, states))
-        for batch in batches:
-            for lo, hi, code, owner, ending in _words(batch):
-                s, m, e, _ = expected(now.value, *symbols(shared.value, code, owner, ending, hi - lo))
-                starts += s
-                moves += m
-                emissions += e
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([np.concatenate([starts, moves.ravel()]).tobytes()])], ["block", "sums"])
+        starts, moves, emissions, logs = np.zeros(states), np.zeros((states, states)), np.zeros((v_size, states)), 0.0
+        for sym, length in _symbol_steps(batches):
+            s, m, e, log = expected(now.value, sym, np.cumsum(length) - length, length)
+            starts += s
+            moves += m
+            emissions += e
+            logs += log
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([np.concatenate([starts, moves.ravel(), [logs]]).tobytes()])], ["block", "sums"])
         for b in range(0, v_size, _BLOCK):
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([emissions[b : b + _BLOCK].astype(np.float32).tobytes()])], ["block", "sums"])
 
@@ -265,15 +280,31 @@ def _round(docs: DataFrame, v: Vocabulary, shared, model: Model) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([sums.tobytes()])], ["block", "sums"])
 
     v_size = v.size
-    parts = docs.select("text").mapInArrow(run, "block int, sums binary")
-    blocks = parts.repartition(common.shuffle_partitions(docs.sparkSession), "block").mapInArrow(add, "block int, sums binary")
-    heads, emissions = np.zeros(states + states * states), np.zeros((v_size, states))
-    for b, sums in blocks.toLocalIterator():
-        if b < 0:
-            heads = np.frombuffer(sums)
-        else:
-            emissions[b : b + _BLOCK] = np.frombuffer(sums).reshape(-1, states)
-    return _estimate(heads[:states], heads[states:].reshape(states, states), emissions, v.unigram())
+    heads, emissions = np.zeros(states + states * states + 1), np.zeros((v_size, states))
+    with common.small_batches(texts.sparkSession, 16):
+        parts = texts.mapInArrow(run, "block int, sums binary")
+        blocks = parts.repartition(common.shuffle_partitions(texts.sparkSession), "block").mapInArrow(add, "block int, sums binary")
+        for b, sums in blocks.toLocalIterator():
+            if b < 0:
+                heads = np.frombuffer(sums)
+            else:
+                emissions[b : b + _BLOCK] = np.frombuffer(sums).reshape(-1, states)
+    now.destroy()
+    return _estimate(heads[:states], heads[states:-1].reshape(states, states), emissions, v.unigram()), float(heads[-1])
+
+
+def _symbol_steps(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Symbols and lengths of the stored rows, about STEP_SYMBOLS at once."""
+    held, size = [], 0
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            held.append([np.frombuffer(x, "<u4") for x in row])
+            size += len(held[-1][0])
+            if size >= STEP_SYMBOLS:
+                yield tuple(np.concatenate(x).astype(np.int64) for x in zip(*held, strict=True))
+                held, size = [], 0
+    if held:
+        yield tuple(np.concatenate(x).astype(np.int64) for x in zip(*held, strict=True))
 
 
 def score(docs: DataFrame, v: Vocabulary, model: Model, counts: DataFrame) -> DataFrame:

@@ -394,3 +394,42 @@ def test_turn_rows_with_nulls_and_repeats(spark):
     assert back == {1: [("user", "a", False), ("assistant", "", True), ("assistant", "", True)], None: [("", "x", False)], 2: [("as<|sistant", "\n", False)]}
     assert chat.parsed(chat.formatted(chat.conversations(rows.limit(0)))).count() == 0
     assert F.col("x") is not None
+
+
+def test_rounds_go_on_over_all_texts_until_the_gain_ends(spark, monkeypatch):
+    rng = random.Random(21)
+    # one long text comes first; a rare language is in a few texts only
+    texts = [prose(rng, 3000, 300), *(" ".join(f"rare{rng.randrange(40)}" for _ in range(60)) for _ in range(20))]
+    table, logs, rounds = docs(spark, texts), [], hmm._round
+
+    def watched(*args):
+        model, log = rounds(*args)
+        logs.append(log)
+        return model, log
+
+    monkeypatch.setattr(hmm, "_round", watched)
+    v, model, _ = hmm.train(table, states=3)
+    gains = np.diff(logs) / v.total
+    assert len(logs) > 2 and (gains[:-1] > hmm.TOLERANCE).all() and gains[-1] <= hmm.TOLERANCE
+    head = {int(w): i for i, w in enumerate(v.head)}
+    data = np.frombuffer(" ".join(f"rare{i}" for i in range(40)).encode(), np.uint8)
+    code = hmm.common.words(data, np.array([0, len(data)]), hmm.common.SPACED)[0]
+    share = model.emit[[head[int(c)] for c in code]].sum(0)
+    assert share.max() > 0.7  # a state of its own
+
+
+def test_symbols_are_stored_whole_whatever_the_row(spark, monkeypatch):
+    rng = random.Random(22)
+    table = docs(spark, [*ODD, prose(rng, 500)])
+    v = hmm.vocabulary(hmm.word_counts(table.select("text")).cache(), table.count())
+    found = []
+    for size in (1, 50, 1 << 16):
+        monkeypatch.setattr(hmm, "ROW_SYMBOLS", size)
+        rows = hmm.stored_symbols(table, v).collect()
+        texts = []
+        for r in rows:
+            sym, n = np.frombuffer(r["sym"], "<u4"), np.frombuffer(r["lengths"], "<u4")
+            texts += [t.tobytes() for t in np.split(sym, np.cumsum(n)[:-1])]
+        assert sum(map(len, texts)) == 4 * v.total
+        found.append(sorted(texts))
+    assert found[0] == found[1] == found[2] and len(found[0]) == len(ODD) + 1
