@@ -7,7 +7,7 @@ row of each text; contamination drops all rows of a doc_id that holds a benchmar
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeweave.llm import common, jaccard, packing, pii, toxicity, winnowing
@@ -20,18 +20,30 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near duplicates; texts without words all stay."""
-    found = jaccard.near_duplicates(docs)
-    heads = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.min("n_shingles").alias("_n"))
-    kept = docs.join(heads, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
-    again = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id"))
-    return kept.withColumn("_again", again).where("_again = 1 or _n = 0").select(*docs.columns)
+    """Keeps one row of each group of near duplicates, of the smallest doc_id (a null one is the last
+    choice); texts without words all stay. Rows are told by (doc_id, text), whatever ids repeat."""
+    found = jaccard.grouped(docs).withColumn("_wordless", F.col("n_shingles") == 0)
+    # rows without words: each (doc_id, text) is a group of its own
+    group = [F.when(~F.col("_wordless"), F.col("component")).alias("_group"), *(F.when(F.col("_wordless"), F.col(c)).alias(f"_{c}") for c in ("doc_id", "text_hash")), "_wordless"]
+    heads = found.groupBy(*group).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("_head"))
+    heads = heads.select(F.col("_head.doc_id").alias("_id"), F.col("_head.text_hash").alias("_hash"), "_wordless")
+    kept = _of_rows(docs, heads, "inner")
+    # equal rows of a head come to one where they lie before they are moved
+    each = F.when(F.col("_wordless"), F.monotonically_increasing_id())
+    one = kept.withColumn("_each", each).groupBy("_id", "_hash", "_each").agg(F.first(F.struct(*docs.columns)).alias("_row"))
+    return one.select("_row.*")
+
+
+def _of_rows(docs: DataFrame, decided: DataFrame, how: str) -> DataFrame:
+    """`docs` joined with decisions on (_id, _hash): the row's id and the hash of its text."""
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    return docs.join(decided, same, how)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a window of a benchmark item."""
-    hit = winnowing.contamination(docs, common.read(spark, sf_dir, "benchmark")).where("n_hit > 0").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(hit, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti")
+    """Drops documents that hold a window of a benchmark item, each row by its own text."""
+    found = winnowing.contamination(docs, common.read(spark, sf_dir, "benchmark")).where("n_hit > 0")
+    return _of_rows(docs, found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "left_anti")
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -180,7 +180,7 @@ def _steps(batch: pa.RecordBatch, words: int):
 
 
 def classes(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n, class, parity) of every row, and the price of a shingle by its low bits.
+    """(doc_id, text_hash, n, class, parity) of every row, and the price of a shingle by its low bits.
 
     The count of shingles has COUNTERS entries whatever the corpus; a task sends its own once, in
     blocks that are added up side by side.
@@ -188,17 +188,17 @@ def classes(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(COUNTERS, np.uint16)
-        names = ["doc_id", "n", "class", "parity", "block", "seen"]
+        names = ["doc_id", "text_hash", "n", "class", "parity", "block", "seen"]
         for batch in batches:
             for lo, hi, sh, of, count, whole in _steps(batch, words):
                 at, n = np.unique((sh & _U(COUNTERS - 1)).astype(np.int64), return_counts=True)
                 seen[at] = np.minimum(seen[at] + n, 255)  # a task's count ends there, which is frequent enough
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(count), pa.array(whole.view(np.int64)), pa.array(parities(sh, of, count)), pa.nulls(hi - lo, pa.int32()), pa.nulls(hi - lo, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(count), pa.array(whole.view(np.int64)), pa.array(parities(sh, of, count)), pa.nulls(hi - lo, pa.int32()), pa.nulls(hi - lo, pa.binary())], names)
         for b in range(0, COUNTERS, COUNTERS // BLOCKS):
             part = seen[b : b + COUNTERS // BLOCKS].astype(np.uint8).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([-1]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([b], pa.int32()), pa.array([part])], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([-1]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([b], pa.int32()), pa.array([part])], names)
 
-    rows = common.stored(docs.mapInArrow(run, "doc_id long, n long, class long, parity binary, block int, seen binary"), "classes")
+    rows = common.stored(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, n long, class long, parity binary, block int, seen binary"), "classes")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -214,7 +214,7 @@ def classes(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
     price = np.zeros(COUNTERS, np.uint8)
     for row in blocks.toLocalIterator():
         price[row["block"] : row["block"] + COUNTERS // BLOCKS] = np.frombuffer(row["seen"], np.uint8)
-    return rows.where("n >= 0").select("doc_id", "n", "class", "parity"), price
+    return rows.where("n >= 0").select("doc_id", "text_hash", "n", "class", "parity"), price
 
 
 def _distinct(sig: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -600,6 +600,12 @@ def rest_of_clusters(docs: DataFrame, loose: DataFrame, pairs: DataFrame, labels
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of `docs` (doc_id, text)."""
+    return grouped(docs, words, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def grouped(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """near_duplicates with text_hash, the xxhash64 of the row's text, and component, which names its
+    group whatever the ids."""
     with common.small_batches(docs.sparkSession):
         return _near_duplicates(docs, words, percent)
 
@@ -637,7 +643,7 @@ def _near_duplicates(docs: DataFrame, words: int, percent: int) -> DataFrame:
     of = rows.join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
     heads = of.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     linked = of.join(heads, "component", "left")
-    return linked.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return linked.select("doc_id", "text_hash", "component", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op10_universe_partition(spark: SparkSession, sf_dir: str) -> DataFrame:

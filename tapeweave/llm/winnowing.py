@@ -90,7 +90,8 @@ def fingerprint_bitmap(windows: DataFrame, bits: int = FILTER_BITS) -> np.ndarra
 
 
 def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int = K, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """One row a document: doc_id, n_words, n_hit, windows (start, size of each hit), item_ids."""
+    """One row a document: doc_id, n_words, n_hit, windows (start, size of each hit), item_ids, and
+    text_hash, the xxhash64 of the text."""
     windows = common.stored(item_windows(items, span, k), "windows")
     sizes = [r[0] for r in windows.select("size").distinct().collect()]  # at most `span`
     bitmap = fingerprint_bitmap(windows, filter_bits)
@@ -123,7 +124,7 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int =
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("item_ids"),
     )
     covered = F.expr("aggregate(windows, struct(0L as n, 0 as upto), (a, w) -> struct(a.n + greatest(0, w.start + w.size - greatest(w.start, a.upto)) as n, greatest(a.upto, w.start + w.size) as upto), a -> a.n)")
-    return found.select("doc_id", "n_words", covered.alias("n_hit"), "windows", "item_ids", F.explode(F.array_repeat(F.lit(1), F.col("_rows").cast("int"))).alias("_one")).drop("_one")
+    return found.select("doc_id", "n_words", covered.alias("n_hit"), "windows", "item_ids", F.col("_text").alias("text_hash"), F.explode(F.array_repeat(F.lit(1), F.col("_rows").cast("int"))).alias("_one")).drop("_one")
 
 
 def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,3 +54,22 @@ def test_run_and_registration(spark, tmp_path):
     tables(spark, at)
     assert corpus_pipeline.run(spark, at).select("doc_id").distinct().count() > 150
     assert sorted(int(n[2:].split("_")[0]) for n in registered.queries()) == list(range(1, 11))
+
+
+def test_each_row_is_judged_by_its_own_text(spark, tmp_path):
+    rng, at = random.Random(14), f"{tmp_path}/t"
+    a, b, c, d, e, f, g, item = (prose(rng, 60, 3000) for _ in range(8))
+    spark.createDataFrame([("b0", item)], "item_id string, text string").write.parquet(f"{at}/benchmark.parquet")
+    make = lambda pairs: spark.createDataFrame([(i, t, "en", "s", 1) for i, t in pairs], SCHEMA)
+    held = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+
+    # a contaminated row takes no clean row of its id along, nor of the null ids
+    clean = [(None, a), (None, b), (7, c), (8, d), (None, None), (9, "")]
+    bad = [(None, e + " " + item), (7, f + " " + item)]
+    got = held(corpus_pipeline.decontaminate(spark, make(clean + bad), at))
+    assert got == sorted(clean, key=repr)
+
+    # copies go by their text: null ids, repeated ids, rows that repeat as a whole; no words: all stay
+    rows = [(None, a), (1, a), (None, b), (None, b), (2, c), (2, d), (3, d + " tail"), (4, e), (4, e), (0, f), (5, g), (5, f), (None, ""), (None, ""), (6, None), (6, "")]
+    got = held(corpus_pipeline.drop_near_duplicates(spark, make(rows), at))
+    assert got == sorted([(1, a), (None, b), (2, c), (2, d), (4, e), (0, f), (5, g), (None, ""), (None, ""), (6, None), (6, "")], key=repr)
