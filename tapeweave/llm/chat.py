@@ -1,8 +1,11 @@
 """Chat formatting by schema fingerprints; expressions only.
 
-A record's nested field paths that hold a value (`messages[].role`, `prompt`, ...) are sorted and
-hashed. The hash selects one of the declared mappings, which turns the layout into canonical turns of
-role and text; layouts that no mapping declares give no turns and the layout `unknown`.
+A record's nested field paths that hold a value (`messages[].role`, `prompt`, ...) and that some
+mapping declares are sorted and hashed. The hash selects one of the declared mappings, which turns the
+layout into canonical turns of role and text; other fields (`source`, `messages[].name`) don't count.
+Layouts that no mapping declares give no turns and the layout `unknown`, with the hash of all paths
+that they hold; so do records that hold other fields alone, and lists of turns without any text
+whose elements hold other fields. They stay rows of their own, without turns.
 
 Template: `<|turn|>role<|text|>text<|end|>` and a newline for each turn. Inside roles and texts a
 backslash goes before every backslash and into every control string (`<|`, `<s>`, `</s>`, `[INST]`,
@@ -16,6 +19,7 @@ text or role: empty. A null conv_id is a conversation of its own. Empty table: n
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 from hashlib import sha256
 from itertools import chain, combinations
 
@@ -64,10 +68,10 @@ def leaf_paths(schema: T.StructType, ignore: tuple[str, ...] = ()) -> dict[str,
     return found
 
 
-def fingerprint(schema: T.StructType, ignore: tuple[str, ...] = ()) -> Column:
-    """The hash of the sorted field paths that a record holds."""
-    paths = leaf_paths(schema, ignore)
-    held = F.array_compact(F.array(*(F.when(paths[p], F.lit(p)) for p in sorted(paths))))
+def fingerprint(schema: T.StructType, ignore: tuple[str, ...] = (), only=None) -> Column:
+    """The hash of the sorted field paths that a record holds, of `only` these where given."""
+    paths = {p: has for p, has in leaf_paths(schema, ignore).items() if only is None or p in only}
+    held = F.array_compact(F.array(*(F.when(paths[p], F.lit(p)) for p in sorted(paths))).cast("array<string>"))
     return F.substring(F.sha2(F.array_join(held, "\n"), 256), 1, 16)
 
 
@@ -133,21 +137,38 @@ MAPPINGS = (
 def canonical(records: DataFrame, key: str = "conv_id", mappings=MAPPINGS) -> DataFrame:
     """`key`, layout, fingerprint, turns of every record, whatever its layout."""
     schema = records.schema
-    names = set(leaf_paths(schema, (key,)))
-    rows = records.withColumn("_f", fingerprint(schema, (key,)))
+    names = leaf_paths(schema, (key,))
+    declared = {p for m in mappings for p in (*m.needs, *m.may)}
+    rows = records.withColumns({"_f": fingerprint(schema, (key,), declared), "_all": fingerprint(schema, (key,))})
     layout, turns = F.lit("unknown"), F.array().cast(_TURNS)
     for m in mappings:
         usable = all(p in names for p in m.needs) and any(p in names for p in (*m.needs, *m.may))
+        if m.each:  # texts of a list of turns are read from its elements
+            usable = usable and f"{m.each}[].{m.turns[0][1]}" in names
         if usable:
-            mine = F.col("_f").isin(*m.fingerprints())
+            mine = F.col("_f").isin(*m.fingerprints()) & ~_elsewhere(m, names, declared)
             layout, turns = F.when(mine, m.name).otherwise(layout), F.when(mine, m.build(schema)).otherwise(turns)
-    return rows.select(F.col(key), layout.alias("layout"), F.col("_f").alias("fingerprint"), turns.alias("turns"))
+    shown = F.when(layout == "unknown", F.col("_all")).otherwise(F.col("_f"))
+    return rows.select(F.col(key), layout.alias("layout"), shown.alias("fingerprint"), turns.alias("turns"))
+
+
+def _elsewhere(m: Mapping, names: dict[str, Column], declared: set[str]) -> Column:
+    """Whether a record holds nothing that `m` reads as text but fields that no mapping declares."""
+    none = F.lit(False)
+    other = [has for p, has in names.items() if p not in declared and p.startswith(f"{m.each}[]." if m.each else "")]
+    read = [f"{m.each}[].{m.turns[0][1]}"] if m.each else [p for p in (*m.needs, *m.may) if p in names]
+    return reduce(Column.__or__, other, none) & ~reduce(Column.__or__, [names[p] for p in read], none)
 
 
 def conversations(records: DataFrame, key: str = "conv_id", mappings=MAPPINGS) -> DataFrame:
-    """One row a conversation: `key` and its ordered turns, from one or more records."""
-    rows = canonical(records, key, mappings).where("size(turns) > 0")
-    return rows.groupBy(key).agg(F.array_sort(F.flatten(F.collect_list("turns"))).alias("turns"))
+    """One row a conversation: `key`, its ordered turns, from one or more records, and `unknown_layout`.
+
+    `unknown_layout` is null but for records of an unknown layout: each is a row of its own without turns,
+    with its fingerprint there.
+    """
+    alone = F.col("layout") == "unknown"
+    rows = canonical(records, key, mappings).withColumns({"_alone": F.when(alone, F.monotonically_increasing_id()), "unknown_layout": F.when(alone, F.col("fingerprint"))})
+    return rows.groupBy(key, "_alone").agg(F.array_sort(F.flatten(F.collect_list("turns"))).alias("turns"), F.first("unknown_layout").alias("unknown_layout")).drop("_alone")
 
 
 # --- the template --------------------------------------------------------------------------------
@@ -171,7 +192,12 @@ def formatted(convs: DataFrame) -> DataFrame:
 
 
 def parsed(rows: DataFrame) -> DataFrame:
-    """Reads `formatted` and `loss_spans` back: adds turns (role, text, loss), unescaped."""
+    """Reads `formatted` and `loss_spans` back: adds turns (role, text, loss), unescaped.
+
+    Rows of an unknown layout hold no conversation to read and are left out.
+    """
+    if "unknown_layout" in rows.columns:
+        rows = rows.where("unknown_layout is null").drop("unknown_layout")
     pieces = F.split("formatted", r"<\|(?:turn|text|end)\|>", -1)
     cut = rows.withColumn("_p", pieces)
     # pieces: "", then role, text and newline of each turn

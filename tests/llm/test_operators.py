@@ -433,3 +433,30 @@ def test_symbols_are_stored_whole_whatever_the_row(spark, monkeypatch):
         assert sum(map(len, texts)) == 4 * v.total
         found.append(sorted(texts))
     assert found[0] == found[1] == found[2] and len(found[0]) == len(ODD) + 1
+
+
+def test_other_fields_leave_layouts_known_and_unknown_ones_stay(spark):
+    kind = "conv_id long, source string, prompt string, response string, messages array<struct<role:string,content:string,name:string>>, body string, turn long, role string, text string"
+    null = (None,) * 3
+    data = [
+        (1, "web", "p", "r", None, None, *null),
+        (2, "web", None, None, [("human", "q", "Ann"), ("gpt", "a", None)], None, *null),
+        (3, "web", None, None, None, None, 0, "user", "t"),
+        (3, None, None, None, None, None, 1, "assistant", None),
+        (4, None, None, None, None, "b", *null),
+        (4, None, None, None, None, "c", *null),
+        (None, None, "only a prompt", None, None, None, *null),
+        (5, None, None, None, [("user", None, "Bob")], None, *null),
+    ]
+    got = chat.conversations(spark.createDataFrame(data, kind)).collect()
+    known = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in got if r.unknown_layout is None}
+    assert known == {1: [("user", "p"), ("assistant", "r")], 2: [("user", "q"), ("assistant", "a")], 3: [("user", "t"), ("assistant", "")]}
+    others = sorted(((r.conv_id, r.unknown_layout, r.turns) for r in got if r.unknown_layout), key=repr)
+    of = chat.fingerprint_of
+    assert others == sorted([(4, of(["body"]), [])] * 2 + [(None, of(["prompt"]), []), (5, of(["messages[].role", "messages[].name"]), [])], key=repr)
+    out = chat.formatted(chat.conversations(spark.createDataFrame(data, kind)))
+    assert out.where("unknown_layout is not null and formatted = ''").count() == 4 and chat.parsed(out).count() == 3
+    # none of the columns is declared, or the texts of a list are nowhere to be read
+    assert [r.turns for r in chat.conversations(spark.createDataFrame([(1, "x")], "conv_id long, body string")).collect()] == [[]]
+    odd = spark.createDataFrame([(1, [("user", "x")])], "conv_id long, messages array<struct<role:string,said:string>>")
+    assert [(r.turns, r.unknown_layout) for r in chat.conversations(odd).collect()] == [([], of(["messages[].role", "messages[].said"]))]
