@@ -6,8 +6,12 @@ that draws rare words to the pooled rate; odds within their error count as none,
 a little, so clean text drifts down. A linear-time scan finds all maximal segments of a text. Their
 significance comes from the extreme-value law of the best segment in clean text: its scale solves
 sum p(s) exp(lambda s) = 1 over the scores of clean words, its constant is the likelihood estimate
-from clean calibration texts. A logistic curve over the normalised best segment and the sum of all
-segments gives the probability that a text is labelled toxic.
+from the best segments of clean texts; both from labelled texts that the scores were not learned on.
+
+With E(s) = constant * n * exp(-lambda s), n the words outside of all segments (at least as many as make
+E(0) = 1), a text's evidence is -log E of its best segment, and the sum of the positive -log E of all.
+The score is a logistic curve of both with weights that are never negative: a further toxic passage
+adds to the evidence and no words to n, so it can't lower a score.
 
 Words are hashed to BUCKETS counters, so the model has one size whatever the corpus. It is fitted on
 at most `max_labelled` labelled rows of distinct texts (chosen by hash; all of them if there are
@@ -37,6 +41,7 @@ MAX_LABELLED = 200_000
 #: odds gain weight beyond it, cost of a word.
 PRIOR, LEAST_Z, SHRINK, DRIFT = 300.0, 2.0, 4.0, 0.3
 THRESHOLD = 0.7
+RIDGE = 0.01
 SIGNIFICANT = 0.05
 
 
@@ -156,18 +161,45 @@ def _found(weight: np.ndarray, bucket: np.ndarray, owner: np.ndarray, n: int) ->
     return count, out
 
 
-def _features(model_scale: float, constant: float, count: np.ndarray, best: np.ndarray, total: np.ndarray) -> np.ndarray:
-    norm = model_scale * best - np.log(np.maximum(constant * np.maximum(count, 1), 1e-9))
-    return np.stack([np.ones(len(best)), norm, np.log1p(total), np.log1p(total) ** 2, np.log1p(best)], 1)
-
-
-def _tops(count: np.ndarray, found: list) -> tuple[np.ndarray, np.ndarray]:
-    best, total = np.zeros(len(count)), np.zeros(len(count))
+def _best(count: np.ndarray, found: list) -> tuple[np.ndarray, np.ndarray]:
+    """Score of the best segment of each text, and its words outside of all segments."""
+    best, outside = np.zeros(len(count)), count.astype(np.float64)
     if found:
-        row, _, _, score = (np.array(x) for x in zip(*found, strict=True))
-        np.maximum.at(best, row, score)
-        np.add.at(total, row, score)
-    return best, total
+        row, first, last, s = (np.array(x) for x in zip(*found, strict=True))
+        np.maximum.at(best, row, s)
+        np.subtract.at(outside, row, last - first)
+    return best, outside
+
+
+#: -log E beyond which a best segment adds nothing: a wrong label can't bend the curve.
+CERTAIN = 30.0
+
+
+def _evidence(scale: float, constant: float, outside: np.ndarray, row: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """What the curve is over: 1, the best -log E up to CERTAIN, the log of 1 + the sum of all positive ones."""
+    over = np.maximum(0, scale * s - np.log(np.maximum(constant * outside, 1))[row])
+    best, total = np.zeros(len(outside)), np.zeros(len(outside))
+    np.maximum.at(best, row, over)
+    np.add.at(total, row, over)
+    return np.stack([np.ones(len(outside)), np.minimum(best, CERTAIN), np.log1p(total)], 1)
+
+
+def _curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Logistic weights by Newton's method; but for the first, those that would be negative are 0."""
+    used = np.ones(x.shape[1], bool)
+    while True:
+        own, curve = x[:, used], np.zeros(used.sum())
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(own @ curve, -30, 30)))
+            step = np.linalg.solve(own.T @ (own * (p * (1 - p))[:, None]) + np.eye(len(curve)) * RIDGE, own.T @ (y - p) - RIDGE * curve)
+            curve += step
+            if abs(step).max() < 1e-8:
+                break
+        out = np.zeros(x.shape[1])
+        out[used] = curve
+        if (out[1:] >= 0).all():
+            return out
+        used[1 + out[1:].argmin()] = False
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn=lambda doc_id: F.lit(True), max_labelled: int = MAX_LABELLED) -> Model:
@@ -178,30 +210,27 @@ def fit(docs: DataFrame, labels: DataFrame, learn=lambda doc_id: F.lit(True), ma
     rest, of_rest = _counts(texts.where("fold = 1"))
     total, full = most, _weights(most + rest, of + of_rest)
     weight = _weights(total, of)
-    scale = _scale(weight, total[2])
+    scale = _scale(weight, rest[2])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, bucket, owner, *_ in _buckets(batch):
                 count, found = _found(weight, bucket, owner, hi - lo)
-                best, all_ = _tops(count, found)
-                yield pa.RecordBatch.from_arrays([pa.array(count), pa.array(best), pa.array(all_), batch.column(1).slice(lo, hi - lo)], ["n", "best", "total", "toxic"])
-
-    held = texts.where("fold = 1").select("text", "toxic").mapInArrow(run, "n long, best double, total double, toxic int").toArrow()
-    n, best, all_, y = (held.column(i).to_numpy().astype(np.float64) for i in range(4))
+                best, outside = _best(count, found)
+                own: list[list[float]] = [[] for _ in range(hi - lo)]
+                for row, _, _, s in found:
+                    own[row].append(s)
+                yield pa.RecordBatch.from_arrays([pa.array(outside), pa.array(best), pa.array([np.array(x, np.float32).tobytes() for x in own], pa.binary()), batch.column(1).slice(lo, hi - lo)], ["outside", "best", "scores", "toxic"])
+
+    held = texts.where("fold = 1").select("text", "toxic").mapInArrow(run, "outside double, best double, scores binary, toxic int").toArrow()  # of some 0.3 max_labelled texts
+    outside, best, y = (held.column(i).to_numpy().astype(np.float64) for i in (0, 1, 3))
+    scores = [np.frombuffer(x, np.float32) for x in held.column(2).to_pylist()]
     clean = y == 0
-    constant = float(clean.sum() / max(1e-9, (np.maximum(n[clean], 1) * np.exp(-scale * best[clean])).sum())) if clean.any() else 1.0
-    x = _features(scale, constant, n, best, all_)
     if not of.all() or not clean.any() or clean.all():
-        return Model(full, scale, constant, np.array([-np.inf, 0, 0, 0, 0]))
-    curve = np.zeros(x.shape[1])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ curve, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + np.eye(len(curve)) * 0.1, x.T @ (y - p) - 0.1 * curve)
-        curve += step
-        if abs(step).max() < 1e-8:
-            break
-    return Model(full, scale, constant, curve)
+        return Model(full, scale, 1.0, np.array([-np.inf, 0, 0]))
+    constant = float(clean.sum() / max(1e-9, (np.maximum(outside[clean], 1) * np.exp(-scale * best[clean])).sum()))
+    row = np.repeat(np.arange(len(scores)), [len(x) for x in scores])
+    return Model(full, scale, constant, _curve(_evidence(scale, constant, outside, row, np.concatenate(scores).astype(np.float64)), y))
 
 
 SCHEMA = "score double, n_words long, passages array<struct<start: int, stop: int, score: double, e_value: double>>"
@@ -216,13 +245,13 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
         for batch in batches:
             for lo, hi, bucket, owner, start, end, data, offsets in _buckets(batch):
                 count, found = _found(m.weight, bucket, owner, hi - lo)
-                best, total = _tops(count, found)
-                with np.errstate(over="ignore", invalid="ignore"):
-                    p = np.zeros(hi - lo) if np.isinf(m.curve[0]) else 1 / (1 + np.exp(-np.clip(_features(m.scale, m.constant, count, best, total) @ m.curve, -700, 700)))
+                _, outside = _best(count, found)
+                row, s_ = (np.array([f[i] for f in found], kind) for i, kind in ((0, np.int64), (3, np.float64)))
+                p = np.zeros(hi - lo) if np.isinf(m.curve[0]) else 1 / (1 + np.exp(-np.clip(_evidence(m.scale, m.constant, outside, row, s_) @ m.curve, -700, 700)))
                 passages: list[list] = [[] for _ in range(hi - lo)]
                 point = None
                 for row, a, b, s in found:
-                    e = m.constant * float(count[row]) * math.exp(-m.scale * s)
+                    e = max(1.0, m.constant * float(outside[row])) * math.exp(-m.scale * s)
                     if e <= SIGNIFICANT:
                         if point is None:
                             point = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])

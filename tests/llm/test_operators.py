@@ -302,6 +302,29 @@ def test_toxicity_is_learned_and_passages_are_placed(spark):
     assert kept.columns == table.columns and {r.doc_id for r in kept.where("doc_id >= 200").collect()} == {i for i in range(200, 302) if i % 3 and i < 300 or i == 301}
 
 
+def test_more_toxic_words_never_lower_a_score(spark):
+    rng, bad = random.Random(8), ["foul", "nasty", "vile"]
+    texts = [prose(rng, rng.randint(5, 200), 3000) for _ in range(400)]
+    for i in range(0, 400, 4):
+        words = texts[i].split(" ")
+        words[3:3] = rng.choices(bad, k=rng.randint(2, 12))
+        texts[i] = " ".join(words)
+    table = docs(spark, texts)
+    model = toxicity.fit(table, spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(400)], "doc_id long, quality int, toxic int"))
+    assert (model.curve[1:] >= 0).all() and model.curve[1:].any()
+    rows = []
+    for i in range(0, 400, 10):
+        words = texts[i].split(" ")
+        for step in range(12):
+            rows.append((i * 100 + step, " ".join(words)))
+            at = rng.randint(0, len(words))
+            words[at:at] = rng.choices(bad, k=rng.randint(1, 40))
+    got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    for i in range(0, 400, 10):
+        own = [got[i * 100 + step] for step in range(12)]
+        assert own == sorted(own) and own[-1] > 0.9
+
+
 def test_toxicity_without_both_labels_rejects_nothing(spark):
     label = spark.createDataFrame([(0, 1, 0), (None, 1, 1), (3, 1, None)], "doc_id long, quality int, toxic int")
     table = docs(spark, ODD)
