@@ -1,9 +1,10 @@
 """Exact Jaccard self-join of shingle sets by universe partition and pigeonhole.
 
 Two sets of x and y members with similarity of at least t differ in at most
-H = (x + y)(1 - t)/(1 + t) members. Shingles are dealt by hash into the segments of a size band. Sets
-that differ in H members differ in H segments at most; so of any H + 1 non-empty segments of one, one
-is the same in the other.
+H = (x + y)(1 - t)/(1 + t) members. The universe of shingles is dealt by hash into the segments of a
+size band (sizes that differ by a factor of 2 at most; some 1.2 to 2.4 members a segment). Sets that
+differ in H members differ in H segments at most; so of any H + 1 non-empty segments of one, one is the
+same, member by member, in the other. A set that has partners in the next band is indexed there too.
 
 Allocation by cost: a fixed-size count of shingles over the whole corpus prices each segment by its
 rarest shingle, and a set indexes only its H + 1 cheapest segments in the order (price, hash), which
@@ -12,10 +13,13 @@ shared passages are thus left out wherever a set has enough else. A set with too
 segments is indexed in a finer partition too, until it has enough. Where H is 1, the whole set and its
 one-deletion neighbours are indexed instead.
 
-Sets that meet are connected by a forest of pairs, first within a task, so that a group of any size
-sends one entry a task. Pairs that sizes or parities don't rule out are verified on the whole sets;
-where one of a cluster fails, all pairs of different components that share an entry are looked at
-there. So every component comes out exactly, while copies are never all paired with one another.
+Sets that share an entry are connected by a forest, first within a task, so that a group of any size
+sends one entry a task; what hangs together is a cluster, and links only lie within clusters. Clusters
+of more than GIANT sets are indexed once more with prices counted among themselves. Then whole sets
+are compared within clusters: a cluster of up to PART sets in one task, exactly and finally; a larger
+one in parts of that size, each with the same few heads, which tie together the parts of a group of
+copies of any size. Sets that the largest such component of their cluster doesn't hold yet are then
+compared with all sets of the cluster, block by block. Only forests of links leave a task, never pairs.
 Equal sets are one class from the start.
 
 A text's words are `[^ \\t-\\r]+` with A-Z lower-cased; fewer than `words` words: the sequence is one
@@ -27,7 +31,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +46,14 @@ PERCENT = 75
 COUNTERS, BLOCKS = 1 << 22, 16
 ENTRIES = 1_000_000
 HELD = 400_000
-FILTER_BITS = 1 << 24
+#: Members of a segment, on average, in the largest sets of a band.
+FILL = 2.4
+#: Sets, and members of sets, that are compared with one another in one task, about; heads in each part.
+PART, PART_MEMBERS, HEADS = 512, 1 << 20, 8
+#: Clusters of more sets are indexed again with their own prices.
+GIANT = 4096
+#: Loose sets in a block of the last comparison, and sets that meet them there.
+LOOSE, OTHERS = 256, 1024
 
 _TAG = np.uint64(0xE7037ED1A0B428DB)
 _U = np.uint64
@@ -79,37 +89,6 @@ def set_hashes(sh: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarr
         return np.where(count > 0, common.mix(total[first + count] - total[first] + count.astype(np.uint64)), 0)
 
 
-def parities(sh: np.ndarray, of: np.ndarray, count: np.ndarray) -> list[bytes]:
-    """For each set, which of some 2 n hash places an odd number of members has.
-
-    Two sets that differ in d members differ in d places at most. The number of places is a power of
-    two, so the longer of two folds onto the shorter.
-    """
-    bits = 1 << np.clip(np.ceil(np.log2(np.maximum(2 * count, 64))).astype(np.int64), 6, 14)
-    start = np.cumsum(bits) - bits
-    place = (common.mix(sh + _TAG) & (bits[of] - 1).astype(np.uint64)).astype(np.int64)
-    odd = np.bincount(start[of] + place, minlength=int(bits.sum())) & 1
-    packed = np.packbits(odd.astype(np.uint8), bitorder="little")
-    return [packed[a // 8 : (a + n) // 8].tobytes() for a, n in zip(start.tolist(), bits.tolist(), strict=True)]
-
-
-_ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
-
-
-def places_apart(x: np.ndarray, y: np.ndarray) -> int:
-    """In how many places two parities differ, at least so many members as the sets differ in."""
-    while len(x) > len(y):
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(_ONES[x ^ y].sum())
-
-
-def may_link(na: int, nb: int, x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    """False only for sets that can't be similar enough, by their sizes and parities."""
-    return 100 * min(na, nb) >= percent * max(na, nb) and places_apart(x, y) <= (na + nb) * (100 - percent) // (100 + percent)
-
-
 def most_apart(n: np.ndarray, percent: int) -> np.ndarray:
     """H for a set of n members and the largest partner it can have."""
     return (n + n * 100 // percent) * (100 - percent) // (100 + percent)
@@ -132,12 +111,12 @@ def index_entries(sh, of, n, price, percent: int, counters: int) -> tuple[np.nda
             out += [common.mix(total[small] + _U(1)), common.mix(total[of[rows]] - part + _U(1))]
         whose += [small, of[rows]]
     # segments, in each band that holds the set or its larger partners
-    band = lambda x: np.floor(np.log2(np.maximum(x, 1)) / 2).astype(np.int64)  # noqa: E731  exact at powers of 4
+    band = lambda x: np.frexp(np.maximum(x, 1))[1].astype(np.int64) - 1  # noqa: E731  of the power of 2 below
     own, upper = band(n), band(n * 100 // percent)
     for space, rows in ((own, apart >= 2), (upper, (apart >= 2) & (upper != own))):
         rows, level = np.flatnonzero(rows), 0
         while len(rows):
-            segments = (2 * 4 ** (space + 1)) << (3 * level)
+            segments = np.maximum(4, 2 ** (space + 1) / FILL).astype(np.int64) << (2 * level)
             member = np.zeros(len(n), bool)
             member[rows] = True
             at = np.flatnonzero(member[of])
@@ -179,42 +158,78 @@ def _steps(batch: pa.RecordBatch, words: int):
         yield lo, hi, sh, of, count, set_hashes(sh, first, count)
 
 
-def classes(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, text_hash, n, class, parity) of every row, and the price of a shingle by its low bits.
+class _Counts:
+    """Counts of shingles by their low bits, of fixed size; sent in blocks that are added up side by side."""
 
-    The count of shingles has COUNTERS entries whatever the corpus; a task sends its own once, in
-    blocks that are added up side by side.
-    """
+    kind = "block int, seen binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(COUNTERS, np.uint16)
-        names = ["doc_id", "text_hash", "n", "class", "parity", "block", "seen"]
-        for batch in batches:
-            for lo, hi, sh, of, count, whole in _steps(batch, words):
-                at, n = np.unique((sh & _U(COUNTERS - 1)).astype(np.int64), return_counts=True)
-                seen[at] = np.minimum(seen[at] + n, 255)  # a task's count ends there, which is frequent enough
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(count), pa.array(whole.view(np.int64)), pa.array(parities(sh, of, count)), pa.nulls(hi - lo, pa.int32()), pa.nulls(hi - lo, pa.binary())], names)
+    def __init__(self):
+        self.seen = np.zeros(COUNTERS, np.uint16)
+
+    def add(self, sh: np.ndarray) -> None:
+        at, n = np.unique((sh & _U(COUNTERS - 1)).astype(np.int64), return_counts=True)
+        self.seen[at] = np.minimum(self.seen[at] + n, 60_000)
+
+    def blocks(self) -> Iterator[tuple[int, bytes]]:
         for b in range(0, COUNTERS, COUNTERS // BLOCKS):
-            part = seen[b : b + COUNTERS // BLOCKS].astype(np.uint8).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([-1]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([b], pa.int32()), pa.array([part])], names)
+            part = self.seen[b : b + COUNTERS // BLOCKS]
+            if part.any():
+                yield b, part.astype("<u2").tobytes()
+
 
-    rows = common.stored(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, n long, class long, parity binary, block int, seen binary"), "classes")
+def _prices(blocks: DataFrame) -> np.ndarray:
+    """A price by the low bits of a shingle, from (block, seen) of all tasks.
+
+    Counters are shared by all shingles of some bits, so what counts is how far one lies above the
+    others, in standard deviations; in steps of a sixteenth of a power of two.
+    """
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for b, seen in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                total.setdefault(b, np.zeros(COUNTERS // BLOCKS, np.uint32))
-                total[b] += np.frombuffer(seen.as_buffer(), np.uint8)
+                total.setdefault(b, np.zeros(COUNTERS // BLOCKS, np.int64))
+                total[b] += np.frombuffer(seen.as_buffer(), "<u2")
         for b, n in total.items():
-            level = np.minimum(255, np.floor(8 * np.log2(1 + n.astype(np.float32)))).astype(np.uint8)
+            mid = float(np.median(n))
+            z = (n - mid) / math.sqrt(mid + 1) + 4
+            level = np.minimum(255, 16 * np.log2(1 + np.maximum(z, 0))).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([level.tobytes()])], ["block", "seen"])
 
-    blocks = rows.where("seen is not null").select("block", "seen").repartition(BLOCKS, "block").mapInArrow(add, "block int, seen binary")
     price = np.zeros(COUNTERS, np.uint8)
-    for row in blocks.toLocalIterator():
+    for row in blocks.repartition(BLOCKS, "block").mapInArrow(add, _Counts.kind).toLocalIterator():
         price[row["block"] : row["block"] + COUNTERS // BLOCKS] = np.frombuffer(row["seen"], np.uint8)
-    return rows.where("n >= 0").select("doc_id", "text_hash", "n", "class", "parity"), price
+    return price
+
+
+def classes(docs: DataFrame, words: int, keep) -> tuple[DataFrame, np.ndarray]:
+    """(doc_id, text_hash, n, class) of every row, and the prices of shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, names = _Counts(), ["doc_id", "text_hash", "n", "class", "block", "seen"]
+        for batch in batches:
+            for lo, hi, sh, _, count, whole in _steps(batch, words):
+                counts.add(sh)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(count), pa.array(whole.view(np.int64)), pa.nulls(hi - lo, pa.int32()), pa.nulls(hi - lo, pa.binary())], names)
+        for b, seen in counts.blocks():
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([-1]), pa.nulls(1, pa.int64()), pa.array([b], pa.int32()), pa.array([seen])], names)
+
+    rows = keep(docs.mapInArrow(run, f"doc_id long, text_hash long, n long, class long, {_Counts.kind}"), "classes")
+    return rows.where("n >= 0").select("doc_id", "text_hash", "n", "class"), _prices(rows.where("seen is not null").select("block", "seen"))
+
+
+def own_prices(texts: DataFrame, words: int) -> np.ndarray:
+    """Prices of shingles counted in `texts` alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = _Counts()
+        for batch in batches:
+            for _, _, sh, *_ in _steps(batch, words):
+                counts.add(sh)
+        for b, seen in counts.blocks():
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([seen])], ["block", "seen"])
+
+    return _prices(texts.mapInArrow(run, _Counts.kind))
 
 
 def _distinct(sig: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -226,30 +241,30 @@ def _distinct(sig: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return sig[fresh], cls[fresh]
 
 
-def _forest(sig: np.ndarray, cls: np.ndarray) -> np.ndarray:
-    """Pairs (smallest of a group, other) that connect what the groups connect, and no more of them."""
-    if not len(sig):
-        return np.empty((0, 2), np.int64)
-    start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-    each = np.diff(np.append(start, len(sig)))
-    rep = np.repeat(cls[start], each)
-    pair = rep != cls
-    if not pair.any():
-        return np.empty((0, 2), np.int64)
-    stars = np.unique(np.stack([rep[pair], cls[pair]], 1), axis=0)
-    head: dict[int, int] = {}
+def _forest(pairs: np.ndarray, head: dict[int, int]) -> np.ndarray:
+    """Which rows of `pairs` (a, b) connect what neither they nor `head`, which they join, connect yet."""
 
     def find(x: int) -> int:
         while (up := head.get(x, x)) != x:
             head[x] = x = head.get(up, up)
         return x
 
-    keep = np.zeros(len(stars), bool)
-    for k, (a, b) in enumerate(stars.tolist()):
+    keep = np.zeros(len(pairs), bool)
+    for k, (a, b) in enumerate(pairs.tolist()):
         if (x := find(a)) != (y := find(b)):
             head[max(x, y)] = min(x, y)
             keep[k] = True
-    return stars[keep]
+    return pairs[keep]
+
+
+def _stars(sig: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    """Distinct pairs (smallest of a group, other) of the groups of equal entries."""
+    if not len(sig):
+        return np.empty((0, 2), np.int64)
+    start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+    rep = np.repeat(cls[start], np.diff(np.append(start, len(sig))))
+    pair = rep != cls
+    return np.unique(np.stack([rep[pair], cls[pair]], 1), axis=0)
 
 
 #: `names`: the distinct classes of a blob; `at`: the place there of each entry's.
@@ -300,7 +315,7 @@ def index(docs: DataFrame, price: np.ndarray, buckets: int, words: int, percent:
             if not len(sig):
                 return
             sig, cls = _distinct(sig, cls)
-            pairs = _forest(sig, cls)
+            pairs = _forest(_stars(sig, cls), {})
             yield from _blobs(np.full(len(pairs), -1), pairs[:, 0], pairs[:, 1])
             lone = np.concatenate([[True], sig[1:] != sig[:-1]])
             sig, cls = sig[lone], cls[lone]
@@ -333,17 +348,32 @@ def index(docs: DataFrame, price: np.ndarray, buckets: int, words: int, percent:
     return docs.mapInArrow(run, _BLOB)
 
 
-def _by_bucket(blobs: DataFrame, work, schema: str) -> DataFrame:
-    """`work(sig, class)` on all entries of each bucket."""
+def _pair_batch(pairs: np.ndarray, names: tuple[str, str] = ("a", "b")) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], list(names))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+
+#: Classes that a task remembers the connections of.
+REMEMBERED = 1_000_000
+
+
+def candidates(blobs: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) that connect all sets that share an entry."""
+
+    def unpack(batches):
+        for batch in batches:
+            for blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield _pair_batch(np.stack(_unblob(blob, "<i8"), 1))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, head = None, [], {}
 
         def flush():
             if held:
                 sig, cls = (np.concatenate(x) for x in zip(*held, strict=True))
                 held.clear()
-                yield from work(sig, cls)
+                yield _pair_batch(_forest(_stars(*_distinct(sig, cls)), head))
+                if len(head) > REMEMBERED:
+                    head.clear()
 
         for batch in batches:
             for bucket, *blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -353,249 +383,172 @@ def _by_bucket(blobs: DataFrame, work, schema: str) -> DataFrame:
                 held.append(_unblob(blob, "<u4"))
         yield from flush()
 
-    n = common.shuffle_partitions(blobs.sparkSession)
-    return blobs.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
-
-
-def _pair_batch(pairs: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-
-def candidates(blobs: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) that connect all sets that share an entry."""
-
-    def unpack(batches):
-        for batch in batches:
-            for blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                yield _pair_batch(np.stack(_unblob(blob, "<i8"), 1))
-
     within = blobs.where("bucket < 0").drop("bucket").mapInArrow(unpack, "a long, b long")
-    across = _by_bucket(blobs.where("bucket >= 0"), lambda sig, cls: iter([_pair_batch(_forest(*_distinct(sig, cls)))]), "a long, b long")
+    n = common.shuffle_partitions(blobs.sparkSession)
+    across = blobs.where("bucket >= 0").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long")
     return within.union(across).distinct()
 
 
-def bitmap(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """A filter of fixed size over a column of long ids."""
-    place = F.pmod(F.xxhash64(ids[ids.columns[0]]), F.lit(bits))
-    words = ids.select(place.alias("p")).select((F.col("p") / 64).cast("int").alias("w"), F.expr("shiftleft(1L, cast(p % 64 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    out = np.zeros(bits // 64, np.int64)
-    for w, b in words.toLocalIterator():
-        out[w] = b
-    return out.view(np.uint8)
-
-
-#: Bytes kept of each member in a set that is verified: chance matches within a pair stay below 1e-8
-#: for sets of a thousand members.
-MEMBER_BYTES = 6
-
-
-def sets_of(docs: DataFrame, heads: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """(class, left, right, members) of the classes in `pairs` (a, b), each by its first document, and
-    of a few more that the filters let by; left, right: the sides of pairs that the class stands on."""
-    sides = pairs.select(F.col("a").alias("class"), F.lit(True).alias("left"), F.lit(False).alias("right")).union(pairs.select("b", F.lit(False), F.lit(True)))
-    wanted = heads.join(sides.groupBy("class").agg(F.max("left").alias("left"), F.max("right").alias("right")), "class")
-    shared = docs.sparkSession.sparkContext.broadcast([bitmap(wanted.where(side).select("doc_id")) for side in ("left", "right")])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = shared.value
-        for batch in batches:
-            place = np.mod(batch.column(2).to_numpy(zero_copy_only=False), FILTER_BITS)
-            sides = [(t[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool) for t in tables]
-            some = sides[0] | sides[1]
-            left, right = (s[some] for s in sides)
-            for lo, hi, sh, _, count, whole in _steps(batch.filter(pa.array(some)), words):
-                ends = np.concatenate([[0], np.cumsum(count)])
-                kept = np.ascontiguousarray(sh).view(np.uint8).reshape(-1, 8)[:, :MEMBER_BYTES]
-                yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array(left[lo:hi]), pa.array(right[lo:hi]), pa.array([kept[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary())], ["class", "left", "right", "members"])
-
-    return common.stored(docs.withColumn("h", F.xxhash64("doc_id")).mapInArrow(run, "class long, left boolean, right boolean, members binary"), "sets")
-
-
-def _members(data: bytes) -> np.ndarray:
-    wide = np.zeros((len(data) // MEMBER_BYTES, 8), np.uint8)
-    wide[:, :MEMBER_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, MEMBER_BYTES)
-    return wide.view(np.uint64).ravel()
-
-
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """`pairs` (a, b, ...) and whether the whole sets are similar enough: `same`."""
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = (batch.column(batch.schema.get_field_index(c)) for c in ("ma", "mb"))
-            same = []
-            for i in range(batch.num_rows):
-                x, y = (_members(c[i].as_py()) for c in (left, right))
-                common_ = len(np.intersect1d(x, y, assume_unique=True))
-                same.append(100 * common_ >= percent * (len(x) + len(y) - common_))
-            keep = [batch.column(i) for i, n in enumerate(batch.schema.names) if n not in ("ma", "mb")]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(same, pa.bool_())], [*(n for n in batch.schema.names if n not in ("ma", "mb")), "same"])
-
-    with_b = pairs.join(sets.where("right").select(F.col("class").alias("b"), F.col("members").alias("mb")), "b")
-    both = with_b.join(sets.where("left").select(F.col("class").alias("a"), F.col("members").alias("ma")), "a")
-    return both.select(*pairs.columns, "ma", "mb").mapInArrow(run, f"{kinds}, same boolean")
-
-
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, keep) -> DataFrame:
     """(class, component) of every class in `links` (a, b); the component is its smallest class."""
-    edges = common.stored(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
-    labels = common.stored(edges.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("l")), "labels")
+    edges = keep(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
+    labels = keep(edges.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("l")), "labels")
     while True:
         near = edges.join(labels.select(F.col("v").alias("b"), "l"), "b").groupBy(F.col("a").alias("v")).agg(F.min("l").alias("m"))
         low = labels.join(near, "v").select("v", F.col("l").alias("was"), F.least("l", "m").alias("l"))
         jumped = low.join(labels.select(F.col("v").alias("l"), F.col("l").alias("up")), "l", "left")
-        new = common.stored(jumped.select("v", F.least("l", F.coalesce("up", "l")).alias("l"), "was"), "labels")
+        new = keep(jumped.select("v", F.least("l", F.coalesce("up", "l")).alias("l"), "was"), "labels")
         labels = new.select("v", "l")
         if not new.where("l <> was").take(1):
             return labels.select(F.col("v").alias("class"), F.col("l").alias("component"))
 
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs that no links connect yet."""
-    la = labels.select(F.col("class").alias("a"), F.col("component").alias("ca"))
-    lb = labels.select(F.col("class").alias("b"), F.col("component").alias("cb"))
-    both = pairs.join(la, "a", "left").join(lb, "b", "left")
-    return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns)
-
-
-def filtered(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
-    """`pairs` (a, b) with `may`: false for those that sizes and parities rule out."""
-    for x in "ab":
-        pairs = pairs.join(heads.select(F.col("class").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}")), x)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            na, nb, x, y = (batch.column(i).to_pylist() for i in range(2, 6))
-            may = [may_link(*r[:2], np.frombuffer(r[2], np.uint8), np.frombuffer(r[3], np.uint8), percent) for r in zip(na, nb, x, y, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(2)), pa.array(may, pa.bool_())], ["a", "b", "may"])
-
-    return pairs.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long, may boolean")
-
+def _of_classes(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """`text` and all columns of `rows` (doc_id, text_hash, ...), for every row of `docs` that they name."""
+    of = rows.withColumnsRenamed({"doc_id": "of", "text_hash": "of_hash"})
+    return docs.join(of, (F.col("text_hash") == F.col("of_hash")) & F.col("doc_id").eqNullSafe(F.col("of"))).select("text", *(c for c in rows.columns if c not in ("doc_id", "text_hash")))
 
-#: Index entries of one cluster that a task looks at together.
-CLUSTER = 2_000_000
 
-
-def entries_of(docs: DataFrame, classes_: DataFrame, price: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(class, sigs) of the documents of `classes_` (class), and of a few others; 32 bits of an entry:
-    within a cluster, chance only adds pairs, which are verified."""
-    shared = docs.sparkSession.sparkContext.broadcast((price, class_filter(classes_)))
+def with_sets(docs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+    """The columns of `rows` (doc_id, text_hash, class, ...) but the first two, and `members`: the sorted
+    set. Once a task, however often the row repeats in `docs`."""
+    texts = _of_classes(docs, rows)
+    at = texts.columns.index("class")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.schema if f.name != "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        price, table = shared.value
+        met: set[int] = set()
         for batch in batches:
-            for _, _, sh, of, count, whole in _steps(batch, words):
-                place = (common.mix(whole) & _U(FILTER_BITS - 1)).astype(np.int64)
-                rows = np.flatnonzero((table[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool) & (count > 0))
-                if len(rows):
-                    number = np.full(len(whole), -1)
-                    number[rows] = np.arange(len(rows))
-                    own = number[of] >= 0
-                    sig, who = index_entries(sh[own], number[of[own]], count[rows], price, percent, len(price))
-                    order = np.argsort(who, kind="stable")
-                    edge = np.searchsorted(who[order], np.arange(len(rows) + 1))
-                    sig = sig[order]
-                    yield pa.RecordBatch.from_arrays([pa.array(whole[rows].view(np.int64)), pa.array([(sig[a:b] >> _U(32)).astype("<u4").tobytes() for a, b in zip(edge, edge[1:], strict=False)], pa.binary())], ["class", "sigs"])
-
-    return docs.mapInArrow(run, "class long, sigs binary").dropDuplicates(["class"])
+            new = []
+            for c in batch.column(at).to_pylist():
+                new.append(c not in met)
+                met.add(c)
+            batch = batch.filter(pa.array(new, pa.bool_()))
+            for lo, hi, sh, _, count, _ in _steps(batch, words):
+                ends, sh = np.concatenate([[0], np.cumsum(count)]), np.ascontiguousarray(sh)
+                members = pa.array([sh[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[1:]), members], [*batch.schema.names[1:], "members"])
+
+    return texts.mapInArrow(run, f"{kinds}, members binary")
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np.ndarray:
+    """How many members each set of `left` has in common with each of `right` (or of `left`)."""
+    sets = left + (right or [])
+    _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    met = times[at] > 1
+    owner, number = owner[met], (np.cumsum(times > 1) - 1)[at[met]]
+    order = np.argsort(number, kind="stable")
+    owner, number = owner[order], number[order]
+    k = len(left)
+    out = np.zeros((k, len(right) if right else k), np.float32)
+    width, last = 4096, int(number[-1]) + 1 if len(number) else 0
+    for lo in range(0, last, width):
+        a, b = np.searchsorted(number, [lo, lo + width])
+        has = np.zeros((len(sets), min(width, last - lo)), np.float32)
+        has[owner[a:b], number[a:b] - lo] = 1
+        out += has[:k] @ (has[k:] if right else has).T
+    return out.astype(np.int64)
+
+
+def _similar(n: np.ndarray, m: np.ndarray, both: np.ndarray, percent: int) -> np.ndarray:
+    return 100 * both >= percent * (n[:, None] + m[None, :] - both)
+
+
+def _labels(linked: np.ndarray) -> np.ndarray:
+    """The smallest index of each one's component in a symmetric matrix of links."""
+    label = np.arange(len(linked))
+    while True:
+        low = np.minimum(label, np.where(linked, label[None, :], len(label)).min(1))
+        low = low[low]
+        if (low == label).all():
+            return label
+        label = low
 
 
-def class_filter(ids: DataFrame) -> np.ndarray:
-    """A bitmap of FILTER_BITS over the mixed values of a long column."""
+def _by_cell(sets: DataFrame, work, kinds: str) -> DataFrame:
+    """`work(rows)` on all rows, as tuples, of each (cluster, place)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            place = (common.mix(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)) & _U(FILTER_BITS - 1)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array((place >> 6).astype(np.int32)), pa.array(np.int64(1) << (place & 63))], ["w", "b"])
-
-    words = ids.mapInArrow(run, "w int, b long").groupBy("w").agg(F.bit_or("b").alias("b"))
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    for w, b in words.toLocalIterator():
-        out[w] = b
-    return out.view(np.uint8)
-
-
-def cross_pairs(comp: np.ndarray, n: np.ndarray, parity: list, sig: np.ndarray, who: np.ndarray, percent: int) -> np.ndarray:
-    """Pairs (i, j) of sets that share an entry, aren't in one component and may be similar enough."""
-    order = np.lexsort((comp[who], sig))
-    sig, who = sig[order], who[order]
-    start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.empty(0, np.int64)
-    stop = np.append(start[1:], len(sig))[: len(start)]
-    parts, looked, held = [], set(), 0
-    size = len(comp)
-    for a, b in zip(start.tolist(), stop.tolist(), strict=True):
-        if b - a < 2 or comp[who[a]] == comp[who[b - 1]]:  # sorted by component within a group
-            continue
-        own = np.unique(who[a:b])
-        if (key := own.tobytes()) in looked:
-            continue
-        looked.add(key)
-        for k in range(0, len(own), 1024):
-            left = own[k : k + 1024]
-            i, j = np.nonzero((left[:, None] < own[None, :]) & (comp[left][:, None] != comp[own][None, :]) & (100 * np.minimum(n[left][:, None], n[own][None, :]) >= percent * np.maximum(n[left][:, None], n[own][None, :])))
-            parts.append(left[i] * size + own[j])
-            held += len(i)
-        if held > 4_000_000:
-            parts = [np.unique(np.concatenate(parts))]
-            held = len(parts[0])
-    codes = np.unique(np.concatenate(parts)) if parts else np.empty(0, np.int64)
-    keep = [may_link(int(n[i]), int(n[j]), parity[i], parity[j], percent) for i, j in zip((codes // size).tolist(), (codes % size).tolist(), strict=True)] if len(codes) else []
-    codes = codes[np.array(keep, bool)]
-    return np.stack([codes // size, codes % size], 1)
-
-
-def rest_of_clusters(docs: DataFrame, loose: DataFrame, pairs: DataFrame, labels: DataFrame, heads: DataFrame, price: np.ndarray, words: int, percent: int) -> DataFrame:
-    """All pairs (a, b) of different components that share an entry and may be similar enough, in the
-    clusters that hold one of `loose` (class); a cluster is what the stars connect, similar or not.
-    Clusters of many entries are looked at in parts, by entry."""
-    clusters = components(pairs).withColumnRenamed("component", "cluster")
-    large = clusters.groupBy("cluster").count().where("count > 2").select("cluster")  # a lone pair is settled
-    open_ = clusters.join(loose, "class").select("cluster").distinct().join(large, "cluster")
-    members = clusters.join(open_, "cluster").join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    members = common.stored(members.join(heads.select("class", "n", "parity"), "class"), "members")
-    rows = common.stored(members.join(entries_of(docs, members.select("class"), price, words, percent), "class"), "entries")
-    sizes = rows.groupBy("cluster").agg(F.ceil(F.sum(F.length("sigs") / 4) / CLUSTER).cast("int").alias("parts"))
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            take, part, sigs = [], [], []
-            for i, (packed, parts) in enumerate(zip(batch.column(5).to_pylist(), batch.column(6).to_pylist(), strict=True)):
-                own = np.frombuffer(packed, "<u4")
-                of = (common.mix(own.astype(np.uint64)) % _U(max(1, parts))).astype(np.int64)
-                for p in np.unique(of).tolist():
-                    take.append(i)
-                    part.append(p)
-                    sigs.append(own[of == p].tobytes())
-            at = pa.array(take, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(5)), pa.array(sigs, pa.binary()), pa.array(part, pa.int32())], [*batch.schema.names[:6], "part"])
-
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
-
-        def flush():
-            if len(held) > 1:
-                cls, comp, n = (np.array([h[i] for h in held], np.int64) for i in range(3))
-                parity = [np.frombuffer(h[3], np.uint8) for h in held]
-                sig = [np.frombuffer(h[4], "<u4") for h in held]
-                who = np.repeat(np.arange(len(held)), [len(x) for x in sig])
-                found = cls[cross_pairs(comp, n, parity, np.concatenate(sig), who, percent)]
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
-            held.clear()
-
         for batch in batches:
-            cols = {c: batch.column(i).to_pylist() for i, c in enumerate(batch.schema.names)}
-            for key, *row in zip(zip(cols["cluster"], cols["part"], strict=True), cols["class"], cols["component"], cols["n"], cols["parity"], cols["sigs"], strict=True):
-                if key != now:
-                    yield from flush()
-                    now = key
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:2] != now:
+                    if held:
+                        yield from work(held)
+                    now, held = row[:2], []
                 held.append(row)
-        yield from flush()
-
-    kind = "cluster long, class long, component long, n long, parity binary, sigs binary, part int"
-    dealt = rows.join(sizes, "cluster").select("cluster", "class", "component", "n", "parity", "sigs", "parts").mapInArrow(deal, kind)
-    dealt = dealt.repartition(common.shuffle_partitions(docs.sparkSession), "cluster", "part").sortWithinPartitions("cluster", "part")
-    return dealt.mapInArrow(look, "a long, b long").distinct()
+        if held:
+            yield from work(held)
+
+    n = common.shuffle_partitions(sets.sparkSession)
+    return sets.repartition(n, "cluster", "place").sortWithinPartitions("cluster", "place").mapInArrow(run, kinds)
+
+
+def _parts(sets: str, members: str, most: int):
+    """In how many parts of `most` sets and PART_MEMBERS members all fit, about."""
+    return F.ceil(F.greatest(F.col(sets) / most, F.col(members) / PART_MEMBERS)).cast("int")
+
+
+def _place(parts: str):
+    return F.pmod(F.xxhash64("class"), F.col(parts)).cast("int")
+
+
+def in_parts(docs: DataFrame, clusters: DataFrame, words: int, percent: int) -> DataFrame:
+    """(cluster, class, component, whole): links within the parts of each of `clusters` (class, cluster,
+    doc_id, text_hash, n); `whole`: the cluster is one part. A head stands in each part of its cluster."""
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("sets"), F.sum("n").alias("members")).select("cluster", "sets", _parts("sets", "members", PART).alias("parts"))
+    is_head = (F.col("class") == F.col("cluster")) | (F.pmod(F.xxhash64("class", F.lit(5)), F.ceil(F.col("sets") / HEADS)) == 0)
+    places = F.when((F.col("parts") > 1) & is_head, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(_place("parts")))
+    rows = clusters.join(sizes, "cluster").select("doc_id", "text_hash", "cluster", "class", (F.col("parts") == 1).alias("whole"), places.alias("places"))
+    sets = with_sets(docs, rows, words).select("cluster", F.explode("places").alias("place"), "class", "whole", "members")
+
+    def work(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        own = sorted({r[2]: r for r in rows}.values(), key=lambda r: r[2])
+        sets = [np.frombuffer(r[4], np.uint64) for r in own]
+        n = np.array([len(x) for x in sets])
+        label = _labels(_similar(n, n, _common(sets), percent))
+        cls = np.array([r[2] for r in own])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), own[0][0])), pa.array(cls), pa.array(cls[label]), pa.array([r[3] for r in own])], ["cluster", "class", "component", "whole"])
+
+    return _by_cell(sets, work, "cluster long, class long, component long, whole boolean")
+
+
+def across_parts(docs: DataFrame, open_: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of components that links of whole sets connect: in each cluster, all sets that its
+    largest component doesn't hold against all sets. `open_`: class, cluster, component, doc_id, text_hash, n."""
+    each = open_.groupBy("cluster", "component").agg(F.count("*").alias("k"))
+    main = each.groupBy("cluster").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("components")).where("components > 1")
+    rows = open_.join(main, "cluster").withColumn("loose", F.col("component") != F.col("main"))
+    alone = F.when(F.col("loose"), F.col("n"))
+    sizes = rows.groupBy("cluster").agg(F.count("*").alias("sets"), F.sum("n").alias("members"), F.count(alone).alias("loose_sets"), F.sum(alone).alias("loose_members"))
+    sizes = sizes.select("cluster", _parts("loose_sets", "loose_members", LOOSE).alias("lefts"), _parts("sets", "members", OTHERS).alias("rights"))
+    cell = lambda left, right: left * F.col("rights") + right
+    met_by = F.transform(F.sequence(F.lit(0), F.col("lefts") - 1), lambda i: F.struct(cell(i, _place("rights")).cast("int").alias("place"), F.lit(False).alias("left")))
+    meets = F.transform(F.sequence(F.lit(0), F.col("rights") - 1), lambda j: F.struct(cell(_place("lefts"), j).cast("int").alias("place"), F.lit(True).alias("left")))
+    rows = rows.join(sizes, "cluster").select("doc_id", "text_hash", "cluster", "class", "component", F.when(F.col("loose"), F.concat(met_by, meets)).otherwise(met_by).alias("places"))
+    sets = with_sets(docs, rows, words).select("cluster", F.explode("places").alias("at"), "class", "component", "members").select("cluster", "at.place", "class", "component", "at.left", "members")
+
+    def work(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        sides = [list({r[2]: r for r in rows if r[4] == side}.values()) for side in (True, False)]
+        if not all(sides):
+            return
+        left, right = ([np.frombuffer(r[5], np.uint64) for r in side] for side in sides)
+        of, to = (np.array([r[3] for r in side]) for side in sides)
+        linked = _similar(*(np.array([len(x) for x in s]) for s in (left, right)), _common(left, right), percent)
+        i, j = np.nonzero(linked & (of[:, None] != to[None, :]))
+        if len(i):
+            yield _pair_batch(_forest(np.unique(np.stack([of[i], to[j]], 1), axis=0), {}))
+
+    return _by_cell(sets, work, "a long, b long")
+
+
+def clusters_of(docs: DataFrame, price: np.ndarray, members: float, words: int, percent: int, keep) -> DataFrame:
+    """(class, cluster) of the sets that share an entry with another one of `docs`, which have so many members."""
+    buckets = max(1, math.ceil(members / 2 / ENTRIES))
+    met = keep(candidates(index(docs, price, buckets, words, percent)), "met")
+    return components(met, keep).withColumnRenamed("component", "cluster")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -606,43 +559,36 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 def grouped(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """near_duplicates with text_hash, the xxhash64 of the row's text, and component, which names its
     group whatever the ids."""
-    with common.small_batches(docs.sparkSession):
-        return _near_duplicates(docs, words, percent)
-
-
-def _near_duplicates(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows, price = classes(docs, words)
-    heads = common.stored(rows.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("parity").alias("parity")), "heads")
-    entries = rows.agg(F.sum(F.col("n") / 2)).first()[0] or 0
-    buckets = max(1, math.ceil(entries / ENTRIES))
-    met = common.stored(candidates(index(docs, price, buckets, words, percent)), "met")
-    pairs = common.stored(filtered(met, heads, percent), "pairs")
-    usable = pairs.where("may").select("a", "b")
-    sets = sets_of(docs, heads, usable, words)
-
-    nearest = usable.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = [common.stored(verified(nearest, sets, percent), "links")]
-    labels = components(links[0].where("same"))
-    others = common.stored(_apart(usable.join(nearest, ["a", "b"], "left_anti"), labels), "others")
-    if others.take(1):
-        links.append(common.stored(verified(others, sets, percent), "links"))
-        labels = components(reduce(DataFrame.union, links).where("same"))
-    # where a connecting pair failed, it says nothing of the other pairs of its cluster
-    same = reduce(DataFrame.union, links).where("same").select("a", "b")
-    loose = common.stored(_apart(pairs.select("a", "b"), labels).join(same, ["a", "b"], "left_anti"), "loose")
-    if loose.take(1):
-        ends = loose.select(F.col("a").alias("class")).union(loose.select("b")).distinct()
-        seen = reduce(DataFrame.union, links).select("a", "b")
-        rest = rest_of_clusters(docs, ends, pairs.select("a", "b"), labels, heads, price, words, percent)
-        rest = common.stored(rest.join(seen, ["a", "b"], "left_anti").join(seen.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "rest")
-        if rest.take(1):
-            links.append(common.stored(verified(rest, sets_of(docs, heads, rest, words), percent), "links"))
-            labels = components(reduce(DataFrame.union, links).where("same"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash"))
+    with common.small_batches(docs.sparkSession), common.scratch(docs.sparkSession) as keep:
+        return common.stored(_grouped(docs, words, percent, keep), "near-duplicates")
+
+
+def _grouped(docs: DataFrame, words: int, percent: int, keep) -> DataFrame:
+    rows, price = classes(docs, words, keep)
+    heads = rows.groupBy("class").agg(F.min(F.struct("doc_id", "text_hash")).alias("head"), F.max("n").alias("n"))
+    heads = keep(heads.select("class", "head.*", "n"), "heads")
+    clusters = clusters_of(docs, price, heads.agg(F.sum("n")).first()[0] or 0, words, percent, keep)
+    giant = keep(clusters.groupBy("cluster").count().where(F.col("count") > GIANT).select("cluster"), "giant")
+    if giant.take(1):
+        inside = keep(clusters.join(giant, "cluster").join(heads, "class"), "inside")
+        texts = _of_classes(docs, inside.select("doc_id", "text_hash"))
+        again = clusters_of(texts, own_prices(texts, words), inside.agg(F.sum("n")).first()[0], words, percent, keep)
+        clusters = clusters.join(giant, "cluster", "left_anti").select("class", "cluster").union(again)
+    clusters = keep(clusters.join(heads, "class"), "clusters")
+
+    found = keep(in_parts(docs, clusters, words, percent), "in-parts")
+    labels, several = found.where("whole").select("class", "component"), found.where("not whole")
+    if several.take(1):
+        links = keep(several.select(F.col("class").alias("a"), F.col("component").alias("b")).distinct(), "links")
+        first = components(links, keep)
+        open_ = clusters.join(first, "class")
+        more = keep(across_parts(docs, open_, words, percent), "across")
+        labels = labels.union(components(links.union(more), keep) if more.take(1) else first)
 
     of = rows.join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    heads = of.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    linked = of.join(heads, "component", "left")
+    ids = of.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    linked = of.join(ids, "component", "left")
     return linked.select("doc_id", "text_hash", "component", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 

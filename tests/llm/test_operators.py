@@ -182,6 +182,22 @@ def test_jaccard_join_equals_brute_force(spark):
     assert got == dict(enumerate(want))
 
 
+def test_large_clusters_are_compared_in_parts(spark, monkeypatch):
+    for name, value in {"PART": 6, "HEADS": 2, "LOOSE": 3, "OTHERS": 5, "GIANT": 30}.items():
+        monkeypatch.setattr(jaccard, name, value)
+    rng = random.Random(17)
+    base, texts = prose(rng, 120, 10**6), []
+    texts += [edited(rng, base, 0.02) for _ in range(40)]  # many link
+    texts += [edited(rng, base, 0.035) for _ in range(60)]  # some do
+    half = prose(rng, 60, 10**6)
+    texts += [half + " " + prose(rng, rng.randint(8, 40), 10**6) for _ in range(60)]  # near the threshold, few do
+    rng.shuffle(texts)
+    want = brute_components(texts)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs(spark, texts)).collect()}
+    assert got == dict(enumerate(want))
+    assert 20 < len({c for _, c in want}) < 120
+
+
 def test_jaccard_join_on_odd_tables(spark):
     assert jaccard.near_duplicates(docs(spark, [])).count() == 0
     twice = docs(spark, ["a b c d e f", None]).union(docs(spark, ["a b c d e f", None]))
