@@ -57,9 +57,9 @@ def scratch(spark: SparkSession) -> Iterator:
     """Gives `stored` for tables that are deleted at the end."""
     paths: list[str] = []
 
-    def keep(df: DataFrame, label: str) -> DataFrame:
+    def keep(df: DataFrame, label: str, *folders: str) -> DataFrame:
         paths.append(shared_path(spark, label))
-        df.write.parquet(paths[-1])
+        df.write.partitionBy(*folders).parquet(paths[-1])
         return spark.read.schema(df.schema).parquet(paths[-1])
 
     try:

@@ -30,6 +30,7 @@ and share a component if they have words. Null doc_id: kept, and linked by its t
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,6 +51,8 @@ HELD = 400_000
 FILL = 2.4
 #: Sets, and members of sets, that are compared with one another in one task, about; heads in each part.
 PART, PART_MEMBERS, HEADS = 512, 1 << 20, 8
+#: Links that one task connects at the end.
+FEW = 100_000
 #: Clusters of more sets are indexed again with their own prices.
 GIANT = 4096
 #: Loose sets in a block of the last comparison, and sets that meet them there.
@@ -164,17 +167,17 @@ class _Counts:
     kind = "block int, seen binary"
 
     def __init__(self):
-        self.seen = np.zeros(COUNTERS, np.uint16)
+        self.seen = np.zeros(COUNTERS, np.uint8)
 
     def add(self, sh: np.ndarray) -> None:
         at, n = np.unique((sh & _U(COUNTERS - 1)).astype(np.int64), return_counts=True)
-        self.seen[at] = np.minimum(self.seen[at] + n, 60_000)
+        self.seen[at] = np.minimum(self.seen[at] + n, 255)  # a task's count ends there, which is frequent enough
 
     def blocks(self) -> Iterator[tuple[int, bytes]]:
         for b in range(0, COUNTERS, COUNTERS // BLOCKS):
             part = self.seen[b : b + COUNTERS // BLOCKS]
             if part.any():
-                yield b, part.astype("<u2").tobytes()
+                yield b, zlib.compress(part.tobytes(), 1)
 
 
 def _prices(blocks: DataFrame) -> np.ndarray:
@@ -189,7 +192,7 @@ def _prices(blocks: DataFrame) -> np.ndarray:
         for batch in batches:
             for b, seen in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 total.setdefault(b, np.zeros(COUNTERS // BLOCKS, np.int64))
-                total[b] += np.frombuffer(seen.as_buffer(), "<u2")
+                total[b] += np.frombuffer(zlib.decompress(seen.as_buffer()), np.uint8)
         for b, n in total.items():
             mid = float(np.median(n))
             z = (n - mid) / math.sqrt(mid + 1) + 4
@@ -390,22 +393,68 @@ def candidates(blobs: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame, keep) -> DataFrame:
-    """(class, component) of every class in `links` (a, b); the component is its smallest class."""
-    edges = keep(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
-    labels = keep(edges.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("l")), "labels")
-    while True:
-        near = edges.join(labels.select(F.col("v").alias("b"), "l"), "b").groupBy(F.col("a").alias("v")).agg(F.min("l").alias("m"))
-        low = labels.join(near, "v").select("v", F.col("l").alias("was"), F.least("l", "m").alias("l"))
-        jumped = low.join(labels.select(F.col("v").alias("l"), F.col("l").alias("up")), "l", "left")
-        new = keep(jumped.select("v", F.least("l", F.coalesce("up", "l")).alias("l"), "was"), "labels")
-        labels = new.select("v", "l")
-        if not new.where("l <> was").take(1):
-            return labels.select(F.col("v").alias("class"), F.col("l").alias("component"))
+    """(class, component) of every class in `links` (a, b) that another one is linked with; the component
+    is its smallest class.
+
+    Each round points every class to its smallest neighbour, if that is smaller, and on to where that
+    points; then the links are taken between what is pointed to, so the graph shrinks by a factor a round.
+    At most FEW links, of some megabytes, are left to one task.
+    """
+    tidy = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    edges = keep(links.where("a <> b").select(*tidy("a", "b")).distinct(), "edges")
+    labels, rounds = edges.select(F.col("a").alias("class"), F.col("a").alias("component")).limit(0), 0
+    while edges.take(1):
+        if few := edges.count() <= FEW:
+            to = keep(edges.coalesce(1).mapInArrow(_ends, "v long, l long"), "pointers")
+        else:
+            to = _pointers(edges, keep)
+        fresh = to.select(F.col("v").alias("class"), F.col("l").alias("component"))
+        old = labels.join(to, F.col("component") == F.col("v"), "left").select("class", F.coalesce("l", "component").alias("component"))
+        labels = keep(old.union(fresh.join(labels.select("class"), "class", "left_anti")), "labels") if rounds else fresh
+        if few:
+            break
+        a, b = (to.select(F.col("v").alias(x), F.col("l").alias(f"l{x}")) for x in "ab")
+        edges = keep(edges.join(a, "a").join(b, "b").where("la <> lb").select(*tidy("la", "lb")).distinct(), "edges")
+        rounds += 1
+    return labels
+
+
+def _pointers(edges: DataFrame, keep) -> DataFrame:
+    """(v, l) of every class in `edges`: where it points after three steps to smallest neighbours."""
+    both = edges.select(F.col("a").alias("v"), F.col("b").alias("w")).union(edges.select("b", "a"))
+    to = keep(both.groupBy("v").agg(F.least(F.min("w"), F.first("v")).alias("l")), "pointers")
+    for _ in range(2):
+        on = to.select(F.col("v").alias("l"), F.col("l").alias("on"))
+        to = to.join(on, "l").select("v", F.col("on").alias("l"))
+    return keep(to, "pointers")
+
+
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(v, l) of every class in all links of a task: the smallest class that it is connected with."""
+    parts = [np.stack([c.to_numpy() for c in batch.columns], 1) for batch in batches]
+    if parts:
+        head: dict[int, int] = {}
+        pairs = np.concatenate(parts)
+        _forest(pairs, head)
+        names = np.unique(pairs).tolist()
+        ends = []
+        for x in names:
+            while x in head:
+                x = head[x]
+            ends.append(x)
+        yield _pair_batch(np.array([names, ends]).T, ("v", "l"))
+
+
+#: Remainders of a text's hash that say which documents may be wanted: at most so many small rows are broadcast.
+REMAINDERS = 1 << 20
 
 
 def _of_classes(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """`text` and all columns of `rows` (doc_id, text_hash, ...), for every row of `docs` that they name."""
     of = rows.withColumnsRenamed({"doc_id": "of", "text_hash": "of_hash"})
+    rest = lambda c: F.pmod(c, F.lit(REMAINDERS)).cast("int").alias("rest")
+    some = F.broadcast(rows.select(rest("text_hash")).distinct())  # at most REMAINDERS rows; the others' texts stay where they are
+    docs = docs.join(some, rest(F.col("text_hash")) == F.col("rest"), "left_semi")
     return docs.join(of, (F.col("text_hash") == F.col("of_hash")) & F.col("doc_id").eqNullSafe(F.col("of"))).select("text", *(c for c in rows.columns if c not in ("doc_id", "text_hash")))
 
 
@@ -582,8 +631,8 @@ def _grouped(docs: DataFrame, words: int, percent: int, keep) -> DataFrame:
     if several.take(1):
         links = keep(several.select(F.col("class").alias("a"), F.col("component").alias("b")).distinct(), "links")
         first = components(links, keep)
-        open_ = clusters.join(first, "class")
-        more = keep(across_parts(docs, open_, words, percent), "across")
+        open_ = clusters.join(links.select(F.col("a").alias("class")), "class", "left_semi").join(first, "class", "left")
+        more = keep(across_parts(docs, open_.withColumn("component", F.coalesce("component", "class")), words, percent), "across")
         labels = labels.union(components(links.union(more), keep) if more.take(1) else first)
 
     of = rows.join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))

@@ -183,7 +183,7 @@ def test_jaccard_join_equals_brute_force(spark):
 
 
 def test_large_clusters_are_compared_in_parts(spark, monkeypatch):
-    for name, value in {"PART": 6, "HEADS": 2, "LOOSE": 3, "OTHERS": 5, "GIANT": 30}.items():
+    for name, value in {"PART": 6, "HEADS": 2, "LOOSE": 3, "OTHERS": 5, "GIANT": 30, "FEW": 5}.items():
         monkeypatch.setattr(jaccard, name, value)
     rng = random.Random(17)
     base, texts = prose(rng, 120, 10**6), []
@@ -237,10 +237,9 @@ def test_forward_equals_the_sum_over_all_paths():
     states, size = 3, 5
     norm = lambda x: (x / x.sum(-1, keepdims=True)).astype(np.float32)
     m = hmm.Model(norm(rng.random(states)), norm(rng.random((states, states))), np.ascontiguousarray(norm(rng.random((states, size))).T))
-    texts = [rng.integers(0, size, n) for n in (4, 1, 6)]
-    length = np.array([len(t) for t in texts])
-    first = np.cumsum(length) - length
-    got = hmm.forward(m, np.concatenate(texts), first, length)
+    texts = [rng.integers(0, size, n) for n in (4, 1, 6, 9)]
+    length, alone = np.array([len(t) for t in texts]), norm(rng.random(size))
+    got = hmm.forward(*hmm.against(m, alone), np.concatenate(texts), length)
     for t, log in zip(texts, got, strict=True):
         total = 0.0
         for path in np.ndindex(*[states] * len(t)):
@@ -248,10 +247,10 @@ def test_forward_equals_the_sum_over_all_paths():
             for a, b, w in zip(path, path[1:], t[1:], strict=False):
                 p *= m.move[a, b] * m.emit[w, b]
             total += p
-        assert abs(np.log(total) - log) < 1e-4
+        assert abs(np.log(total) - log - np.log(alone[t]).sum()) < 1e-4
     before = 0.0
     for k in range(6):  # Baum-Welch never loses likelihood, but for its smoothing
-        s, mv, e, log = hmm.expected(m, np.concatenate(texts), first, length)
+        s, mv, e, log = hmm.expected(*hmm.against(m, alone), np.concatenate(texts), length)
         assert e.sum() == pytest.approx(length.sum(), rel=1e-4) and (k == 0 or log > before - 1e-3)
         before, m = log, hmm.Model((s / s.sum()).astype(np.float32), norm(mv + 1e-9), (e / e.sum(0)).astype(np.float32) + 1e-9)
 
@@ -435,26 +434,27 @@ def test_turn_rows_with_nulls_and_repeats(spark):
     assert F.col("x") is not None
 
 
-def test_rounds_go_on_over_all_texts_until_the_gain_ends(spark, monkeypatch):
+def test_every_text_is_learned_from_in_its_slice_and_at_the_end(spark, monkeypatch):
     rng = random.Random(21)
     # one long text comes first; a rare language is in a few texts only
     texts = [prose(rng, 3000, 300), *(" ".join(f"rare{rng.randrange(40)}" for _ in range(60)) for _ in range(20))]
-    table, logs, rounds = docs(spark, texts), [], hmm._round
+    table, sizes, sums = docs(spark, texts), [], hmm._sums
 
     def watched(*args):
-        model, log = rounds(*args)
-        logs.append(log)
-        return model, log
-
-    monkeypatch.setattr(hmm, "_round", watched)
-    v, model, _ = hmm.train(table, states=3)
-    gains = np.diff(logs) / v.total
-    assert len(logs) > 2 and (gains[:-1] > hmm.TOLERANCE).all() and gains[-1] <= hmm.TOLERANCE
+        found, size = sums(*args)
+        sizes.append(size)
+        return found, size
+
+    monkeypatch.setattr(hmm, "_sums", watched)
+    v, model, counts = hmm.train(table, states=3)
+    assert len(sizes) == hmm.SLICES + 1 and sum(sizes[:-1]) == sizes[-1] == v.total
     head = {int(w): i for i, w in enumerate(v.head)}
     data = np.frombuffer(" ".join(f"rare{i}" for i in range(40)).encode(), np.uint8)
     code = hmm.common.words(data, np.array([0, len(data)]), hmm.common.SPACED)[0]
     share = model.emit[[head[int(c)] for c in code]].sum(0)
     assert share.max() > 0.7  # a state of its own
+    more = docs(spark, [" ".join(f"rare{rng.randrange(40)}" for _ in range(60)), prose(rng, 100, 300)])
+    assert all(r.score > r.base_score for r in hmm.score(more, v, model, counts).collect())
 
 
 def test_symbols_are_stored_whole_whatever_the_row(spark, monkeypatch):
@@ -464,7 +464,7 @@ def test_symbols_are_stored_whole_whatever_the_row(spark, monkeypatch):
     found = []
     for size in (1, 50, 1 << 16):
         monkeypatch.setattr(hmm, "ROW_SYMBOLS", size)
-        rows = hmm.stored_symbols(table, v).collect()
+        rows = hmm.stored_symbols(table, v, lambda df, *_: df).collect()
         texts = []
         for r in rows:
             sym, n = np.frombuffer(r["sym"], "<u4"), np.frombuffer(r["lengths"], "<u4")
