@@ -7,10 +7,13 @@ rarer word, P(word | ending). The states' tables have one size whatever the corp
 cover every training word.
 
 Training: counts of all words; a start where each state's emissions are the corpus's, each changed at
-random; then Baum-Welch over all training texts, as many rounds as it takes until a round gains at most
-TOLERANCE a symbol. Expected counts are added up block by block across partitions. Scoring: scaled
-forward recursion over whole texts. Counts of rarer words reach their texts through buckets of the
-word's hash, in blocks: no table of the vocabulary is ever broadcast.
+random; then Baum-Welch over all training texts, twice. First by SLICES of them, dealt by the hash of
+the text: after each slice the expected counts move RATE of the way to what the slice says of the whole,
+and the model with them (the states part after a few slices, which rounds over everything take long
+for). Then one round over all texts gives the counts that the model is made of. Expected counts are
+added up block by block across partitions. Scoring: scaled forward recursion over whole texts. Counts
+of rarer words reach their texts through buckets of the word's hash, in blocks: no table of the
+vocabulary is ever broadcast.
 
 A text is its lower-cased (A-Z) words `[^ \\t-\\r]+` and one end symbol. Null text: the end alone.
 Repeated rows count each in training and are scored each. No training rows: every probability is the
@@ -33,18 +36,20 @@ from . import common
 STATES = 12
 HEAD = 1 << 16
 ENDINGS = 4096
-#: Training ends with a round that gains no more log likelihood (natural) a symbol than this.
-TOLERANCE = 1e-3
+#: Parts of the texts that the model learns from one by one, and the weight of one against those before.
+SLICES, RATE = 16, 0.7
 SMOOTH = 0.1
 #: Weight, in words, of the corpus-wide distribution in each state's.
 PULL = 200.0
 #: Rarer words in one bucket, about; bytes of text in one vectorised step.
-BUCKET_WORDS = 1_000_000
+BUCKET_WORDS = 200_000
 STEP = 4 << 20
 #: Symbols in one stored row (a longer text is a row of its own) and in one vectorised step of a round.
 ROW_SYMBOLS = 1 << 16
 STEP_SYMBOLS = 1_500_000
-_BLOCK = 8192
+#: Symbols whose expected counts are added up together, and places between two scalings of a recursion.
+_BLOCK = 256
+_EVERY = 8
 
 
 @dataclass
@@ -146,18 +151,40 @@ def symbols(v: Vocabulary, code: np.ndarray, owner: np.ndarray, ending: np.ndarr
     return out, first, count + 1
 
 
-def forward(m: Model, sym: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Natural log of each text's probability."""
+def against(m: Model, unigram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, moves, and emissions against the corpus's distribution: what the recursions take, so that
+    products stay near 1 for _EVERY places."""
+    return m.start, m.move, (m.emit / unigram[:, None]).astype(np.float32)
+
+
+def _turn(sym: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, list[int], list[int], np.ndarray]:
+    """Symbols with all first ones in front, then all second ones; where each place begins, how many texts
+    have it, and the texts by descending length, which is their order there."""
     order = np.argsort(-length, kind="stable")
-    begin, size = first[order], length[order]
-    logs = np.zeros(len(order))
-    a = None
-    for t, n in enumerate(_alive(size).tolist()):
-        at = begin[:n] + t
-        a = (np.broadcast_to(m.start, (n, len(m.start))) if t == 0 else a[:n] @ m.move) * m.emit[sym[at]]
-        s = a.sum(1)
-        a = a / s[:, None]
-        logs[:n] += np.log(s)
+    alive = _alive(length[order])
+    begin = np.cumsum(alive) - alive
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    turned = np.empty(len(sym), np.int64)
+    turned[begin[np.arange(len(sym)) - np.repeat(np.cumsum(length) - length, length)] + np.repeat(rank, length)] = sym
+    return turned, begin.tolist(), alive.tolist(), order
+
+
+def forward(start: np.ndarray, move: np.ndarray, ratio: np.ndarray, sym: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Natural log of each text's probability against that of independent symbols."""
+    turned, at, many, order = _turn(sym, length)
+    logs, a = np.zeros(len(order)), None
+    for t, (lo, n) in enumerate(zip(at, many, strict=True)):
+        own = ratio[turned[lo : lo + n]]
+        own *= start if t == 0 else a[:n] @ move
+        a = own
+        if t % _EVERY == _EVERY - 1:
+            c = np.maximum(a.sum(1), 1e-30)
+            a /= c[:, None]
+            logs[:n] += np.log(c)
+        stay = many[t + 1] if t + 1 < len(many) else 0
+        if stay < n:
+            logs[stay:n] += np.log(np.maximum(a[stay:n].sum(1), 1e-30))
     out = np.empty(len(order))
     out[order] = logs
     return out
@@ -168,41 +195,40 @@ def _alive(size: np.ndarray) -> np.ndarray:
     return np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), "left")
 
 
-def expected(m: Model, sym: np.ndarray, first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected starts, moves and emissions (symbols x states), and the log probability.
-
-    Texts lie one behind the other in `sym`; here all first symbols come first, then all second ones.
-    """
-    order = np.argsort(-length, kind="stable")
-    alive = _alive(length[order])
-    begin = np.cumsum(alive) - alive
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    turned = np.empty(len(sym), np.int64)
-    turned[begin[np.arange(len(sym)) - np.repeat(first, length)] + np.repeat(rank, length)] = sym
-    states = m.emit.shape[1]
-    one = np.ones(states, np.float32)
-    rows, scales = m.emit[turned], np.empty(len(sym), np.float32)
-    for t, (lo, n) in enumerate(zip(begin.tolist(), alive.tolist(), strict=True)):
+def expected(start: np.ndarray, move: np.ndarray, ratio: np.ndarray, sym: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected starts, moves and emissions (symbols x states) of texts that lie one behind the other in
+    `sym`, and their log probability against that of independent symbols."""
+    turned, at, many, order = _turn(sym, length)
+    states = ratio.shape[1]
+    ahead, log, scale = ratio[turned], 0.0, {}
+    rows = np.empty_like(ahead)
+    np.multiply(ahead[: len(order)], start, out=rows[: len(order)])
+    for t in range(1, len(at)):
+        lo, n = at[t], many[t]
         a = rows[lo : lo + n]
-        a *= m.start if t == 0 else rows[before : before + n] @ m.move
-        np.matmul(a, one, out=scales[lo : lo + n])
-        a /= scales[lo : lo + n, None]
-        before = lo
-    moves = np.zeros((states, states))
-    beta = np.ones((len(order), states), np.float32)
-    for t in range(len(alive) - 1, 0, -1):
-        n, lo, before = int(alive[t]), int(begin[t]), int(begin[t - 1])
-        ahead = m.emit[turned[lo : lo + n]]
-        ahead *= beta[:n]
-        ahead /= scales[lo : lo + n, None]
-        rows[lo : lo + n] *= beta[:n]
-        moves += rows[before : before + n].T @ ahead
-        beta[:n] = ahead @ m.move.T
+        np.matmul(rows[at[t - 1] : at[t - 1] + n], move, out=a)
+        a *= ahead[lo : lo + n]
+        if t % _EVERY == 0:
+            scale[t] = np.maximum(a.sum(1, keepdims=True), 1e-30)
+            a /= scale[t]
+            log += float(np.log(scale[t]).sum())
+    ends = np.array(at, np.int64)[length[order] - 1] + np.arange(len(order))
+    last = np.maximum(rows[ends].sum(1, keepdims=True), 1e-30)
+    log += float(np.log(last).sum())
+    beta = np.repeat(1 / last, states, 1)
+    moves, back = np.zeros((states, states)), np.ascontiguousarray(move.T)
+    for t in range(len(at) - 1, 0, -1):
+        lo, n = at[t], many[t]
+        b, w = beta[:n], ahead[lo : lo + n]
+        w *= b
+        if t in scale:
+            w /= scale[t]
+        rows[lo : lo + n] *= b
+        moves += rows[at[t - 1] : at[t - 1] + n].T @ w
+        np.matmul(w, back, out=b)
     rows[: len(order)] *= beta
-    rows /= np.maximum(rows @ one, 1e-30)[:, None]
-    emissions = np.stack([np.bincount(turned, rows[:, s], len(m.emit)) for s in range(states)], 1)
-    return rows[: len(order)].sum(0).astype(np.float64), moves * m.move, emissions, float(np.log(scales.astype(np.float64)).sum())
+    emissions = np.stack([np.bincount(turned, rows[:, s], len(ratio)) for s in range(states)], 1)
+    return rows[: len(order)].sum(0).astype(np.float64), moves * move, emissions, log
 
 
 def _estimate(starts: np.ndarray, moves: np.ndarray, emissions: np.ndarray, unigram: np.ndarray) -> Model:
@@ -225,50 +251,66 @@ def train(docs: DataFrame, states: int = STATES) -> tuple[Vocabulary, Model, Dat
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counts = common.stored(word_counts(docs), "word-counts")
     v = vocabulary(counts, docs.count())
-    texts = stored_symbols(docs, v)
-    model, before = _first_model(v, states), -math.inf
-    while True:
-        model, log = _round(texts, v, model)
-        if not log - before > TOLERANCE * v.total:
-            return v, model, counts
-        before = log
+    with common.scratch(docs.sparkSession) as keep:
+        return v, _learned(stored_symbols(docs, v, keep), v, _first_model(v, states)), counts
+
 
+def _learned(texts: DataFrame, v: Vocabulary, model: Model) -> Model:
+    """`model` after all slices of `texts` one by one, then after all of them at once."""
+    unigram, sums = v.unigram(), None
+    for k in range(SLICES):
+        found, size = _sums(texts.where(F.col("slice") == k), v, model)
+        if size:
+            whole = [x * (v.total / size) for x in found]
+            sums = whole if sums is None else [(1 - RATE) * a + RATE * b for a, b in zip(sums, whole, strict=True)]
+            model = _estimate(*sums, unigram)
+    return _estimate(*_sums(texts, v, model)[0], unigram)
 
-def stored_symbols(docs: DataFrame, v: Vocabulary) -> DataFrame:
-    """(sym, lengths) of all texts of `docs`, some texts a row: what every round reads."""
+
+def stored_symbols(docs: DataFrame, v: Vocabulary, keep) -> DataFrame:
+    """(sym, lengths, slice) of all texts of `docs`, some texts a row: what Baum-Welch reads."""
     shared = docs.sparkSession.sparkContext.broadcast(v)
+    kind = "sym binary, lengths binary, slice int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            slices = batch.column(1).to_numpy(zero_copy_only=False)
             for lo, hi, code, owner, ending in _words(batch):
-                sym, first, length = symbols(shared.value, code, owner, ending, hi - lo)
-                a = 0
-                while a < len(first):
-                    b = max(a + 1, int(np.searchsorted(first + length, first[a] + ROW_SYMBOLS, "right")))
-                    cols = sym[first[a] : first[b - 1] + length[b - 1]], length[a:b]
-                    yield pa.RecordBatch.from_arrays([pa.array([x.astype("<u4").tobytes()], pa.binary()) for x in cols], ["sym", "lengths"])
-                    a = b
-
-    return common.stored(docs.select("text").mapInArrow(run, "sym binary, lengths binary"), "symbols")
-
-
-def _round(texts: DataFrame, v: Vocabulary, model: Model) -> tuple[Model, float]:
-    """One round of Baum-Welch over all of `texts` and the log likelihood before it: each task adds up
-    its own, blocks meet by number."""
-    now = texts.sparkSession.sparkContext.broadcast(model)
-    states = model.emit.shape[1]
+                sym, _, length = symbols(shared.value, code, owner, ending, hi - lo)
+                of = np.repeat(slices[lo:hi], length)
+                for k in np.unique(slices[lo:hi]).tolist():
+                    own, size = sym[of == k], length[slices[lo:hi] == k]
+                    stop = np.cumsum(size)
+                    first, a = stop - size, 0
+                    while a < len(size):
+                        b = max(a + 1, int(np.searchsorted(stop, first[a] + ROW_SYMBOLS, "right")))
+                        cols = [pa.array([x.astype("<u4").tobytes()], pa.binary()) for x in (own[first[a] : stop[b - 1]], size[a:b])]
+                        yield pa.RecordBatch.from_arrays([*cols, pa.array([k], pa.int32())], ["sym", "lengths", "slice"])
+                        a = b
+
+    rows = docs.select("text", F.pmod(F.xxhash64("text", F.lit(3)), F.lit(SLICES)).cast("int").alias("slice")).mapInArrow(run, kind)
+    return keep(rows, "symbols", "slice")
+
+
+def _sums(texts: DataFrame, v: Vocabulary, model: Model) -> tuple[list[np.ndarray], int]:
+    """Expected starts, moves and emissions of `texts` under `model`, and how many symbols they have:
+    each task adds up its own, blocks meet by number."""
+    states, v_size = model.emit.shape[1], v.size
+    now = texts.sparkSession.sparkContext.broadcast(against(model, v.unigram()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        starts, moves, emissions, logs = np.zeros(states), np.zeros((states, states)), np.zeros((v_size, states)), 0.0
+        starts, moves, emissions, size = np.zeros(states), np.zeros((states, states)), np.zeros((v_size, states)), 0
         for sym, length in _symbol_steps(batches):
-            s, m, e, log = expected(now.value, sym, np.cumsum(length) - length, length)
+            s, m, e, _ = expected(*now.value, sym, length)
             starts += s
             moves += m
             emissions += e
-            logs += log
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([np.concatenate([starts, moves.ravel(), [logs]]).tobytes()])], ["block", "sums"])
-        for b in range(0, v_size, _BLOCK):
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([emissions[b : b + _BLOCK].astype(np.float32).tobytes()])], ["block", "sums"])
+            size += len(sym)
+        if not size:
+            return
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([np.concatenate([starts, moves.ravel(), [size]]).tobytes()])], ["block", "sums"])
+        used = [b for b in range(0, v_size, _BLOCK) if emissions[b : b + _BLOCK].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([emissions[b : b + _BLOCK].astype(np.float32).tobytes() for b in used], pa.binary())], ["block", "sums"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -279,18 +321,18 @@ def _round(texts: DataFrame, v: Vocabulary, model: Model) -> tuple[Model, float]
         for b, sums in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([sums.tobytes()])], ["block", "sums"])
 
-    v_size = v.size
     heads, emissions = np.zeros(states + states * states + 1), np.zeros((v_size, states))
-    with common.small_batches(texts.sparkSession, 16):
-        parts = texts.mapInArrow(run, "block int, sums binary")
+    with common.small_batches(texts.sparkSession, 256):
+        parts = texts.select("sym", "lengths").mapInArrow(run, "block int, sums binary")
         blocks = parts.repartition(common.shuffle_partitions(texts.sparkSession), "block").mapInArrow(add, "block int, sums binary")
-        for b, sums in blocks.toLocalIterator():
-            if b < 0:
-                heads = np.frombuffer(sums)
-            else:
-                emissions[b : b + _BLOCK] = np.frombuffer(sums).reshape(-1, states)
+        found = blocks.toArrow()  # at most a row a block: of one size whatever the texts
+    for b, sums in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True):
+        if b < 0:
+            heads = np.frombuffer(sums)
+        else:
+            emissions[b : b + _BLOCK] = np.frombuffer(sums).reshape(-1, states)
     now.destroy()
-    return _estimate(heads[:states], heads[states:-1].reshape(states, states), emissions, v.unigram()), float(heads[-1])
+    return [heads[:states], heads[states:-1].reshape(states, states), emissions], int(heads[-1])
 
 
 def _symbol_steps(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -310,13 +352,13 @@ def _symbol_steps(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarra
 def score(docs: DataFrame, v: Vocabulary, model: Model, counts: DataFrame) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score (log10) of every row."""
     spark = docs.sparkSession
-    shared, trained = spark.sparkContext.broadcast(v), spark.sparkContext.broadcast(model)
+    shared, trained = spark.sparkContext.broadcast(v), spark.sparkContext.broadcast(against(model, v.unigram()))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text"))
     nat = math.log(10)
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, m = shared.value, trained.value
-        heads = len(v.head)
+        heads, alone = len(v.head), np.log(v.unigram())
         # log10 of the count of a head word or the end; for an ending, minus log10 of its words' mass
         gain = np.log10(np.concatenate([v.head_counts, np.zeros(ENDINGS), [v.texts]]) + SMOOTH)
         gain[heads : heads + ENDINGS] = 0
@@ -328,7 +370,7 @@ def score(docs: DataFrame, v: Vocabulary, model: Model, counts: DataFrame) -> Da
         for batch in batches:
             for lo, hi, code, owner, ending in _words(batch):
                 sym, first, length = symbols(v, code, owner, ending, hi - lo)
-                log = forward(m, sym, first, length) / nat
+                log = (forward(*m, sym, length) + np.add.reduceat(alone[sym], first)) / nat
                 sums = [np.add.reduceat(x[sym], first) for x in (gain, mass, known)]
                 cols = [pa.array(length), pa.array(sums[2].astype(np.int64)), pa.array(sums[0]), pa.array(log + sums[1])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), *cols], ["doc_id", "h", "n_tokens", "known", "gain", "log"])
@@ -346,14 +388,16 @@ def score(docs: DataFrame, v: Vocabulary, model: Model, counts: DataFrame) -> Da
 
 def _rare_sums(docs: DataFrame, v: Vocabulary, shared, counts: DataFrame) -> DataFrame:
     """(doc_id, h, rare_gain, rare_known): over words beyond the head, log10(count + SMOOTH) and how many are known."""
-    buckets = max(1, math.ceil((v.distinct - len(v.head)) / BUCKET_WORDS))
+    buckets = max(min(64, common.shuffle_partitions(docs.sparkSession)), math.ceil((v.distinct - len(v.head)) / BUCKET_WORDS))
     kind = "bucket int, side int, words binary, numbers binary, doc_ids binary, hashes binary"
     names = ["bucket", "side", "words", "numbers", "doc_ids", "hashes"]
 
     def split(code, *rest):
         bucket = (common.mix(code) % np.uint64(buckets)).astype(np.int64)
-        for b in np.unique(bucket).tolist():
-            at = bucket == b
+        order = np.argsort(bucket, kind="stable")
+        edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        for b in np.flatnonzero(np.diff(edge)).tolist():
+            at = order[edge[b] : edge[b + 1]]
             yield b, code[at], *(x[at] for x in rest)
 
     def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
