@@ -1,9 +1,9 @@
 """Exponential recursions y(t) = a x(t) + (1 - a) y(t-1), y(0) = x(0), over long series.
 
-A series is cut into chunks. Each chunk is scanned on its own as if nothing came before; what comes
-before only adds carry * (1 - a)^(rows so far), so a small table of chunk ends, summed up in order,
-gives every chunk its carry. No task ever holds a whole series. Leading nulls are skipped; later
-nulls keep the value of the row before.
+A series is cut into chunks. Each chunk is scanned on its own, from its first value on; a small table
+of chunk ends, composed in order, gives every chunk what came before. No task ever holds a whole
+series. Leading nulls give null; at later ones the value stays, and the next x weighs against what is
+left of it after the rows between: y = ((1 - a)^k y + a x) / ((1 - a)^k + a) after k rows.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import kept
+
 CHUNK = 100_000
 
 
@@ -21,25 +23,47 @@ def span(n: int) -> float:
     return 2.0 / (n + 1)
 
 
+def _weights(at: np.ndarray, alpha: float) -> np.ndarray:
+    """The share of the value before that is left at each of the rows `at` but the first, which have an x."""
+    left = np.power(1 - alpha, np.diff(at))
+    return left / (left + alpha)
+
+
 def scan(x: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray]:
-    """(scan from 0, share of what came before that is left) at each row."""
-    seen = ~np.isnan(x)
-    y, left = np.empty(len(x)), np.power(1 - alpha, np.cumsum(seen))
-    last, keep = 0.0, 1 - alpha
-    for i, (v, ok) in enumerate(zip(x.tolist(), seen.tolist(), strict=True)):
-        if ok:
-            last = alpha * v + keep * last
-        y[i] = last
-    return y, left
+    """(scan, share in it of the first x) at each row; null before the first x.
+
+    In blocks within which products of the shares stay far from 0: there a scan is a running sum of
+    inputs over the share that is left, times that share.
+    """
+    y, share = np.full(len(x), np.nan), np.full(len(x), np.nan)
+    at = np.flatnonzero(~np.isnan(x))
+    if not len(at):
+        return y, share
+    own, left = np.empty(len(at)), np.empty(len(at))
+    own[0], left[0] = x[at[0]], 1.0
+    keep = np.concatenate([[1.0], _weights(at, alpha)])
+    least = max(keep[1:].min(), 1e-12) if len(at) > 1 else 1.0
+    width = int(np.clip(200 / max(-np.log(least), 1e-9), 8, 4096))
+    for i in range(1, len(at), width):
+        k = slice(i, min(len(at), i + width))
+        part = np.cumprod(np.maximum(keep[k], 1e-12))
+        own[k] = part * (own[i - 1] + np.cumsum((1 - keep[k]) * x[at[k]] / part))
+        left[k] = part * left[i - 1]
+    last = np.searchsorted(at, np.arange(len(x)), "right") - 1
+    seen = last >= 0
+    y[seen], share[seen] = own[last[seen]], left[last[seen]]
+    return y, share
 
 
 def ewm(rows: DataFrame, columns: dict[str, tuple[str, float]], keys=("symbol",), order: str = "bar_idx", chunk: int = CHUNK) -> DataFrame:
-    """`rows` with the scans {name: (column, factor)}; `order`: dense numbers from 0 within `keys`."""
+    """`rows` with the scans {name: (column, factor)}; `order`: dense numbers from 0 within `keys`.
+
+    The scanned chunks are written once; their ends and the result read that table.
+    """
     names = list(columns)
     base = rows.withColumn("_chunk", F.floor(F.col(order) / chunk).cast("long"))
-    schema = rows.schema
     extra = ", ".join(f"`_y{i}` double, `_k{i}` double" for i in range(len(names)))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
 
     def local(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(order)
@@ -47,22 +71,40 @@ def ewm(rows: DataFrame, columns: dict[str, tuple[str, float]], keys=("symbol",)
             part[f"_y{i}"], part[f"_k{i}"] = scan(part[column].to_numpy(np.float64, na_value=np.nan), alpha)
         return part
 
-    scanned = base.groupBy(*keys, "_chunk").applyInPandas(local, f"{kinds}, _chunk long, {extra}")
-    first = {c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))) for c, _ in columns.values()}
-    ends = scanned.groupBy(*keys, "_chunk").agg(
-        *(F.max_by(f"_{x}{i}", order).alias(f"_{x}{i}") for i in range(len(names)) for x in "yk"), *(first[c].alias(f"_f{i}") for i, (c, _) in enumerate(columns.values()))
-    )
-    # y at a chunk's end = local + left * carry: composed over the chunks of a series, one row each
-    parts = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, 0)
+    scanned = kept(base.groupBy(*keys, "_chunk").applyInPandas(local, f"{kinds}, _chunk long, {extra}"), "scanned")
+    met = {c: F.when(F.col(c).isNotNull(), F.col(order)) for c, _ in columns.values()}
+    ends = scanned.groupBy(*keys, "_chunk").agg(*(
+        F.struct(F.max_by(f"_y{i}", order).alias("y"), F.max_by(f"_k{i}", order).alias("k"), F.min_by(c, met[c]).alias("x"), F.min(met[c]).alias("first"), F.max(met[c]).alias("last")).alias(f"_e{i}")
+        for i, (c, _) in enumerate(columns.values())
+    ))
+    # a chunk's first value follows from what came before; its end = y + k * (that - x): composed in order
+    # over the chunks of a series, one row each
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carries = ends
-    for i in range(len(names)):
-        start = F.first(f"_f{i}", ignorenulls=True).over(before)
-        links = F.collect_list(F.struct(F.col(f"_y{i}").alias("y"), F.col(f"_k{i}").alias("k"))).over(parts)
-        carries = carries.withColumn(f"_c{i}", F.aggregate(links, start, lambda a, e: e["y"] + e["k"] * a))
-    joined = scanned.join(carries.select(*keys, "_chunk", *(f"_c{i}" for i in range(len(names)))), [*keys, "_chunk"])
-    out = {n: F.when(F.col(f"_k{i}") < 1, F.col(f"_y{i}") + F.col(f"_k{i}") * F.col(f"_c{i}")).otherwise(F.when(F.col(f"_c{i}").isNotNull() & (F.col("_chunk") > 0), F.col(f"_c{i}"))) for i, n in enumerate(names)}
-    return joined.select(*rows.columns, *(c.alias(n) for n, c in out.items()))
+    for i, (_, alpha) in enumerate(columns.values()):
+        start = F.struct(F.lit(None).cast("double").alias("y"), F.lit(None).cast("long").alias("last"))
+        carries = carries.withColumn(f"_c{i}", F.aggregate(F.collect_list(f"_e{i}").over(before), start, _composed(alpha)))
+        carries = carries.withColumn(f"_d{i}", F.when(F.col(f"_c{i}.y").isNotNull(), _first(F.col(f"_c{i}"), F.col(f"_e{i}.first"), F.col(f"_e{i}.x"), alpha) - F.col(f"_e{i}.x")))
+        carries = carries.withColumn(f"_c{i}", F.col(f"_c{i}.y"))
+    joined = scanned.join(carries.select(*keys, "_chunk", *(f"_{x}{i}" for i in range(len(names)) for x in "cd")), [*keys, "_chunk"])
+    out = (F.when(F.col(f"_y{i}").isNull(), F.col(f"_c{i}")).otherwise(F.col(f"_y{i}") + F.coalesce(F.col(f"_k{i}") * F.col(f"_d{i}"), F.lit(0.0))).alias(n) for i, n in enumerate(names))
+    return joined.select(*rows.columns, *out)
+
+
+def _composed(alpha: float):
+    """What is carried (y, last row with an x) after one more chunk."""
+
+    def step(carry, e):
+        moved = F.when(carry["y"].isNull(), F.lit(0.0)).otherwise(e["k"] * (_first(carry, e["first"], e["x"], alpha) - e["x"]))
+        return F.when(e["first"].isNull(), carry).otherwise(F.struct((e["y"] + moved).alias("y"), e["last"].alias("last")))
+
+    return step
+
+
+def _first(carry, first, x, alpha: float):
+    """The value at row `first` of x, after `carry` (y, last row with an x)."""
+    left = F.pow(F.lit(1 - alpha), first - carry["last"])
+    return (left * carry["y"] + alpha * x) / (left + alpha)
 
 
 def dema_tema(rows: DataFrame, x: str, n: int, keys=("symbol",), chunk: int = CHUNK) -> DataFrame:

@@ -232,9 +232,10 @@ def window_slices(spark, sf_dir):
     return s.groupBy("symbol", "window_idx", "phase").agg(F.count("*").alias("n"), F.min("bar_idx").alias("first_bar"), F.max("bar_idx").alias("last_bar"))
 
 
-@query("j11_merge_symbols", f"{WITH} SELECT ts, CAST(CASE symbol WHEN 'view' THEN 0 WHEN 'click' THEN 1 END AS INTEGER) AS symbol_rank, bar_idx, close FROM bars WHERE symbol IN ('view', 'click')")
+@query("j11_merge_symbols", f"{WITH} SELECT ts, CAST(dense_rank() OVER (ORDER BY symbol) - 1 AS INTEGER) AS symbol_rank, bar_idx, close FROM bars")
 def merge_symbols(spark, sf_dir):
-    return align.merge_symbols(base(spark, sf_dir), {"view": 0, "click": 1}).select("ts", "symbol_rank", "bar_idx", "close")
+    b = base(spark, sf_dir)
+    return align.merge_symbols(b, align.symbol_ranks(b)).select("ts", "symbol_rank", "bar_idx", "close")
 
 
 # --- rolling indicators --------------------------------------------------------------------------

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import recursive as rec
 from ..operators import exits, metrics, slices
 from ..operators.exits import Costs
+from ..sources.tables import kept
 
 # --- signals -------------------------------------------------------------------------------------
 
@@ -61,17 +62,28 @@ def gap_zone_signals(rows: DataFrame, near: int = 10, most_age: int = 45, keys=(
 
 
 def features(rows: DataFrame, fast: int = 10, slow: int = 30, n: int = 14, keys=("symbol",), chunk: int = rec.CHUNK) -> DataFrame:
-    both = rec.ewm(rows, {"ema_fast": ("close", rec.span(fast)), "ema_slow": ("close", rec.span(slow))}, keys, chunk=chunk)
-    return rec.atr(both, n, keys, chunk=chunk)
+    """`rows` with ema_fast, ema_slow and atr, written once: a backtest reads them many times."""
+    from ..functions.rolling import true_range
 
+    by = Window.partitionBy(*keys).orderBy("bar_idx")
+    ranged = rows.withColumn("_tr", true_range(F.col("high"), F.col("low"), F.col("close"), by))
+    all_ = {"ema_fast": ("close", rec.span(fast)), "ema_slow": ("close", rec.span(slow)), "atr": ("_tr", 1.0 / n)}
+    return kept(rec.ewm(ranged, all_, keys, chunk=chunk).drop("_tr"), "features")
 
-def backtest(rows: DataFrame, signals: DataFrame, costs: Costs = Costs(), most_open: int = 1, keys=("symbol",)) -> DataFrame:
-    """Closed trades of `signals` on `rows`: fills, exits, the trader's choice, prices and profit."""
-    filled = exits.resolve_fills(signals, rows, costs)
+
+def orders(rows: DataFrame, signals: DataFrame, costs: Costs = Costs(), most_open: int = 1, keys=("symbol",)) -> DataFrame:
+    """The orders that a trader places of `signals` on `rows`: filled ones with their exits and prices,
+    expired and pending ones with nulls there."""
+    filled = kept(exits.resolve_fills(signals, rows, costs), "fills")
     resolved = exits.resolve_exits(filled, rows, costs)
     return exits.priced(exits.select_trades(resolved, most_open, keys), costs)
 
 
+def backtest(rows: DataFrame, signals: DataFrame, costs: Costs = Costs(), most_open: int = 1, keys=("symbol",)) -> DataFrame:
+    """Closed trades of `signals` on `rows`: fills, exits, the trader's choice, prices and profit."""
+    return kept(orders(rows, signals, costs, most_open, keys).where("status = 'filled'"), "trades")
+
+
 def run_splits(rows: DataFrame, splits: DataFrame, warmup: int = 50, costs: Costs = Costs()) -> DataFrame:
     """The cross backtest on every date split at once: `symbol` names split and symbol, and numbers,
     averages and equity start anew in each."""
@@ -123,7 +135,7 @@ def walk_forward(rows: DataFrame, grid: DataFrame, window: int, step: int, score
     stats = metrics.trade_stats(trades, ("symbol", "combo_id")).withColumn("_score", F.coalesce(by, F.lit(-999.0)))
     names = slice_.select("symbol", "of", "window_idx", "phase").distinct().crossJoin(F.broadcast(grid))
     scored = names.join(stats, ["symbol", "combo_id"], "left").withColumns({"_score": F.coalesce("_score", F.lit(-999.0)), "n": F.coalesce("n", F.lit(0))})
-    best = scored.where("phase = 'IS'").groupBy(F.col("of"), "window_idx").agg(F.max_by(F.struct("combo_id", "k", "rr", F.col("_score").alias("is_score")), F.struct("_score", -F.col("combo_id"))).alias("b")).select("of", "window_idx", "b.*")
+    best = scored.where("phase = 'IS'").groupBy(F.col("of"), "window_idx").agg(F.max_by(F.struct("combo_id", "k", "rr", F.col("_score").alias("is_score")), F.struct(F.round("_score", 9), -F.col("combo_id"))).alias("b")).select("of", "window_idx", "b.*")
     oos = scored.where("phase = 'OOS'").select("of", "window_idx", "combo_id", F.col("_score").alias("oos_score"), F.col("n").alias("oos_n"))
     return best.join(oos, ["of", "window_idx", "combo_id"], "left").withColumnRenamed("of", "symbol")
 
@@ -144,6 +156,34 @@ def stitch(curves: DataFrame, keys=("run",)) -> DataFrame:
     return curves.join(shift.drop("_gain", "_start"), [*keys, "window_idx"]).withColumn("equity", F.col("equity") + F.col("_shift")).drop("_shift")
 
 
+def portfolio_summary(trades: DataFrame, ranks: DataFrame, start: float) -> DataFrame:
+    """n, win_rate, pnl and total_return (% of `start`) of each symbol's trades and of ALL, which has the
+    deepest fall of the common equity too, trade by trade in the order of (exit_ts, symbol_rank)."""
+    from ..operators import align
+
+    cash = trades.select("symbol", F.col("exit_ts").alias("ts"), F.col("pnl_net").alias("cash"))
+    curve = kept(metrics.global_equity(align.merge_symbols(cash, ranks), start), "portfolio")
+    out = [F.count("*").alias("n"), (100.0 * F.avg((F.col("cash") > 0).cast("double"))).alias("win_rate"), F.sum("cash").alias("pnl"), (100.0 * F.sum("cash") / start).alias("total_return")]
+    each = curve.groupBy("symbol").agg(*out).withColumn("max_dd", F.lit(None).cast("double"))
+    # peaks so far by day first, then within days
+    day, peak = F.to_date("ts"), F.max("equity")
+    days = curve.groupBy(day.alias("_day")).agg(peak.alias("_top"))
+    before = days.select("_day", F.max("_top").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    inner = Window.partitionBy("_day").orderBy("ts", "symbol_rank").rowsBetween(Window.unboundedPreceding, 0)
+    rows = curve.withColumn("_day", day).join(before, "_day").withColumn("_peak", F.greatest(peak.over(inner), "_before", F.lit(start)))
+    whole = rows.agg(*out, F.max(100 * (F.col("_peak") - F.col("equity")) / F.col("_peak")).alias("max_dd"))
+    return each.unionByName(whole.where("n > 0").withColumn("symbol", F.lit("ALL")))
+
+
+def in_order(trades: DataFrame, order: tuple[str, ...], ts: str) -> DataFrame:
+    """`trades` numbered n = 0, 1, ... by `order`, which begins with the time `ts`, days first, so that no
+    task numbers all of them."""
+    from ..sources.adapters import numbered
+
+    rows = trades.withColumn("_one", F.lit(0)).withColumn("_ts", F.col(ts))
+    return numbered(rows.withColumn("ts", F.struct(F.col(ts), *order[1:])), ("_one",), "n", F.to_date(ts)).drop("ts", "_one", "_ts")
+
+
 # --- bootstrap -----------------------------------------------------------------------------------
 
 

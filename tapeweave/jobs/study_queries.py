@@ -34,10 +34,15 @@ def query(name: str, sql: str | None = None):
 # --- fills, exits, trades ------------------------------------------------------------------------
 
 _TRX = "x AS (SELECT *, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY bar_idx))"
-_FEATS = f"{WITH}, {_TRX}, {scan_sql('f', 'x', 'close', '2.0/11')}, {scan_sql('s', 'f_t', 'close', '2.0/31')}, {scan_sql('atr', 's_t', 'tr', '1.0/14')}"
 _LAGS = "l AS (SELECT *, lag(f) OVER w AS f1, lag(s) OVER w AS s1, lead(open) OVER w AS next_open, lead(ts) OVER w AS next_ts FROM atr_t WINDOW w AS (PARTITION BY symbol ORDER BY bar_idx))"
-_SIGNALS = f"""{_LAGS}, sides AS (SELECT *, CASE WHEN f1 <= s1 AND f > s THEN 'LONG' WHEN f1 >= s1 AND f < s THEN 'SHORT' END AS side FROM l WHERE bar_idx >= 50 AND atr IS NOT NULL),
-sig AS (SELECT symbol, bar_idx AS p, side, next_open AS raw_fill, next_ts AS fill_ts, bar_idx + 1 AS fb, close - CASE side WHEN 'LONG' THEN 1 ELSE -1 END * 2.0 * atr AS sl, close + CASE side WHEN 'LONG' THEN 1 ELSE -1 END * 2.0 * 1.5 * atr AS tp FROM sides WHERE side IS NOT NULL)"""
+
+
+def _signals(k: str = "2.0", rr: str = "1.5", warmup: int = 50, name: str = "sig") -> str:
+    """CTEs of the cross signals; k and rr may be columns of the bars."""
+    return f"""{_LAGS}, sides AS (SELECT *, CASE WHEN f1 <= s1 AND f > s THEN 'LONG' WHEN f1 >= s1 AND f < s THEN 'SHORT' END AS side FROM l WHERE bar_idx >= {warmup} AND atr IS NOT NULL),
+{name} AS (SELECT symbol, bar_idx AS p, side, next_open AS raw_fill, next_ts AS fill_ts, bar_idx + 1 AS fb, close AS placed_close, ts AS placed_ts, close - CASE side WHEN 'LONG' THEN 1 ELSE -1 END * {k} * atr AS sl, close + CASE side WHEN 'LONG' THEN 1 ELSE -1 END * {k} * {rr} * atr AS tp FROM sides WHERE side IS NOT NULL)"""
+
+
 _EXITS = """touch AS (SELECT g.symbol, g.p, min(b.bar_idx) AS xb FROM sig g JOIN bars b ON g.symbol = b.symbol AND b.bar_idx > g.fb
   AND CASE WHEN side = 'LONG' THEN b.low <= sl OR b.high >= tp ELSE b.high >= sl OR b.low <= tp END GROUP BY 1, 2),
 ends AS (SELECT symbol, max(bar_idx) AS e FROM bars GROUP BY 1),
@@ -47,11 +52,33 @@ out AS (SELECT *, CASE WHEN NOT hit THEN 'end_of_data' WHEN side = 'LONG' THEN C
   ELSE CASE WHEN bo >= sl THEN 'sl' WHEN bo <= tp THEN 'tp' WHEN bh >= sl THEN 'sl' ELSE 'tp' END END AS reason,
   CASE WHEN NOT hit THEN bc WHEN side = 'LONG' THEN CASE WHEN bo <= sl OR bo >= tp THEN bo WHEN bl <= sl THEN sl ELSE tp END ELSE CASE WHEN bo >= sl OR bo <= tp THEN bo WHEN bh >= sl THEN sl ELSE tp END END AS raw_exit FROM ex)"""
 _SPREAD = "0.02 * CASE WHEN hour({t}) >= 20 THEN 2.0 WHEN hour({t}) >= 8 THEN 1.0 ELSE 1.5 END::DOUBLE"
-_CHOSEN = f"""nxt AS (SELECT o.*, (SELECT min(q.p) FROM out q WHERE q.symbol = o.symbol AND q.p > o.xb) AS n FROM out o),
-pick AS (SELECT symbol, min(p) AS p FROM nxt GROUP BY 1 UNION ALL SELECT n.symbol, n.n FROM pick k JOIN nxt n ON n.symbol = k.symbol AND n.p = k.p WHERE n.n IS NOT NULL),
+_PICK = """nxt AS (SELECT o.*, (SELECT min(q.p) FROM out q WHERE q.symbol = o.symbol AND q.p > o.xb) AS n FROM out o),
+pick AS (SELECT symbol, min(p) AS p FROM nxt GROUP BY 1 UNION ALL SELECT n.symbol, n.n FROM pick k JOIN nxt n ON n.symbol = k.symbol AND n.p = k.p WHERE n.n IS NOT NULL)"""
+_CHOSEN = f"""{_PICK},
 done AS (SELECT o.*, raw_fill + 0.01 + CASE WHEN side = 'LONG' THEN {_SPREAD.format(t='fill_ts')} ELSE 0 END AS fill_price, raw_exit + CASE WHEN side = 'LONG' THEN 0 ELSE {_SPREAD.format(t='exit_ts')} END AS exit_price FROM out o JOIN pick USING (symbol, p)),
 net AS (SELECT *, CASE WHEN side = 'LONG' THEN exit_price - fill_price ELSE fill_price - exit_price END AS gross, CASE WHEN side = 'LONG' THEN exit_price - fill_price ELSE fill_price - exit_price END - 0.401 / 2 AS pnl_net FROM done)"""
+#: The same without costs.
+_PLAIN = f"{_PICK}, net AS (SELECT o.*, CASE WHEN side = 'LONG' THEN raw_exit - raw_fill ELSE raw_fill - raw_exit END AS pnl_net FROM out o JOIN pick USING (symbol, p))"
+
+
+def _scans(bars: str) -> str:
+    return f"{bars}, {_TRX}, {scan_sql('f', 'x', 'close', '2.0/11')}, {scan_sql('s', 'f_t', 'close', '2.0/31')}, {scan_sql('atr', 's_t', 'tr', '1.0/14')}"
+
+
+_FEATS = _scans(WITH)
+_SIGNALS = _signals()
 _CROSS = f"{_FEATS}, {_SIGNALS}, {_EXITS}"
+#: The bars of the tables under another name, so that slices of them can be `bars`.
+_ALL = WITH.replace("\nbars AS (", "\nall_bars AS (")
+_GRID = "grid(combo_id, k, rr) AS (VALUES (0::BIGINT, 1.0::DOUBLE, 1.0::DOUBLE), (1, 1.0, 1.5), (2, 2.0, 1.0), (3, 2.0, 1.5), (4, 3.0, 1.0), (5, 3.0, 1.5))"
+
+
+def _stats(keys: str) -> str:
+    won, lost = "FILTER (pnl_net > 0)", "FILTER (NOT pnl_net > 0)"
+    win, loss, gain, cost = f"coalesce(avg(pnl_net) {won}, 0)", f"coalesce(avg(pnl_net) {lost}, 0)", f"coalesce(sum(pnl_net) {won}, 0)", f"coalesce(sum(pnl_net) {lost}, 0)"
+    sides = ", ".join(f"{r(f"coalesce(sum(pnl_net) FILTER (side = '{x}'), 0)")} AS pnl_{x.lower()}" for x in ("LONG", "SHORT"))
+    return f"""{keys}, count(*) AS n, count(*) {won} AS wins, count(*) {lost} AS losses, {r(f'100.0 * count(*) {won} / count(*)')} AS win_rate, {r(win)} AS avg_win, {r(loss)} AS avg_loss,
+{r('avg(pnl_net)')} AS expectancy, {r(f'{gain} / nullif(abs({cost}), 0)')} AS profit_factor, {r(f'abs({win} / nullif({loss}, 0))')} AS payoff, {r('sum(pnl_net)')} AS pnl, {sides}"""
 
 
 def _feats(spark, sf_dir):
@@ -70,24 +97,39 @@ def cross_signals(spark, sf_dir):
 
 @query("j5_first_touch_exits", f"{_CROSS} SELECT symbol, p AS placed_bar, side, xb AS exit_bar, reason AS exit_reason, {r('raw_exit')} AS raw_exit FROM out")
 def first_touch(spark, sf_dir):
-    return rounded(_resolved(spark, sf_dir).select("symbol", "placed_bar", "side", "exit_bar", "exit_reason", "raw_exit"))
+    return rounded(_resolved(spark, sf_dir).where("status = 'filled'").select("symbol", "placed_bar", "side", "exit_bar", "exit_reason", "raw_exit"))
+
+
+_LIMITS = "sig AS (SELECT symbol, bar_idx AS p, CASE WHEN close < open THEN 'LONG' ELSE 'SHORT' END AS side, CASE WHEN close < open THEN close * 0.7 ELSE close * 1.4 END AS lp, CASE WHEN close < open THEN close * 0.3 ELSE close * 2.5 END AS sl, CASE WHEN close < open THEN close * 1.5 ELSE close * 0.5 END AS tp FROM bars)"
+_LOOKS = """looks AS (SELECT g.*, b.bar_idx AS j, b.ts AS jt, CASE WHEN side = 'LONG' THEN least(b.open, lp) ELSE greatest(b.open, lp) END AS fill, CASE WHEN side = 'LONG' THEN b.low <= lp ELSE b.high >= lp END AS hit FROM sig g LEFT JOIN bars b ON g.symbol = b.symbol AND b.bar_idx BETWEEN p + 1 AND p + 4),
+fills AS (SELECT symbol, p, side, any_value(sl) AS sl, any_value(tp) AS tp, min(j) FILTER (hit) AS fb, arg_min(fill, j) FILTER (hit) AS raw_fill, arg_min(jt, j) FILTER (hit) AS fill_ts, CASE WHEN count(*) FILTER (hit) > 0 THEN 'filled' WHEN max(j) >= p + 4 THEN 'expired' ELSE 'pending' END AS status FROM looks GROUP BY 1, 2, 3)"""
 
 
 def _limits(spark, sf_dir):
+    """A limit order at every bar: a long one below bars that fell, a short one above the others."""
     b = base(spark, sf_dir)
-    long = F.col("bar_idx") % 20 == 0
-    s = b.where(F.col("bar_idx") % 10 == 0).select("symbol", "bar_idx", F.when(long, "LONG").otherwise("SHORT").alias("side"), F.lit("limit").alias("order_type"), F.when(long, F.col("low") * 0.7).otherwise(F.col("high") * 1.4).alias("limit_price"), F.lit(4).alias("expiry"), F.col("bar_idx").alias("signal_id"))
-    return s.withColumns({"sl": F.lit(None).cast("double"), "tp": F.lit(None).cast("double"), "size": F.lit(1.0)}), b
+    long, c = F.col("close") < F.col("open"), F.col("close")
+    of = lambda a, z: F.when(long, c * a).otherwise(c * z)
+    s = b.select("symbol", "bar_idx", F.when(long, "LONG").otherwise("SHORT").alias("side"), F.lit("limit").alias("order_type"), of(0.7, 1.4).alias("limit_price"), F.lit(4).alias("expiry"), F.col("bar_idx").alias("signal_id"), of(0.3, 2.5).alias("sl"), of(1.5, 0.5).alias("tp"), F.lit(1.0).alias("size"))
+    return s, b
 
 
-@query("j4_t6_limit_fills", f"""{WITH}, sig AS (SELECT symbol, bar_idx AS p, CASE WHEN bar_idx % 20 = 0 THEN 'LONG' ELSE 'SHORT' END AS side, CASE WHEN bar_idx % 20 = 0 THEN low * 0.7 ELSE high * 1.4 END AS lp FROM bars WHERE bar_idx % 10 = 0),
-looks AS (SELECT g.*, b.bar_idx AS j, CASE WHEN side = 'LONG' THEN least(b.open, lp) ELSE greatest(b.open, lp) END AS fill, CASE WHEN side = 'LONG' THEN b.low <= lp ELSE b.high >= lp END AS hit FROM sig g LEFT JOIN bars b ON g.symbol = b.symbol AND b.bar_idx BETWEEN p + 1 AND p + 4)
-SELECT symbol, p AS placed_bar, side, min(j) FILTER (hit) AS fill_bar, {r('arg_min(fill, j) FILTER (hit)')} AS raw_fill, CASE WHEN count(*) FILTER (hit) > 0 THEN 'filled' WHEN max(j) >= p + 4 THEN 'expired' ELSE 'pending' END AS status FROM looks GROUP BY 1, 2, 3""")
+@query("j4_t6_limit_fills", f"{WITH}, {_LIMITS}, {_LOOKS} SELECT symbol, p AS placed_bar, side, fb AS fill_bar, {r('raw_fill')} AS raw_fill, status FROM fills")
 def limit_fills(spark, sf_dir):
     s, b = _limits(spark, sf_dir)
     return rounded(exits.resolve_fills(s, b).select("symbol", "placed_bar", "side", "fill_bar", "raw_fill", "status"))
 
 
+@query("x1_t3_t6_limit_orders", f"""{WITH}, {_LIMITS.replace("sig AS", "asked AS")}, {_LOOKS.replace("sig g", "asked g")}, sig AS (SELECT * FROM fills WHERE status = 'filled'), {_EXITS},
+held AS (SELECT f.symbol, f.p, f.side, f.status, f.fb, o.xb, o.reason, CASE f.status WHEN 'filled' THEN o.xb WHEN 'expired' THEN f.p + 4 END AS free FROM fills f LEFT JOIN out o ON o.symbol = f.symbol AND o.p = f.p),
+nxt AS (SELECT h.*, (SELECT min(q.p) FROM held q WHERE q.symbol = h.symbol AND q.p > h.free) AS n FROM held h),
+pick AS (SELECT symbol, min(p) AS p FROM nxt GROUP BY 1 UNION ALL SELECT n.symbol, n.n FROM pick k JOIN nxt n ON n.symbol = k.symbol AND n.p = k.p WHERE n.n IS NOT NULL)
+SELECT symbol, p AS placed_bar, side, status, fb AS fill_bar, xb AS exit_bar, reason AS exit_reason FROM held JOIN pick USING (symbol, p)""")
+def limit_orders(spark, sf_dir):
+    s, b = _limits(spark, sf_dir)
+    return studies.orders(b, s).select("symbol", "placed_bar", "side", "status", "fill_bar", "exit_bar", "exit_reason")
+
+
 def _traded(spark, sf_dir):
     f = _feats(spark, sf_dir)
     return studies.backtest(f, studies.cross_signals(f), COSTS), f
@@ -120,10 +162,16 @@ def floating(spark, sf_dir):
     return metrics.floating(f, t).select("symbol", "bar_idx", r(F.col("floating"), 4).alias("floating"))
 
 
-@query("q2_trade_invariants", "SELECT 'none' AS symbol, 0 AS placed_bar WHERE false")
+@query("q2_trade_invariants", f"""{_CROSS}, {_CHOSEN}, t AS (SELECT symbol, p, fb, xb, reason FROM net UNION ALL SELECT symbol || '|broken', p, CASE WHEN side = 'LONG' THEN p ELSE fb END, CASE WHEN side = 'LONG' THEN xb ELSE fb - 1 END, 'sl' FROM net),
+v AS (SELECT *, lag(xb) OVER (PARTITION BY symbol ORDER BY fb, xb) AS busy FROM t)
+SELECT symbol, p AS placed_bar, CASE WHEN p >= fb THEN 'filled before placed' WHEN fb > xb OR fb = xb AND reason <> 'end_of_data' THEN 'closed before filled' WHEN busy > fb THEN 'overlap' END AS violation
+FROM v WHERE p >= fb OR fb > xb OR fb = xb AND reason <> 'end_of_data' OR busy > fb""")
 def invariants(spark, sf_dir):
-    t, _ = _traded(spark, sf_dir)
-    return quality.trade_violations(t).select("symbol", F.col("placed_bar").cast("int").alias("placed_bar"))
+    # the trades of the backtest, which break no rule, and the same ones broken, each of which must be found
+    t = _traded(spark, sf_dir)[0].select("symbol", "side", "placed_bar", "fill_bar", "exit_bar", "exit_reason")
+    long = F.col("side") == "LONG"
+    broken = t.select(F.concat("symbol", F.lit("|broken")).alias("symbol"), "side", "placed_bar", F.when(long, F.col("placed_bar")).otherwise(F.col("fill_bar")).alias("fill_bar"), F.when(long, F.col("exit_bar")).otherwise(F.col("fill_bar") - 1).alias("exit_bar"), F.lit("sl").alias("exit_reason"))
+    return quality.trade_violations(t.union(broken)).select("symbol", "placed_bar", "violation")
 
 
 @query("t2_position_size", f"{WITH} SELECT symbol, bar_idx, {r('CASE WHEN close > low THEN greatest(round_even(50 / (close - low) / 0.1, 0) * 0.1, 0.1) ELSE 0.1 END')} AS size FROM bars")
@@ -135,32 +183,52 @@ def size(spark, sf_dir):
 # --- splits, sweeps, walk-forward ----------------------------------------------------------------
 
 
-@query("x2_run_splits")
+@query("x2_run_splits", f"""{_scans(f"""{_ALL}, cut AS (SELECT s.split, b.* FROM all_bars b JOIN (VALUES ('IS', NULL::DATE, DATE '2024-01-15'), ('OOS', DATE '2024-01-16', NULL)) s(split, a, z) ON (a IS NULL OR ts >= a) AND (z IS NULL OR ts < z + 1)),
+bars AS (SELECT split || '|' || symbol AS symbol, ts, open, high, low, close, volume, row_number() OVER (PARTITION BY split, symbol ORDER BY ts) - 1 AS bar_idx FROM cut QUALIFY count(*) OVER (PARTITION BY split, symbol) >= 40)""")},
+{_signals(warmup=30)}, {_EXITS}, {_PLAIN} SELECT {_stats("symbol")} FROM net GROUP BY symbol""")
 def run_splits(spark, sf_dir):
     s = spark.createDataFrame([("IS", None, datetime.date(2024, 1, 15)), ("OOS", datetime.date(2024, 1, 16), None)], "split string, start date, stop date")
     t = studies.run_splits(base(spark, sf_dir), s, 30)
     return rounded(metrics.trade_stats(t, ("symbol",)))
 
 
-@query("j12_param_grid", "SELECT CAST(row_number() OVER (ORDER BY k, rr) - 1 AS BIGINT) AS combo_id, k, rr FROM (VALUES (1.0::DOUBLE), (2.0), (3.0)) a(k), (VALUES (1.0::DOUBLE), (1.5)) b(rr)")
-def param_grid(spark, sf_dir):
+def _grid(spark):
     return studies.param_grid(spark, {"k": [1.0, 2.0, 3.0], "rr": [1.0, 1.5]})
 
 
-@query("x3_parameter_sweep")
+@query("j12_param_grid", f"{WITH}, {_GRID} SELECT symbol, combo_id, k, rr, {r('k * avg(high - low)')} AS stop, {r('k * rr * avg(high - low)')} AS target FROM bars, grid GROUP BY symbol, combo_id, k, rr")
+def param_grid(spark, sf_dir):
+    # every combination for every symbol, in money of its mean range
+    mean = base(spark, sf_dir).groupBy("symbol").agg(F.avg(F.col("high") - F.col("low")).alias("range"))
+    each = mean.crossJoin(F.broadcast(_grid(spark)))  # at most 500 combinations
+    return rounded(each.select("symbol", "combo_id", "k", "rr", (F.col("k") * F.col("range")).alias("stop"), (F.col("k") * F.col("rr") * F.col("range")).alias("target")))
+
+
+@query("x3_parameter_sweep", f"""{_scans(f"""{_ALL}, {_GRID}, bars AS (SELECT symbol || '|' || combo_id AS symbol, ts, open, high, low, close, volume, bar_idx, k, rr FROM all_bars, grid)""")},
+{_signals("k", "rr")}, {_EXITS}, {_PLAIN} SELECT {_stats("split_part(symbol, '|', 1) AS symbol, CAST(split_part(symbol, '|', 2) AS BIGINT) AS combo_id")} FROM net GROUP BY net.symbol""")
 def sweep(spark, sf_dir):
-    t = studies.parameter_sweep(_feats(spark, sf_dir), param_grid(spark, sf_dir))
+    t = studies.parameter_sweep(_feats(spark, sf_dir), _grid(spark))
     return rounded(metrics.trade_stats(t, ("symbol", "combo_id")))
 
 
-@query("x4_walk_forward")
+_WALK = f"""{_scans(f"""{_ALL}, {_GRID}, wins AS (SELECT sy, unnest(generate_series(0, n - 1)) AS w FROM (SELECT symbol AS sy, (count(*) - 300) // 100 AS n FROM all_bars GROUP BY 1) WHERE n > 0),
+slices AS (SELECT sy, w, 'IS' AS ph, 100 * w AS a, 100 * w + 300 AS z FROM wins UNION ALL SELECT sy, w, 'OOS', 300 + 100 * w, 400 + 100 * w FROM wins),
+bars AS (SELECT concat_ws('|', sy, w, ph, combo_id) AS symbol, ts, open, high, low, close, volume, bar_idx - a AS bar_idx, k, rr FROM all_bars JOIN slices ON symbol = sy AND bar_idx >= a AND bar_idx < z, grid)""")},
+{_signals("k", "rr", 30)}, {_EXITS}, {_PLAIN}, sums AS (SELECT symbol, count(*) AS n, sum(pnl_net) AS pnl FROM net GROUP BY 1),
+scored AS (SELECT sy, w, ph, combo_id, k, rr, coalesce(pnl, -999.0) AS score, coalesce(n, 0) AS n FROM slices CROSS JOIN grid LEFT JOIN sums ON sums.symbol = concat_ws('|', sy, w, ph, combo_id)),
+best AS (SELECT * FROM scored WHERE ph = 'IS' QUALIFY row_number() OVER (PARTITION BY sy, w ORDER BY round(score, 9) DESC, combo_id) = 1),
+walked AS (SELECT b.sy AS symbol, b.w AS window_idx, b.combo_id, b.k, b.rr, b.score AS is_score, o.score AS oos_score, o.n AS oos_n FROM best b LEFT JOIN scored o ON o.sy = b.sy AND o.w = b.w AND o.combo_id = b.combo_id AND o.ph = 'OOS')"""
+
+
+@query("x4_walk_forward", f"{_WALK} SELECT symbol, window_idx, combo_id, k, rr, {r('is_score')} AS is_score, {r('oos_score')} AS oos_score, oos_n FROM walked")
 def walk_forward(spark, sf_dir):
-    return rounded(studies.walk_forward(base(spark, sf_dir), param_grid(spark, sf_dir), 300, 100, warmup=30))
+    return rounded(studies.walk_forward(base(spark, sf_dir), _grid(spark), 300, 100, warmup=30))
 
 
-@query("a14_stability")
+@query("a14_stability", f"{_WALK} SELECT symbol, {r('avg(CASE WHEN abs(is_score) > 1e-9 THEN oos_score / is_score END)')} AS stability, string_agg(combo_id, ',' ORDER BY window_idx) AS chosen FROM walked GROUP BY 1")
 def stability(spark, sf_dir):
-    return rounded(studies.stability(studies.walk_forward(base(spark, sf_dir), param_grid(spark, sf_dir), 300, 100, warmup=30)))
+    s = studies.stability(studies.walk_forward(base(spark, sf_dir), _grid(spark), 300, 100, warmup=30))
+    return rounded(s.withColumn("chosen", F.array_join(F.col("chosen").cast("array<string>"), ",")))
 
 
 @query("x5_stitch", f"""{_EQ}, c AS (SELECT run, year(ts) AS window_idx, bar_idx, equity - 1000000 + 10000 * (year(ts) - 1990) AS equity FROM equity),
@@ -218,9 +286,14 @@ def prob_ruin(spark, sf_dir):
 _PRESETS = ", ".join(f"('{n}', {a}::DOUBLE, {t}::DOUBLE, {f}::DOUBLE, {d}::DOUBLE, {str(tr).lower()}, {k})" for n, a, t, f, d, tr, k in studies.PRESETS)
 
 
-@query("x13_presets", f"SELECT * FROM (VALUES {_PRESETS}) AS t(rule, account, target, floor, daily, \"trailing\", least_days)")
+@query("x13_presets", f"""{_EQ}, rules(rule, account, target, fl, daily_pct, moves, least_days) AS (VALUES {_PRESETS}), s AS (SELECT run, first(equity ORDER BY bar_idx) AS f FROM equity GROUP BY 1)
+SELECT run, rule, moves AS trailing, least_days, {r('f * (1 - fl / 100)', 2)} AS lowest, {r('f * daily_pct / 100', 2)} AS daily_loss, {r('f * (1 + target / 100)', 2)} AS goal FROM s, rules""")
 def presets(spark, sf_dir):
-    return studies.presets(spark)
+    # what each programme asks of each run, in the run's own money
+    first = adapters.equity(spark, sf_dir).groupBy("run").agg(F.min_by("equity", "bar_idx").alias("f"))
+    each = first.crossJoin(F.broadcast(studies.presets(spark)))  # a few literal rules
+    f = F.col("f")
+    return rounded(each.select("run", "rule", "trailing", F.col("least_days").cast("int").alias("least_days"), (f * (1 - F.col("floor") / 100)).alias("lowest"), (f * F.col("daily") / 100).alias("daily_loss"), (f * (1 + F.col("target") / 100)).alias("goal")), 2)
 
 
 @query("x10_account_rules", f"""{_EQ}, rules(rule, account, target, fl, daily_pct, moves, least_days) AS (VALUES {_PRESETS}), f AS (SELECT run, first(equity ORDER BY bar_idx) AS f FROM equity GROUP BY 1),
@@ -243,7 +316,10 @@ def circuit_breaker(spark, sf_dir):
     return studies.circuit_breaker(e, 0.02, 1_000_000.0)
 
 
-@query("x12_payouts")
+@query("x12_payouts", f"""{_EQ}, days AS (SELECT run, ts AS day, equity, lag(equity) OVER w AS prev, lag(ts) OVER w AS pday FROM equity WINDOW w AS (PARTITION BY run ORDER BY ts)),
+p AS (SELECT run, min(day) + 30 AS due, arg_min(equity, day) AS cycle, NULL::DATE AS day, false AS paid, 0.0::DOUBLE AS profit FROM days GROUP BY 1
+  UNION ALL SELECT p.run, d.day + 14, CASE WHEN d.prev > p.cycle THEN d.equity ELSE p.cycle END, d.day, d.prev > p.cycle, d.prev - p.cycle FROM p JOIN days d ON d.run = p.run AND d.day >= p.due AND d.pday < p.due)
+SELECT run, day, {r('profit', 2)} AS profit, {r('profit * 0.8', 2)} AS payout FROM p WHERE paid""")
 def payouts(spark, sf_dir):
     return rounded(studies.payouts(adapters.equity(spark, sf_dir)), 2)
 
@@ -252,14 +328,24 @@ def payouts(spark, sf_dir):
 
 
 def _pair_rows(spark, sf_dir):
+    """Every pair of symbols, at the times both have."""
     b = adapters.bars(spark, sf_dir)
-    p = align.align_pair(b.where("symbol = 'click'"), b.where("symbol = 'view'")).withColumn("pair", F.lit("click/view"))
+    side = lambda x: b.select(F.col("symbol").alias(x), "ts", *(F.col(c).alias(f"{x}_{c}") for c in ("open", "close")))
+    p = side("a").join(side("b"), "ts").where("a < b").withColumn("pair", F.concat_ws("/", "a", "b"))
     p = adapters.numbered(p, ("pair",))
     by = Window.partitionBy("pair").orderBy("bar_idx")
     return p.withColumn("z", roll.zscore(F.col("a_close") - F.col("b_close"), by, 30))
 
 
-@query("x9_g4_pairs")
+@query("x9_g4_pairs", f"""{WITH}, pr AS (SELECT a.symbol || '/' || b.symbol AS pair, a.ts, a.open AS ao, a.close AS ac, b.open AS bo, b.close AS bc, a.close - b.close AS d, row_number() OVER (PARTITION BY a.symbol, b.symbol ORDER BY a.ts) - 1 AS i FROM bars a JOIN bars b ON a.ts = b.ts AND a.symbol < b.symbol),
+zs AS (SELECT *, CASE WHEN count(d) OVER w = 30 THEN (d - avg(d) OVER w) / nullif(stddev_samp(d) OVER w, 0) END AS z FROM pr WINDOW w AS (PARTITION BY pair ORDER BY i ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)),
+u AS (SELECT pair, i, z, row_number() OVER (PARTITION BY pair ORDER BY i) AS k FROM zs WHERE z IS NOT NULL),
+walk AS (SELECT pair, 0::BIGINT AS k, 0 AS held, 0::BIGINT AS since, 0 AS was, 0::BIGINT AS opened, 0::BIGINT AS i, false AS shut FROM (SELECT DISTINCT pair FROM u)
+  UNION ALL SELECT u.pair, u.k, CASE WHEN held <> 0 THEN CASE WHEN out THEN 0 ELSE held END WHEN abs(z) > 1.5 AND abs(z) <= 5 THEN CASE WHEN z > 0 THEN -1 ELSE 1 END ELSE 0 END,
+    CASE WHEN held <> 0 THEN since ELSE u.i END, held, since, u.i, held <> 0 AND out
+  FROM walk JOIN (SELECT u.*, abs(z) > 5 OR abs(z) < 0.3 AS far FROM u) u ON u.pair = walk.pair AND u.k = walk.k + 1, LATERAL (SELECT far OR u.i - since >= 40 AS out)),
+legs AS (SELECT w.pair, was * (c.ac - o.ao) AS pa, -was * (c.bc - o.bo) AS pb FROM walk w JOIN pr o ON o.pair = w.pair AND o.i = w.opened + 1 JOIN pr c ON c.pair = w.pair AND c.i = w.i WHERE shut)
+SELECT pair, count(*) AS n, {r('100.0 * avg(CASE WHEN pa + pb > 0 THEN 1.0 ELSE 0.0 END)', 4)} AS win_rate, {r('sum(pa)', 4)} AS pnl_a, {r('sum(pb)', 4)} AS pnl_b, {r('sum(pa + pb)', 4)} AS pnl FROM legs GROUP BY 1""")
 def pairs(spark, sf_dir):
     rows = _pair_rows(spark, sf_dir)
     t = studies.pair_trades(studies.pair_positions(rows, 1.5, 0.3, 5.0, 40), rows)
@@ -273,7 +359,13 @@ def trend(spark, sf_dir):
     return rounded(studies.trend_signals(f).select("symbol", "bar_idx", "sl", "tp"))
 
 
-@query("g2_j7_j8_j9_gap_zones")
+@query("g2_j7_j8_j9_gap_zones", f"""{WITH}, {_TRX}, {scan_sql('atr', 'x', 'tr', '1.0/14')},
+m AS (SELECT *, lag(high, 2) OVER w AS h2, lag(low, 2) OVER w AS l2, CASE WHEN count(high) OVER p = 15 THEN max(high) OVER p END AS sh, CASE WHEN count(low) OVER p = 15 THEN min(low) OVER p END AS sl FROM atr_t WINDOW w AS (PARTITION BY symbol ORDER BY bar_idx), p AS (PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN 15 PRECEDING AND 1 PRECEDING)),
+e AS (SELECT *, coalesce(atr <> 0 AND high > sh AND close < sh AND high - sh >= 0.5 * atr, false)::INT AS swept_bear, coalesce(atr <> 0 AND low < sl AND close > sl AND sl - low >= 0.5 * atr, false)::INT AS swept_bull FROM m),
+z AS (SELECT symbol, bar_idx AS zone, CASE WHEN high < l2 AND max(swept_bear) OVER n = 1 THEN 'bear' WHEN low > h2 AND max(swept_bull) OVER n = 1 THEN 'bull' END AS kind, CASE WHEN high < l2 THEN l2 ELSE low END AS top, CASE WHEN high < l2 THEN high ELSE h2 END AS bottom FROM e WINDOW n AS (PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)),
+t AS (SELECT z.*, (SELECT min(b.bar_idx) FROM bars b WHERE b.symbol = z.symbol AND b.bar_idx > zone AND b.bar_idx <= zone + 45 AND CASE kind WHEN 'bear' THEN b.close > top ELSE b.close < bottom END) AS turned FROM z WHERE kind IS NOT NULL AND top > bottom)
+SELECT t.symbol, b.bar_idx, zone, CASE kind WHEN 'bear' THEN 'LONG' ELSE 'SHORT' END AS side, {r('(top + bottom) / 2')} AS limit_price, {r("(top + bottom) / 2 - CASE kind WHEN 'bear' THEN 1 ELSE -1 END * b.atr")} AS sl, {r("(top + bottom) / 2 + CASE kind WHEN 'bear' THEN 1 ELSE -1 END * 2 * b.atr")} AS tp, CAST(turned + 45 - b.bar_idx AS INTEGER) AS expiry
+FROM t JOIN atr_t b ON b.symbol = t.symbol AND b.bar_idx > turned AND b.bar_idx <= turned + 45 WHERE b.atr > 0 AND CASE kind WHEN 'bear' THEN b.close > (top + bottom) / 2 ELSE b.close < (top + bottom) / 2 END""")
 def gap_zones(spark, sf_dir):
     by = Window.partitionBy("symbol").orderBy("bar_idx")
     h, lo, c = F.col("high"), F.col("low"), F.col("close")
@@ -282,7 +374,11 @@ def gap_zones(spark, sf_dir):
     return rounded(studies.gap_zone_signals(f).select("symbol", "bar_idx", "zone", "side", "limit_price", "sl", "tp", "expiry"))
 
 
-@query("x14_g5_multi_timeframe")
+@query("x14_g5_multi_timeframe", f"""{_FEATS}, {_signals(name="all_sig")},
+day AS (SELECT symbol, date_trunc('day', ts) AS ts, last(close ORDER BY ts) AS close, row_number() OVER (PARTITION BY symbol ORDER BY date_trunc('day', ts)) - 1 AS bar_idx FROM bars GROUP BY symbol, date_trunc('day', ts)), {scan_sql('trend', 'day', 'close', '2.0/6')},
+shut AS (SELECT symbol, trend, coalesce(lead(ts) OVER w, ts + coalesce(ts - lag(ts) OVER w, INTERVAL 60 SECOND)) AS close_ts FROM trend_t WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+sig AS (SELECT g.* FROM all_sig g ASOF JOIN shut c ON g.symbol = c.symbol AND g.placed_ts >= c.close_ts WHERE CASE WHEN side = 'LONG' THEN placed_close > trend ELSE placed_close < trend END),
+{_EXITS}, {_PLAIN} SELECT {_stats("symbol")} FROM net GROUP BY symbol""")
 def multi_timeframe(spark, sf_dir):
     from ..sources import bars
 
@@ -296,17 +392,32 @@ def multi_timeframe(spark, sf_dir):
     return rounded(metrics.trade_stats(studies.backtest(seen, s), ("symbol",)))
 
 
-@query("x8_a13_portfolio")
+@query("x8_a13_portfolio", f"""{_CROSS}, {_CHOSEN}, ranks AS (SELECT symbol, CAST(row_number() OVER (ORDER BY symbol) - 1 AS INTEGER) AS symbol_rank FROM (SELECT DISTINCT symbol FROM bars))
+SELECT exit_ts AS ts, symbol_rank, {r('10000 + sum(pnl_net) OVER (ORDER BY exit_ts, symbol_rank)', 4)} AS equity FROM net JOIN ranks USING (symbol) WHERE reason <> 'end_of_data'""")
 def portfolio(spark, sf_dir):
-    t, _ = _traded(spark, sf_dir)
-    ranks = {s: i for i, s in enumerate(("click", "view", "error", "purchase", "signup"))}
+    t, f = _traded(spark, sf_dir)
     cash = t.where("exit_reason <> 'end_of_data'").select("symbol", F.col("exit_ts").alias("ts"), F.col("pnl_net").alias("cash"))
-    merged = align.merge_symbols(cash, ranks)
-    e = metrics.global_equity(merged, 10_000.0)
+    e = metrics.global_equity(align.merge_symbols(cash, align.symbol_ranks(f)), 10_000.0)
     return e.select("ts", "symbol_rank", r(F.col("equity"), 4).alias("equity"))
 
 
-@query("t9_open_risk")
+@query("a13_portfolio_summary", f"""{_CROSS}, {_CHOSEN}, ranks AS (SELECT symbol, row_number() OVER (ORDER BY symbol) AS k FROM (SELECT DISTINCT symbol FROM bars)), c AS (SELECT symbol, k, exit_ts, pnl_net FROM net JOIN ranks USING (symbol) WHERE reason <> 'end_of_data'),
+e AS (SELECT *, 10000 + sum(pnl_net) OVER w AS eq FROM c WINDOW w AS (ORDER BY exit_ts, k)), d AS (SELECT *, greatest(10000, max(eq) OVER (ORDER BY exit_ts, k)) AS pk FROM e)
+SELECT symbol, count(*) AS n, {r('100.0 * avg(CASE WHEN pnl_net > 0 THEN 1.0 ELSE 0.0 END)', 4)} AS win_rate, {r('sum(pnl_net)', 4)} AS pnl, {r('sum(pnl_net) / 100', 4)} AS total_return, NULL::DOUBLE AS max_dd FROM c GROUP BY 1
+UNION ALL SELECT 'ALL', count(*), {r('100.0 * avg(CASE WHEN pnl_net > 0 THEN 1.0 ELSE 0.0 END)', 4)}, {r('sum(pnl_net)', 4)}, {r('sum(pnl_net) / 100', 4)}, {r('max(100 * (pk - eq) / pk)', 4)} FROM d""")
+def portfolio_summary(spark, sf_dir):
+    t, f = _traded(spark, sf_dir)
+    return rounded(studies.portfolio_summary(t.where("exit_reason <> 'end_of_data'"), align.symbol_ranks(f), 10_000.0), 4)
+
+
+@query("k2_trades_in_order", f"""{_CROSS}, {_CHOSEN} SELECT row_number() OVER (ORDER BY exit_ts, symbol, p) - 1 AS n, symbol, p AS placed_bar, exit_ts, {r('pnl_net')} AS pnl_net FROM net""")
+def trades_in_order(spark, sf_dir):
+    t, _ = _traded(spark, sf_dir)
+    return rounded(studies.in_order(t, ("exit_ts", "symbol", "placed_bar"), "exit_ts").select("n", "symbol", "placed_bar", "exit_ts", "pnl_net"))
+
+
+@query("t9_open_risk", f"""{_CROSS}, {_CHOSEN}, g AS (SELECT ts, sum(c) AS c, sum(k) AS k FROM (SELECT fill_ts AS ts, abs(fill_price - sl) AS c, 1 AS k FROM net UNION ALL SELECT exit_ts, -abs(fill_price - sl), -1 FROM net) GROUP BY 1)
+SELECT ts, CAST(k AS BIGINT) AS opened, {r('sum(c) OVER (ORDER BY ts)', 4)} AS open_risk FROM g""")
 def open_risk(spark, sf_dir):
     t, _ = _traded(spark, sf_dir)
     risk = F.abs(F.col("fill_price") - F.col("sl")) * F.col("size")

@@ -57,9 +57,14 @@ def pair_legs(a: DataFrame, b: DataFrame, keys=("run",)) -> DataFrame:
     return left.join(right, [*keys, "n"], "left").withColumn("pnl_b", F.coalesce("pnl_b", F.lit(0.0))).withColumn("combined", F.col("pnl_a") + F.col("pnl_b"))
 
 
-def merge_symbols(bars: DataFrame, ranks: dict[str, int]) -> DataFrame:
-    """Bars of a portfolio with symbol_rank; (ts, symbol_rank) is the order of events."""
-    rank = F.lit(None).cast("int")
-    for s, r in ranks.items():
-        rank = F.when(F.col("symbol") == s, r).otherwise(rank)
-    return bars.withColumn("symbol_rank", rank).where(F.col("symbol_rank").isNotNull())
+def symbol_ranks(bars: DataFrame) -> DataFrame:
+    """(symbol, symbol_rank) of the symbols of `bars`, by name: one small row each."""
+    names = bars.select("symbol").distinct()
+    return names.select("symbol", (F.row_number().over(Window.orderBy("symbol")) - 1).alias("symbol_rank"))
+
+
+def merge_symbols(bars: DataFrame, ranks: DataFrame) -> DataFrame:
+    """Bars of a portfolio with the symbol_rank of `ranks` (symbol, symbol_rank); (ts, symbol_rank) is the
+    order of events. A symbol without a rank is an error."""
+    rank = F.when(F.col("symbol_rank").isNull(), F.raise_error(F.concat(F.lit("no rank for symbol "), F.coalesce("symbol", F.lit("null"))))).otherwise(F.col("symbol_rank"))
+    return bars.join(ranks, "symbol", "left").withColumn("symbol_rank", rank.cast("int"))

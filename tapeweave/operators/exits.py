@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import kept
+
 #: Bars in a block of the first-touch index.
 BLOCK = 256
 
@@ -44,25 +46,50 @@ def resolve_fills(signals: DataFrame, bars: DataFrame, costs: Costs = Costs()) -
     return out.select(*s.columns, F.col("_f.fill_bar"), F.col("_f.fill_ts"), F.col("_f.raw_fill"), status.alias("status")).drop("_reach")
 
 
-def block_index(bars: DataFrame, block: int = BLOCK) -> DataFrame:
-    return bars.groupBy("symbol", F.floor(F.col("bar_idx") / block).alias("block")).agg(F.min("low").alias("lo"), F.max("high").alias("hi"))
+def _extremes(below: DataFrame | None, bars: DataFrame, block: int, level: int) -> DataFrame:
+    """(symbol, node, lo, hi) over groups of block^level bars, written once."""
+    if below is None:
+        rows = bars.select("symbol", F.floor(F.col("bar_idx") / block).alias("node"), F.col("low").alias("lo"), F.col("high").alias("hi"))
+    else:
+        rows = below.withColumn("node", F.floor(F.col("node") / block))
+    return kept(rows.groupBy("symbol", "node").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), f"extremes-{level}")
 
 
 def resolve_exits(filled: DataFrame, bars: DataFrame, costs: Costs = Costs(), block: int = BLOCK) -> DataFrame:
-    """Filled orders with exit_bar, exit_ts, raw_exit, exit_reason: the first bar after the fill that
-    touches stop or target, else the last bar's close (`end_of_data`).
+    """Orders with exit_bar, exit_ts, raw_exit, exit_reason: the first bar after the fill that touches
+    stop or target, else the last bar's close (`end_of_data`). Orders that aren't filled keep nulls there.
 
-    The touch is looked up level by level: bars of the fill's own block, then the first later block
-    whose extremes reach, then that block's bars. Only small block rows meet in an inequality.
+    The touch is looked up level by level, as in a tree of extremes: the rest of the fill's block of
+    bars, the rest of that block's group of blocks, and so on outwards to the first group that reaches;
+    then inwards to the first block in it that does, and to its bars. On each level a trade meets at
+    most `block` rows of one group, by equality; there are as many levels as the longest series needs.
     """
-    trades = filled.where("status = 'filled'").withColumn("_block", F.floor(F.col("fill_bar") / block))
+    trades = filled.where("status = 'filled'")
     long = F.col("side") == "LONG"
     reach = F.when(long, (F.col("lo") <= F.col("sl")) | (F.col("hi") >= F.col("tp"))).otherwise((F.col("hi") >= F.col("sl")) | (F.col("lo") <= F.col("tp")))
-    small = trades.select("symbol", "signal_id", "side", "sl", "tp", "fill_bar", "_block")
-    later = small.join(block_index(bars, block), "symbol").where((F.col("block") > F.col("_block")) & reach)
-    first = later.groupBy("symbol", "signal_id").agg(F.min("block").alias("_hit"))
-    with_hit = small.join(first, ["symbol", "signal_id"], "left")
-    spots = with_hit.select("*", F.explode(F.array_compact(F.array("_block", "_hit"))).alias("block"))
+    small = trades.select("symbol", "signal_id", "side", "sl", "tp", "fill_bar")
+    levels, last = [], bars.agg(F.max("bar_idx")).first()[0] or 0
+    while not levels or last >= block ** (len(levels) + 1):
+        levels.append(_extremes(levels[-1] if levels else None, bars, block, len(levels) + 1))
+
+    def first_in(spots: DataFrame, level: int) -> DataFrame:
+        """symbol, signal_id and the first node of `level` after `after` in the group `up` that reaches."""
+        nodes = levels[level - 1].select("symbol", F.col("node").alias("hit"), F.floor(F.col("node") / block).alias("up"), "lo", "hi")
+        met = spots.join(nodes, ["symbol", "up"]).where((F.col("hit") > F.col("after")) & reach)
+        return met.groupBy("symbol", "signal_id").agg(F.min("hit").alias("hit"))
+
+    # outwards: on each level, the nodes after the fill's own within its group; the lowest level that hits wins
+    found = None
+    for level in range(1, len(levels) + 1):
+        own = F.floor(F.col("fill_bar") / F.lit(block**level))
+        hits = first_in(small.withColumns({"after": own, "up": F.floor(own / block)}), level).withColumn("level", F.lit(level))
+        found = hits if found is None else found.unionByName(hits)
+    hit = small.join(found.groupBy("symbol", "signal_id").agg(F.min_by("hit", "level").alias("hit"), F.min("level").alias("level")), ["symbol", "signal_id"], "left")
+    # inwards: to the first child that reaches
+    for level in range(len(levels) - 1, 0, -1):
+        down = first_in(hit.where(F.col("level") > level).select(*small.columns, F.lit(-1).alias("after"), F.col("hit").alias("up")), level)
+        hit = hit.join(down.withColumnRenamed("hit", "_down"), ["symbol", "signal_id"], "left").withColumn("hit", F.coalesce("_down", "hit")).withColumn("level", F.least("level", F.lit(level))).drop("_down")
+    spots = hit.select(*small.columns, F.explode(F.array_compact(F.array(F.floor(F.col("fill_bar") / block), "hit"))).alias("block"))
     inside = bars.select("symbol", "bar_idx", "ts", "open", "high", "low", "close", F.floor(F.col("bar_idx") / block).alias("block"))
     at = spots.join(inside, ["symbol", "block"]).where(F.col("bar_idx") > F.col("fill_bar"))
     hit_sl = F.when(long, F.col("low") <= F.col("sl")).otherwise(F.col("high") >= F.col("sl"))
@@ -75,8 +102,8 @@ def resolve_exits(filled: DataFrame, bars: DataFrame, costs: Costs = Costs(), bl
     price = F.when(gap_sl | gap_tp, F.col("open")).when(reason == "sl", F.col("sl")).otherwise(F.col("tp"))
     found = at.where(hit_sl | hit_tp).groupBy("symbol", "signal_id").agg(F.min_by(F.struct(F.col("bar_idx").alias("exit_bar"), F.col("ts").alias("exit_ts"), price.alias("raw_exit"), reason.alias("exit_reason")), "bar_idx").alias("_x"))
     ends = bars.groupBy("symbol").agg(F.max_by(F.struct(F.col("bar_idx").alias("exit_bar"), F.col("ts").alias("exit_ts"), F.col("close").alias("raw_exit"), F.lit("end_of_data").alias("exit_reason")), "bar_idx").alias("_e"))
-    out = trades.join(found, ["symbol", "signal_id"], "left").join(ends, "symbol").withColumn("_x", F.coalesce("_x", "_e"))
-    return out.select(*(c for c in trades.columns if c != "_block"), "_x.*")
+    out = filled.join(found, ["symbol", "signal_id"], "left").join(ends, "symbol").withColumn("_x", F.when(F.col("status") == "filled", F.coalesce("_x", "_e")))
+    return out.select(*filled.columns, "_x.*")
 
 
 def spread_at(ts: Column, costs: Costs) -> Column:

@@ -25,10 +25,11 @@ def causality_audit(features: Callable[[DataFrame], DataFrame], bars: DataFrame,
 
 
 def trade_violations(trades: DataFrame, keys=("symbol",), most_open: int = 1) -> DataFrame:
-    """Trades that break placed < fill < exit, or that overlap more than `most_open` others allow."""
+    """Trades that break placed < fill < exit, or that overlap more than `most_open` others allow. A trade
+    that is filled on the last bar is closed there by `end_of_data`."""
     w = Window.partitionBy(*keys).orderBy("fill_bar", "exit_bar")
     rows = trades.withColumn("_busy", F.lag("exit_bar", most_open).over(w))
-    reason = F.when(F.col("placed_bar") >= F.col("fill_bar"), "filled before placed").when(F.col("fill_bar") >= F.col("exit_bar"), "closed before filled").when(F.col("_busy") > F.col("fill_bar"), "overlap")
+    reason = F.when(F.col("placed_bar") >= F.col("fill_bar"), "filled before placed").when((F.col("fill_bar") > F.col("exit_bar")) | (F.col("fill_bar") == F.col("exit_bar")) & (F.col("exit_reason") != "end_of_data"), "closed before filled").when(F.col("_busy") > F.col("fill_bar"), "overlap")
     return rows.withColumn("violation", reason).where(reason.isNotNull()).drop("_busy")
 
 

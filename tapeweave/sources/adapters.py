@@ -20,10 +20,10 @@ def bars(spark: SparkSession, sf_dir: str, seconds: int = 3600) -> DataFrame:
     return resample(ticks(spark, sf_dir), seconds)
 
 
-def numbered(rows: DataFrame, keys=("symbol",), name: str = "bar_idx") -> DataFrame:
+def numbered(rows: DataFrame, keys=("symbol",), name: str = "bar_idx", day=None) -> DataFrame:
     """Dense numbers from 0 by time within `keys`, without one task for a long series: days are
     counted, the small table of days is summed up, and rows are numbered within their day."""
-    day = F.to_date("ts")
+    day = F.to_date("ts") if day is None else day
     days = rows.groupBy(*keys, day.alias("_day")).agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
     starts = days.select(*keys, "_day", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
