@@ -39,10 +39,11 @@ ENDINGS = 4096
 #: Parts of the texts that the model learns from one by one, and the weight of one against those before.
 SLICES, RATE = 16, 0.7
 SMOOTH = 0.1
-#: Weight, in words, of the corpus-wide distribution in each state's.
-PULL = 200.0
-#: Rarer words in one bucket, about; bytes of text in one vectorised step.
-BUCKET_WORDS = 200_000
+#: Weight, in words, of the corpus-wide distribution in each state's; and, in occurrences, of the states'
+#: shares in each word's own, which rare words fall back to.
+PULL, OWN = 200.0, 0.5
+#: Least number of buckets of rarer words, and words in one, about; bytes of text in one vectorised step.
+BUCKETS, BUCKET_WORDS = 64, 200_000
 STEP = 4 << 20
 #: Symbols in one stored row (a longer text is a row of its own) and in one vectorised step of a round.
 ROW_SYMBOLS = 1 << 16
@@ -235,7 +236,11 @@ def _estimate(starts: np.ndarray, moves: np.ndarray, emissions: np.ndarray, unig
     states = len(starts)
     start = (starts + 1) / (starts.sum() + states)
     move = (moves + 1) / (moves.sum(1, keepdims=True) + states)
-    emit = (emissions + PULL * unigram[:, None]) / (emissions.sum(0) + PULL)
+    # symbols that were never seen keep their share of the corpus's distribution in every state
+    seen, share = emissions.sum(1) > 0, emissions.sum(0) / max(emissions.sum(), 1e-30)
+    emit = np.repeat(unigram[:, None], states, 1)
+    own = emissions[seen] + PULL * unigram[seen, None] + OWN * share
+    emit[seen] = own / np.maximum(own.sum(0), 1e-30) * unigram[seen].sum()
     return Model(start.astype(np.float32), move.astype(np.float32), emit.astype(np.float32))
 
 
@@ -388,7 +393,7 @@ def score(docs: DataFrame, v: Vocabulary, model: Model, counts: DataFrame) -> Da
 
 def _rare_sums(docs: DataFrame, v: Vocabulary, shared, counts: DataFrame) -> DataFrame:
     """(doc_id, h, rare_gain, rare_known): over words beyond the head, log10(count + SMOOTH) and how many are known."""
-    buckets = max(min(64, common.shuffle_partitions(docs.sparkSession)), math.ceil((v.distinct - len(v.head)) / BUCKET_WORDS))
+    buckets = max(BUCKETS, math.ceil((v.distinct - len(v.head)) / BUCKET_WORDS))
     kind = "bucket int, side int, words binary, numbers binary, doc_ids binary, hashes binary"
     names = ["bucket", "side", "words", "numbers", "doc_ids", "hashes"]
 

@@ -62,9 +62,20 @@ FROM t GROUP BY conv_id
 """
 
 
+_OP10 = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_FOLD}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+g AS (SELECT doc_id, unnest(s) AS g FROM s),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS (SELECT x, y FROM shared JOIN s a ON a.doc_id = x JOIN s b ON b.doc_id = y WHERE 100 * c >= 75 * (len(a.s) + len(b.s) - c)),
+reach AS (SELECT x, y FROM link UNION SELECT r.x, l.y FROM reach r JOIN link l ON r.y = l.x)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id FROM s LEFT JOIN (SELECT x, min(y) AS m FROM reach GROUP BY 1) ON x = doc_id
+"""
+
+
 def queries() -> dict:
     return {name: getattr(import_module(f".{module}", __package__), name) for name, module in _WHERE.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_winnowing": _OP4, "op7_schema_fingerprints": _OP7}
+    return {"op4_winnowing": _OP4, "op7_schema_fingerprints": _OP7, "op10_universe_partition": _OP10}
