@@ -1,8 +1,8 @@
 """From documents to packed training sequences, in five stages that each write what they keep.
 
 Every stage but the last returns the columns of `documents`; clean documents pass all of them.
-A doc_id that stands on several rows is judged row by row in the first stage; near duplicates keep one
-row of each text; contamination drops all rows of a doc_id that holds a benchmark passage.
+Every row is judged by its own text, whatever ids repeat: decisions are joined on (doc_id, hash of the
+text). The stages set the session's Arrow batches to at most 1,000 rows, as rows carry whole texts.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from tapeweave.llm import common, jaccard, packing, pii, toxicity, winnowing
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose toxicity score reaches the threshold; learns from `docs` and labels."""
+    common.keep_batches_small(spark)
     model = toxicity.fit(docs, common.read(spark, sf_dir, "labels"), toxicity.learns)
     return toxicity.below(docs, model)
 
@@ -42,6 +43,7 @@ def _of_rows(docs: DataFrame, decided: DataFrame, how: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of a benchmark item, each row by its own text."""
+    common.keep_batches_small(spark)
     found = winnowing.contamination(docs, common.read(spark, sf_dir, "benchmark")).where("n_hit > 0")
     return _of_rows(docs, found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "left_anti")
 
@@ -53,6 +55,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their sequence and place."""
+    common.keep_batches_small(spark)
     return packing.pack_documents(docs)
 
 

@@ -32,10 +32,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Where none is set, a temporary
+    one on a local master; on a cluster that is an error."""
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tapeweave-")
         context.setCheckpointDir(found)
     return found.rstrip("/")
@@ -71,17 +74,27 @@ def scratch(spark: SparkSession) -> Iterator:
             at.getFileSystem(conf).delete(at, True)
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def keep_batches_small(spark: SparkSession, rows: int = 1000) -> None:
+    """From now on the session's Arrow batches have at most so many rows: for results that carry whole
+    texts through Python and are computed later, when `small_batches` is over."""
+    now = int(spark.conf.get(BATCH_ROWS))
+    if not 0 < now <= rows:
+        spark.conf.set(BATCH_ROWS, str(rows))
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """Arrow batches of at most so many rows for the jobs run inside; rows that carry whole texts or
     sets would else fill an executor's memory beside its heap."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    before = spark.conf.get(BATCH_ROWS)
+    keep_batches_small(spark, rows)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        spark.conf.set(BATCH_ROWS, before)
 
 
 def range_bounds(df: DataFrame, key: str, ranges: int) -> np.ndarray:

@@ -71,9 +71,9 @@ def segments(gain: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, float(hi - lo)) for a, b, lo, hi in found]
 
 
-def _buckets(batch: pa.RecordBatch) -> Iterator[tuple]:
+def _buckets(batch: pa.RecordBatch, column: int | str = "text") -> Iterator[tuple]:
     """(first row, last row + 1, bucket and owner of each word, its start and end byte, bytes, offsets)."""
-    for lo, hi, data, offsets in common.text_steps(batch, "text"):
+    for lo, hi, data, offsets in common.text_steps(batch, batch.schema.names[column] if isinstance(column, int) else column):
         code, owner, start, end = common.words(data, offsets, common.ALNUM)
         yield lo, hi, (code & np.uint64(BUCKETS - 1)).astype(np.int64), owner, start, end, data, offsets
 
@@ -236,6 +236,15 @@ def fit(docs: DataFrame, labels: DataFrame, learn=lambda doc_id: F.lit(True), ma
 SCHEMA = "score double, n_words long, passages array<struct<start: int, stop: int, score: double, e_value: double>>"
 
 
+def _scores(m: Model, count: np.ndarray, found: list) -> np.ndarray:
+    """The score of each text."""
+    if np.isinf(m.curve[0]):
+        return np.zeros(len(count))
+    _, outside = _best(count, found)
+    row, s = (np.array([f[i] for f in found], kind) for i, kind in ((0, np.int64), (3, np.float64)))
+    return 1 / (1 + np.exp(-np.clip(_evidence(m.scale, m.constant, outside, row, s) @ m.curve, -700, 700)))
+
+
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep` columns of every row, score, n_words, and the significant passages (code points)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -245,9 +254,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
         for batch in batches:
             for lo, hi, bucket, owner, start, end, data, offsets in _buckets(batch):
                 count, found = _found(m.weight, bucket, owner, hi - lo)
-                _, outside = _best(count, found)
-                row, s_ = (np.array([f[i] for f in found], kind) for i, kind in ((0, np.int64), (3, np.float64)))
-                p = np.zeros(hi - lo) if np.isinf(m.curve[0]) else 1 / (1 + np.exp(-np.clip(_evidence(m.scale, m.constant, outside, row, s_) @ m.curve, -700, 700)))
+                p, (_, outside) = _scores(m, count, found), _best(count, found)
                 passages: list[list] = [[] for _ in range(hi - lo)]
                 point = None
                 for row, a, b, s in found:
@@ -268,9 +275,17 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
 
 def below(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of `docs`, all columns, that score less than `threshold`."""
-    names = docs.columns
-    found = score(docs.toDF(*(f"c{i}" for i in range(len(names)))).withColumn("text", F.col(f"c{names.index('text')}")), model, tuple(f"c{i}" for i in range(len(names))))
-    return found.where(F.col("score") < threshold).select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(names)))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at, names = docs.columns.index("text"), docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, bucket, owner, *_ in _buckets(batch, at):
+                count, found = _found(shared.value.weight, bucket, owner, hi - lo)
+                yield batch.slice(lo, hi - lo).filter(pa.array(_scores(shared.value, count, found) < threshold))
+
+    plain = docs.toDF(*(f"c{i}" for i in range(len(names)))).withColumn(f"c{at}", F.col(f"c{at}").cast("string"))
+    return plain.mapInArrow(run, plain.schema).toDF(*names)
 
 
 def remainder(doc_id):
