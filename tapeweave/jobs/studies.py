@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import recursive as rec
 from ..operators import exits, metrics, slices
-from ..operators.exits import Costs
+from ..operators.exits import Costs, Sizing
 from ..sources.tables import kept
 
 # --- signals -------------------------------------------------------------------------------------
@@ -71,12 +71,21 @@ def features(rows: DataFrame, fast: int = 10, slow: int = 30, n: int = 14, keys=
     return kept(rec.ewm(ranged, all_, keys, chunk=chunk).drop("_tr"), "features")
 
 
-def orders(rows: DataFrame, signals: DataFrame, costs: Costs = Costs(), most_open: int = 1, keys=("symbol",)) -> DataFrame:
+def orders(rows: DataFrame, signals: DataFrame, costs: Costs = Costs(), most_open: int = 1, keys=("symbol",), once_a_direction: bool = False, sizing: Sizing | None = None, capital=None) -> DataFrame:
     """The orders that a trader places of `signals` on `rows`: filled ones with their exits and prices,
-    expired and pending ones with nulls there."""
+    expired and pending ones with nulls there.
+
+    With `sizing`, sizes follow from the equity at hand; `capital`: keys that share one equity (those of
+    the run if none). Exits trail where the costs say so.
+    """
     filled = kept(exits.resolve_fills(signals, rows, costs), "fills")
-    resolved = exits.resolve_exits(filled, rows, costs)
-    return exits.priced(exits.select_trades(resolved, most_open, keys), costs)
+    resolve = exits.resolve_trailing_exits if costs.trail_pct else exits.resolve_exits
+    resolved = resolve(filled, rows, costs)
+    if sizing is None:
+        return exits.priced(exits.select_trades(resolved, most_open, keys, once_a_direction), costs)
+    placed = rows.select("symbol", F.col("bar_idx").alias("placed_bar"), F.col("ts").alias("placed_ts"))
+    units = exits.priced(resolved.join(placed, ["symbol", "placed_bar"]).withColumn("size", F.lit(1.0)), costs)
+    return exits.select_sized_trades(units, sizing, most_open, capital or keys, once_a_direction, costs.inverse_price)
 
 
 def backtest(rows: DataFrame, signals: DataFrame, costs: Costs = Costs(), most_open: int = 1, keys=("symbol",)) -> DataFrame:
@@ -116,7 +125,17 @@ def parameter_sweep(feats: DataFrame, grid: DataFrame, warmup: int = 50, costs:
     return backtest(feats, sweep_signals(feats, grid, warmup), costs, keys=("symbol", "combo_id"))
 
 
-SCORES = {"pnl": "pnl", "pf": "profit_factor", "win_rate": "win_rate", "expectancy": "expectancy"}
+SCORES = {"pnl": "pnl", "pf": "profit_factor", "win_rate": "win_rate", "expectancy": "expectancy", "sharpe": "sharpe", "sortino": "sortino", "calmar": "calmar"}
+
+
+def scores(trades: DataFrame, rows: DataFrame, keys=("symbol", "combo_id"), start: float = 10_000.0) -> DataFrame:
+    """trade_stats with sharpe and sortino of days and calmar of realised equity, trade by trade."""
+    stats = metrics.trade_stats(trades, keys).join(metrics.sharpe_sortino(trades, F.to_date("exit_ts"), keys), [*keys])
+    w = Window.partitionBy(*keys).orderBy("exit_bar", "placed_bar").rowsBetween(Window.unboundedPreceding, 0)
+    curve = trades.withColumn("_eq", F.lit(start) + F.sum("pnl_net").over(w)).withColumn("_peak", F.greatest(F.max("_eq").over(w), F.lit(start)))
+    falls = curve.groupBy(*keys).agg(F.max(100 * (F.col("_peak") - F.col("_eq")) / F.col("_peak")).alias("_fall"))
+    rate = F.when(F.col("_fall") == 0, 0.0).otherwise(100 * F.col("pnl") / start / F.col("_fall"))
+    return stats.join(falls, [*keys]).withColumn("calmar", rate).drop("_fall")
 
 
 def walk_forward(rows: DataFrame, grid: DataFrame, window: int, step: int, score: str | Column = "pnl", warmup: int = 50, anchored: bool = False, costs: Costs = Costs(), chunk: int = rec.CHUNK) -> DataFrame:
@@ -132,7 +151,7 @@ def walk_forward(rows: DataFrame, grid: DataFrame, window: int, step: int, score
     cut = cut.join(starts, ["symbol", "window_idx", "phase"])
     slice_ = cut.withColumns({"of": F.col("symbol"), "symbol": F.concat_ws("|", "symbol", "window_idx", "phase"), "bar_idx": F.col("bar_idx") - F.col("_first")}).drop("_first")
     trades = parameter_sweep(features(slice_.drop("of", "window_idx", "phase"), chunk=chunk), grid, warmup, costs)
-    stats = metrics.trade_stats(trades, ("symbol", "combo_id")).withColumn("_score", F.coalesce(by, F.lit(-999.0)))
+    stats = scores(trades, slice_).withColumn("_score", F.coalesce(by, F.lit(-999.0)))
     names = slice_.select("symbol", "of", "window_idx", "phase").distinct().crossJoin(F.broadcast(grid))
     scored = names.join(stats, ["symbol", "combo_id"], "left").withColumns({"_score": F.coalesce("_score", F.lit(-999.0)), "n": F.coalesce("n", F.lit(0))})
     best = scored.where("phase = 'IS'").groupBy(F.col("of"), "window_idx").agg(F.max_by(F.struct("combo_id", "k", "rr", F.col("_score").alias("is_score")), F.struct(F.round("_score", 9), -F.col("combo_id"))).alias("b")).select("of", "window_idx", "b.*")
@@ -281,29 +300,35 @@ def circuit_breaker(daily: DataFrame, percent: float, initial: float, keys=("run
     return tripped.groupBy(*keys, "day").agg(F.min("bar_idx").alias("bar_idx"))
 
 
-def payouts(equity: DataFrame, first_after: int = 30, every: int = 14, split: float = 0.8, keys=("run",)) -> DataFrame:
+def payouts(equity: DataFrame, first_after: int = 30, every: int = 14, split: float = 0.8, keys=("run",), reset: float | None = None) -> DataFrame:
     """Payouts at the first bar of each due day: the split of profit since the cycle's start, if any.
 
     A due day follows the last one's bar by `every` days, so dates depend on each other: days of one
-    run are walked in order, one small group a run.
+    run are walked in order, one small group a run. With `reset`, the equity that an account starts with
+    and goes back to: from the first payout on, each due day takes the curve down to it.
     """
     import pandas as pd
 
-    daily = equity.groupBy(*keys, F.to_date("ts").alias("day")).agg(F.min_by("equity", "bar_idx").alias("equity"))
+    daily = equity.groupBy(*keys, F.to_date("ts").alias("day")).agg(F.min_by("equity", "bar_idx").alias("equity"), F.max_by("equity", "bar_idx").alias("last"))
 
     def walk(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("day")
         due = cycle = before = None
-        out = []
+        taken, paid, out = 0.0, False, []
         for row in part.itertuples():
+            now = row.equity - taken
             if due is None:
-                due, cycle = row.day + pd.Timedelta(days=first_after), row.equity
+                due, cycle = row.day + pd.Timedelta(days=first_after), now if reset is None else reset
             elif row.day >= due:
                 if before > cycle:
                     out.append((*(getattr(row, k) for k in keys), row.day, before - cycle, (before - cycle) * split))
-                    cycle = row.equity
+                    paid = True
+                    cycle = now
+                if paid and reset is not None:
+                    taken += now - reset
+                    cycle = reset
                 due = row.day + pd.Timedelta(days=every)
-            before = row.equity
+            before = row.last - taken
         return pd.DataFrame(out, columns=[*keys, "day", "profit", "payout"])
 
     kinds = ", ".join(f"{k} {dict(equity.dtypes)[k]}" for k in keys)

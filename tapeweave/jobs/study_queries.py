@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import recursive as rec
 from ..functions import rolling as roll
 from ..operators import align, exits, metrics, quality
-from ..operators.exits import Costs
+from ..operators.exits import Costs, Sizing
 from ..sources import adapters
 from . import studies
 from .bar_queries import WITH, base, r, scan_sql
@@ -176,10 +176,53 @@ def invariants(spark, sf_dir):
 
 @query("t2_position_size", f"{WITH} SELECT symbol, bar_idx, {r('CASE WHEN close > low THEN greatest(round_even(50 / (close - low) / 0.1, 0) * 0.1, 0.1) ELSE 0.1 END')} AS size FROM bars")
 def size(spark, sf_dir):
-    s = exits.position_size(F.col("close"), F.col("low"), "fixed_risk", 50.0, step=0.1, least=0.1)
+    s = exits.position_size(F.col("close"), F.col("low"), Sizing("fixed_risk", 50.0, 0.1, 0.1))
     return base(spark, sf_dir).select("symbol", "bar_idx", r(s).alias("size"))
 
 
+_TRAIL = "0.05", "0.02"
+
+
+def _stop_sql(best: str, worst: str) -> str:
+    t, a = _TRAIL
+    return f"CASE WHEN side = 'LONG' THEN greatest(sl, CASE WHEN ({best} - raw_fill) / raw_fill >= {a} THEN {best} * (1 - {t}) END) ELSE least(sl, CASE WHEN (raw_fill - {worst}) / raw_fill >= {a} THEN {worst} * (1 + {t}) END) END"
+
+
+@query("j6_trailing_stops", f"""{_FEATS}, {_SIGNALS}, path AS (SELECT g.symbol, g.p, side, sl, tp, raw_fill, b.bar_idx, b.open, b.high, b.low, max(b.high) OVER w AS top, min(b.low) OVER w AS bot, max(b.high) OVER v AS ptop, min(b.low) OVER v AS pbot
+  FROM sig g JOIN bars b ON b.symbol = g.symbol AND b.bar_idx > fb WHERE raw_fill IS NOT NULL WINDOW w AS (PARTITION BY g.symbol, g.p ORDER BY b.bar_idx), v AS (PARTITION BY g.symbol, g.p ORDER BY b.bar_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+st AS (SELECT *, {_stop_sql('top', 'bot')} AS stop, {_stop_sql('ptop', 'pbot')} AS held FROM path),
+rs AS (SELECT *, CASE WHEN side = 'LONG' THEN CASE WHEN open <= held THEN 'gap sl' WHEN open >= tp THEN 'gap tp' WHEN low <= stop THEN 'sl' WHEN high >= tp THEN 'tp' END ELSE CASE WHEN open >= held THEN 'gap sl' WHEN open <= tp THEN 'gap tp' WHEN high >= stop THEN 'sl' WHEN low <= tp THEN 'tp' END END AS why FROM st),
+hit AS (SELECT symbol, p, bar_idx AS xb, replace(why, 'gap ', '') AS reason, CASE WHEN why LIKE 'gap%' THEN open WHEN why = 'sl' THEN stop ELSE tp END AS px FROM rs WHERE why IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol, p ORDER BY bar_idx) = 1),
+ends AS (SELECT symbol, max(bar_idx) AS xb, last(close ORDER BY bar_idx) AS px FROM bars GROUP BY 1)
+SELECT g.symbol, g.p AS placed_bar, coalesce(h.xb, e.xb) AS exit_bar, coalesce(reason, 'end_of_data') AS exit_reason, {r('coalesce(h.px, e.px)')} AS raw_exit FROM sig g JOIN ends e USING (symbol) LEFT JOIN hit h ON h.symbol = g.symbol AND h.p = g.p WHERE raw_fill IS NOT NULL""")
+def trailing_stops(spark, sf_dir):
+    f = _feats(spark, sf_dir)
+    filled = exits.resolve_fills(studies.cross_signals(f), f)
+    t = exits.resolve_trailing_exits(filled, f, Costs(trail_pct=0.05, trail_activation=0.02), 8).where("status = 'filled'")
+    return rounded(t.select("symbol", "placed_bar", "exit_bar", "exit_reason", "raw_exit"))
+
+
+_SIZED = "greatest(round_even(e * 0.02 / abs(placed_close - sl) / 0.1, 0) * 0.1, 0.1)"
+
+
+@query("t2_x1_equity_sizing", f"""{_CROSS}, nxt AS (SELECT o.*, CASE WHEN side = 'LONG' THEN raw_exit - raw_fill ELSE raw_fill - raw_exit END AS unit, (SELECT min(q.p) FROM out q WHERE q.symbol = o.symbol AND q.p > o.xb) AS n FROM out o),
+pick AS (SELECT symbol, min(p) AS p, 10000.0::DOUBLE AS e FROM nxt GROUP BY 1 UNION ALL SELECT s.symbol, s.n, s.e + s.size * s.unit FROM (SELECT n.symbol, n.n, k.e, n.unit, CASE WHEN e > 0 AND {_SIZED} * placed_close > 3 * e THEN greatest(floor(3 * e / placed_close / 0.1) * 0.1, 0.1) ELSE {_SIZED} END AS size FROM pick k JOIN nxt n ON n.symbol = k.symbol AND n.p = k.p WHERE n.n IS NOT NULL) s)
+SELECT n.symbol, n.p AS placed_bar, {r(f'CASE WHEN e > 0 AND {_SIZED} * placed_close > 3 * e THEN greatest(floor(3 * e / placed_close / 0.1) * 0.1, 0.1) ELSE {_SIZED} END')} AS size FROM pick k JOIN nxt n ON n.symbol = k.symbol AND n.p = k.p""")
+def equity_sizing(spark, sf_dir):
+    f = _feats(spark, sf_dir)
+    t = studies.orders(f, studies.cross_signals(f), sizing=Sizing("pct_equity", 0.02, 0.1, 0.1, 3.0, 10_000.0)).where("status = 'filled'")
+    return rounded(t.select("symbol", "placed_bar", "size"))
+
+
+@query("x8_shared_equity")
+def shared_equity(spark, sf_dir):
+    """All symbols as one portfolio whose orders are sized by its one equity."""
+    f = _feats(spark, sf_dir)
+    s = studies.cross_signals(f).withColumn("portfolio", F.lit("all"))
+    t = studies.orders(f, s, COSTS, sizing=Sizing("pct_equity", 0.02, 0.1, 0.1, 3.0, 10_000.0), capital=("portfolio",)).where("status = 'filled'")
+    return rounded(t.select("symbol", "placed_bar", "exit_bar", "size", "pnl_net"))
+
+
 # --- splits, sweeps, walk-forward ----------------------------------------------------------------
 
 
@@ -324,6 +367,15 @@ def payouts(spark, sf_dir):
     return rounded(studies.payouts(adapters.equity(spark, sf_dir)), 2)
 
 
+@query("x12_payouts_reset", f"""{_EQ}, days AS (SELECT run, ts AS day, equity, lag(equity) OVER w AS prev, lag(ts) OVER w AS pday FROM equity WINDOW w AS (PARTITION BY run ORDER BY ts)),
+p AS (SELECT run, min(day) + 30 AS due, 1000000.0::DOUBLE AS cycle, 0.0::DOUBLE AS taken, NULL::DATE AS day, false AS paid, false AS once, 0.0::DOUBLE AS profit FROM days GROUP BY 1
+  UNION ALL SELECT p.run, d.day + 14, CASE WHEN once OR d.prev - taken > cycle THEN 1000000.0 ELSE cycle END, CASE WHEN once OR d.prev - taken > cycle THEN d.equity - 1000000 ELSE taken END, d.day, d.prev - taken > cycle, once OR d.prev - taken > cycle, d.prev - taken - cycle
+  FROM p JOIN days d ON d.run = p.run AND d.day >= p.due AND d.pday < p.due)
+SELECT run, day, {r('profit', 2)} AS profit, {r('profit * 0.8', 2)} AS payout FROM p WHERE paid""")
+def payouts_reset(spark, sf_dir):
+    return rounded(studies.payouts(adapters.equity(spark, sf_dir), reset=1_000_000.0), 2)
+
+
 # --- pairs, timeframes, zones --------------------------------------------------------------------
 
 

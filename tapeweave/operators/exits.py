@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,6 +27,11 @@ class Costs:
     inverse_price: bool = False
     gap_fill: bool = True
     intrabar_path: bool = False
+    #: Share of the best price that a trailing stop keeps away, 0: none; profit (share of the fill) it starts at.
+    trail_pct: float = 0.0
+    trail_activation: float = 0.0
+    #: Slippage of market fills in multiples of the signal's `atr`.
+    slippage_atr: float = 0.0
 
 
 def resolve_fills(signals: DataFrame, bars: DataFrame, costs: Costs = Costs()) -> DataFrame:
@@ -106,6 +113,63 @@ def resolve_exits(filled: DataFrame, bars: DataFrame, costs: Costs = Costs(), bl
     return out.select(*filled.columns, "_x.*")
 
 
+#: Bars that a trailing stop is followed over at first; twice as many in each further round.
+HORIZON = 64
+
+
+def _fill_price(costs: Costs, columns: list[str]) -> Column:
+    """The price paid: slippage raises it on either side for market orders, long ones pay the spread."""
+    slip = F.col("raw_fill") * costs.slippage_pct + costs.slippage
+    if costs.slippage_atr:
+        if "atr" not in columns:
+            raise ValueError("slippage by atr needs signals with atr")
+        slip = slip + F.col("atr") * costs.slippage_atr
+    return F.col("raw_fill") + F.when(F.col("order_type") == "market", slip).otherwise(0.0) + F.when(F.col("side") == "LONG", spread_at(F.col("fill_ts"), costs)).otherwise(0.0)
+
+
+def resolve_trailing_exits(filled: DataFrame, bars: DataFrame, costs: Costs, horizon: int = HORIZON) -> DataFrame:
+    """`resolve_exits` with a trailing stop, which never widens: at each bar it is the better of the stop
+    so far and the bar's best price less `trail_pct`, once that price is `trail_activation` above the fill.
+
+    A gap at the open is held against the stop of the bar before, the rest of the bar against its own.
+    Trades meet the next `horizon` bars by equality; those still open go on from there with the best
+    price so far, over twice as many bars a round. So the work is that of the bars that trades last.
+    """
+    long = F.col("side") == "LONG"
+    ends = kept(bars.groupBy("symbol").agg(F.max_by(F.struct(F.col("bar_idx").alias("exit_bar"), F.col("ts").alias("exit_ts"), F.col("close").alias("raw_exit"), F.lit("end_of_data").alias("exit_reason")), "bar_idx").alias("_e")), "ends")
+    start = filled.where("status = 'filled'").select("symbol", "signal_id", "side", "sl", "tp", "fill_bar", _fill_price(costs, filled.columns).alias("_paid"), (F.col("fill_bar") + 1).alias("_from"), F.lit(None).cast("double").alias("_best"))
+    open_ = kept(start.join(ends.select("symbol", F.col("_e.exit_bar").alias("_last")), "symbol").where("_from <= _last"), "open")
+    path = bars.select("symbol", "bar_idx", "ts", "open", "high", "low", "close")
+    by = Window.partitionBy("symbol", "signal_id").orderBy("bar_idx")
+    upto, before = by.rowsBetween(Window.unboundedPreceding, 0), by.rowsBetween(Window.unboundedPreceding, -1)
+    best = lambda w: F.when(long, F.greatest(F.max("high").over(w), "_best")).otherwise(F.least(F.min("low").over(w), "_best"))
+    started = lambda b: F.when(long, (b - F.col("_paid")) / F.col("_paid")).otherwise((F.col("_paid") - b) / F.col("_paid")) >= costs.trail_activation
+    stop = lambda b: F.when(long, F.greatest("sl", F.when(started(b), b * (1.0 - costs.trail_pct)))).otherwise(F.least("sl", F.when(started(b), b * (1.0 + costs.trail_pct))))
+    done = []
+    while open_.take(1):
+        looks = open_.withColumn("bar_idx", F.explode(F.sequence("_from", F.least(F.col("_from") + horizon - 1, "_last"))))
+        at = looks.join(path, ["symbol", "bar_idx"]).withColumns({"_now": best(upto), "_was": best(before)}).withColumn("_was", F.coalesce("_was", "_best"))
+        at = at.withColumns({"_stop": stop(F.col("_now")), "_held": stop(F.col("_was"))})
+        gap_sl = F.lit(costs.gap_fill) & F.when(long, F.col("open") <= F.col("_held")).otherwise(F.col("open") >= F.col("_held"))
+        gap_tp = F.lit(costs.gap_fill) & F.when(long, F.col("open") >= F.col("tp")).otherwise(F.col("open") <= F.col("tp"))
+        hit_sl = F.when(long, F.col("low") <= F.col("_stop")).otherwise(F.col("high") >= F.col("_stop"))
+        hit_tp = F.when(long, F.col("high") >= F.col("tp")).otherwise(F.col("low") <= F.col("tp"))
+        tp_first = F.lit(costs.intrabar_path) & F.when(long, F.col("close") < F.col("open")).otherwise(F.col("close") >= F.col("open"))
+        reason = F.when(gap_sl, "sl").when(gap_tp, "tp").when(hit_sl & hit_tp, F.when(tp_first, "tp").otherwise("sl")).when(hit_sl, "sl").when(hit_tp, "tp")
+        price = F.when(gap_sl | gap_tp, F.col("open")).when(reason == "sl", F.col("_stop")).otherwise(F.col("tp"))
+        exit_ = F.struct(F.col("bar_idx").alias("exit_bar"), F.col("ts").alias("exit_ts"), price.alias("raw_exit"), reason.alias("exit_reason"))
+        first = at.groupBy("symbol", "signal_id").agg(F.min_by(exit_, F.when(reason.isNotNull(), F.col("bar_idx"))).alias("_x"), F.max_by("_now", "bar_idx").alias("_best"))
+        seen = kept(open_.drop("_best").join(first, ["symbol", "signal_id"]), "trailed")
+        done.append(seen.where("_x is not null").select("symbol", "signal_id", "_x"))
+        open_ = kept(seen.where("_x is null").withColumn("_from", F.col("_from") + horizon).where("_from <= _last").select(*open_.columns), "open")
+        horizon *= 2
+    found = done[0] if done else open_.select("symbol", "signal_id", F.lit(None).cast(ends.schema["_e"].dataType).alias("_x"))
+    for part in done[1:]:
+        found = found.unionByName(part)
+    out = filled.join(found, ["symbol", "signal_id"], "left").join(ends, "symbol").withColumn("_x", F.when(F.col("status") == "filled", F.coalesce("_x", "_e")))
+    return out.select(*filled.columns, "_x.*")
+
+
 def spread_at(ts: Column, costs: Costs) -> Column:
     if not costs.spread or not costs.schedule:
         return F.lit(float(costs.spread))
@@ -121,8 +185,7 @@ def priced(trades: DataFrame, costs: Costs = Costs()) -> DataFrame:
     spread of their hour. The percentage commission is per unit, half at each end.
     """
     long = F.col("side") == "LONG"
-    slip = F.when(F.col("order_type") == "market", F.col("raw_fill") * costs.slippage_pct + costs.slippage).otherwise(0.0)
-    fill = F.col("raw_fill") + slip + F.when(long, spread_at(F.col("fill_ts"), costs)).otherwise(0.0)
+    fill = _fill_price(costs, trades.columns)
     out = F.col("raw_exit") + F.when(long, 0.0).otherwise(spread_at(F.col("exit_ts"), costs))
     rows = trades.withColumns({"fill_price": fill, "exit_price": out})
     to_usd = F.when(F.col("exit_price") > 0, 1 / F.col("exit_price")).otherwise(1.0) if costs.inverse_price else F.lit(1.0)
@@ -132,20 +195,45 @@ def priced(trades: DataFrame, costs: Costs = Costs()) -> DataFrame:
     return rows.withColumns({"pnl_net": F.col("pnl_gross") - F.col("commission") / 2, "pnl_all_in": F.col("pnl_gross") - F.col("commission")})
 
 
-def position_size(price: Column, sl: Column, mode: str = "fixed_size", value: float = 1.0, equity: Column | None = None, step: float = 0.0, least: float = 0.0, leverage: float = 0.0) -> Column:
-    """Units by fixed_size, fixed_risk (money to the stop) or pct_equity; steps round half to even."""
-    dist = F.abs(price - sl)
-    if mode == "fixed_size":
-        size = F.lit(float(value))
-    else:
-        risk = F.lit(float(value)) if mode == "fixed_risk" else equity * value
-        size = F.when(dist > 0, risk / dist).otherwise(F.lit(float(least)))
-    if step:
-        size = F.bround(size / step) * step
-    size = F.greatest(size, F.lit(float(least)))
-    if leverage and equity is not None:
-        cap = equity * leverage / price
-        size = F.when(size > cap, F.floor(cap / step) * step if step else cap).otherwise(size)
+@dataclass(frozen=True)
+class Sizing:
+    """How many units an order is for: `fixed_size` (value units), `fixed_risk` (value in money to the
+    stop) or `pct_equity` (that share of equity to the stop). Steps round half to even; the notional is at
+    most `leverage` times equity (0: no bound). Without a distance to the stop: `least`."""
+
+    mode: str = "fixed_size"
+    value: float = 1.0
+    step: float = 1.0
+    least: float = 0.0
+    leverage: float = 0.0
+    equity: float = 10_000.0
+
+
+def position_size(price: Column, sl: Column, sizing: Sizing = Sizing(), equity: Column | None = None, to_usd: Column | float = 1.0) -> Column:
+    """Units of an order at `price` with its stop at `sl`."""
+    dist, least = F.abs(price - sl), F.lit(float(sizing.least))
+    if sizing.mode == "fixed_size":
+        return F.when(dist > 0, F.lit(float(sizing.value))).otherwise(least)
+    equity = F.lit(sizing.equity) if equity is None else equity
+    risk = equity * sizing.value if sizing.mode == "pct_equity" else F.lit(float(sizing.value))
+    size = F.greatest(F.bround(risk / (dist * to_usd) / sizing.step) * sizing.step, least)
+    if sizing.leverage:
+        cap, unit = equity * sizing.leverage, price * to_usd
+        size = F.when((equity > 0) & (unit > 0) & (size * unit > cap), F.greatest(F.floor(cap / unit / sizing.step) * sizing.step, least)).otherwise(size)
+    return F.when(dist > 0, size).otherwise(least)
+
+
+def _units(price: float, sl: float, sizing: Sizing, equity: float, to_usd: float) -> float:
+    """`position_size` for one order."""
+    dist, unit = abs(price - sl), price * to_usd
+    if dist <= 0:
+        return sizing.least
+    if sizing.mode == "fixed_size":
+        return sizing.value
+    risk = equity * sizing.value if sizing.mode == "pct_equity" else sizing.value
+    size = max(sizing.least, round(risk / (dist * to_usd) / sizing.step) * sizing.step)
+    if sizing.leverage and equity > 0 and unit > 0 and size * unit > sizing.leverage * equity:
+        size = max(sizing.least, math.floor(sizing.leverage * equity / unit / sizing.step) * sizing.step)
     return size
 
 
@@ -156,28 +244,72 @@ def select_trades(candidates: DataFrame, most_open: int = 1, keys=("symbol",), o
     outcome is known beforehand, so only this choice is sequential: one small group a series, over
     candidates, not bars.
     """
-    import heapq
-
     import pandas as pd
 
     def choose(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["placed_bar", "signal_id"])
-        busy: list[int] = []
-        keep, pending, last = [], -1, None
-        far = float("inf")
+        trader, keep = _Trader(most_open, once_a_direction), []
         for row in part.itertuples():
-            p = row.placed_bar
-            while busy and busy[0] < p:
-                heapq.heappop(busy)
-            if p <= pending or len(busy) >= most_open or once_a_direction and row.side == last:
-                continue
-            keep.append(row.Index)
-            last = row.side
-            if row.status == "filled":
-                pending = row.fill_bar
-                heapq.heappush(busy, row.exit_bar)
-            else:
-                pending = p + row.expiry if row.status == "expired" else far
+            if trader.takes(row):
+                keep.append(row.Index)
         return part.loc[keep]
 
     return candidates.groupBy(*keys).applyInPandas(choose, candidates.schema)
+
+
+class _Trader:
+    """Which candidates of one series are taken, asked in their order."""
+
+    def __init__(self, most_open: int, once_a_direction: bool):
+        self.most_open, self.once = most_open, once_a_direction
+        self.busy: list[int] = []
+        self.pending: float = -1
+        self.last = None
+
+    def takes(self, row) -> bool:
+        while self.busy and self.busy[0] < row.placed_bar:
+            heapq.heappop(self.busy)
+        if row.placed_bar <= self.pending or len(self.busy) >= self.most_open or self.once and row.side == self.last:
+            return False
+        self.last = row.side
+        if row.status == "filled":
+            self.pending = row.fill_bar
+            heapq.heappush(self.busy, row.exit_bar)
+        else:
+            self.pending = row.placed_bar + row.expiry if row.status == "expired" else math.inf
+        return True
+
+
+def select_sized_trades(units: DataFrame, sizing: Sizing, most_open: int = 1, keys=("symbol",), once_a_direction: bool = False, inverse_price: bool = False) -> DataFrame:
+    """`select_trades` with sizes by the equity at hand. `units`: candidates priced for one unit each, with
+    placed_ts; size, pnl_gross, commission, pnl_net and pnl_all_in become those of the order's size.
+
+    `keys` name what shares one equity: a series, or a portfolio of several `symbol`s, each with its own
+    `most_open`. An order's equity has the fills and exits before it, in the order of (time, symbol); its
+    own bar's come after it. One group a key, over candidates, not bars.
+    """
+    import pandas as pd
+
+    money = ["size", "pnl_gross", "commission", "pnl_net", "pnl_all_in"]
+
+    def choose(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["placed_ts", "symbol", "placed_bar", "signal_id"]).reset_index(drop=True)
+        traders: dict = {}
+        equity, waiting, keep, sizes = sizing.equity, [], [], []
+        for row in part.itertuples():
+            now = (row.placed_ts, row.symbol)
+            while waiting and waiting[0][:2] < now:
+                equity += heapq.heappop(waiting)[2]
+            if traders.setdefault(row.symbol, _Trader(most_open, once_a_direction)).takes(row):
+                size = _units(row.limit_price, row.sl, sizing, equity, 1 / row.limit_price if inverse_price and row.limit_price > 0 else 1.0)
+                keep.append(row.Index)
+                sizes.append(size)
+                if row.status == "filled":
+                    heapq.heappush(waiting, (row.fill_ts, row.symbol, -row.commission / 2 * size))
+                    heapq.heappush(waiting, (row.exit_ts, row.symbol, row.pnl_net * size))
+        out = part.loc[keep].copy()
+        for name in money:
+            out[name] = out[name] * sizes
+        return out
+
+    return units.withColumn("size", F.lit(1.0)).groupBy(*keys).applyInPandas(choose, units.schema)
