@@ -157,3 +157,13 @@ def adx(rows: DataFrame, n: int = 14, keys=("symbol",), chunk: int = CHUNK) -> D
     total = F.col("plus_di") + F.col("minus_di")
     dx = di.withColumn("_dx", 100 * F.try_divide(F.abs(F.col("plus_di") - F.col("minus_di")), F.nullif(total, F.lit(0.0))))
     return ewm(dx, {"adx": ("_dx", 1.0 / n)}, keys, chunk=chunk).drop("_tr", "_p", "_m", "_a", "_pp", "_mm", "_dx")
+
+
+def spread_adx(rows: DataFrame, spread: str, n: int = 14, keys=("pair",), chunk: int = CHUNK) -> DataFrame:
+    """Adds adx of a single series: its rises and falls are the directional moves, their size the range."""
+    d = F.col(spread) - F.lag(spread).over(_by(keys))
+    moves = rows.withColumns({"_t": F.abs(d), "_p": F.when(d > 0, d).when(d <= 0, 0.0), "_m": F.when(d < 0, -d).when(d >= 0, 0.0)})
+    smooth = ewm(moves, {"_a": ("_t", 1.0 / n), "_pp": ("_p", 1.0 / n), "_mm": ("_m", 1.0 / n)}, keys, chunk=chunk)
+    up, down = (100 * F.try_divide(x, F.nullif(F.col("_a"), F.lit(0.0))) for x in (F.col("_pp"), F.col("_mm")))
+    dx = smooth.withColumn("_dx", 100 * F.try_divide(F.abs(up - down), F.nullif(up + down, F.lit(0.0))))
+    return ewm(dx, {"adx": ("_dx", 1.0 / n)}, keys, chunk=chunk).drop("_t", "_p", "_m", "_a", "_pp", "_mm", "_dx")

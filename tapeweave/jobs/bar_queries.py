@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import recursive as rec
 from ..functions import rolling as roll
 from ..operators import align, quality, slices
-from ..sources import adapters, bars
+from ..sources import adapters, bars, tables
 
 
 def by():
@@ -232,6 +234,25 @@ def window_slices(spark, sf_dir):
     return s.groupBy("symbol", "window_idx", "phase").agg(F.count("*").alias("n"), F.min("bar_idx").alias("first_bar"), F.max("bar_idx").alias("last_bar"))
 
 
+@query("s1_csv_bars", f"{WITH} SELECT symbol, ts, open, high, low, close FROM bars")
+def csv_bars(spark, sf_dir):
+    """All bars written as CSV files, one folder a symbol, and read back."""
+    b = adapters.bars(spark, sf_dir)
+    path = f"{tables.shared_dir(spark)}/tapeweave/csv-{uuid.uuid4().hex}"
+    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("DateTime")
+    b.select(iso, *(F.col(c).alias(c.capitalize()) for c in ("open", "high", "low", "close", "volume")), "symbol").write.option("header", True).partitionBy("symbol").csv(path)
+    read = bars.read_bars_csv(spark, path, by_folder="symbol")
+    return read.select("symbol", F.to_timestamp_ntz(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("ts"), "open", "high", "low", "close")
+
+
+@query("s9_bar_store", f"{WITH} SELECT symbol, ts, close FROM bars WHERE symbol >= 'error' AND ts < TIMESTAMP '2024-01-20'")
+def bar_store(spark, sf_dir):
+    """All bars in a store by symbol and month; symbols and days read from it."""
+    path = f"{tables.shared_dir(spark)}/tapeweave/store-{uuid.uuid4().hex}"
+    bars.write_store(adapters.bars(spark, sf_dir), path)
+    return bars.read_store(spark, path).where((F.col("symbol") >= "error") & (F.col("ts") < F.lit("2024-01-20").cast("timestamp_ntz"))).select("symbol", "ts", "close")
+
+
 @query("j11_merge_symbols", f"{WITH} SELECT ts, CAST(dense_rank() OVER (ORDER BY symbol) - 1 AS INTEGER) AS symbol_rank, bar_idx, close FROM bars")
 def merge_symbols(spark, sf_dir):
     b = base(spark, sf_dir)

@@ -338,29 +338,40 @@ def payouts(equity: DataFrame, first_after: int = 30, every: int = 14, split: fl
 # --- pairs ---------------------------------------------------------------------------------------
 
 
-def pair_positions(rows: DataFrame, entry: float = 2.0, leave: float = 0.5, stop: float = 4.0, most_hold: int = 60, keys=("pair",)) -> DataFrame:
-    """Trades (side of the spread, entry_bar, exit_bar, why) from z-scores: in beyond `entry`, out
-    within `leave`, beyond `stop` or after `most_hold` bars. Only bars that could matter are walked."""
+def pair_positions(rows: DataFrame, entry: float = 2.0, leave: float = 0.5, stop: float = 4.0, most_hold: int = 60, keys=("pair",), may_enter: Column | None = None) -> DataFrame:
+    """Trades (side of the spread, entry_bar, exit_bar, why) from z-scores: in beyond `entry` where
+    `may_enter` holds (filters by correlation, ADX, ...), out within `leave`, beyond `stop` or after `most_hold` bars.
+
+    Bars that can decide nothing are left out before the walk: those between `leave` and `entry` that are
+    no deadline of a bar at which a trade may begin. One group a pair walks the rest.
+    """
     import pandas as pd
 
-    useful = rows.where(F.col("z").isNotNull())
+    z = F.abs("z")
+    useful = rows.where(F.col("z").isNotNull()).select(*keys, "bar_idx", "z", (F.lit(True) if may_enter is None else F.coalesce(may_enter, F.lit(False))).alias("may"))
+    begins = useful.where(F.col("may") & (z > entry) & (z <= stop))
+    # the deadline: the first useful bar from `most_hold` bars on; without gaps that is the bar itself
+    dense = Window.partitionBy(*keys).orderBy("bar_idx")
+    after_gap = useful.withColumn("_gap", F.col("bar_idx") - F.lag("bar_idx").over(dense)).where("_gap > 1").select(*keys, "bar_idx")
+    due = begins.select(*keys, (F.col("bar_idx") + most_hold).alias("bar_idx")).distinct().union(after_gap).distinct().withColumn("_due", F.lit(True))
+    decisive = useful.join(due, [*keys, "bar_idx"], "left").where((z > entry) | (z < leave) | (z > stop) | F.col("_due")).drop("_due")
 
     def walk(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("bar_idx")
         out, side, since = [], 0, 0
         head = tuple(part[k].iloc[0] for k in keys)
-        for b, v in zip(part["bar_idx"].tolist(), part["z"].tolist(), strict=True):
+        for b, v, may in zip(part["bar_idx"].tolist(), part["z"].tolist(), part["may"].tolist(), strict=True):
             if side:
                 why = "stop" if abs(v) > stop else "revert" if abs(v) < leave else "time" if b - since >= most_hold else None
                 if why:
                     out.append((*head, "LONG" if side > 0 else "SHORT", since, b, why))
                     side = 0
-            elif entry < abs(v) <= stop:
+            elif may and entry < abs(v) <= stop:
                 side, since = (-1 if v > 0 else 1), b
         return pd.DataFrame(out, columns=[*keys, "side", "entry_bar", "exit_bar", "why"])
 
     kinds = ", ".join(f"{k} {dict(rows.dtypes)[k]}" for k in keys)
-    return useful.select(*keys, "bar_idx", "z").groupBy(*keys).applyInPandas(walk, f"{kinds}, side string, entry_bar long, exit_bar long, why string")
+    return decisive.groupBy(*keys).applyInPandas(walk, f"{kinds}, side string, entry_bar long, exit_bar long, why string")
 
 
 def pair_trades(positions: DataFrame, rows: DataFrame, ratio: float = 1.0, keys=("pair",)) -> DataFrame:
@@ -373,6 +384,19 @@ def pair_trades(positions: DataFrame, rows: DataFrame, ratio: float = 1.0, keys=
     return both.select(*keys, "side", "entry_bar", "exit_bar", "why", (sign * (F.col("a_close") - F.col("a_open"))).alias("pnl_a"), (-sign * ratio * (F.col("b_close") - F.col("b_open"))).alias("pnl_b"))
 
 
-def pair_summary(trades: DataFrame, keys=("pair",)) -> DataFrame:
+def pair_equity(trades: DataFrame, rows: DataFrame, start: float = 10_000.0, keys=("pair",)) -> DataFrame:
+    """Equity of both legs, which start with half each, at every bar of `rows`: profits count from their exit on."""
+    cash = trades.groupBy(*keys, F.col("exit_bar").alias("bar_idx")).agg(F.sum("pnl_a").alias("a"), F.sum("pnl_b").alias("b"))
+    w = Window.partitionBy(*keys).orderBy("bar_idx").rowsBetween(Window.unboundedPreceding, 0)
+    both = rows.select(*keys, "bar_idx").join(cash, [*keys, "bar_idx"], "left")
+    leg = lambda c: F.lit(start / 2) + F.sum(F.coalesce(c, F.lit(0.0))).over(w)
+    legs = both.select(*keys, "bar_idx", leg("a").alias("equity_a"), leg("b").alias("equity_b"))
+    return legs.withColumn("equity", F.col("equity_a") + F.col("equity_b"))
+
+
+def pair_summary(trades: DataFrame, equity: DataFrame, keys=("pair",)) -> DataFrame:
+    """Figures of the pairs' trades, and return and deepest fall (%) of their `equity`."""
     both = F.col("pnl_a") + F.col("pnl_b")
-    return trades.groupBy(*keys).agg(F.count("*").alias("n"), (100.0 * F.avg((both > 0).cast("double"))).alias("win_rate"), F.sum("pnl_a").alias("pnl_a"), F.sum("pnl_b").alias("pnl_b"), F.sum(both).alias("pnl"))
+    sums = trades.groupBy(*keys).agg(F.count("*").alias("n"), (100.0 * F.avg((both > 0).cast("double"))).alias("win_rate"), F.sum("pnl_a").alias("pnl_a"), F.sum("pnl_b").alias("pnl_b"), F.sum(both).alias("pnl"))
+    curve = metrics.equity_stats(equity, keys).select(*keys, "total_return", "max_dd_pct")
+    return sums.join(curve, [*keys])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from ..functions import recursive as rec
 from ..functions import rolling as roll
 from ..operators import align, exits, metrics, quality
 from ..operators.exits import Costs, Sizing
-from ..sources import adapters
+from ..sources import adapters, tables
 from . import studies
 from .bar_queries import WITH, base, r, scan_sql
 from .trade_queries import _EQ, _TRADES, rounded
@@ -155,6 +156,37 @@ def equity_curve(spark, sf_dir):
     return metrics.equity_curve(f, t, 10_000.0).select("symbol", "bar_idx", r(F.col("equity"), 4).alias("equity"))
 
 
+_ISO = "strftime({}, '%Y-%m-%dT%H:%M:%S')"
+
+
+@query("s8_backtest_log", f"""{_CROSS}, {_CHOSEN} SELECT symbol, p AS placed_bar, fb AS fill_bar, xb AS exit_bar, {_ISO.format('placed_ts')} AS placed_time, {_ISO.format('fill_ts')} AS fill_time, {_ISO.format('exit_ts')} AS exit_time, side, reason AS exit_reason,
+{r('fill_price', 4)} AS fill_price, {r('exit_price', 4)} AS exit_price, {r('sl', 4)} AS sl, {r('tp', 4)} AS tp, {r('gross', 2)} AS pnl_gross, {r('pnl_net', 2)} AS pnl_net FROM net""")
+def backtest_log(spark, sf_dir):
+    """The trade log of a backtest, written as CSV and read back."""
+    path = f"{tables.shared_dir(spark)}/tapeweave/log-{uuid.uuid4().hex}"
+    t, f = _traded(spark, sf_dir)
+    log = metrics.trade_log(t, f)
+    log.write.option("header", True).csv(path)
+    return spark.read.option("header", True).schema(log.schema).csv(path)
+
+
+@query("g1_once_a_direction", f"""{_CROSS}, o AS (SELECT * FROM out), pick AS (SELECT symbol, min(p) AS p, arg_min(side, p) AS last FROM o GROUP BY 1
+UNION ALL SELECT q.symbol, q.p, q.side FROM pick k JOIN o c ON c.symbol = k.symbol AND c.p = k.p JOIN o q ON q.symbol = k.symbol AND q.p = (SELECT min(x.p) FROM o x WHERE x.symbol = c.symbol AND x.p > c.xb AND x.side <> c.side))
+SELECT symbol, p AS placed_bar, side, xb AS exit_bar FROM o JOIN pick USING (symbol, p)""")
+def once_a_direction(spark, sf_dir):
+    f = _feats(spark, sf_dir)
+    t = studies.orders(f, studies.cross_signals(f), COSTS, once_a_direction=True).where("status = 'filled'")
+    return t.select("symbol", "placed_bar", "side", "exit_bar")
+
+
+@query("t1_atr_slippage", f"{_CROSS} SELECT g.symbol, g.p AS placed_bar, {r('g.raw_fill + 0.1 * l.atr')} AS fill_price FROM sig g JOIN l ON l.symbol = g.symbol AND l.bar_idx = g.p WHERE g.raw_fill IS NOT NULL")
+def atr_slippage(spark, sf_dir):
+    f = _feats(spark, sf_dir)
+    s = studies.cross_signals(f).join(f.select("symbol", "bar_idx", "atr"), ["symbol", "bar_idx"])
+    t = exits.priced(exits.resolve_exits(exits.resolve_fills(s, f), f), Costs(slippage_atr=0.1)).where("status = 'filled'")
+    return rounded(t.select("symbol", "placed_bar", "fill_price"))
+
+
 @query("t8_floating_pnl", f"""{_CROSS}, {_CHOSEN} SELECT b.symbol, b.bar_idx, {r("coalesce(sum(CASE WHEN side = 'LONG' THEN b.close - fill_price ELSE fill_price - b.close END), 0)", 4)} AS floating
 FROM bars b LEFT JOIN net n ON n.symbol = b.symbol AND b.bar_idx >= n.fb AND b.bar_idx < n.xb GROUP BY 1, 2""")
 def floating(spark, sf_dir):
@@ -380,28 +412,62 @@ def payouts_reset(spark, sf_dir):
 
 
 def _pair_rows(spark, sf_dir):
-    """Every pair of symbols, at the times both have."""
+    """Every pair of symbols, at the times both have, with z-score, correlation and ADX of the spread."""
     b = adapters.bars(spark, sf_dir)
     side = lambda x: b.select(F.col("symbol").alias(x), "ts", *(F.col(c).alias(f"{x}_{c}") for c in ("open", "close")))
     p = side("a").join(side("b"), "ts").where("a < b").withColumn("pair", F.concat_ws("/", "a", "b"))
-    p = adapters.numbered(p, ("pair",))
+    p = adapters.numbered(p, ("pair",)).withColumn("spread", F.col("a_close") - F.col("b_close"))
     by = Window.partitionBy("pair").orderBy("bar_idx")
-    return p.withColumn("z", roll.zscore(F.col("a_close") - F.col("b_close"), by, 30))
+    p = p.withColumns({"z": roll.zscore(F.col("spread"), by, 30), "corr": roll.rolling_corr(F.col("a_close"), F.col("b_close"), by, 30)})
+    return rec.spread_adx(p, "spread", 14, chunk=128)
 
 
-@query("x9_g4_pairs", f"""{WITH}, pr AS (SELECT a.symbol || '/' || b.symbol AS pair, a.ts, a.open AS ao, a.close AS ac, b.open AS bo, b.close AS bc, a.close - b.close AS d, row_number() OVER (PARTITION BY a.symbol, b.symbol ORDER BY a.ts) - 1 AS i FROM bars a JOIN bars b ON a.ts = b.ts AND a.symbol < b.symbol),
-zs AS (SELECT *, CASE WHEN count(d) OVER w = 30 THEN (d - avg(d) OVER w) / nullif(stddev_samp(d) OVER w, 0) END AS z FROM pr WINDOW w AS (PARTITION BY pair ORDER BY i ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)),
-u AS (SELECT pair, i, z, row_number() OVER (PARTITION BY pair ORDER BY i) AS k FROM zs WHERE z IS NOT NULL),
+_PAIRS = f"""{WITH}, pr AS (SELECT a.symbol || '/' || b.symbol AS symbol, a.ts, a.open AS ao, a.close AS ac, b.open AS bo, b.close AS bc, a.close - b.close AS d, row_number() OVER (PARTITION BY a.symbol, b.symbol ORDER BY a.ts) - 1 AS bar_idx FROM bars a JOIN bars b ON a.ts = b.ts AND a.symbol < b.symbol),
+mv AS (SELECT *, abs(d - lag(d) OVER w) AS t, CASE WHEN d - lag(d) OVER w > 0 THEN d - lag(d) OVER w WHEN d - lag(d) OVER w <= 0 THEN 0 END AS mp, CASE WHEN d - lag(d) OVER w < 0 THEN lag(d) OVER w - d WHEN d - lag(d) OVER w >= 0 THEN 0 END AS mm FROM pr WINDOW w AS (PARTITION BY symbol ORDER BY bar_idx)),
+{scan_sql('sa', 'mv', 't', '1.0/14')}, {scan_sql('sp', 'sa_t', 'mp', '1.0/14')}, {scan_sql('sm', 'sp_t', 'mm', '1.0/14')},
+dx AS (SELECT *, 100 * abs(100 * sp / nullif(sa, 0) - 100 * sm / nullif(sa, 0)) / nullif(100 * sp / nullif(sa, 0) + 100 * sm / nullif(sa, 0), 0) AS dx FROM sm_t), {scan_sql('adx', 'dx', 'dx', '1.0/14')},
+zs AS (SELECT *, CASE WHEN count(d) OVER w = 30 THEN (d - avg(d) OVER w) / nullif(stddev_samp(d) OVER w, 0) END AS z, CASE WHEN count(d) OVER w = 30 THEN corr(ac, bc) OVER w END AS c FROM adx_t WINDOW w AS (PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN 29 PRECEDING AND CURRENT ROW))"""
+
+
+def _walked(may: str) -> str:
+    return f"""{_PAIRS}, u AS (SELECT symbol AS pair, bar_idx AS i, z, coalesce({may}, false) AS may, row_number() OVER (PARTITION BY symbol ORDER BY bar_idx) AS k FROM zs WHERE z IS NOT NULL),
 walk AS (SELECT pair, 0::BIGINT AS k, 0 AS held, 0::BIGINT AS since, 0 AS was, 0::BIGINT AS opened, 0::BIGINT AS i, false AS shut FROM (SELECT DISTINCT pair FROM u)
-  UNION ALL SELECT u.pair, u.k, CASE WHEN held <> 0 THEN CASE WHEN out THEN 0 ELSE held END WHEN abs(z) > 1.5 AND abs(z) <= 5 THEN CASE WHEN z > 0 THEN -1 ELSE 1 END ELSE 0 END,
+  UNION ALL SELECT u.pair, u.k, CASE WHEN held <> 0 THEN CASE WHEN out THEN 0 ELSE held END WHEN may AND abs(z) > 1.5 AND abs(z) <= 5 THEN CASE WHEN z > 0 THEN -1 ELSE 1 END ELSE 0 END,
     CASE WHEN held <> 0 THEN since ELSE u.i END, held, since, u.i, held <> 0 AND out
   FROM walk JOIN (SELECT u.*, abs(z) > 5 OR abs(z) < 0.3 AS far FROM u) u ON u.pair = walk.pair AND u.k = walk.k + 1, LATERAL (SELECT far OR u.i - since >= 40 AS out)),
-legs AS (SELECT w.pair, was * (c.ac - o.ao) AS pa, -was * (c.bc - o.bo) AS pb FROM walk w JOIN pr o ON o.pair = w.pair AND o.i = w.opened + 1 JOIN pr c ON c.pair = w.pair AND c.i = w.i WHERE shut)
-SELECT pair, count(*) AS n, {r('100.0 * avg(CASE WHEN pa + pb > 0 THEN 1.0 ELSE 0.0 END)', 4)} AS win_rate, {r('sum(pa)', 4)} AS pnl_a, {r('sum(pb)', 4)} AS pnl_b, {r('sum(pa + pb)', 4)} AS pnl FROM legs GROUP BY 1""")
-def pairs(spark, sf_dir):
+legs AS (SELECT w.pair, w.i AS xb, was * (c.ac - o.ao) AS pa, -was * (c.bc - o.bo) AS pb FROM walk w JOIN pr o ON o.symbol = w.pair AND o.bar_idx = w.opened + 1 JOIN pr c ON c.symbol = w.pair AND c.bar_idx = w.i WHERE shut),
+cash AS (SELECT pair, xb, sum(pa) AS pa, sum(pb) AS pb FROM legs GROUP BY 1, 2),
+eq AS (SELECT symbol AS pair, bar_idx, 10000 + sum(coalesce(pa, 0)) OVER w + sum(coalesce(pb, 0)) OVER w AS equity FROM pr LEFT JOIN cash ON pair = symbol AND xb = bar_idx WINDOW w AS (PARTITION BY symbol ORDER BY bar_idx)),
+fall AS (SELECT pair, min(100 * (equity - peak) / peak) AS dd, 100 * (last(equity ORDER BY bar_idx) - first(equity ORDER BY bar_idx)) / first(equity ORDER BY bar_idx) AS ret FROM (SELECT *, max(equity) OVER (PARTITION BY pair ORDER BY bar_idx) AS peak FROM eq) GROUP BY 1)"""
+
+
+_PAIR_FIGURES = f"""SELECT pair, count(*) AS n, {r('100.0 * avg(CASE WHEN pa + pb > 0 THEN 1.0 ELSE 0.0 END)', 4)} AS win_rate, {r('sum(pa)', 4)} AS pnl_a, {r('sum(pb)', 4)} AS pnl_b, {r('sum(pa + pb)', 4)} AS pnl, {r('any_value(ret)', 4)} AS total_return, {r('any_value(dd)', 4)} AS max_dd_pct FROM legs JOIN fall USING (pair) GROUP BY 1"""
+
+
+def _pair_run(spark, sf_dir, may=None):
     rows = _pair_rows(spark, sf_dir)
-    t = studies.pair_trades(studies.pair_positions(rows, 1.5, 0.3, 5.0, 40), rows)
-    return rounded(studies.pair_summary(t), 4)
+    t = studies.pair_trades(studies.pair_positions(rows, 1.5, 0.3, 5.0, 40, may_enter=may), rows)
+    return t, studies.pair_equity(t, rows)
+
+
+@query("x9_g4_pairs", f"{_walked('true')} {_PAIR_FIGURES}")
+def pairs(spark, sf_dir):
+    return rounded(studies.pair_summary(*_pair_run(spark, sf_dir)), 4)
+
+
+@query("x9_g4_filtered_pairs", f"{_walked('c > -0.2 AND adx < 20')} {_PAIR_FIGURES}")
+def filtered_pairs(spark, sf_dir):
+    return rounded(studies.pair_summary(*_pair_run(spark, sf_dir, (F.col("corr") > -0.2) & (F.col("adx") < 20))), 4)
+
+
+@query("w22_pairs_equity", f"{_walked('true')} SELECT pair, bar_idx, {r('equity', 4)} AS equity FROM eq")
+def pairs_equity(spark, sf_dir):
+    return _pair_run(spark, sf_dir)[1].select("pair", "bar_idx", r(F.col("equity"), 4).alias("equity"))
+
+
+@query("e8_spread_adx", f"{_PAIRS} SELECT symbol AS pair, bar_idx, {r('adx')} AS adx FROM adx_t")
+def spread_adx(spark, sf_dir):
+    return rounded(_pair_rows(spark, sf_dir).select("pair", "bar_idx", "adx"))
 
 
 @query("g3_trend_signals", f"{WITH}, {_TRX}, {scan_sql('atr', 'x', 'tr', '1.0/14')}, q AS (SELECT *, CASE WHEN count(close) OVER w = 20 THEN avg(close) OVER w END AS m FROM atr_t WINDOW w AS (PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) SELECT symbol, bar_idx, {r('close - 2.0 * atr')} AS sl, {r('close + 3.0 * atr')} AS tp FROM q WHERE close > m AND atr IS NOT NULL AND bar_idx >= 50")

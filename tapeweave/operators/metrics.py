@@ -151,3 +151,14 @@ def comparison(stats: DataFrame, key: str = "run") -> DataFrame:
     """(metric, run, value) of a table of one row a run."""
     names = [c for c in stats.columns if c != key]
     return stats.select(key, *(F.col(c).cast("double").alias(c) for c in names)).unpivot(key, names, "metric", "value")
+
+
+def trade_log(trades: DataFrame, bars: DataFrame, keys=("symbol",)) -> DataFrame:
+    """The table of trades that people read: bar numbers and ISO times of order, fill and exit, prices to
+    four digits, money to two."""
+    placed = bars.select(*keys, F.col("bar_idx").alias("placed_bar"), F.col("ts").alias("placed_ts"))
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss").alias(c.replace("_ts", "_time"))
+    up = lambda c, d: (F.floor(F.col(c) * 10**d + 0.5) / 10**d).alias(c)
+    prices, money = ("fill_price", "exit_price", "sl", "tp"), ("pnl_gross", "pnl_net")
+    rows = trades.join(placed, [*keys, "placed_bar"])
+    return rows.select(*keys, "placed_bar", "fill_bar", "exit_bar", *(iso(c) for c in ("placed_ts", "fill_ts", "exit_ts")), "side", "exit_reason", *(up(c, 4) for c in prices), *(up(c, 2) for c in money))

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 OHLC = ("open", "high", "low", "close")
 
 
-def read_bars_csv(spark: SparkSession, path: str, symbol: str | None = None) -> DataFrame:
-    """Bars from CSV: the first column is the time (UTC if it names no zone), names in any case."""
+def read_bars_csv(spark: SparkSession, path: str, symbol: str | None = None, by_folder: str | None = None) -> DataFrame:
+    """Bars from CSV: the first column is the time (UTC if it names no zone), names in any case. The symbol
+    is `symbol`, or the value of the folders `by_folder`=... that the files lie in."""
     raw = spark.read.option("header", True).csv(path)
     raw = raw.toDF("ts", *(c.strip().lower() for c in raw.columns[1:]))
     missing = [c for c in OHLC if c not in raw.columns]
@@ -25,6 +26,8 @@ def read_bars_csv(spark: SparkSession, path: str, symbol: str | None = None) ->
     bars = raw.select(F.to_timestamp("ts").alias("ts"), *(F.col(c).cast("double").alias(c) for c in numbers))
     if symbol is not None:
         bars = bars.select(F.lit(symbol).alias("symbol"), "*")
+    elif by_folder is not None:
+        bars = raw.select(F.col(by_folder.lower()).cast("string").alias("symbol"), F.to_timestamp("ts").alias("ts"), *(F.col(c).cast("double").alias(c) for c in numbers))
     return bars.na.drop(subset=list(OHLC))
 
 
