@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tapeweave.functions import recursive as rec
 from tapeweave.functions import rolling as roll
+from tapeweave.jobs import studies
 from tapeweave.operators import align, exits, metrics, quality, slices
 from tapeweave.operators.exits import Costs
 from tapeweave.sources import adapters, bars
@@ -56,6 +57,89 @@ def test_chunked_scan_equals_pandas(spark, chunk):
     np.testing.assert_allclose(got["e"].to_numpy(float), want.to_numpy(float), rtol=1e-10, equal_nan=True)
 
 
+@pytest.mark.parametrize("chunk", [3, 40, 10_000])
+@pytest.mark.parametrize("alpha", [0.05, 0.5, 1.0])
+def test_later_nulls_weigh_by_position(spark, chunk, alpha):
+    rng = np.random.default_rng(3)
+    gone = [int(i) for i in rng.choice(300, 120, replace=False)] + list(range(100, 130))
+    b = walk(spark, 300).withColumn("close", F.when(~F.col("bar_idx").isin(gone), F.col("close")))
+    got = rec.ewm(b, {"e": ("close", alpha)}, chunk=chunk).orderBy("bar_idx").toPandas()
+    want = got["close"].ewm(alpha=alpha, adjust=False, ignore_na=False).mean()
+    np.testing.assert_allclose(got["e"].to_numpy(float), want.to_numpy(float), rtol=1e-9, equal_nan=True)
+
+
+def test_a_backtest_reads_and_computes_its_features_once(spark):
+    b = adapters.numbered(adapters.bars(spark, "/root/testdata/sf0.001"))
+    f = studies.features(b)
+    nodes = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert nodes(f).count("Pandas") == 0 and nodes(f).count("Scan parquet") == 1
+    assert nodes(studies.backtest(f, studies.cross_signals(f))).count("Pandas") == 0
+    walked = nodes(studies.walk_forward(b, studies.param_grid(spark, {"k": [1.0], "rr": [1.0, 2.0]}), 60, 20, warmup=10))
+    assert walked.count("FlatMapGroupsInPandas") == 0
+
+
+def test_trailing_stop_equals_a_walk_along_the_bars(spark):
+    b = walk(spark, 240)
+    rows = b.orderBy("bar_idx").collect()
+    side = F.when(F.col("bar_idx") % 2 == 0, "LONG").otherwise("SHORT")
+    far = lambda sign: F.col("close") + F.when(F.col("bar_idx") % 2 == 0, sign).otherwise(-sign)
+    s = b.where("bar_idx % 5 = 0").select("symbol", "bar_idx", side.alias("side"), F.lit("market").alias("order_type"), F.col("close").alias("limit_price"), far(-6.0).alias("sl"), far(9.0).alias("tp"), F.lit(1).alias("expiry"), F.col("bar_idx").alias("signal_id"), F.lit(1.0).alias("size"))
+    costs = Costs(spread=0.05, trail_pct=0.02, trail_activation=0.01)
+    got = {r.placed_bar: (r.exit_bar, r.exit_reason, round(r.raw_exit, 9)) for r in exits.resolve_trailing_exits(exits.resolve_fills(s, b), b, costs, 3).where("status = 'filled'").collect()}
+    for g in s.collect():
+        p, long = g.bar_idx, g.side == "LONG"
+        if p + 1 >= len(rows):
+            assert p not in got
+            continue
+        paid, stop, end = rows[p + 1].open + (0.05 if long else 0), g.sl, None
+        for r in rows[p + 2 :]:
+            if (r.open <= stop) if long else (r.open >= stop):
+                end = (r.bar_idx, "sl", r.open)
+            elif (r.open >= g.tp) if long else (r.open <= g.tp):
+                end = (r.bar_idx, "tp", r.open)
+            else:
+                if long and (r.high - paid) / paid >= 0.01:
+                    stop = max(stop, r.high * 0.98)
+                if not long and (paid - r.low) / paid >= 0.01:
+                    stop = min(stop, r.low * 1.02)
+                if (r.low <= stop) if long else (r.high >= stop):
+                    end = (r.bar_idx, "sl", stop)
+                elif (r.high >= g.tp) if long else (r.low <= g.tp):
+                    end = (r.bar_idx, "tp", g.tp)
+            if end:
+                break
+        end = end or (rows[-1].bar_idx, "end_of_data", rows[-1].close)
+        assert got[p] == (end[0], end[1], round(end[2], 9)), p
+
+
+def test_one_equity_sizes_the_orders_of_a_portfolio(spark):
+    b = walk(spark, 150).unionByName(walk(spark, 150, "b", 7))
+    s = b.where("bar_idx % 4 = 1").select("symbol", "bar_idx", F.lit("LONG").alias("side"), F.lit("market").alias("order_type"), F.col("close").alias("limit_price"), (F.col("close") - 2).alias("sl"), (F.col("close") + 3).alias("tp"), F.lit(1).alias("expiry"), F.col("bar_idx").alias("signal_id"), F.lit(1.0).alias("size"), F.lit("p").alias("portfolio"))
+    sizing, costs = exits.Sizing("pct_equity", 0.05, 0.01, 0.01, 2.0, 1000.0), Costs(commission=0.2)
+    got = {(r.symbol, r.placed_bar): r.size for r in studies.orders(b, s, costs, sizing=sizing, capital=("portfolio",)).where("status = 'filled'").collect()}
+    units = {(r.symbol, r.placed_bar): r for r in exits.priced(exits.resolve_exits(exits.resolve_fills(s, b), b, costs), costs).collect()}
+    equity, open_until, want, cash = 1000.0, {}, {}, []
+    for bar in range(150):
+        for symbol in "ab":  # the order is placed before this symbol's fills and exits of the bar
+            u = units.get((symbol, bar))
+            if u and u.status == "filled" and open_until.get(symbol, -1) < bar:
+                raw = max(0.01, round(equity * 0.05 / 2 / 0.01) * 0.01)
+                if raw * u.limit_price > 2 * equity:
+                    raw = max(0.01, int(2 * equity / u.limit_price / 0.01) * 0.01)
+                want[symbol, bar] = raw
+                open_until[symbol] = u.exit_bar
+                cash += [(u.fill_bar, symbol, -u.commission / 2 * raw), (u.exit_bar, symbol, u.pnl_net * raw)]
+            equity += sum(c for t, x, c in cash if (t, x) == (bar, symbol))
+    assert got.keys() == want.keys() and len(want) > 20 and got == pytest.approx(want)
+
+
+def test_symbols_without_a_rank_are_an_error(spark):
+    b = walk(spark, 3).unionByName(walk(spark, 3, "b"))
+    assert [r.symbol_rank for r in align.merge_symbols(b, align.symbol_ranks(b)).orderBy("ts", "symbol_rank").collect()] == [0, 1] * 3
+    with pytest.raises(Exception, match="no rank for symbol b"):
+        align.merge_symbols(b, align.symbol_ranks(b).where("symbol = 'a'")).collect()
+
+
 def test_numbering_is_dense_across_days(spark):
     b = make(spark, [(1, 1, 1, 1)] * 10).withColumn("ts", F.expr("timestampadd(HOUR, bar_idx * 7, timestamp_ntz'2024-01-01')")).drop("bar_idx")
     assert [r.bar_idx for r in adapters.numbered(b).orderBy("ts").collect()] == list(range(10))
