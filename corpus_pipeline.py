@@ -23,6 +23,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of near duplicates, of the smallest doc_id (a null one is the last
     choice); texts without words all stay. Rows are told by (doc_id, text), whatever ids repeat."""
+    docs, back = common.apart(docs, "doc_id", "text")
     found = jaccard.grouped(docs).withColumn("_wordless", F.col("n_shingles") == 0)
     # rows without words: each (doc_id, text) is a group of its own
     group = [F.when(~F.col("_wordless"), F.col("component")).alias("_group"), *(F.when(F.col("_wordless"), F.col(c)).alias(f"_{c}") for c in ("doc_id", "text_hash")), "_wordless"]
@@ -32,7 +33,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     # equal rows of a head come to one where they lie before they are moved
     each = F.when(F.col("_wordless"), F.monotonically_increasing_id())
     one = kept.withColumn("_each", each).groupBy("_id", "_hash", "_each").agg(F.first(F.struct(*docs.columns)).alias("_row"))
-    return one.select("_row.*")
+    return back(one.select("_row.*"))
 
 
 def _of_rows(docs: DataFrame, decided: DataFrame, how: str) -> DataFrame:
@@ -44,8 +45,9 @@ def _of_rows(docs: DataFrame, decided: DataFrame, how: str) -> DataFrame:
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of a benchmark item, each row by its own text."""
     common.keep_batches_small(spark)
+    docs, back = common.apart(docs, "doc_id", "text")
     found = winnowing.contamination(docs, common.read(spark, sf_dir, "benchmark")).where("n_hit > 0")
-    return _of_rows(docs, found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "left_anti")
+    return back(_of_rows(docs, found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "left_anti"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -97,6 +97,18 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
         spark.conf.set(BATCH_ROWS, before)
 
 
+def apart(docs: DataFrame, *keep: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """`docs` with all columns but `keep` under names that clash with nothing, and what takes a frame with
+    these columns to their old names and order, with the columns `more` behind them."""
+    names = docs.columns
+    inner = [n if n in keep else f"column{i}__" for i, n in enumerate(names)]
+
+    def back(df: DataFrame, *more: str) -> DataFrame:
+        return df.select(*inner, *more).toDF(*names, *more)
+
+    return docs.toDF(*inner), back
+
+
 def range_bounds(df: DataFrame, key: str, ranges: int) -> np.ndarray:
     """At most `ranges` - 1 ascending values of `key` that split its rows evenly (values that occur)."""
     if ranges < 2:

@@ -36,7 +36,7 @@ PATTERNS = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "secret": r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]{0,255}+[0-9])(?=[0-9_-]{0,255}+[A-Za-z])[A-Za-z0-9_-]{20,256}+(?![A-Za-z0-9_-])",
+    "secret": r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])(?=[0-9_-]*+[A-Za-z])[A-Za-z0-9_-]{20,}+",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "name": r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof)\. [A-Z][a-z]{1,30}+(?: [A-Z][a-z]{1,30}+)?(?![A-Za-z])",
     "card_part": r"(?<![0-9])[0-9]{13,19}(?![0-9])",
@@ -239,6 +239,11 @@ def train(docs: DataFrame) -> list[list[float]]:
 
 def with_spans(docs: DataFrame, model: list[list[float]]) -> DataFrame:
     """`docs` with `spans`: array of (start, rank, stop, kind, text, probability, base), by start and kind."""
+    plain, back = common.apart(docs.drop("spans"), "text")
+    return back(_with_spans(plain, model), "spans")
+
+
+def _with_spans(docs: DataFrame, model: list[list[float]]) -> DataFrame:
     kind = F.array(*(F.lit(k) for k in KINDS))
     (prior,), *tables = model
 
@@ -250,7 +255,7 @@ def with_spans(docs: DataFrame, model: list[list[float]]) -> DataFrame:
         return F.struct(c["start"].alias("start"), c["rank"].alias("rank"), c["stop"].alias("stop"), F.element_at(kind, c["rank"] + 1).alias("kind"), c["match"].alias("text"), p.alias("probability"), (c["rank"] < len(BASE)).alias("base"))
 
     none = F.array().cast("array<struct<start:int,rank:int,stop:int,kind:string,text:string,probability:double,base:boolean>>")
-    rows = with_candidates(docs.drop("spans")).withColumn("_j", F.when(F.size("_c") > 0, F.transform("_c", judged)).otherwise(none))
+    rows = with_candidates(docs).withColumn("_j", F.when(F.size("_c") > 0, F.transform("_c", judged)).otherwise(none))
     base = F.filter("_j", lambda s: s["base"])
     more = F.filter("_j", lambda s: ~s["base"] & (s["probability"] >= THRESHOLD))
     rows = rows.withColumns({"_b": base, "_x": more})
@@ -260,6 +265,7 @@ def with_spans(docs: DataFrame, model: list[list[float]]) -> DataFrame:
 
 def redacted(docs: DataFrame, model: list[list[float]]) -> DataFrame:
     """`docs` with each span in `text` replaced by its kind in brackets; n_chars follows if present."""
+    docs, back = common.apart(docs, "text", "n_chars")
     text = F.coalesce(F.col("text"), F.lit(""))
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -268,12 +274,12 @@ def redacted(docs: DataFrame, model: list[list[float]]) -> DataFrame:
         put = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), tag)
         return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.when(s["start"] >= acc["at"], put).otherwise(acc["out"]).alias("out"))
 
-    rows = with_spans(docs, model).withColumn("_t", F.aggregate("spans", zero, step))
+    rows = _with_spans(docs, model).withColumn("_t", F.aggregate("spans", zero, step))
     clean = F.when(F.size("spans") > 0, F.concat(F.col("_t.out"), F.substring(text, F.col("_t.at") + 1, F.length(text)))).otherwise(F.col("text"))
     rows = rows.withColumn("text", clean)
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+    return back(rows)
 
 
 def _listed(spans: Column) -> Column:

@@ -73,3 +73,26 @@ def test_each_row_is_judged_by_its_own_text(spark, tmp_path):
     rows = [(None, a), (1, a), (None, b), (None, b), (2, c), (2, d), (3, d + " tail"), (4, e), (4, e), (0, f), (5, g), (5, f), (None, ""), (None, ""), (6, None), (6, "")]
     got = held(corpus_pipeline.drop_near_duplicates(spark, make(rows), at))
     assert got == sorted([(1, a), (None, b), (2, c), (2, d), (4, e), (0, f), (5, g), (None, ""), (None, ""), (6, None), (6, "")], key=repr)
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Empty tables, nulls in any column, long and repeated rows, and columns with the names of ours."""
+    rng, at = random.Random(15), f"{tmp_path}/t"
+    tables(spark, at)
+    clashing = f"{SCHEMA}, _id string, _hash long, spans string, _c int, _t string, component long, `_each` int, c1 string, n_hit int, score double"
+    rest = ("i", 3, "s", 4, "t", 5, 6, "c", 7, 0.5)
+    texts = [None, "", " ", prose(rng, 90, 3000), prose(rng, 90, 3000), "word " * 30_000, "mail me@mail.com " + prose(rng, 60, 3000), "é" * 10]
+    rows = [(i, t, "en", "s", 1, *rest) for i, t in enumerate(texts)] + [(None, texts[3], None, None, None, *[None] * 10)] * 2 + [(4, texts[4], "en", "s", 1, *rest)]
+    for given in (rows, []):
+        docs = spark.createDataFrame(given, clashing)
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+            out = stage(spark, docs, at)
+            assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+            out.write.parquet(f"{tmp_path}/{len(given)}-{k}")
+            docs = spark.read.parquet(f"{tmp_path}/{len(given)}-{k}")
+        kept = docs.collect()
+        if given:  # no row is toxic or contaminated; copies of rows 3 and 4 go
+            assert sorted(r.doc_id for r in kept) == list(range(8)) and all(tuple(r)[5:] == rest for r in kept)
+            assert [r.text for r in kept if r.doc_id == 6][0].startswith("mail [EMAIL] ")
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, at)
+        assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in kept}
