@@ -47,6 +47,8 @@ PERCENT = 75
 COUNTERS, BLOCKS = 1 << 22, 16
 ENTRIES = 1_000_000
 HELD = 400_000
+#: Buckets of the connections that tasks have found among their own sets.
+STARS = 64
 #: Members of a segment, on average, in the largest sets of a band.
 FILL = 2.4
 #: Sets, and members of sets, that are compared with one another in one task, about; heads in each part.
@@ -302,7 +304,8 @@ def _unblob(blob: tuple, kind) -> tuple[np.ndarray, np.ndarray]:
 
 
 def index(docs: DataFrame, price: np.ndarray, buckets: int, words: int, percent: int) -> DataFrame:
-    """Index entries in blobs by bucket, one a hash and stretch of a task; in bucket -1 the stars of its others."""
+    """Index entries in blobs by bucket, one a hash and stretch of a task; the stars of its others in STARS
+    buckets below 0."""
     shared = docs.sparkSession.sparkContext.broadcast(price)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,7 +322,7 @@ def index(docs: DataFrame, price: np.ndarray, buckets: int, words: int, percent:
                 return
             sig, cls = _distinct(sig, cls)
             pairs = _forest(_stars(sig, cls), {})
-            yield from _blobs(np.full(len(pairs), -1), pairs[:, 0], pairs[:, 1])
+            yield from _blobs(-1 - pairs[:, 0] % STARS, pairs[:, 0], pairs[:, 1])
             lone = np.concatenate([[True], sig[1:] != sig[:-1]])
             sig, cls = sig[lone], cls[lone]
             yield from _blobs((sig % _U(buckets)).astype(np.int64), (sig >> _U(32)).astype("<u4"), cls)
@@ -362,19 +365,15 @@ REMEMBERED = 1_000_000
 def candidates(blobs: DataFrame) -> DataFrame:
     """Distinct pairs (a, b) that connect all sets that share an entry."""
 
-    def unpack(batches):
-        for batch in batches:
-            for blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                yield _pair_batch(np.stack(_unblob(blob, "<i8"), 1))
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, head = None, [], {}
 
         def flush():
             if held:
-                sig, cls = (np.concatenate(x) for x in zip(*held, strict=True))
+                left, right = (np.concatenate(x) for x in zip(*held, strict=True))
                 held.clear()
-                yield _pair_batch(_forest(_stars(*_distinct(sig, cls)), head))
+                pairs = np.unique(np.stack([left, right], 1), axis=0) if now < 0 else _stars(*_distinct(left, right))
+                yield _pair_batch(_forest(pairs, head))
                 if len(head) > REMEMBERED:
                     head.clear()
 
@@ -383,13 +382,11 @@ def candidates(blobs: DataFrame) -> DataFrame:
                 if bucket != now:
                     yield from flush()
                     now = bucket
-                held.append(_unblob(blob, "<u4"))
+                held.append(_unblob(blob, "<i8" if bucket < 0 else "<u4"))
         yield from flush()
 
-    within = blobs.where("bucket < 0").drop("bucket").mapInArrow(unpack, "a long, b long")
     n = common.shuffle_partitions(blobs.sparkSession)
-    across = blobs.where("bucket >= 0").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long")
-    return within.union(across).distinct()
+    return blobs.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long").distinct()
 
 
 def components(links: DataFrame, keep) -> DataFrame:
