@@ -125,6 +125,21 @@ def parameter_sweep(feats: DataFrame, grid: DataFrame, warmup: int = 50, costs:
     return backtest(feats, sweep_signals(feats, grid, warmup), costs, keys=("symbol", "combo_id"))
 
 
+def feature_sweep(rows: DataFrame, grid: DataFrame, warmup: int = 50, costs: Costs = Costs(), chunk: int = rec.CHUNK) -> DataFrame:
+    """`parameter_sweep` over a grid that may also name the parameters of features (fast, slow, n): those
+    are made once for each of their few distinct sets."""
+    names = [c for c in ("fast", "slow", "n") if c in grid.columns]
+    sets = [r.asDict() for r in grid.select(*names).distinct().collect()] if names else [{}]  # at most the grid's 500 rows
+    out = None
+    for own in sets:
+        part = grid
+        for name, value in own.items():
+            part = part.where(F.col(name) == value)
+        trades = parameter_sweep(features(rows, **own, chunk=chunk), part.select("combo_id", "k", "rr"), warmup, costs)
+        out = trades if out is None else out.unionByName(trades)
+    return out
+
+
 SCORES = {"pnl": "pnl", "pf": "profit_factor", "win_rate": "win_rate", "expectancy": "expectancy", "sharpe": "sharpe", "sortino": "sortino", "calmar": "calmar"}
 
 
@@ -150,7 +165,7 @@ def walk_forward(rows: DataFrame, grid: DataFrame, window: int, step: int, score
     starts = cut.groupBy("symbol", "window_idx", "phase").agg(F.min("bar_idx").alias("_first"))
     cut = cut.join(starts, ["symbol", "window_idx", "phase"])
     slice_ = cut.withColumns({"of": F.col("symbol"), "symbol": F.concat_ws("|", "symbol", "window_idx", "phase"), "bar_idx": F.col("bar_idx") - F.col("_first")}).drop("_first")
-    trades = parameter_sweep(features(slice_.drop("of", "window_idx", "phase"), chunk=chunk), grid, warmup, costs)
+    trades = feature_sweep(slice_.drop("of", "window_idx", "phase"), grid, warmup, costs, chunk)
     stats = scores(trades, slice_).withColumn("_score", F.coalesce(by, F.lit(-999.0)))
     names = slice_.select("symbol", "of", "window_idx", "phase").distinct().crossJoin(F.broadcast(grid))
     scored = names.join(stats, ["symbol", "combo_id"], "left").withColumns({"_score": F.coalesce("_score", F.lit(-999.0)), "n": F.coalesce("n", F.lit(0))})

@@ -62,8 +62,9 @@ net AS (SELECT *, CASE WHEN side = 'LONG' THEN exit_price - fill_price ELSE fill
 _PLAIN = f"{_PICK}, net AS (SELECT o.*, CASE WHEN side = 'LONG' THEN raw_exit - raw_fill ELSE raw_fill - raw_exit END AS pnl_net FROM out o JOIN pick USING (symbol, p))"
 
 
-def _scans(bars: str) -> str:
-    return f"{bars}, {_TRX}, {scan_sql('f', 'x', 'close', '2.0/11')}, {scan_sql('s', 'f_t', 'close', '2.0/31')}, {scan_sql('atr', 's_t', 'tr', '1.0/14')}"
+def _scans(bars: str, fast: str = "10", slow: str = "30") -> str:
+    """CTEs of the features; fast and slow may be columns of the bars."""
+    return f"{bars}, {_TRX}, {scan_sql('f', 'x', 'close', f'2.0/({fast} + 1)')}, {scan_sql('s', 'f_t', 'close', f'2.0/({slow} + 1)')}, {scan_sql('atr', 's_t', 'tr', '1.0/14')}"
 
 
 _FEATS = _scans(WITH)
@@ -286,6 +287,17 @@ def sweep(spark, sf_dir):
     return rounded(metrics.trade_stats(t, ("symbol", "combo_id")))
 
 
+_SETS = [(5, 20, 1.0, 1.5), (5, 20, 2.0, 1.5), (10, 40, 2.0, 1.0), (10, 40, 3.0, 1.0)]
+
+
+@query("x3_feature_sweep", f"""{_scans(f"""{_ALL}, grid(combo_id, fast, slow, k, rr) AS (VALUES {', '.join(f'({i}::BIGINT, {a}, {b}, {k}::DOUBLE, {rr}::DOUBLE)' for i, (a, b, k, rr) in enumerate(_SETS))}), bars AS (SELECT symbol || '|' || combo_id AS symbol, ts, open, high, low, close, volume, bar_idx, fast, slow, k, rr FROM all_bars, grid)""", "s.fast", "s.slow")},
+{_signals("k", "rr")}, {_EXITS}, {_PLAIN} SELECT {_stats("split_part(symbol, '|', 1) AS symbol, CAST(split_part(symbol, '|', 2) AS BIGINT) AS combo_id")} FROM net GROUP BY net.symbol""")
+def feature_sweep(spark, sf_dir):
+    grid = spark.createDataFrame([(i, *x) for i, x in enumerate(_SETS)], "combo_id long, fast int, slow int, k double, rr double")
+    t = studies.feature_sweep(base(spark, sf_dir), grid, chunk=128)
+    return rounded(metrics.trade_stats(t, ("symbol", "combo_id")))
+
+
 _WALK = f"""{_scans(f"""{_ALL}, {_GRID}, wins AS (SELECT sy, unnest(generate_series(0, n - 1)) AS w FROM (SELECT symbol AS sy, (count(*) - 300) // 100 AS n FROM all_bars GROUP BY 1) WHERE n > 0),
 slices AS (SELECT sy, w, 'IS' AS ph, 100 * w AS a, 100 * w + 300 AS z FROM wins UNION ALL SELECT sy, w, 'OOS', 300 + 100 * w, 400 + 100 * w FROM wins),
 bars AS (SELECT concat_ws('|', sy, w, ph, combo_id) AS symbol, ts, open, high, low, close, volume, bar_idx - a AS bar_idx, k, rr FROM all_bars JOIN slices ON symbol = sy AND bar_idx >= a AND bar_idx < z, grid)""")},
@@ -384,11 +396,15 @@ def account_rules(spark, sf_dir):
     return out.select("run", "rule", "status", "event", "event_bar", r(F.col("final"), 2).alias("final"), r(F.col("max_fall")).alias("max_fall"))
 
 
-@query("x11_circuit_breaker", f"{_EQ}, m AS (SELECT *, date_trunc('month', ts) AS mo, equity - first(equity) OVER (PARTITION BY run, date_trunc('month', ts) ORDER BY bar_idx) AS since FROM equity) SELECT run, CAST(mo AS DATE) AS day, min(bar_idx) AS bar_idx FROM m WHERE since <= -0.0002 * 1000000 GROUP BY 1, 2")
+@query("x11_circuit_breaker", f"""{_CROSS}, {_CHOSEN}, cash AS (SELECT symbol, b, sum(c) AS c FROM (SELECT symbol, fb AS b, -0.401 / 2 AS c FROM net UNION ALL SELECT symbol, xb, pnl_net FROM net) GROUP BY 1, 2),
+eq AS (SELECT b.symbol, b.bar_idx, b.ts, b.close, 10000 + sum(coalesce(c, 0)) OVER (PARTITION BY b.symbol ORDER BY b.bar_idx) AS equity FROM bars b LEFT JOIN cash ON b.symbol = cash.symbol AND b.bar_idx = cash.b),
+fl AS (SELECT e.symbol, e.bar_idx, coalesce(sum(CASE WHEN side = 'LONG' THEN e.close - fill_price ELSE fill_price - e.close END), 0) AS floating FROM eq e LEFT JOIN net n ON n.symbol = e.symbol AND e.bar_idx >= n.fb AND e.bar_idx < n.xb GROUP BY 1, 2),
+since AS (SELECT symbol, bar_idx, CAST(ts AS DATE) AS day, equity - first(equity) OVER (PARTITION BY symbol, CAST(ts AS DATE) ORDER BY bar_idx) + floating AS x FROM eq JOIN fl USING (symbol, bar_idx))
+SELECT symbol, day, min(bar_idx) AS bar_idx FROM since WHERE x <= -0.002 * 10000 GROUP BY 1, 2""")
 def circuit_breaker(spark, sf_dir):
-    # months stand for days: the equity table has one bar a day
-    e = adapters.equity(spark, sf_dir).withColumns({"ts": F.trunc("ts", "month"), "floating": F.lit(0.0)})
-    return studies.circuit_breaker(e, 0.02, 1_000_000.0)
+    t, f = _traded(spark, sf_dir)
+    e = metrics.equity_curve(f, t, 10_000.0).join(metrics.floating(f, t).select("symbol", "bar_idx", "floating"), ["symbol", "bar_idx"])
+    return studies.circuit_breaker(e, 0.2, 10_000.0, ("symbol",))
 
 
 @query("x12_payouts", f"""{_EQ}, days AS (SELECT run, ts AS day, equity, lag(equity) OVER w AS prev, lag(ts) OVER w AS pday FROM equity WINDOW w AS (PARTITION BY run ORDER BY ts)),
