@@ -160,5 +160,13 @@ def pack_documents(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id
     return pack(common.stored(cut(docs, tokenizer, end_id, longest, with_ids), "pieces"), cap)
 
 
+def sequences(packed: DataFrame) -> DataFrame:
+    """(sequence_id, doc_ids, ids) of `packed` pieces with ids: what a training run reads. A group is one
+    sequence, so at most its capacity in ids (little-endian unsigned 32-bit integers)."""
+    parts = packed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "doc_id", "ids"))).alias("parts"))
+    ids = F.aggregate("parts", F.lit(b"").cast("binary"), lambda out, x: F.concat(out, x["ids"]))
+    return parts.select("sequence_id", F.col("parts.doc_id").alias("doc_ids"), ids.alias("ids"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(common.read(spark, sf_dir, "documents"))

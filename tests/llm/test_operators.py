@@ -75,6 +75,19 @@ def test_packing_places_every_piece_once(spark):
     assert packing.pack_documents(docs(spark, [])).count() == 0
 
 
+def test_sequences_hold_the_ids_of_their_pieces(spark):
+    rng = random.Random(6)
+    texts = [*ODD, *(prose(rng, rng.randint(1, 900)) for _ in range(12))]
+    enc = tokens.Encoder(tokens.tokenizer_path())
+    ids = [np.append(np.frombuffer(enc.encode(t or ""), enc.dtype), 2).astype("<u4") for t in texts]
+    packed = packing.pack_documents(docs(spark, texts), with_ids=True)
+    found = {r.sequence_id: (r.doc_ids, np.frombuffer(r.ids, "<u4")) for r in packing.sequences(packed).collect()}
+    assert sum(len(x) for _, x in found.values()) == sum(map(len, ids))
+    for r in packed.collect():
+        own = found[r.sequence_id]
+        assert r.doc_id in own[0] and own[1][r.offset : r.offset + r.length].tolist() == ids[r.doc_id][r.start : r.start + r.length].tolist()
+
+
 def test_codes_give_any_token_without_decoding_the_rest():
     rng = np.random.default_rng(1)
     for n in (0, 1, 511, 512, 513, 5000):
