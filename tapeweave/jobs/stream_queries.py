@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import adapters
+from ..sources import adapters, tables
 from ..streaming import bars as streams
 from .bar_queries import _BARS, _TICKS
 
@@ -18,11 +17,7 @@ SQL: dict[str, str] = {}
 
 def _folder(spark: SparkSession) -> str:
     """A new folder that driver and executors share."""
-    context = spark.sparkContext
-    found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="tapeweave-stream-")
-    return f"{found.rstrip('/')}/streams/{uuid.uuid4().hex}"
+    return f"{tables.shared_dir(spark)}/streams/{uuid.uuid4().hex}"
 
 
 def _source(spark: SparkSession, sf_dir: str) -> DataFrame:
