@@ -177,12 +177,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of a run of texts, A-Z lower-cased: (64-bit hash, owner row, start byte, end byte) each."""
+def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of a run of texts, A-Z lower-cased if `fold`: (64-bit hash, owner row, start byte, end byte) each."""
     empty = np.empty(0, np.int64)
     if not len(data):
         return empty.astype(np.uint64), empty, empty, empty
-    low = _FOLD[data]
+    low = _FOLD[data] if fold else data
     inside = table[low]
     first = np.zeros(len(data) + 1, bool)
     first[offsets[:-1]] = True  # a text's first byte starts a word whatever came before
