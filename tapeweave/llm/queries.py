@@ -16,6 +16,7 @@ _WHERE = {
     "op8_directly_addressable_codes": "dac",
     "op9_maximum_scoring_segments": "toxicity",
     "op10_universe_partition": "jaccard",
+    "op11_inverted_multi_index": "negatives",
     "op12_merkle_manifest": "manifest",
     "op13_quality_rules": "quality",
 }
