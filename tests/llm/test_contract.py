@@ -187,10 +187,29 @@ def test_op10(spark, texts):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in result(spark, "op10_universe_partition")} == want
 
 
+def test_op13(spark, tables, texts):
+    """Base columns by hand; the verdict against the labels, of which the model knows most here."""
+    rows, quality = result(spark, "op13_quality_rules"), {r[0]: r[1] for r in tables["labels"]}
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    right = []
+    for r in rows:
+        text = texts[r.doc_id]
+        own = re.findall(r"[^\x20\x09-\x0D]+", text)
+        windows = collections.Counter(zip(own, own[1:], own[2:], strict=False))
+        again = {k + j for k in range(len(own) - 2) if windows[tuple(own[k : k + 3])] > 1 for j in range(3)}
+        lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        want = len(own), sum(map(len, own)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(again)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
+        assert r.base_failed == (len(own) < 50 or 100 * len(again) > 50 * len(own)) and not (r.kept and r.base_failed)
+        if r.doc_id in quality and not r.base_failed:
+            right.append(r.kept == bool(quality[r.doc_id]))
+    assert sum(right) >= 0.9 * len(right)
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
+    for t in ("documents", "benchmark", "conversations", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     theirs = con.sql(queries.oracle_sql()[name])
     ours = queries.queries()[name](spark, SF).select(*theirs.columns)

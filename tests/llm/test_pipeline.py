@@ -53,7 +53,7 @@ def test_run_and_registration(spark, tmp_path):
     at = f"{tmp_path}/t"
     tables(spark, at)
     assert corpus_pipeline.run(spark, at).select("doc_id").distinct().count() > 150
-    assert sorted(int(n[2:].split("_")[0]) for n in registered.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registered.queries()) == list(range(1, 14))
 
 
 def test_each_row_is_judged_by_its_own_text(spark, tmp_path):
