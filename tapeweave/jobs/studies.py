@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import recursive as rec
-from ..operators import exits, metrics, slices
+from ..functions import rolling
+from ..operators import chains, exits, metrics, slices
 from ..operators.exits import Costs, Sizing
 from ..sources.tables import kept
 
@@ -353,50 +354,201 @@ def payouts(equity: DataFrame, first_after: int = 30, every: int = 14, split: fl
 # --- pairs ---------------------------------------------------------------------------------------
 
 
-def pair_positions(rows: DataFrame, entry: float = 2.0, leave: float = 0.5, stop: float = 4.0, most_hold: int = 60, keys=("pair",), may_enter: Column | None = None) -> DataFrame:
+def pair_bars(bars: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The bars of the pairs of a list (a, b) at the times both have: pair, ts, and each leg's prices as a_open, b_open, ..."""
+    prices = "open", "high", "low", "close"
+    leg = lambda x: bars.select(F.col("symbol").alias(x), "ts", *(F.col(c).alias(f"{x}_{c}") for c in prices))
+    return pairs.select("a", "b").distinct().join(leg("a"), "a").join(leg("b"), ["b", "ts"]).withColumn("pair", F.concat_ws("/", "a", "b"))
+
+
+def _pair_entries(rows: DataFrame, entry: float, leave: float, stop: float, most_hold: int, keys, may_enter: Column | None, chunk: int) -> DataFrame:
+    """Every bar at which a position may begin (side, entry_bar), with exit_bar: the first bar after it within
+    `leave` or beyond `stop`, or else the first with a z-score from `most_hold` bars on. Null: no such bar."""
+    z, some = F.abs("z"), F.col("z").isNotNull()
+    looked = kept(chains.ahead(rows.select(*keys, "bar_idx", "z", (F.lit(True) if may_enter is None else F.coalesce(may_enter, F.lit(False))).alias("_may")), {"_far": some & ((z < leave) | (z > stop)), "_some": some}, keys, chunk), "looked")
+    begins = looked.where(F.col("_may") & (z > entry) & (z <= stop)).select(*keys, F.when(F.col("z") > 0, "SHORT").otherwise("LONG").alias("side"), F.col("bar_idx").alias("entry_bar"))
+    far = looked.select(*keys, (F.col("bar_idx") - 1).alias("entry_bar"), "_far")
+    due = looked.select(*keys, (F.col("bar_idx") - most_hold).alias("entry_bar"), "_some")
+    return begins.join(far, [*keys, "entry_bar"], "left").join(due, [*keys, "entry_bar"], "left").select(*keys, "side", "entry_bar", F.least("_far", "_some").alias("exit_bar"))
+
+
+def pair_positions(rows: DataFrame, entry: float = 2.0, leave: float = 0.5, stop: float = 4.0, most_hold: int = 60, keys=("pair",), may_enter: Column | None = None, chunk: int = chains.CHUNK) -> DataFrame:
     """Trades (side of the spread, entry_bar, exit_bar, why) from z-scores: in beyond `entry` where
     `may_enter` holds (filters by correlation, ADX, ...), out within `leave`, beyond `stop` or after `most_hold` bars.
 
-    Bars that can decide nothing are left out before the walk: those between `leave` and `entry` that are
-    no deadline of a bar at which a trade may begin. One group a pair walks the rest.
+    `rows`: all bars of a pair, bar_idx dense. Where a position would end follows from its entry, by looks ahead
+    that are cut in chunks; which entries are taken is a chain. One that is open at the last bar is left out.
     """
-    import pandas as pd
-
+    taken = chains.chained(_pair_entries(rows, entry, leave, stop, most_hold, keys, may_enter, chunk), F.col("entry_bar"), F.col("exit_bar"), keys, order=("entry_bar",), chunk=chunk)
     z = F.abs("z")
-    useful = rows.where(F.col("z").isNotNull()).select(*keys, "bar_idx", "z", (F.lit(True) if may_enter is None else F.coalesce(may_enter, F.lit(False))).alias("may"))
-    begins = useful.where(F.col("may") & (z > entry) & (z <= stop))
-    # the deadline: the first useful bar from `most_hold` bars on; without gaps that is the bar itself
-    dense = Window.partitionBy(*keys).orderBy("bar_idx")
-    after_gap = useful.withColumn("_gap", F.col("bar_idx") - F.lag("bar_idx").over(dense)).where("_gap > 1").select(*keys, "bar_idx")
-    due = begins.select(*keys, (F.col("bar_idx") + most_hold).alias("bar_idx")).distinct().union(after_gap).distinct().withColumn("_due", F.lit(True))
-    decisive = useful.join(due, [*keys, "bar_idx"], "left").where((z > entry) | (z < leave) | (z > stop) | F.col("_due")).drop("_due")
+    why = F.when(z > stop, "stop").when(z < leave, "revert").otherwise("time")
+    return taken.join(rows.select(*keys, F.col("bar_idx").alias("exit_bar"), "z"), [*keys, "exit_bar"]).select(*keys, "side", "entry_bar", "exit_bar", why.alias("why"))
 
-    def walk(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("bar_idx")
-        out, side, since = [], 0, 0
-        head = tuple(part[k].iloc[0] for k in keys)
-        for b, v, may in zip(part["bar_idx"].tolist(), part["z"].tolist(), part["may"].tolist(), strict=True):
-            if side:
-                why = "stop" if abs(v) > stop else "revert" if abs(v) < leave else "time" if b - since >= most_hold else None
-                if why:
-                    out.append((*head, "LONG" if side > 0 else "SHORT", since, b, why))
-                    side = 0
-            elif may and entry < abs(v) <= stop:
-                side, since = (-1 if v > 0 else 1), b
-        return pd.DataFrame(out, columns=[*keys, "side", "entry_bar", "exit_bar", "why"])
-
-    kinds = ", ".join(f"{k} {dict(rows.dtypes)[k]}" for k in keys)
-    return decisive.groupBy(*keys).applyInPandas(walk, f"{kinds}, side string, entry_bar long, exit_bar long, why string")
+
+def hedge_columns(rows: DataFrame, n: int = 30, keys=("pair",)) -> DataFrame:
+    """`rows` with what a spread of any ratio needs over the last n bars: ratio (slope of a on b by least squares, as
+    known at the bar), the means, variances and the covariance of both closes."""
+    by = Window.partitionBy(*keys).orderBy("bar_idx")
+    a, b, back = F.col("a_close"), F.col("b_close"), by.rowsBetween(1 - n, 0)
+    whole = F.count(a + b).over(back) == n
+    sums = {"mean_a": F.avg(a), "mean_b": F.avg(b), "var_a": F.var_samp(a), "var_b": F.var_samp(b), "cov_ab": F.covar_samp(a, b)}
+    rows = rows.withColumns({"_slope": rolling.rolling_hedge_ratio(a, b, by, n), **{c: F.when(whole, f.over(back)) for c, f in sums.items()}})
+    return rows.withColumn("ratio", F.last("_slope", True).over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("_slope")
+
+
+def hedged_z(ratio: Column | str) -> Column:
+    """The z-score of the spread a - ratio * b at a bar of `hedge_columns`."""
+    k = F.col(ratio) if isinstance(ratio, str) else ratio
+    gap = F.col("a_close") - k * F.col("b_close") - (F.col("mean_a") - k * F.col("mean_b"))
+    var = F.col("var_a") + k * k * F.col("var_b") - 2 * k * F.col("cov_ab")
+    return F.when(var > 0, gap / F.sqrt(var))
+
+
+def hedged_positions(rows: DataFrame, entry: float = 2.0, leave: float = 0.5, stop: float = 4.0, most_hold: int = 60, keys=("pair",), may_enter: Column | None = None, chunk: int = chains.CHUNK) -> DataFrame:
+    """`pair_positions` with a hedge ratio that rolls while there is no position and is frozen at the entry: the spread
+    that decides on the exit, and leg b's size (`ratio`), have the entry's. `rows`: those of `hedge_columns`.
+
+    As the exit depends on the entry's ratio, each possible entry is held against the `most_hold` bars after it, by
+    equality; on the last of them it ends in any case.
+    """
+    z = F.abs("_z")
+    may = F.lit(True) if may_enter is None else F.coalesce(may_enter, F.lit(False))
+    begins = rows.withColumn("_z", hedged_z("ratio")).where(may & (z > entry) & (z <= stop)).select(*keys, F.when(F.col("_z") > 0, "SHORT").otherwise("LONG").alias("side"), F.col("bar_idx").alias("entry_bar"), "ratio")
+    looks = begins.withColumn("bar_idx", F.explode(F.expr(f"sequence(entry_bar + 1, entry_bar + {most_hold})")))
+    at = looks.join(rows.drop("ratio"), [*keys, "bar_idx"]).withColumn("_z", hedged_z("ratio"))
+    why = F.when(z > stop, "stop").when(z < leave, "revert").when(F.col("bar_idx") == F.col("entry_bar") + most_hold, "time")
+    ends = at.groupBy(*keys, "entry_bar").agg(F.min_by(F.struct(F.col("bar_idx").alias("exit_bar"), why.alias("why")), F.when(why.isNotNull(), F.col("bar_idx"))).alias("_x"))
+    found = begins.join(ends, [*keys, "entry_bar"], "left").select(*keys, "side", "entry_bar", "_x.exit_bar", "_x.why", "ratio")
+    return chains.chained(found, F.col("entry_bar"), F.col("exit_bar"), keys, order=("entry_bar",), chunk=chunk).where("exit_bar is not null")
 
 
 def pair_trades(positions: DataFrame, rows: DataFrame, ratio: float = 1.0, keys=("pair",)) -> DataFrame:
-    """Both legs of each position, opened at the next bar's opens and closed at the exit bar's closes."""
+    """Both legs of each position, opened at the next bar's opens and closed at the exit bar's closes; leg b is
+    `ratio` units, or the position's own `ratio` if it has one."""
     at = rows.select(*keys, "bar_idx", "a_open", "b_open", "a_close", "b_close")
     opens = at.select(*keys, (F.col("bar_idx") - 1).alias("entry_bar"), "a_open", "b_open")
     closes = at.select(*keys, F.col("bar_idx").alias("exit_bar"), "a_close", "b_close")
     both = positions.join(opens, [*keys, "entry_bar"]).join(closes, [*keys, "exit_bar"])
     sign = F.when(F.col("side") == "LONG", 1.0).otherwise(-1.0)
-    return both.select(*keys, "side", "entry_bar", "exit_bar", "why", (sign * (F.col("a_close") - F.col("a_open"))).alias("pnl_a"), (-sign * ratio * (F.col("b_close") - F.col("b_open"))).alias("pnl_b"))
+    size = F.col("ratio") if "ratio" in positions.columns else F.lit(ratio)
+    return both.select(*keys, "side", "entry_bar", "exit_bar", "why", (sign * (F.col("a_close") - F.col("a_open"))).alias("pnl_a"), (-sign * size * (F.col("b_close") - F.col("b_open"))).alias("pnl_b"))
+
+
+def pair_orders(positions: DataFrame, rows: DataFrame, offset: float | None = None, ratio: float = 1.0, keys=("pair",)) -> DataFrame:
+    """The orders of both legs (leg a or b, side, status, fill_bar, fill_price, pnl): market orders for the bar after the
+    entry, or with `offset` limits at so much (a share) better than the entry bar's close.
+
+    A leg fills at the first bar that reaches its limit, at the open if that is beyond it. The position's exit comes
+    first in its bar and cancels what isn't filled by the bar before; a leg may so be left alone. What is filled
+    closes at the exit bar's close. A position lasts a bounded number of bars, so it is an equi-join.
+    """
+    legs = [F.struct(F.lit(leg).alias("leg"), F.when((F.col("side") == "LONG") == (leg == "a"), "LONG").otherwise("SHORT").alias("_side"), *(F.col(f"{leg}_{c}").alias(c) for c in ("open", "high", "low", "close"))) for leg in "ab"]
+    at = kept(positions.select(*keys, "entry_bar", "exit_bar", "side").withColumn("bar_idx", F.explode(F.sequence("entry_bar", "exit_bar"))).join(rows.select(*keys, "bar_idx", *(f"{leg}_{c}" for leg in "ab" for c in ("open", "high", "low", "close"))), [*keys, "bar_idx"]).withColumn("_leg", F.explode(F.array(*legs))).select(*keys, "entry_bar", "exit_bar", "bar_idx", "_leg.*"), "legs")
+    each = [*keys, "entry_bar", "leg"]
+    long = F.col("_side") == "LONG"
+    price = F.col("close") * F.when(long, 1 - (offset or 0.0)).otherwise(1 + (offset or 0.0))
+    asked = at.where("bar_idx = entry_bar").select(*each, price.alias("limit_price"))
+    looks = at.where("bar_idx > entry_bar and bar_idx < exit_bar").join(asked, each)
+    touched = F.lit(True) if offset is None else F.when(long, F.col("low") <= F.col("limit_price")).otherwise(F.col("high") >= F.col("limit_price"))
+    paid = F.col("open") if offset is None else F.when(long, F.least("open", "limit_price")).otherwise(F.greatest("open", "limit_price"))
+    fills = looks.where(touched).groupBy(*each).agg(F.min_by(F.struct(F.col("bar_idx").alias("fill_bar"), paid.alias("fill_price")), "bar_idx").alias("_f"))
+    out = at.where("bar_idx = exit_bar").join(fills, each, "left")
+    size = F.when(F.col("leg") == "a", 1.0).otherwise(ratio) * F.when(long, 1.0).otherwise(-1.0)
+    return out.select(*each, "exit_bar", F.col("_side").alias("side"), F.when(F.col("_f").isNull(), "cancelled").otherwise("filled").alias("status"), "_f.fill_bar", "_f.fill_price", (size * (F.col("close") - F.col("_f.fill_price"))).alias("pnl"))
+
+
+def breaker_positions(rows: DataFrame, percent: float, initial: float = 10_000.0, entry: float = 2.0, leave: float = 0.5, stop: float = 4.0, most_hold: int = 60, ratio: float = 1.0, warmup: int = 0, keys=("pair",), may_enter: Column | None = None, chunk: int = chains.CHUNK, days: int = 4096) -> DataFrame:
+    """The run of `pair_positions` with a daily circuit breaker that acts on it (side, entry_bar, exit_bar, why, status,
+    pnl). `rows`: all bars of a pair with ts, z and both legs' opens and closes.
+
+    At each bar from `warmup` on, before anything else: profit closed since the day's first bar, and the open position's
+    whole floating profit at the close, at or below -percent of `initial` closes the position at that close
+    (`daily_circuit_breaker`) and blocks entries till midnight. Market orders fill at the next bar's open; an exit on
+    that bar cancels them. What is open at the last bar ends there (`end_of_data`).
+
+    What a day comes to depends only on the position it starts with: none, or one of those that can live till its first
+    bar. So each day is worked out for each of them, in a task of its own, and the days' outcomes form a chain.
+    """
+    limit = percent / 100 * initial
+    bars = kept(rows.select(*keys, "bar_idx", F.to_date("ts").alias("_day"), "z", "a_open", "b_open", "a_close", "b_close", (F.lit(True) if may_enter is None else F.coalesce(may_enter, F.lit(False))).alias("_may")), "pair-bars")
+    entries = _pair_entries(bars.withColumn("_on", F.col("_may") & (F.col("bar_idx") >= warmup)), entry, leave, stop, most_hold, keys, F.col("_on"), chunk)
+    number = Window.partitionBy(*keys).orderBy("_day")
+    dated = bars.groupBy(*keys, "_day").agg(F.min("bar_idx").alias("_first"), F.max("bar_idx").alias("_last")).withColumns({"_k": F.row_number().over(number) - 1, "_end": F.lead("_day").over(number).isNull()})
+    dated = kept(dated, "days")
+    numbered = bars.join(dated.select(*keys, "_day", "_k"), [*keys, "_day"]).drop("_day")
+    of = lambda name, at: numbered.select(*keys, F.col("bar_idx").alias(at), F.col("_k").alias(name))
+    opens = bars.select(*keys, (F.col("bar_idx") - 1).alias("entry_bar"), F.col("a_open").alias("fa_"), F.col("b_open").alias("fb_"))
+    sign = F.when(F.col("side") == "LONG", 1).otherwise(-1).alias("sign_")
+    last = dated.groupBy(*keys).agg(F.max("_k").alias("_ends"))
+    whole = entries.join(of("_k", "entry_bar"), [*keys, "entry_bar"]).join(of("_out", "exit_bar"), [*keys, "exit_bar"], "left").join(opens, [*keys, "entry_bar"], "left").join(last, [*keys])
+    whole = kept(whole.select(*keys, "_k", "entry_bar", "exit_bar", sign, "fa_", "fb_", F.coalesce("_out", "_ends").alias("_out")), "entries")
+    # a position is a way to start each day after its own, up to that of its exit
+    alive = whole.where("_out > _k").withColumn("_k", F.explode(F.sequence(F.col("_k") + 1, F.col("_out")))).withColumn("_own", F.lit(False))
+    known = whole.withColumn("_own", F.lit(True)).unionByName(alive)
+    path = numbered.join(dated.select(*keys, "_k", "_end"), [*keys, "_k"]).select(*keys, "_k", "_end", "bar_idx", "a_close", "b_close")
+
+    def play(bars, known):
+        import numpy as np
+        import pandas as pd
+
+        bars = bars.sort_values("bar_idx")
+        head = tuple(bars[k].iloc[0] for k in (*keys, "_k"))
+        first, final, ends = int(bars["bar_idx"].iloc[0]), int(bars["bar_idx"].iloc[-1]), bool(bars["_end"].iloc[0])
+        a, b, on = bars["a_close"].to_numpy(float), bars["b_close"].to_numpy(float), bars["bar_idx"].to_numpy() >= warmup
+        known = known.sort_values("entry_bar")
+        held = {r.entry_bar: r for r in known.itertuples()}
+        own = known["entry_bar"][known["_own"]].to_numpy()
+
+        def day(start):
+            """The position after the day (-1: none) and its trades, if it starts with `start`."""
+            closed, i, now, trades = 0.0, first, start, []
+            while i <= final:
+                if now < 0:
+                    reach = max(i, warmup)
+                    if closed <= -limit and reach <= final:
+                        return -1, trades
+                    at = np.searchsorted(own, i)
+                    if at == len(own):
+                        return -1, trades
+                    now = int(own[at])
+                    i = now + 1
+                    continue
+                p = held[now]
+                out = final if np.isnan(p.exit_bar) else min(int(p.exit_bar), final)
+                span = slice(i - first, out - first + 1)
+                worth = p.sign_ * ((a[span] - p.fa_) - ratio * (b[span] - p.fb_))
+                worth = np.where(np.arange(i, out + 1) > now + 1, worth, 0.0)  # the order is pending till its bar is over
+                bad = np.flatnonzero((closed + worth <= -limit) & on[span])
+                if len(bad):
+                    cut, why = i + int(bad[0]), "daily_circuit_breaker"
+                elif not np.isnan(p.exit_bar) and p.exit_bar <= final:
+                    cut, why = out, "exit"
+                else:
+                    return (now, trades) if not ends else (-1, [*trades, (p.sign_, now, final, "end_of_data", final > now, float(p.sign_ * ((a[-1] - p.fa_) - ratio * (b[-1] - p.fb_))) if final > now else 0.0)])
+                filled, gain = cut > now + 1, float(worth[cut - i])
+                trades.append((p.sign_, now, cut, why, filled, gain))
+                if why != "exit":
+                    return -1, trades
+                closed, i, now = closed + gain, cut + 1, -1
+            if now >= 0 and ends:  # placed on the last bar of all
+                return -1, [*trades, (held[now].sign_, now, final, "end_of_data", False, 0.0)]
+            return now, trades
+
+        rows = []
+        for start in [-1, *known["entry_bar"][~known["_own"]].tolist()]:
+            to, trades = day(int(start))
+            rows.append((*head, int(start), to, [dict(zip(("sign", "entry_bar", "exit_bar", "why", "filled", "pnl"), t, strict=True)) for t in trades]))
+        return pd.DataFrame(rows, columns=[*keys, "_k", "_start", "_to", "_trades"])
+
+    kinds = ", ".join(f"`{k}` {dict(rows.dtypes)[k]}" for k in keys)
+    outcome = path.groupBy(*keys, "_k").cogroup(known.groupBy(*keys, "_k")).applyInPandas(play, f"{kinds}, _k int, _start long, _to long, _trades array<struct<sign:int,entry_bar:long,exit_bar:long,why:string,filled:boolean,pnl:double>>")
+    # a day's place in the chain: its number, then what it starts with
+    place = lambda k, state: F.shiftleft(k.cast("long"), 32) + F.col(state) + 1
+    taken = chains.chained(kept(outcome, "outcomes"), place(F.col("_k"), "_start"), place(F.col("_k") + 1, "_to") - 1, keys, order=("_start",), chunk=days << 32)
+    out = taken.select(*keys, F.explode("_trades").alias("t")).select(*keys, F.when(F.col("t.sign") > 0, "LONG").otherwise("SHORT").alias("side"), "t.entry_bar", "t.exit_bar", F.col("t.why").alias("_why"), F.when(F.col("t.filled"), "filled").otherwise("cancelled").alias("status"), "t.pnl")
+    z = F.abs("z")
+    why = F.when(F.col("_why") != "exit", F.col("_why")).when(z > stop, "stop").when(z < leave, "revert").otherwise("time")
+    return out.join(bars.select(*keys, F.col("bar_idx").alias("exit_bar"), "z"), [*keys, "exit_bar"]).select(*keys, "side", "entry_bar", "exit_bar", why.alias("why"), "status", "pnl")
 
 
 def pair_equity(trades: DataFrame, rows: DataFrame, start: float = 10_000.0, keys=("pair",)) -> DataFrame:

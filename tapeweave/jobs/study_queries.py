@@ -427,15 +427,16 @@ def payouts_reset(spark, sf_dir):
 # --- pairs, timeframes, zones --------------------------------------------------------------------
 
 
-def _pair_rows(spark, sf_dir):
-    """Every pair of symbols, at the times both have, with z-score, correlation and ADX of the spread."""
-    b = adapters.bars(spark, sf_dir)
-    side = lambda x: b.select(F.col("symbol").alias(x), "ts", *(F.col(c).alias(f"{x}_{c}") for c in ("open", "close")))
-    p = side("a").join(side("b"), "ts").where("a < b").withColumn("pair", F.concat_ws("/", "a", "b"))
+def _pair_rows(spark, sf_dir, adx: bool = False):
+    """The pairs of a list, here each two event types once, at the times both have, with z-score and correlation, and
+    ADX of the spread; written once."""
+    b = tables.kept(adapters.bars(spark, sf_dir), "bars")
+    names = b.select("symbol").distinct()
+    p = studies.pair_bars(b, names.select(F.col("symbol").alias("a")).join(names.select(F.col("symbol").alias("b")), F.col("a") < F.col("b")))
     p = adapters.numbered(p, ("pair",)).withColumn("spread", F.col("a_close") - F.col("b_close"))
     by = Window.partitionBy("pair").orderBy("bar_idx")
     p = p.withColumns({"z": roll.zscore(F.col("spread"), by, 30), "corr": roll.rolling_corr(F.col("a_close"), F.col("b_close"), by, 30)})
-    return rec.spread_adx(p, "spread", 14, chunk=128)
+    return tables.kept(rec.spread_adx(p, "spread", 14, chunk=128) if adx else p, "pairs")
 
 
 _PAIRS = f"""{WITH}, pr AS (SELECT a.symbol || '/' || b.symbol AS symbol, a.ts, a.open AS ao, a.close AS ac, b.open AS bo, b.close AS bc, a.close - b.close AS d, row_number() OVER (PARTITION BY a.symbol, b.symbol ORDER BY a.ts) - 1 AS bar_idx FROM bars a JOIN bars b ON a.ts = b.ts AND a.symbol < b.symbol),
@@ -461,7 +462,7 @@ _PAIR_FIGURES = f"""SELECT pair, count(*) AS n, {r('100.0 * avg(CASE WHEN pa + p
 
 
 def _pair_run(spark, sf_dir, may=None):
-    rows = _pair_rows(spark, sf_dir)
+    rows = _pair_rows(spark, sf_dir, may is not None)
     t = studies.pair_trades(studies.pair_positions(rows, 1.5, 0.3, 5.0, 40, may_enter=may), rows)
     return t, studies.pair_equity(t, rows)
 
@@ -481,9 +482,68 @@ def pairs_equity(spark, sf_dir):
     return _pair_run(spark, sf_dir)[1].select("pair", "bar_idx", r(F.col("equity"), 4).alias("equity"))
 
 
+# The run with a breaker, bar by bar: position, entry, fill prices, profit closed today, whether the breaker is out; then what was closed.
+_BREAKER = f"""{_PAIRS}, u AS (SELECT symbol AS pair, bar_idx AS i, CAST(ts AS DATE) AS day, z, ao, bo, ac, bc, abs(z) > 5 OR abs(z) < 0.3 AS far, bar_idx = max(bar_idx) OVER (PARTITION BY symbol) AS ends FROM zs),
+run AS (SELECT pair, -1::BIGINT AS i, NULL::DATE AS day, 0 AS held, 0::BIGINT AS since, 0.0::DOUBLE AS fa, 0.0::DOUBLE AS fb, 0.0::DOUBLE AS won, false AS outed, 0 AS was, 0::BIGINT AS opened, ''::VARCHAR AS why, 0.0::DOUBLE AS gain FROM (SELECT DISTINCT pair FROM u)
+  UNION ALL SELECT pair, i, day, CASE WHEN shut THEN 0 WHEN held <> 0 THEN held WHEN out OR ends THEN 0 WHEN i >= 60 AND abs(z) > 1.5 AND abs(z) <= 5 THEN CASE WHEN z > 0 THEN -1 ELSE 1 END ELSE 0 END,
+    CASE WHEN held <> 0 THEN since ELSE i END, CASE WHEN held <> 0 AND since = i - 1 THEN ao ELSE fa END, CASE WHEN held <> 0 AND since = i - 1 THEN bo ELSE fb END,
+    won + CASE WHEN shut THEN CASE WHEN ends AND NOT trips AND NOT ripe THEN closing ELSE floating END ELSE 0 END, out,
+    CASE WHEN shut THEN held WHEN ends AND NOT out AND i >= 60 AND abs(z) > 1.5 AND abs(z) <= 5 THEN CASE WHEN z > 0 THEN -1 ELSE 1 END ELSE 0 END, CASE WHEN held <> 0 THEN since ELSE i END,
+    CASE WHEN trips THEN 'daily_circuit_breaker' WHEN ripe THEN CASE WHEN abs(z) > 5 THEN 'stop' WHEN abs(z) < 0.3 THEN 'revert' ELSE 'time' END ELSE 'end_of_data' END,
+    CASE WHEN NOT shut THEN 0 WHEN trips OR ripe THEN floating ELSE closing END
+  FROM (SELECT *, trips OR outed AS out, held <> 0 AND (trips OR ripe OR ends) AS shut FROM (SELECT *, NOT outed AND i >= 60 AND won + floating <= -25 AS trips,
+      held <> 0 AND NOT (NOT outed AND i >= 60 AND won + floating <= -25) AND z IS NOT NULL AND (far OR i - since >= 40) AS ripe
+    FROM (SELECT u.*, held, since, fa, fb, CASE WHEN run.day = u.day THEN won ELSE 0 END AS won, run.day = u.day AND outed AS outed,
+        CASE WHEN held <> 0 AND since < u.i - 1 THEN held * ((ac - fa) - 0.8 * (bc - fb)) ELSE 0 END AS floating, CASE WHEN held = 0 THEN 0 WHEN since < u.i - 1 THEN held * ((ac - fa) - 0.8 * (bc - fb)) ELSE held * ((ac - ao) - 0.8 * (bc - bo)) END AS closing
+      FROM run JOIN u ON u.pair = run.pair AND u.i = run.i + 1))))
+SELECT pair, CASE WHEN was > 0 THEN 'LONG' ELSE 'SHORT' END AS side, opened AS entry_bar, i AS exit_bar, why, CASE WHEN i > opened + CASE why WHEN 'end_of_data' THEN 0 ELSE 1 END THEN 'filled' ELSE 'cancelled' END AS status, {r('gain')} AS pnl FROM run WHERE was <> 0"""
+
+
+@query("x11_breaker_feedback", _BREAKER)
+def breaker_feedback(spark, sf_dir):
+    found = studies.breaker_positions(_pair_rows(spark, sf_dir), 0.25, 10_000.0, 1.5, 0.3, 5.0, 40, ratio=0.8, warmup=60)
+    return rounded(found.select("pair", "side", "entry_bar", "exit_bar", "why", "status", "pnl"))
+
+
+# Each possible entry with its own ratio held against the bars after it; then the first that each is free for.
+_HEDGED = f"""{_PAIRS}, hc AS (SELECT *, CASE WHEN k = 30 THEN slope END AS ratio FROM (SELECT symbol AS pair, bar_idx AS i, ao, bo, ac, bc, count(*) OVER w AS k, regr_slope(ac, bc) OVER w AS slope, avg(ac) OVER w AS ma, avg(bc) OVER w AS mb, var_samp(ac) OVER w AS va, var_samp(bc) OVER w AS vb, covar_samp(ac, bc) OVER w AS ab
+  FROM pr WINDOW w AS (PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN 29 PRECEDING AND CURRENT ROW))),
+begins AS (SELECT pair, i AS e, ratio, CASE WHEN ez > 0 THEN -1 ELSE 1 END AS sgn FROM (SELECT *, CASE WHEN va + ratio * ratio * vb - 2 * ratio * ab > 0 THEN (ac - ratio * bc - (ma - ratio * mb)) / sqrt(va + ratio * ratio * vb - 2 * ratio * ab) END AS ez FROM hc WHERE k = 30) WHERE abs(ez) > 1.5 AND abs(ez) <= 5),
+looks AS (SELECT b.*, h.i, CASE WHEN va + b.ratio * b.ratio * vb - 2 * b.ratio * ab > 0 THEN abs((ac - b.ratio * bc - (ma - b.ratio * mb)) / sqrt(va + b.ratio * b.ratio * vb - 2 * b.ratio * ab)) END AS hz FROM begins b JOIN hc h ON h.pair = b.pair AND h.i BETWEEN e + 1 AND e + 40),
+hx AS (SELECT pair, e, any_value(ratio) AS ratio, any_value(sgn) AS sgn, min(i) FILTER (hz > 5 OR hz < 0.3 OR i = e + 40) AS x, arg_min(CASE WHEN hz > 5 THEN 'stop' WHEN hz < 0.3 THEN 'revert' ELSE 'time' END, i) FILTER (hz > 5 OR hz < 0.3 OR i = e + 40) AS why FROM looks GROUP BY 1, 2),
+hn AS (SELECT o.*, (SELECT min(q.e) FROM hx q WHERE q.pair = o.pair AND q.e > o.x) AS n FROM hx o),
+hp AS (SELECT pair, min(e) AS e FROM hn GROUP BY 1 UNION ALL SELECT hn.pair, hn.n FROM hp JOIN hn ON hn.pair = hp.pair AND hn.e = hp.e WHERE hn.n IS NOT NULL)
+SELECT hx.pair, CASE WHEN sgn > 0 THEN 'LONG' ELSE 'SHORT' END AS side, hx.e AS entry_bar, x AS exit_bar, why, {r('hx.ratio')} AS ratio, {r('sgn * (c.ac - o.ao)')} AS pnl_a, {r('-sgn * hx.ratio * (c.bc - o.bo)')} AS pnl_b
+FROM hx JOIN hp USING (pair, e) JOIN pr o ON o.symbol = hx.pair AND o.bar_idx = hx.e + 1 JOIN pr c ON c.symbol = hx.pair AND c.bar_idx = x WHERE x IS NOT NULL"""
+
+
+@query("g4_i14_dynamic_hedge", _HEDGED)
+def dynamic_hedge(spark, sf_dir):
+    rows = tables.kept(studies.hedge_columns(_pair_rows(spark, sf_dir)), "hedge")
+    taken = studies.hedged_positions(rows, 1.5, 0.3, 5.0, 40)
+    t = studies.pair_trades(taken, rows).join(taken.select("pair", "entry_bar", "ratio"), ["pair", "entry_bar"])
+    return rounded(t.select("pair", "side", "entry_bar", "exit_bar", "why", "ratio", "pnl_a", "pnl_b"))
+
+
+@query("x9_t6_cancelled_legs", f"""{_walked('true')},
+pf AS (SELECT a.symbol || '/' || b.symbol AS pair, a.ts, a.high AS ah, a.low AS al, b.high AS bh, b.low AS bl FROM bars a JOIN bars b ON a.ts = b.ts AND a.symbol < b.symbol),
+pp AS (SELECT pr.symbol AS pair, bar_idx, ao, bo, ac, bc, ah, al, bh, bl FROM pr JOIN pf ON pf.pair = pr.symbol AND pf.ts = pr.ts),
+pos AS (SELECT pair, opened AS e, i AS x, was FROM walk WHERE shut),
+lg AS (SELECT p.*, l.leg, CASE WHEN (was > 0) = (l.leg = 'a') THEN 1 ELSE -1 END AS sgn FROM pos p, (VALUES ('a'), ('b')) l(leg)),
+pt AS (SELECT pair, 'a' AS leg, bar_idx, ao AS o, ah AS h, al AS l, ac AS c FROM pp UNION ALL SELECT pair, 'b', bar_idx, bo, bh, bl, bc FROM pp),
+lp AS (SELECT lg.*, pt.c * (1 - sgn * 0.2) AS lim FROM lg JOIN pt ON pt.pair = lg.pair AND pt.leg = lg.leg AND pt.bar_idx = e),
+fl AS (SELECT lp.pair, lp.leg, e, min(bar_idx) AS f, arg_min(CASE WHEN sgn > 0 THEN least(o, lim) ELSE greatest(o, lim) END, bar_idx) AS price FROM lp JOIN pt ON pt.pair = lp.pair AND pt.leg = lp.leg AND bar_idx > e AND bar_idx < x AND CASE WHEN sgn > 0 THEN l <= lim ELSE h >= lim END GROUP BY 1, 2, 3)
+SELECT lp.pair, lp.leg, lp.e AS entry_bar, x AS exit_bar, CASE WHEN sgn > 0 THEN 'LONG' ELSE 'SHORT' END AS side, CASE WHEN f IS NULL THEN 'cancelled' ELSE 'filled' END AS status, f AS fill_bar, {r('price')} AS fill_price, {r("sgn * CASE lp.leg WHEN 'a' THEN 1.0 ELSE 0.5 END * (c - price)")} AS pnl
+FROM lp LEFT JOIN fl USING (pair, leg, e) JOIN pt ON pt.pair = lp.pair AND pt.leg = lp.leg AND pt.bar_idx = x""")
+def cancelled_legs(spark, sf_dir):
+    rows = _pair_rows(spark, sf_dir)
+    found = studies.pair_orders(studies.pair_positions(rows, 1.5, 0.3, 5.0, 40), rows, 0.2, 0.5)
+    return rounded(found.select("pair", "leg", "entry_bar", "exit_bar", "side", "status", "fill_bar", "fill_price", "pnl"))
+
+
 @query("e8_spread_adx", f"{_PAIRS} SELECT symbol AS pair, bar_idx, {r('adx')} AS adx FROM adx_t")
 def spread_adx(spark, sf_dir):
-    return rounded(_pair_rows(spark, sf_dir).select("pair", "bar_idx", "adx"))
+    return rounded(_pair_rows(spark, sf_dir, True).select("pair", "bar_idx", "adx"))
 
 
 @query("g3_trend_signals", f"{WITH}, {_TRX}, {scan_sql('atr', 'x', 'tr', '1.0/14')}, q AS (SELECT *, CASE WHEN count(close) OVER w = 20 THEN avg(close) OVER w END AS m FROM atr_t WINDOW w AS (PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) SELECT symbol, bar_idx, {r('close - 2.0 * atr')} AS sl, {r('close + 3.0 * atr')} AS tp FROM q WHERE close > m AND atr IS NOT NULL AND bar_idx >= 50")

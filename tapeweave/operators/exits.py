@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import kept
+from . import chains
 
 #: Bars in a block of the first-touch index.
 BLOCK = 256
@@ -237,13 +238,17 @@ def _units(price: float, sl: float, sizing: Sizing, equity: float, to_usd: float
     return size
 
 
-def select_trades(candidates: DataFrame, most_open: int = 1, keys=("symbol",), once_a_direction: bool = False) -> DataFrame:
+def select_trades(candidates: DataFrame, most_open: int = 1, keys=("symbol",), once_a_direction: bool = False, chunk: int = chains.CHUNK) -> DataFrame:
     """The candidates that a trader with `most_open` places takes, in order of placed_bar.
 
     Nothing is placed while an order is pending; an exit frees its place from the next bar on. Each
-    outcome is known beforehand, so only this choice is sequential: one small group a series, over
-    candidates, not bars.
+    outcome is known beforehand, so with one place a candidate says which bar the next one must lie beyond, and
+    the choice is a chain (`chains.chained`), cut at `chunk` bars. With more places it is one group a series,
+    over candidates, not bars.
     """
+    if most_open == 1:
+        free = F.when(F.col("status") == "filled", F.col("exit_bar")).when(F.col("status") == "expired", F.col("placed_bar") + F.col("expiry"))
+        return chains.chained(candidates, F.col("placed_bar"), free, keys, F.col("side") if once_a_direction else None, chunk=chunk)
     import pandas as pd
 
     def choose(part: pd.DataFrame) -> pd.DataFrame:
