@@ -187,7 +187,7 @@ def split_fraction(spark, sf_dir):
     return slices.split_by_fraction(base(spark, sf_dir), 0.65, datetime.datetime(2024, 1, 25)).groupBy("symbol", "split").agg(F.count("*").alias("n"))
 
 
-@query("p3_session", f"{WITH} SELECT symbol, ts FROM bars WHERE hour(ts) BETWEEN 7 AND 12 OR hour(ts) BETWEEN 13 AND 17")
+@query("p3_session", f"{WITH} SELECT symbol, ts FROM bars WHERE (hour(ts) >= 7 AND hour(ts) < 12) OR (hour(ts) >= 13 AND hour(ts) < 17)")
 def session(spark, sf_dir):
     return adapters.bars(spark, sf_dir).where(slices.in_session(F.col("ts"), "both")).select("symbol", "ts")
 

@@ -34,29 +34,49 @@ def trend_signals(rows: DataFrame, sma: str = "sma", k: float = 2.0, rr: float =
     return out.select(*keys, "bar_idx", F.lit("LONG").alias("side"), F.lit("market").alias("order_type"), c.alias("limit_price"), (c - k * F.col("atr")).alias("sl"), (c + k * rr * F.col("atr")).alias("tp"), F.lit(1).alias("expiry"), F.col("bar_idx").alias("signal_id"), F.lit(1.0).alias("size"))
 
 
-def gap_zone_signals(rows: DataFrame, near: int = 10, most_age: int = 45, keys=("symbol",)) -> DataFrame:
-    """Limit orders into inverted gap zones: candidates (bar, zone), newest zone first.
+def gap_zones(rows: DataFrame, near: int = 20, most_age: int = 45, keys=("symbol",)) -> DataFrame:
+    """Gap zones that have turned (zone: the gap's bar, side they are traded to, top, bottom, turned).
 
     A gap counts if a sweep of its side stands in the `near` bars before it; it turns at the first
-    close beyond it within `most_age` bars and is traded for as many bars after. All looks are bounded,
-    so they are equi-joins on the bar. `rows`: bars with gap and sweep flags and atr.
+    close beyond it within `most_age` bars: gaps up to short zones, gaps down to long ones. `rows`: bars with gap
+    and sweep flags. All looks are bounded, so they are equi-joins on the bar.
     """
-    by = Window.partitionBy(*keys).orderBy("bar_idx")
-    w = by.rowsBetween(-near, -1)
-    seen = {s: F.max(F.col(f"sweep_{s}").cast("int")).over(w) for s in ("bear", "bull")}
-    zones = rows.withColumn("_bear", seen["bear"]).withColumn("_bull", seen["bull"])
-    kind = F.when(F.col("fvg_bear") & (F.col("_bear") == 1), "bear").when(F.col("fvg_bull") & (F.col("_bull") == 1), "bull")
-    zones = zones.withColumn("kind", kind).where("kind is not null and fvg_top > fvg_bottom").select(*keys, F.col("bar_idx").alias("zone"), "kind", F.col("fvg_top").alias("top"), F.col("fvg_bottom").alias("bottom"))
+    w = Window.partitionBy(*keys).orderBy("bar_idx").rowsBetween(-near, -1)
+    seen = {f"_{s}": F.max(F.col(f"sweep_{s}").cast("int")).over(w) for s in ("bear", "bull")}
+    side = F.when(F.col("fvg_bear") & (F.col("_bear") == 1), "LONG").when(F.col("fvg_bull") & (F.col("_bull") == 1), "SHORT")
+    zones = rows.withColumns(seen).withColumn("side", side).where("side is not null and fvg_top > fvg_bottom").select(*keys, F.col("bar_idx").alias("zone"), "side", F.col("fvg_top").alias("top"), F.col("fvg_bottom").alias("bottom"))
     ahead = zones.withColumn("bar_idx", F.explode(F.expr(f"sequence(zone + 1, zone + {most_age})")))
-    beyond = F.when(F.col("kind") == "bear", F.col("close") > F.col("top")).otherwise(F.col("close") < F.col("bottom"))
-    turned = ahead.join(rows.select(*keys, "bar_idx", "close"), [*keys, "bar_idx"]).where(beyond).groupBy(*keys, "zone", "kind", "top", "bottom").agg(F.min("bar_idx").alias("turned"))
-    active = turned.withColumn("bar_idx", F.explode(F.expr(f"sequence(turned + 1, turned + {most_age})")))
-    at = active.join(rows.select(*keys, "bar_idx", "close", "atr"), [*keys, "bar_idx"]).where("atr > 0")
-    long = F.col("kind") == "bear"
-    price = (F.col("top") + F.col("bottom")) / 2
-    inside = F.when(long, F.col("close") > price).otherwise(F.col("close") < price)
-    sign = F.when(long, 1.0).otherwise(-1.0)
-    return at.where(inside).select(*keys, "bar_idx", "zone", F.when(long, "LONG").otherwise("SHORT").alias("side"), F.lit("limit").alias("order_type"), price.alias("limit_price"), (price - sign * F.col("atr")).alias("sl"), (price + sign * 2 * F.col("atr")).alias("tp"), (F.col("turned") + most_age - F.col("bar_idx")).cast("int").alias("expiry"), F.lit(1.0).alias("size"))
+    beyond = F.when(F.col("side") == "LONG", F.col("close") > F.col("top")).otherwise(F.col("close") < F.col("bottom"))
+    return ahead.join(rows.select(*keys, "bar_idx", "close"), [*keys, "bar_idx"]).where(beyond).groupBy(*keys, "zone", "side", "top", "bottom").agg(F.min("bar_idx").alias("turned"))
+
+
+def gap_zone_signals(rows: DataFrame, near: int = 20, most_age: int = 45, entry_pct: float = 1.0, atr_sl: float = 1.5, tp_atr: float = 2.0, max_rr: float = 5.0, session: str = "all", warmup: int = 0, keys=("symbol",)) -> DataFrame:
+    """Limit orders into turned gap zones: a candidate for each bar of the session and each zone that turned in the
+    `most_age` bars before it and that the close isn't beyond.
+
+    The price lies `entry_pct` into the zone (0: the near edge, 1: the far one), the stop `atr_sl` times atr outside of
+    the zone, the target `tp_atr` times atr from the price; candidates whose target is more than `max_rr` times as far as
+    their stop are left out. Of a bar's candidates, short ones come first, then the latest turned, the latest gap;
+    signal_id has that order. Which are placed, one a bar and each zone once, depends on the trader:
+    `exits.select_trades` with `zone_unit()`.
+    """
+    active = gap_zones(rows, near, most_age, keys).withColumn("bar_idx", F.explode(F.expr(f"sequence(turned + 1, turned + {most_age})")))
+    at = active.join(rows.select(*keys, "bar_idx", "ts", "close", "atr"), [*keys, "bar_idx"]).where((F.col("atr") > 0) & (F.col("bar_idx") >= warmup) & slices.in_session(F.col("ts"), session))
+    long, c, depth = F.col("side") == "LONG", F.col("close"), entry_pct * (F.col("top") - F.col("bottom"))
+    at = at.where(F.when(long, c >= F.col("bottom")).otherwise(c <= F.col("top")))
+    price = F.when(long, F.col("top") - depth).otherwise(F.col("bottom") + depth)
+    sl = F.when(long, F.col("bottom") - atr_sl * F.col("atr")).otherwise(F.col("top") + atr_sl * F.col("atr"))
+    at = at.withColumns({"limit_price": price, "sl": sl}).withColumn("tp", F.col("limit_price") + F.when(long, tp_atr).otherwise(-tp_atr) * F.col("atr"))
+    dist = F.abs(F.col("limit_price") - F.col("sl"))
+    at = at.where((dist > 0) & (F.abs(F.col("tp") - F.col("limit_price")) / dist <= max_rr))
+    # a bar has at most 2 * most_age zones of a side
+    rank = F.row_number().over(Window.partitionBy(*keys, "bar_idx").orderBy(F.col("side").desc(), F.col("turned").desc(), F.col("zone").desc()))
+    return at.select(*keys, "bar_idx", "zone", "side", F.lit("limit").alias("order_type"), "limit_price", "sl", "tp", F.lit(most_age).alias("expiry"), (F.col("bar_idx") * (4 * most_age + 1) + rank).alias("signal_id"), F.lit(1.0).alias("size"))
+
+
+def zone_unit() -> Column:
+    """What is traded once: a zone and its side."""
+    return F.concat_ws(":", "side", "zone")
 
 
 # --- backtests -----------------------------------------------------------------------------------
@@ -72,9 +92,9 @@ def features(rows: DataFrame, fast: int = 10, slow: int = 30, n: int = 14, keys=
     return kept(rec.ewm(ranged, all_, keys, chunk=chunk).drop("_tr"), "features")
 
 
-def orders(rows: DataFrame, signals: DataFrame, costs: Costs = Costs(), most_open: int = 1, keys=("symbol",), once_a_direction: bool = False, sizing: Sizing | None = None, capital=None) -> DataFrame:
+def orders(rows: DataFrame, signals: DataFrame, costs: Costs = Costs(), most_open: int = 1, keys=("symbol",), once_a_direction: bool = False, sizing: Sizing | None = None, capital=None, unit: Column | None = None) -> DataFrame:
     """The orders that a trader places of `signals` on `rows`: filled ones with their exits and prices,
-    expired and pending ones with nulls there.
+    expired and pending ones with nulls there. `unit`: what only one order is placed of.
 
     With `sizing`, sizes follow from the equity at hand; `capital`: keys that share one equity (those of
     the run if none). Exits trail where the costs say so.
@@ -83,7 +103,7 @@ def orders(rows: DataFrame, signals: DataFrame, costs: Costs = Costs(), most_ope
     resolve = exits.resolve_trailing_exits if costs.trail_pct else exits.resolve_exits
     resolved = resolve(filled, rows, costs)
     if sizing is None:
-        return exits.priced(exits.select_trades(resolved, most_open, keys, once_a_direction), costs)
+        return exits.priced(exits.select_trades(resolved, most_open, keys, once_a_direction, unit=unit), costs)
     placed = rows.select("symbol", F.col("bar_idx").alias("placed_bar"), F.col("ts").alias("placed_ts"))
     units = exits.priced(resolved.join(placed, ["symbol", "placed_bar"]).withColumn("size", F.lit(1.0)), costs)
     return exits.select_sized_trades(units, sizing, most_open, capital or keys, once_a_direction, costs.inverse_price)

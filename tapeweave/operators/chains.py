@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import kept
+
 #: Width of a chunk, in units of the order (bars).
 CHUNK = 1 << 16
 LOWEST, HIGHEST = -(1 << 62), 1 << 62
@@ -110,3 +112,90 @@ def chained(candidates: DataFrame, at: Column, free: Column, keys=("symbol",), s
         return part.iloc[_Steps(part).taken(int(part["_from"].iloc[0]), int(part["_was"].iloc[0]))][names]
 
     return rows.groupBy(*keys, "_chunk").applyInPandas(take, candidates.schema)
+
+
+class _Matching:
+    """The candidates of whole islands, in order: a chain in which each unit is taken once."""
+
+    def __init__(self, part: pd.DataFrame):
+        self.at, self.free, island = (part[c].to_numpy(np.int64) for c in ("_at", "_free", "_island"))
+        self.unit = part["_unit"].tolist()
+        self.stop = np.searchsorted(island, island, "right")  # the end of each candidate's island
+
+    def taken(self, i: int, upto: int, used: set) -> tuple[list[int], int]:
+        """What is taken of candidates i to `upto` (of one island), and the place where the trader is free again."""
+        out = []
+        while i < upto:
+            if self.unit[i] in used:
+                i += 1
+                continue
+            out.append(i)
+            used.add(self.unit[i])
+            i = int(np.searchsorted(self.at, self.free[i], "right"))
+        return out, i
+
+    def walk(self, free: int) -> list[int]:
+        out, i = [], int(np.searchsorted(self.at, free, "right"))
+        while i < len(self.at):
+            own, i = self.taken(i, int(self.stop[i]), set())
+            out += own
+        return out
+
+    def ends(self) -> list[tuple[int, int]]:
+        """(place, free) for runs of places with the same end: the last `free` of what is taken from there on."""
+        n, end = len(self.at), {}
+        for i in range(n - 1, -1, -1):
+            if i and self.at[i - 1] == self.at[i]:
+                continue  # a place is entered at its first candidate
+            own, then = self.taken(i, int(self.stop[i]), set())
+            after = end.get(int(np.searchsorted(self.at, self.at[then], "left"))) if then < n else None
+            end[i] = after if after is not None else int(self.free[own[-1]]) if own else LOWEST
+        places = sorted(end)
+        return [(int(self.at[i]), end[i]) for i, j in zip(places, [*places[1:], None], strict=True) if j is None or end[j] != end[i]]
+
+
+def matched(candidates: DataFrame, at: Column, free: Column, unit: Column, keys=("symbol",), order=("signal_id",), chunk: int = CHUNK) -> DataFrame:
+    """`chained` where each `unit` is taken at most once: at each place, the first candidate by `order` whose unit is new.
+
+    Units live for a while; where the lives of none overlap, nothing is remembered but when the trader is free. So a
+    key's candidates fall into islands of overlapping units, and chunks of whole islands are composed as in `chained`.
+    """
+    names = candidates.columns
+    rows = candidates.withColumns({"_at": at.cast("long"), "_free": F.coalesce(free.cast("long"), F.lit(HIGHEST)), "_unit": unit.cast("string")})
+    lives = rows.groupBy(*keys, "_unit").agg(F.min("_at").alias("_a"), F.max("_at").alias("_z"))
+    by = Window.partitionBy(*keys).orderBy("_a", "_unit")
+    apart = F.coalesce(F.max("_z").over(by.rowsBetween(Window.unboundedPreceding, -1)) < F.col("_a"), F.lit(True))
+    lives = lives.withColumn("_island", F.max(F.when(apart, F.col("_a"))).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = kept(rows.join(lives.select(*keys, "_unit", "_island"), [*keys, "_unit"]).withColumn("_chunk", F.floor(F.col("_island") / chunk)), "islands")
+    first, last = rows.agg(F.min("_chunk"), F.max("_chunk")).first()
+    if first == last:
+        rows = rows.withColumn("_from", F.lit(LOWEST))
+    else:
+        kinds = ", ".join(f"`{k}` {dict(candidates.dtypes)[k]}" for k in keys)
+
+        def ends(part: pd.DataFrame) -> pd.DataFrame:
+            found = pd.DataFrame(_Matching(part.sort_values(["_at", *order])).ends(), columns=["_upto", "_free"])
+            for k in ("_chunk", *reversed(keys)):
+                found.insert(0, k, part[k].iloc[0])
+            return found
+
+        def walk(part: pd.DataFrame) -> pd.DataFrame:
+            free, out = LOWEST, []
+            for number, own in part.sort_values(["_chunk", "_upto"]).groupby("_chunk"):
+                out.append((number, free))
+                fits = own[own["_upto"] > free]
+                if len(fits) and fits["_free"].iloc[0] != LOWEST:
+                    free = int(fits["_free"].iloc[0])
+            found = pd.DataFrame(out, columns=["_chunk", "_from"])
+            for k in reversed(keys):
+                found.insert(0, k, part[k].iloc[0])
+            return found
+
+        runs = rows.groupBy(*keys, "_chunk").applyInPandas(ends, f"{kinds}, _chunk long, _upto long, _free long")
+        rows = rows.join(runs.groupBy(*keys).applyInPandas(walk, f"{kinds}, _chunk long, _from long"), [*keys, "_chunk"])
+
+    def take(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["_at", *order])
+        return part.iloc[_Matching(part).walk(int(part["_from"].iloc[0]))][names]
+
+    return rows.groupBy(*keys, "_chunk").applyInPandas(take, candidates.schema)

@@ -238,8 +238,9 @@ def _units(price: float, sl: float, sizing: Sizing, equity: float, to_usd: float
     return size
 
 
-def select_trades(candidates: DataFrame, most_open: int = 1, keys=("symbol",), once_a_direction: bool = False, chunk: int = chains.CHUNK) -> DataFrame:
-    """The candidates that a trader with `most_open` places takes, in order of placed_bar.
+def select_trades(candidates: DataFrame, most_open: int = 1, keys=("symbol",), once_a_direction: bool = False, chunk: int = chains.CHUNK, unit: Column | None = None) -> DataFrame:
+    """The candidates that a trader with `most_open` places takes, in order of placed_bar; of one `unit`, if there
+    are units (zones), only one order is ever placed.
 
     Nothing is placed while an order is pending; an exit frees its place from the next bar on. Each
     outcome is known beforehand, so with one place a candidate says which bar the next one must lie beyond, and
@@ -247,19 +248,24 @@ def select_trades(candidates: DataFrame, most_open: int = 1, keys=("symbol",), o
     over candidates, not bars.
     """
     if most_open == 1:
+        if unit is not None and once_a_direction:
+            raise ValueError("units and once_a_direction don't go together")
         free = F.when(F.col("status") == "filled", F.col("exit_bar")).when(F.col("status") == "expired", F.col("placed_bar") + F.col("expiry"))
+        if unit is not None:
+            return chains.matched(candidates, F.col("placed_bar"), free, unit, keys, chunk=chunk)
         return chains.chained(candidates, F.col("placed_bar"), free, keys, F.col("side") if once_a_direction else None, chunk=chunk)
     import pandas as pd
 
     def choose(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["placed_bar", "signal_id"])
-        trader, keep = _Trader(most_open, once_a_direction), []
+        trader, keep, used = _Trader(most_open, once_a_direction), [], set()
         for row in part.itertuples():
-            if trader.takes(row):
+            if not (row.unit_ and row.unit_ in used) and trader.takes(row):
                 keep.append(row.Index)
-        return part.loc[keep]
+                used.add(row.unit_)
+        return part.loc[keep].drop(columns="unit_")
 
-    return candidates.groupBy(*keys).applyInPandas(choose, candidates.schema)
+    return candidates.withColumn("unit_", F.lit(None).cast("string") if unit is None else unit.cast("string")).groupBy(*keys).applyInPandas(choose, candidates.schema)
 
 
 class _Trader:

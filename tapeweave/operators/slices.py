@@ -28,7 +28,7 @@ def split_by_fraction(bars: DataFrame, share: float = 0.65, forward_from=None, k
 
 
 def in_session(ts: Column, session: str) -> Column:
-    """By UTC hour, both ends included: london, ny, asia, both (london or ny) or all."""
+    """By UTC hour, the last one left out: london, ny, asia, both (london or ny) or all."""
     if session == "all":
         return F.lit(True)
     if session == "both":
@@ -36,7 +36,7 @@ def in_session(ts: Column, session: str) -> Column:
     if session not in SESSIONS:
         raise ValueError(f"unknown session: {session}")
     first, last = SESSIONS[session]
-    return F.hour(ts).between(first, last)
+    return (F.hour(ts) >= first) & (F.hour(ts) < last)
 
 
 def after_warmup(rows: DataFrame, warmup: int = 200) -> DataFrame:

@@ -241,3 +241,10 @@ def test_grid_limits(spark):
     with pytest.raises(ValueError):
         studies.param_grid(spark, {"a": list(range(30)), "b": list(range(30))})
     assert pd.DataFrame(studies.param_grid(spark, {"a": [1, 2], "b": [3, 4]}).collect())[0].tolist() == [0, 1, 2, 3]
+
+
+def test_session_hours(spark):
+    """The hour that ends a session isn't in it."""
+    hours = spark.range(24).select(F.col("id").alias("h"), F.expr("timestamp'2024-01-01 00:30:00' + make_interval(0, 0, 0, 0, id)").alias("ts"))
+    within = {name: {r.h for r in hours.where(slices.in_session(F.col("ts"), name)).collect()} for name in ("london", "ny", "asia", "both", "all")}
+    assert within == {"london": set(range(7, 12)), "ny": set(range(13, 17)), "asia": set(range(7)), "both": {*range(7, 12), *range(13, 17)}, "all": set(range(24))}

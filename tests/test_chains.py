@@ -85,3 +85,35 @@ def test_pairs_cut_anywhere_are_the_same(spark):
     # a limit that is never reached: the plain run, but for what is cancelled or open at the end
     free = [r[:5] for r in seen(studies.breaker_positions(df, 99.0, 10_000.0, 1.5, 0.3, 3.5, 12)) if r[4] != "end_of_data"]
     assert free == plain
+
+
+@pytest.mark.parametrize("chunk", [1, 30, 200, chains.CHUNK])
+def test_units_are_taken_once(spark, chunk):
+    """Zones with lives that overlap, several candidates a bar, against a walk over everything."""
+    rng = random.Random(5)
+    rows = []
+    for symbol, n in (("a", 60), ("b", 5)):
+        k = 0
+        bars = {}
+        for zone in range(n):
+            start = rng.randrange(900)
+            for bar in range(start, start + rng.randrange(1, 30)):
+                bars.setdefault(bar, []).append(zone)
+        for bar in sorted(bars):
+            rng.shuffle(bars[bar])
+            for zone in bars[bar]:
+                rows.append((symbol, bar, bar + rng.choice([0, 2, 15, 90]), zone, k))
+                k += 1
+    rows += [("c", 5, None, 1, 0), ("c", 9, 9, 2, 1)]
+    want = []
+    for symbol in "abc":
+        free, used = -1, set()
+        for s, at, until, zone, k in sorted((r for r in rows if r[0] == symbol), key=lambda r: (r[1], r[4])):
+            if at > free and zone not in used:
+                want.append((s, k))
+                used.add(zone)
+                free = float("inf") if until is None else until
+    df = spark.createDataFrame(rows, "symbol string, at long, free long, zone int, signal_id long").repartition(4)
+    got = chains.matched(df, F.col("at"), F.col("free"), F.col("zone"), chunk=chunk)
+    assert sorted((r.symbol, r.signal_id) for r in got.collect()) == sorted(want)
+    assert chains.matched(df.limit(0), F.col("at"), F.col("free"), F.col("zone"), chunk=chunk).collect() == []
