@@ -555,33 +555,33 @@ def trend(spark, sf_dir):
 
 # Zones as they are traded, written from their rules: gaps near a sweep, the close that turns them, then each bar's choices.
 _ZONES = f"""{WITH}, {_TRX}, {scan_sql('atr', 'x', 'tr', '1.0/14')},
-m AS (SELECT *, lag(high, 2) OVER w AS h2, lag(low, 2) OVER w AS l2, CASE WHEN count(high) OVER p = 15 THEN max(high) OVER p END AS sh, CASE WHEN count(low) OVER p = 15 THEN min(low) OVER p END AS sl FROM atr_t WINDOW w AS (PARTITION BY symbol ORDER BY bar_idx), p AS (PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN 15 PRECEDING AND 1 PRECEDING)),
-e AS (SELECT *, coalesce(atr <> 0 AND high > sh AND close < sh AND high - sh >= 0.5 * atr, false)::INT AS swept_bear, coalesce(atr <> 0 AND low < sl AND close > sl AND sl - low >= 0.5 * atr, false)::INT AS swept_bull FROM m),
+m AS (SELECT *, lag(high, 2) OVER w AS h2, lag(low, 2) OVER w AS l2, CASE WHEN count(high) OVER p = 8 THEN max(high) OVER p END AS sh, CASE WHEN count(low) OVER p = 8 THEN min(low) OVER p END AS sl FROM atr_t WINDOW w AS (PARTITION BY symbol ORDER BY bar_idx), p AS (PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING)),
+e AS (SELECT *, coalesce(atr <> 0 AND high > sh AND close < sh AND high - sh >= 0.02 * atr, false)::INT AS swept_bear, coalesce(atr <> 0 AND low < sl AND close > sl AND sl - low >= 0.02 * atr, false)::INT AS swept_bull FROM m),
 z AS (SELECT symbol, bar_idx AS zone, CASE WHEN high < l2 AND max(swept_bear) OVER n = 1 THEN 'LONG' WHEN low > h2 AND max(swept_bull) OVER n = 1 THEN 'SHORT' END AS side, CASE WHEN high < l2 THEN l2 ELSE low END AS top, CASE WHEN high < l2 THEN high ELSE h2 END AS bottom FROM e WINDOW n AS (PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
-t AS (SELECT z.*, (SELECT min(b.bar_idx) FROM bars b WHERE b.symbol = z.symbol AND b.bar_idx > zone AND b.bar_idx <= zone + 45 AND CASE side WHEN 'LONG' THEN b.close > top ELSE b.close < bottom END) AS turned FROM z WHERE side IS NOT NULL AND top > bottom),
-cd AS (SELECT t.symbol, b.bar_idx AS p, zone, side, turned, CASE side WHEN 'LONG' THEN top - 0.5 * (top - bottom) ELSE bottom + 0.5 * (top - bottom) END AS lp, CASE side WHEN 'LONG' THEN bottom - 0.8 * b.atr ELSE top + 0.8 * b.atr END AS sl, b.atr
-  FROM t JOIN atr_t b ON b.symbol = t.symbol AND b.bar_idx > turned AND b.bar_idx - turned <= 45 WHERE b.atr > 0 AND b.bar_idx >= 50 AND (hour(b.ts) BETWEEN 7 AND 11 OR hour(b.ts) BETWEEN 13 AND 16) AND CASE side WHEN 'LONG' THEN b.close >= bottom ELSE b.close <= top END),
-cand AS (SELECT *, row_number() OVER (PARTITION BY symbol, p ORDER BY side DESC, turned DESC, zone DESC) AS rk FROM (SELECT *, lp + CASE side WHEN 'LONG' THEN 2 ELSE -2 END * atr AS tp FROM cd) WHERE abs(lp - sl) > 0 AND abs(tp - lp) / abs(lp - sl) <= 2.2)"""
+t AS (SELECT z.*, (SELECT min(b.bar_idx) FROM bars b WHERE b.symbol = z.symbol AND b.bar_idx > zone AND b.bar_idx <= zone + 8 AND CASE side WHEN 'LONG' THEN b.close > top ELSE b.close < bottom END) AS turned FROM z WHERE side IS NOT NULL AND top > bottom),
+cd AS (SELECT t.symbol, b.bar_idx AS p, zone, side, turned, CASE side WHEN 'LONG' THEN top - 0.9 * (top - bottom) ELSE bottom + 0.9 * (top - bottom) END AS lp, CASE side WHEN 'LONG' THEN bottom - 0.8 * b.atr ELSE top + 0.8 * b.atr END AS sl, b.atr
+  FROM t JOIN atr_t b ON b.symbol = t.symbol AND b.bar_idx > turned AND b.bar_idx - turned <= 8 WHERE b.atr > 0 AND b.bar_idx >= 50 AND (hour(b.ts) BETWEEN 7 AND 11 OR hour(b.ts) BETWEEN 13 AND 16) AND CASE side WHEN 'LONG' THEN b.close >= bottom ELSE b.close <= top END),
+cand AS (SELECT *, row_number() OVER (PARTITION BY symbol, p ORDER BY side DESC, turned DESC, zone DESC) AS rk FROM (SELECT *, lp + CASE side WHEN 'LONG' THEN 0.4 ELSE -0.4 END * atr AS tp FROM cd) WHERE abs(lp - sl) > 0 AND abs(tp - lp) / abs(lp - sl) <= 5)"""
 
 
 def _zone_signals(spark, sf_dir):
     by = Window.partitionBy("symbol").orderBy("bar_idx")
     h, lo, c = F.col("high"), F.col("low"), F.col("close")
     f = rec.atr(base(spark, sf_dir), chunk=128)
-    f = tables.kept(f.withColumns(roll.fair_value_gaps(h, lo, by) | roll.liquidity_sweeps(h, lo, c, F.col("atr"), by)), "zones")
-    return studies.gap_zone_signals(f, 20, 45, 0.5, 0.8, 2.0, 2.2, "both", 50), f
+    f = tables.kept(f.withColumns(roll.fair_value_gaps(h, lo, by) | roll.liquidity_sweeps(h, lo, c, F.col("atr"), by, 8, 0.02)), "zones")
+    return studies.gap_zone_signals(f, 20, 8, 0.9, 0.8, 0.4, 5.0, "both", 50), f
 
 
-@query("g2_j7_j8_j9_gap_zones", f"{_ZONES} SELECT symbol, p AS bar_idx, zone, side, {r('lp')} AS limit_price, {r('sl')} AS sl, {r('tp')} AS tp, 45 AS expiry FROM cand")
+@query("g2_j7_j8_j9_gap_zones", f"{_ZONES} SELECT symbol, p AS bar_idx, zone, side, {r('lp')} AS limit_price, {r('sl')} AS sl, {r('tp')} AS tp, 8 AS expiry FROM cand")
 def gap_zones(spark, sf_dir):
     return rounded(_zone_signals(spark, sf_dir)[0].select("symbol", "bar_idx", "zone", "side", "limit_price", "sl", "tp", "expiry"))
 
 
 @query("g2_x1_zone_orders", f"""{_ZONES.replace("cand AS", "asked AS")},
-lk AS (SELECT g.*, b.bar_idx AS j, b.ts AS jt, CASE WHEN side = 'LONG' THEN least(b.open, lp) ELSE greatest(b.open, lp) END AS fill, CASE WHEN side = 'LONG' THEN b.low <= lp ELSE b.high >= lp END AS hit FROM asked g LEFT JOIN bars b ON g.symbol = b.symbol AND b.bar_idx BETWEEN p + 1 AND p + 45),
-fills AS (SELECT symbol, p * 1000 + rk AS p, p AS placed, zone, side, any_value(sl) AS sl, any_value(tp) AS tp, min(j) FILTER (hit) AS fb, arg_min(fill, j) FILTER (hit) AS raw_fill, arg_min(jt, j) FILTER (hit) AS fill_ts, CASE WHEN count(*) FILTER (hit) > 0 THEN 'filled' WHEN max(j) >= p + 45 THEN 'expired' ELSE 'pending' END AS status FROM lk GROUP BY 1, lk.p, rk, zone, side),
+lk AS (SELECT g.*, b.bar_idx AS j, b.ts AS jt, CASE WHEN side = 'LONG' THEN least(b.open, lp) ELSE greatest(b.open, lp) END AS fill, CASE WHEN side = 'LONG' THEN b.low <= lp ELSE b.high >= lp END AS hit FROM asked g LEFT JOIN bars b ON g.symbol = b.symbol AND b.bar_idx BETWEEN p + 1 AND p + 8),
+fills AS (SELECT symbol, p * 1000 + rk AS p, p AS placed, zone, side, any_value(sl) AS sl, any_value(tp) AS tp, min(j) FILTER (hit) AS fb, arg_min(fill, j) FILTER (hit) AS raw_fill, arg_min(jt, j) FILTER (hit) AS fill_ts, CASE WHEN count(*) FILTER (hit) > 0 THEN 'filled' WHEN max(j) >= p + 8 THEN 'expired' ELSE 'pending' END AS status FROM lk GROUP BY 1, lk.p, rk, zone, side),
 sig AS (SELECT * FROM fills WHERE status = 'filled'), {_EXITS},
-held AS (SELECT f.*, o.xb, o.reason, CASE f.status WHEN 'filled' THEN o.xb WHEN 'expired' THEN f.placed + 45 ELSE 1000000000 END AS free, f.side || f.zone AS unit FROM fills f LEFT JOIN out o ON o.symbol = f.symbol AND o.p = f.p),
+held AS (SELECT f.*, o.xb, o.reason, CASE f.status WHEN 'filled' THEN o.xb WHEN 'expired' THEN f.placed + 8 ELSE 1000000000 END AS free, f.side || f.zone AS unit FROM fills f LEFT JOIN out o ON o.symbol = f.symbol AND o.p = f.p),
 pick AS (SELECT symbol, min(p) AS p, arg_min(free, p) AS free, [arg_min(unit, p)] AS used FROM held GROUP BY 1
   UNION ALL SELECT k.symbol, min(q.p), arg_min(q.free, q.p), list_append(k.used, arg_min(q.unit, q.p)) FROM pick k JOIN held q ON q.symbol = k.symbol AND q.placed > k.free AND NOT list_contains(k.used, q.unit) GROUP BY k.symbol, k.used)
 SELECT h.symbol, placed AS placed_bar, zone, side, status, fb AS fill_bar, xb AS exit_bar, reason AS exit_reason, {r('raw_fill')} AS raw_fill FROM held h JOIN pick k ON k.symbol = h.symbol AND k.p = h.p""")
