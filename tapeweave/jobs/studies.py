@@ -92,12 +92,13 @@ def features(rows: DataFrame, fast: int = 10, slow: int = 30, n: int = 14, keys=
     return kept(rec.ewm(ranged, all_, keys, chunk=chunk).drop("_tr"), "features")
 
 
-def orders(rows: DataFrame, signals: DataFrame, costs: Costs = Costs(), most_open: int = 1, keys=("symbol",), once_a_direction: bool = False, sizing: Sizing | None = None, capital=None, unit: Column | None = None) -> DataFrame:
+def orders(rows: DataFrame, signals: DataFrame, costs: Costs = Costs(), most_open: int = 1, keys=("symbol",), once_a_direction: bool = False, sizing: Sizing | None = None, capital=None, unit: Column | None = None, ranks: DataFrame | None = None, most_positions: int | None = None, most_risk: float | None = None) -> DataFrame:
     """The orders that a trader places of `signals` on `rows`: filled ones with their exits and prices,
     expired and pending ones with nulls there. `unit`: what only one order is placed of.
 
     With `sizing`, sizes follow from the equity at hand; `capital`: keys that share one equity (those of
-    the run if none). Exits trail where the costs say so.
+    the run if none), with `ranks` (symbol, symbol_rank) as the order of their symbols at equal times and caps on open
+    positions and risk over all of them. Exits trail where the costs say so.
     """
     filled = kept(exits.resolve_fills(signals, rows, costs), "fills")
     resolve = exits.resolve_trailing_exits if costs.trail_pct else exits.resolve_exits
@@ -106,7 +107,9 @@ def orders(rows: DataFrame, signals: DataFrame, costs: Costs = Costs(), most_ope
         return exits.priced(exits.select_trades(resolved, most_open, keys, once_a_direction, unit=unit), costs)
     placed = rows.select("symbol", F.col("bar_idx").alias("placed_bar"), F.col("ts").alias("placed_ts"))
     units = exits.priced(resolved.join(placed, ["symbol", "placed_bar"]).withColumn("size", F.lit(1.0)), costs)
-    return exits.select_sized_trades(units, sizing, most_open, capital or keys, once_a_direction, costs.inverse_price)
+    if ranks is not None:
+        units = units.join(ranks.select("symbol", "symbol_rank"), "symbol")
+    return exits.select_sized_trades(units, sizing, most_open, capital or keys, once_a_direction, costs.inverse_price, most_positions, most_risk)
 
 
 def backtest(rows: DataFrame, signals: DataFrame, costs: Costs = Costs(), most_open: int = 1, keys=("symbol",)) -> DataFrame:

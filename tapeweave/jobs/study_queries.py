@@ -247,15 +247,43 @@ def equity_sizing(spark, sf_dir):
     return rounded(t.select("symbol", "placed_bar", "size"))
 
 
-@query("x8_shared_equity")
-def shared_equity(spark, sf_dir):
-    """All symbols as one portfolio whose orders are sized by its one equity."""
+def _shared(size: str, fits: str, rank: str) -> str:
+    """One portfolio of all symbols, candidate by candidate in the order of (time, rank): equity, open positions and
+    risk follow from fills and exits before it, which wait in a list; each symbol has one place."""
+    return f"""{_CROSS}, ranks AS (SELECT symbol, row_number() OVER (ORDER BY {rank}) AS q FROM (SELECT DISTINCT symbol FROM bars)),
+un AS (SELECT *, CASE WHEN side = 'LONG' THEN exit_price - fill_price ELSE fill_price - exit_price END - 0.401 / 2 AS unit, row_number() OVER (ORDER BY placed_ts, q, p) AS k FROM (SELECT o.*, q, raw_fill + 0.01 + CASE WHEN side = 'LONG' THEN {_SPREAD.format(t='fill_ts')} ELSE 0 END AS fill_price, raw_exit + CASE WHEN side = 'LONG' THEN 0 ELSE {_SPREAD.format(t='exit_ts')} END AS exit_price FROM out o JOIN ranks USING (symbol))),
+cw AS (SELECT 0::BIGINT AS k, 10000.0::DOUBLE AS e, 0::DOUBLE AS n, 0::DOUBLE AS risk, []::STRUCT(t TIMESTAMP, q BIGINT, cash DOUBLE, n DOUBLE, risk DOUBLE)[] AS ev, []::STRUCT(s VARCHAR, f BIGINT)[] AS fr, 0::DOUBLE AS size, false AS taken
+  UNION ALL SELECT k, e, n, risk, CASE WHEN taken THEN list_concat(ev, [{{'t': fill_ts, 'q': q, 'cash': -0.401 / 2 * size, 'n': 1.0::DOUBLE, 'risk': abs(fill_price - sl) * size}}, {{'t': exit_ts, 'q': q, 'cash': unit * size, 'n': -1.0::DOUBLE, 'risk': -abs(fill_price - sl) * size}}]) ELSE ev END,
+    CASE WHEN taken THEN list_append(list_filter(fr, lambda x: x.s <> symbol), {{'s': symbol, 'f': xb}}) ELSE fr END, size, taken
+  FROM (SELECT *, free AND {fits} AS taken FROM (SELECT *, {size} AS size FROM (
+    SELECT k, symbol, q, p, fb, xb, placed_close, sl, fill_price, unit, fill_ts, exit_ts, fr, rest AS ev, e + coalesce(list_sum(list_transform(done, lambda x: x.cash)), 0) AS e, n + coalesce(list_sum(list_transform(done, lambda x: x.n)), 0) AS n, risk + coalesce(list_sum(list_transform(done, lambda x: x.risk)), 0) AS risk, len(list_filter(fr, lambda x: x.s = symbol AND x.f >= p)) = 0 AS free
+    FROM (SELECT u.*, w.e, w.n, w.risk, w.fr, list_filter(w.ev, lambda x: x.t < u.placed_ts OR x.t = u.placed_ts AND x.q < u.q) AS done, list_filter(w.ev, lambda x: NOT (x.t < u.placed_ts OR x.t = u.placed_ts AND x.q < u.q)) AS rest FROM cw w JOIN un u ON u.k = w.k + 1)))))
+SELECT symbol, p AS placed_bar, xb AS exit_bar, {r('size')} AS size, {r('unit * size')} AS pnl_net FROM un JOIN cw USING (k) WHERE taken"""
+
+
+_EQUITY_SIZE = f"CASE WHEN e > 0 AND {_SIZED} * placed_close > 3 * e THEN greatest(floor(3 * e / placed_close / 0.1) * 0.1, 0.1) ELSE {_SIZED} END"
+
+
+def _portfolio(spark, sf_dir, **caps):
     f = _feats(spark, sf_dir)
     s = studies.cross_signals(f).withColumn("portfolio", F.lit("all"))
-    t = studies.orders(f, s, COSTS, sizing=Sizing("pct_equity", 0.02, 0.1, 0.1, 3.0, 10_000.0), capital=("portfolio",)).where("status = 'filled'")
+    ranks = f.select("symbol").distinct().withColumn("symbol_rank", F.row_number().over(Window.orderBy(F.col("symbol").desc())))  # the portfolio's list
+    t = studies.orders(f, s, COSTS, sizing=Sizing("pct_equity", 0.02, 0.1, 0.1, 3.0, 10_000.0), capital=("portfolio",), ranks=ranks, **caps).where("status = 'filled'")
     return rounded(t.select("symbol", "placed_bar", "exit_bar", "size", "pnl_net"))
 
 
+@query("x8_shared_equity", _shared(_EQUITY_SIZE, "true", "symbol DESC"))
+def shared_equity(spark, sf_dir):
+    """All symbols as one portfolio whose orders are sized by its one equity."""
+    return _portfolio(spark, sf_dir)
+
+
+@query("x8_portfolio_caps", _shared(_EQUITY_SIZE, "n < 3 AND risk + abs(placed_close - sl) * size <= 500", "symbol DESC"))
+def portfolio_caps(spark, sf_dir):
+    """The same with at most three positions open at once and at most 500 at risk, over all symbols."""
+    return _portfolio(spark, sf_dir, most_positions=3, most_risk=500.0)
+
+
 # --- splits, sweeps, walk-forward ----------------------------------------------------------------
 
 

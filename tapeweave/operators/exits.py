@@ -277,50 +277,69 @@ class _Trader:
         self.pending: float = -1
         self.last = None
 
-    def takes(self, row) -> bool:
+    def admits(self, row) -> bool:
         while self.busy and self.busy[0] < row.placed_bar:
             heapq.heappop(self.busy)
-        if row.placed_bar <= self.pending or len(self.busy) >= self.most_open or self.once and row.side == self.last:
-            return False
+        return not (row.placed_bar <= self.pending or len(self.busy) >= self.most_open or self.once and row.side == self.last)
+
+    def place(self, row) -> None:
         self.last = row.side
         if row.status == "filled":
             self.pending = row.fill_bar
             heapq.heappush(self.busy, row.exit_bar)
         else:
             self.pending = row.placed_bar + row.expiry if row.status == "expired" else math.inf
+
+    def takes(self, row) -> bool:
+        if not self.admits(row):
+            return False
+        self.place(row)
         return True
 
 
-def select_sized_trades(units: DataFrame, sizing: Sizing, most_open: int = 1, keys=("symbol",), once_a_direction: bool = False, inverse_price: bool = False) -> DataFrame:
+def select_sized_trades(units: DataFrame, sizing: Sizing, most_open: int = 1, keys=("symbol",), once_a_direction: bool = False, inverse_price: bool = False, most_positions: int | None = None, most_risk: float | None = None) -> DataFrame:
     """`select_trades` with sizes by the equity at hand. `units`: candidates priced for one unit each, with
     placed_ts; size, pnl_gross, commission, pnl_net and pnl_all_in become those of the order's size.
 
     `keys` name what shares one equity: a series, or a portfolio of several `symbol`s, each with its own
-    `most_open`. An order's equity has the fills and exits before it, in the order of (time, symbol); its
-    own bar's come after it. One group a key, over candidates, not bars.
+    `most_open`. An order's equity has the fills and exits before it, in the order of (time, rank): `symbol_rank`
+    if `units` have one (the portfolio's own order), else the symbols' names; its own bar's come after it.
+
+    Two caps hold over all symbols of a key, if given: an order is refused while `most_positions` positions are open,
+    or if its risk (distance of its price to the stop, times size) and that of the open positions (from their fill
+    prices) come to more than `most_risk`. One group a key, over candidates, not bars.
     """
     import pandas as pd
 
     money = ["size", "pnl_gross", "commission", "pnl_net", "pnl_all_in"]
+    rank = F.col("symbol_rank") if "symbol_rank" in units.columns else F.col("symbol")
 
     def choose(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["placed_ts", "symbol", "placed_bar", "signal_id"]).reset_index(drop=True)
+        part = part.sort_values(["placed_ts", "rank_", "placed_bar", "signal_id"]).reset_index(drop=True)
         traders: dict = {}
-        equity, waiting, keep, sizes = sizing.equity, [], [], []
+        equity, open_, risk, waiting, keep, sizes = sizing.equity, 0, 0.0, [], [], []
         for row in part.itertuples():
-            now = (row.placed_ts, row.symbol)
+            now = (row.placed_ts, row.rank_)
             while waiting and waiting[0][:2] < now:
-                equity += heapq.heappop(waiting)[2]
-            if traders.setdefault(row.symbol, _Trader(most_open, once_a_direction)).takes(row):
-                size = _units(row.limit_price, row.sl, sizing, equity, 1 / row.limit_price if inverse_price and row.limit_price > 0 else 1.0)
-                keep.append(row.Index)
-                sizes.append(size)
-                if row.status == "filled":
-                    heapq.heappush(waiting, (row.fill_ts, row.symbol, -row.commission / 2 * size))
-                    heapq.heappush(waiting, (row.exit_ts, row.symbol, row.pnl_net * size))
-        out = part.loc[keep].copy()
+                *_, cash, count, at_risk = heapq.heappop(waiting)
+                equity, open_, risk = equity + cash, open_ + count, risk + at_risk
+            trader = traders.setdefault(row.symbol, _Trader(most_open, once_a_direction))
+            if not trader.admits(row):
+                continue
+            size = _units(row.limit_price, row.sl, sizing, equity, 1 / row.limit_price if inverse_price and row.limit_price > 0 else 1.0)
+            if most_positions is not None and open_ >= most_positions or most_risk is not None and risk + abs(row.limit_price - row.sl) * size > most_risk:
+                continue
+            trader.place(row)
+            keep.append(row.Index)
+            sizes.append(size)
+            if row.status == "filled":
+                own = abs(row.fill_price - row.sl) * size
+                heapq.heappush(waiting, (row.fill_ts, row.rank_, 0, row.Index, -row.commission / 2 * size, 1, own))
+                heapq.heappush(waiting, (row.exit_ts, row.rank_, 1, row.Index, row.pnl_net * size, -1, -own))
+        out = part.loc[keep].drop(columns="rank_")
         for name in money:
             out[name] = out[name] * sizes
         return out
 
-    return units.withColumn("size", F.lit(1.0)).groupBy(*keys).applyInPandas(choose, units.schema)
+    units = units.withColumn("size", F.lit(1.0))
+    return units.withColumn("rank_", rank).groupBy(*keys).applyInPandas(choose, units.schema)
