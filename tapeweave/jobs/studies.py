@@ -301,34 +301,55 @@ def presets(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(PRESETS), "rule string, account double, target double, floor double, daily double, trailing boolean, least_days int")
 
 
-def account_rules(equity: DataFrame, days: DataFrame, rules: DataFrame, keys=("run",)) -> DataFrame:
-    """The outcome of each run under each rule: status, the bar of the event, deepest fall till then.
-
-    Equity is scaled to the account. On the first bar with any event, a fall to the floor comes before
-    a daily loss (against the equity before the day) and that before the target (with enough trading
-    days so far). No event: passed. `days`: keys, ts of days with trades; one bar a day.
-    """
-    w = Window.partitionBy(*keys, "rule").orderBy("bar_idx")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    first = equity.groupBy(*keys).agg(F.min_by("equity", "bar_idx").alias("_first"))
-    traded = days.select(*keys, "ts").distinct().withColumn("_traded", F.lit(1))
-    rows = equity.join(traded, [*keys, "ts"], "left").join(first, [*keys]).crossJoin(F.broadcast(rules))  # a few literal rules
-    rows = rows.withColumn("eq", F.col("equity") * F.col("account") / F.col("_first"))
-    rows = rows.withColumns({"peak": F.greatest(F.max("eq").over(upto), F.col("account")), "before": F.coalesce(F.lag("eq").over(w), F.col("account")), "traded": F.sum(F.coalesce("_traded", F.lit(0))).over(upto)})
+def _account_rows(equity: DataFrame, days: DataFrame, rules: DataFrame, keys) -> DataFrame:
+    """Each bar under each rule: eq, what it has seen before (peak, equity before its day, days with trades) scaled to
+    the account, and its event. Days are summed up first, so a run is cut at its days."""
+    traded = days.select(*keys, F.to_date("ts").alias("_day")).distinct().withColumn("_traded", F.lit(1))
+    rows = equity.select(*keys, "bar_idx", "ts", "equity", F.to_date("ts").alias("_day"))
+    daily = rows.groupBy(*keys, "_day").agg(F.max("equity").alias("_most"), F.max_by("equity", "bar_idx").alias("_close"), F.min_by("equity", "bar_idx").alias("_open")).join(traded, [*keys, "_day"], "left")
+    w = Window.partitionBy(*keys).orderBy("_day")
+    upto, past = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    daily = daily.select(*keys, "_day", F.max("_most").over(past).alias("_most"), F.lag("_close").over(w).alias("_before"), F.sum(F.coalesce("_traded", F.lit(0))).over(upto).alias("traded"), F.first("_open").over(upto).alias("_first"))
+    inner = Window.partitionBy(*keys, "_day").orderBy("bar_idx").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_peak", F.max("equity").over(inner)).join(daily, [*keys, "_day"]).crossJoin(F.broadcast(rules))  # a few literal rules
+    scaled = lambda c: F.col(c) * F.col("account") / F.col("_first")
+    rows = rows.withColumns({"eq": scaled("equity"), "before": F.coalesce(scaled("_before"), F.col("account"))}).withColumn("peak", F.greatest(scaled("_peak"), scaled("_most"), F.col("account")))
     limit = F.when(F.col("trailing"), F.col("peak")).otherwise(F.col("account")) * (1 - F.col("floor") / 100)
     event = (
         F.when(F.col("eq") <= limit, "max drawdown")
-        .when((F.col("daily") > 0) & (F.col("before") - F.col("eq") >= F.col("before") * F.col("daily") / 100), "daily loss")
+        .when((F.col("daily") > 0) & (F.col("before") > 0) & (F.col("before") - F.col("eq") >= F.col("before") * F.col("daily") / 100), "daily loss")
         .when((F.col("target") > 0) & (F.col("eq") >= F.col("account") * (1 + F.col("target") / 100)) & (F.col("traded") >= F.col("least_days")), "target")
     )
-    rows = rows.withColumns({"event": event, "fall": 100 * (F.col("peak") - F.col("eq")) / F.col("peak")})
-    hit = rows.where("event is not null").groupBy(*keys, "rule").agg(F.min_by(F.struct("event", "bar_idx", F.col("eq").alias("at")), "bar_idx").alias("e"))
-    till = rows.join(hit, [*keys, "rule"], "left").where("e is null or bar_idx <= e.bar_idx")
+    return rows.withColumns({"event": event, "fall": 100 * (F.col("peak") - F.col("eq")) / F.col("peak")})
+
+
+def _first_events(rows: DataFrame, keys) -> DataFrame:
+    return rows.where("event is not null").groupBy(*keys, "rule").agg(F.min_by(F.struct("event", "bar_idx", F.col("eq").alias("at")), "bar_idx").alias("e"))
+
+
+def account_rules(equity: DataFrame, days: DataFrame, rules: DataFrame, keys=("run",)) -> DataFrame:
+    """The outcome of each run under each rule: status, the bar of the event, deepest fall till then.
+
+    Equity is scaled to the account. On the first bar with any event, a fall to the floor comes before
+    a daily loss (against the equity at the last bar before the day) and that before the target (with enough
+    trading days so far). No event: passed. `days`: keys, ts of days with trades; a day may have many bars.
+    """
+    rows = _account_rows(equity, days, rules, keys)
+    till = rows.join(_first_events(rows, keys), [*keys, "rule"], "left").where("e is null or bar_idx <= e.bar_idx")
     out = till.groupBy(*keys, "rule").agg(F.max("fall").alias("max_fall"), F.any_value("e").alias("e"), F.max_by("eq", "bar_idx").alias("final"))
     status = F.when(F.col("e.event").isNull() | (F.col("e.event") == "target"), "passed").otherwise("failed")
     return out.select(*keys, "rule", status.alias("status"), F.col("e.event").alias("event"), F.col("e.bar_idx").alias("event_bar"), "final", "max_fall")
 
 
+def account_curves(equity: DataFrame, days: DataFrame, rules: DataFrame, keys=("run",)) -> DataFrame:
+    """The account's equity at each bar under each rule (rule, bar_idx, ts, equity): after a failure it stays what
+    it was then."""
+    rows = _account_rows(equity, days, rules, keys)
+    both = rows.join(_first_events(rows, keys), [*keys, "rule"], "left")
+    over = (F.col("e.event") != "target") & (F.col("bar_idx") > F.col("e.bar_idx"))
+    return both.select(*keys, "rule", "bar_idx", "ts", F.when(over, F.col("e.at")).otherwise(F.col("eq")).alias("equity"))
+
+
 def circuit_breaker(daily: DataFrame, percent: float, initial: float, keys=("run",)) -> DataFrame:
     """The first bar of each day at which profit since the day's start, floating included, is at or
     below -percent of `initial`. `daily`: keys, ts, bar_idx, equity, floating."""
@@ -577,10 +598,9 @@ def breaker_positions(rows: DataFrame, percent: float, initial: float = 10_000.0
 def pair_equity(trades: DataFrame, rows: DataFrame, start: float = 10_000.0, keys=("pair",)) -> DataFrame:
     """Equity of both legs, which start with half each, at every bar of `rows`: profits count from their exit on."""
     cash = trades.groupBy(*keys, F.col("exit_bar").alias("bar_idx")).agg(F.sum("pnl_a").alias("a"), F.sum("pnl_b").alias("b"))
-    w = Window.partitionBy(*keys).orderBy("bar_idx").rowsBetween(Window.unboundedPreceding, 0)
     both = rows.select(*keys, "bar_idx").join(cash, [*keys, "bar_idx"], "left")
-    leg = lambda c: F.lit(start / 2) + F.sum(F.coalesce(c, F.lit(0.0))).over(w)
-    legs = both.select(*keys, "bar_idx", leg("a").alias("equity_a"), leg("b").alias("equity_b"))
+    both = chains.running(both, {f"_{c}": (F.coalesce(c, F.lit(0.0)), "sum") for c in "ab"}, keys)
+    legs = both.select(*keys, "bar_idx", *((F.lit(start / 2) + F.col(f"_{c}")).alias(f"equity_{c}") for c in "ab"))
     return legs.withColumn("equity", F.col("equity_a") + F.col("equity_b"))
 
 

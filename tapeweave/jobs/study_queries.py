@@ -424,6 +424,33 @@ def account_rules(spark, sf_dir):
     return out.select("run", "rule", "status", "event", "event_bar", r(F.col("final"), 2).alias("final"), r(F.col("max_fall")).alias("max_fall"))
 
 
+_INTRADAY = f"""{_CROSS}, {_CHOSEN}, cash AS (SELECT symbol, b, sum(c) AS c FROM (SELECT symbol, fb AS b, -0.401 / 2 AS c FROM net UNION ALL SELECT symbol, xb, pnl_net FROM net) GROUP BY 1, 2),
+rules(rule, account, target, fl, daily_pct, moves, least_days) AS (VALUES {_PRESETS}), q AS (SELECT b.symbol, b.bar_idx, CAST(b.ts AS DATE) AS day, 2000 + sum(coalesce(c, 0)) OVER (PARTITION BY b.symbol ORDER BY b.bar_idx) AS equity FROM bars b LEFT JOIN cash ON b.symbol = cash.symbol AND b.bar_idx = cash.b),
+f AS (SELECT symbol, first(equity ORDER BY bar_idx) AS f FROM q GROUP BY 1), dd AS (SELECT DISTINCT symbol, CAST(exit_ts AS DATE) AS day FROM net),
+a AS (SELECT q.symbol, rule, q.day, bar_idx, equity * account / f AS eq, account, target, fl, daily_pct, moves, least_days, (SELECT count(*) FROM dd WHERE dd.symbol = q.symbol AND dd.day <= q.day) AS traded FROM q JOIN f USING (symbol), rules),
+p AS (SELECT *, greatest(max(eq) OVER (PARTITION BY symbol, rule ORDER BY bar_idx), account) AS pk, coalesce((SELECT arg_max(y.eq, y.bar_idx) FROM a y WHERE y.symbol = a.symbol AND y.rule = a.rule AND y.day < a.day), account) AS b FROM a),
+v AS (SELECT *, CASE WHEN eq <= CASE WHEN moves THEN pk ELSE account END * (1 - fl / 100) THEN 'max drawdown' WHEN daily_pct > 0 AND b > 0 AND b - eq >= b * daily_pct / 100 THEN 'daily loss' WHEN target > 0 AND eq >= account * (1 + target / 100) AND traded >= least_days THEN 'target' END AS event FROM p),
+h AS (SELECT symbol, rule, min(bar_idx) AS hb, arg_min(event, bar_idx) AS ev, arg_min(eq, bar_idx) AS held FROM v WHERE event IS NOT NULL GROUP BY 1, 2)"""
+
+
+def _intraday(spark, sf_dir):
+    t, f = _traded(spark, sf_dir)
+    return metrics.equity_curve(f, t, 2_000.0), t.select("symbol", F.col("exit_ts").alias("ts"))
+
+
+@query("x10_intraday_rules", f"""{_INTRADAY} SELECT v.symbol, v.rule, CASE WHEN coalesce(any_value(ev), 'target') = 'target' THEN 'passed' ELSE 'failed' END AS status, any_value(ev) AS event, any_value(hb) AS event_bar, {r('last(eq ORDER BY bar_idx)', 2)} AS final
+FROM v LEFT JOIN h ON v.symbol = h.symbol AND v.rule = h.rule WHERE hb IS NULL OR bar_idx <= hb GROUP BY 1, 2""")
+def intraday_rules(spark, sf_dir):
+    out = studies.account_rules(*_intraday(spark, sf_dir), studies.presets(spark), ("symbol",))
+    return out.select("symbol", "rule", "status", "event", "event_bar", r(F.col("final"), 2).alias("final"))
+
+
+@query("x10_account_curves", f"{_INTRADAY} SELECT v.symbol, v.rule, bar_idx, {r("CASE WHEN ev <> 'target' AND bar_idx > hb THEN held ELSE eq END", 2)} AS equity FROM v LEFT JOIN h ON v.symbol = h.symbol AND v.rule = h.rule")
+def account_curves(spark, sf_dir):
+    out = studies.account_curves(*_intraday(spark, sf_dir), studies.presets(spark), ("symbol",))
+    return out.select("symbol", "rule", "bar_idx", r(F.col("equity"), 2).alias("equity"))
+
+
 @query("x11_circuit_breaker", f"""{_CROSS}, {_CHOSEN}, cash AS (SELECT symbol, b, sum(c) AS c FROM (SELECT symbol, fb AS b, -0.401 / 2 AS c FROM net UNION ALL SELECT symbol, xb, pnl_net FROM net) GROUP BY 1, 2),
 eq AS (SELECT b.symbol, b.bar_idx, b.ts, b.close, 10000 + sum(coalesce(c, 0)) OVER (PARTITION BY b.symbol ORDER BY b.bar_idx) AS equity FROM bars b LEFT JOIN cash ON b.symbol = cash.symbol AND b.bar_idx = cash.b),
 fl AS (SELECT e.symbol, e.bar_idx, coalesce(sum(CASE WHEN side = 'LONG' THEN e.close - fill_price ELSE fill_price - e.close END), 0) AS floating FROM eq e LEFT JOIN net n ON n.symbol = e.symbol AND e.bar_idx >= n.fb AND e.bar_idx < n.xb GROUP BY 1, 2),

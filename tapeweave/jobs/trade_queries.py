@@ -157,8 +157,8 @@ def equity_stats(spark, sf_dir):
 c AS (SELECT run, won, g, count(*) AS n FROM i GROUP BY 1, 2, 3) SELECT run, max(n) FILTER (won) AS win_streak, max(n) FILTER (NOT won) AS loss_streak FROM c GROUP BY 1""")
 def streaks(spark, sf_dir):
     t = adapters.trades(spark, sf_dir)
-    won = metrics.longest_run(t, F.col("pnl_net") > 0, ["run"], ["exit_ts", "seq"], "win_streak")
-    return won.join(metrics.longest_run(t, F.col("pnl_net") <= 0, ["run"], ["exit_ts", "seq"], "loss_streak"), "run")
+    won = metrics.longest_run(t, F.col("pnl_net") > 0, ["run"], ["exit_ts", "seq"], "win_streak", F.trunc("exit_ts", "year"))
+    return won.join(metrics.longest_run(t, F.col("pnl_net") <= 0, ["run"], ["exit_ts", "seq"], "loss_streak", F.trunc("exit_ts", "year")), "run")
 
 
 @query("w27_cumulative_by_direction", f"{_TRADES}, d AS (SELECT run, side, fill_ts, sum(CAST(pnl_net AS DECIMAL(18, 2))) AS p FROM trades GROUP BY 1, 2, 3) SELECT run, side, fill_ts, CAST(sum(p) OVER (PARTITION BY run, side ORDER BY fill_ts) AS DOUBLE) AS pnl FROM d")

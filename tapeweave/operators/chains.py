@@ -31,6 +31,19 @@ def ahead(rows: DataFrame, marks: dict[str, Column], keys=("symbol",), chunk: in
     return found.withColumns({name: F.coalesce(name, f"_{name}") for name in marks}).drop("_chunk", *(f"_{name}" for name in marks))
 
 
+def running(rows: DataFrame, totals: dict[str, tuple[Column, str]], keys=("symbol",), order: str = "bar_idx", chunk: int = CHUNK) -> DataFrame:
+    """`rows` with running sums, greatest or least values {name: (column, "sum", "max" or "min")} up to each row by the
+    whole numbers `order`; nulls don't count. Within chunks of `order`, and over one row a chunk."""
+    fold = {"sum": (F.sum, lambda a, b: F.coalesce(a + b, a, b)), "max": (F.max, F.greatest), "min": (F.min, F.least)}
+    rows = rows.withColumns({"_chunk": F.floor(F.col(order) / chunk), **{f"_v_{n}": x for n, (x, _) in totals.items()}})
+    parts = rows.groupBy(*keys, "_chunk").agg(*(fold[how][0](f"_v_{n}").alias(f"_b_{n}") for n, (_, how) in totals.items()))
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*keys, "_chunk", *(fold[how][0](f"_b_{n}").over(before).alias(f"_b_{n}") for n, (_, how) in totals.items()))
+    own = Window.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.withColumns({n: fold[how][0](f"_v_{n}").over(own) for n, (_, how) in totals.items()}).join(parts, [*keys, "_chunk"])
+    return found.withColumns({n: fold[how][1](F.col(n), F.col(f"_b_{n}")) for n, (_, how) in totals.items()}).drop("_chunk", *(f"_{x}_{n}" for x in "vb" for n in totals))
+
+
 class _Steps:
     """The candidates of a chunk in order: where each leads, if it is taken."""
 

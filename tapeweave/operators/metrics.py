@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import chains
+
 YEAR = math.sqrt(252)
 
 
@@ -86,40 +88,53 @@ def histogram(rows: DataFrame, column: str, bins: int = 50, keys=("run",)) -> Da
     return rows.join(ends, [*keys]).groupBy(*keys, place.cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
 
-def drawdown(equity: DataFrame, keys=("run",), order: str = "bar_idx") -> DataFrame:
-    """Peak so far, fall from it in money (dd) and percent (dd_pct)."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = equity.withColumn("peak", F.max("equity").over(w))
+def drawdown(equity: DataFrame, keys=("run",), order: str = "bar_idx", chunk: int = chains.CHUNK) -> DataFrame:
+    """Peak so far, fall from it in money (dd) and percent (dd_pct). `order`: whole numbers, cut every `chunk`."""
+    rows = chains.running(equity, {"peak": (F.col("equity"), "max")}, keys, order, chunk)
     return rows.withColumns({"dd": F.col("equity") - F.col("peak"), "dd_pct": 100 * F.try_divide(F.col("equity") - F.col("peak"), F.col("peak"))})
 
 
-def longest_run(rows: DataFrame, flag: Column, keys, order, name: str) -> DataFrame:
-    """Most consecutive rows for which `flag` holds, by keys (0 if never)."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    marked = rows.withColumn("_f", F.coalesce(flag, F.lit(False)))
-    same = Window.partitionBy(*keys, "_f").orderBy(*order)
-    islands = marked.withColumn("_g", F.row_number().over(w) - F.row_number().over(same))
-    sizes = islands.groupBy(*keys, "_f", "_g").agg(F.count("*").alias("_n"))
-    return sizes.groupBy(*keys).agg(F.coalesce(F.max(F.when(F.col("_f"), F.col("_n"))), F.lit(0)).alias(name))
+def longest_run(rows: DataFrame, flag: Column, keys, order, name: str, cut: Column) -> DataFrame:
+    """Most consecutive rows for which `flag` holds, by keys (0 if never).
+
+    `cut`, which never falls in `order`, cuts each series in parts. A part comes to four numbers: its rows, the runs at
+    its start and end, its longest run; those of a series, one a part, are merged in order.
+    """
+    part = [*keys, "_part"]
+    marked = rows.select(*keys, cut.alias("_part"), F.coalesce(flag, F.lit(False)).alias("_f"), *(F.col(c) if isinstance(c, str) else c for c in order))
+    w = Window.partitionBy(*part).orderBy(*order)
+    same = Window.partitionBy(*part, "_f").orderBy(*order)
+    islands = marked.withColumn("_i", F.row_number().over(w)).withColumn("_g", F.col("_i") - F.row_number().over(same))
+    sizes = islands.groupBy(*part, "_f", "_g").agg(F.count("*").alias("_n"), F.min("_i").alias("_first"), F.max("_i").alias("_last"))
+    sizes = sizes.withColumn("_all", F.sum("_n").over(Window.partitionBy(*part)))
+    on = lambda c: F.coalesce(F.max(F.when(F.col("_f") & c, F.col("_n"))), F.lit(0).cast("long"))
+    parts = sizes.groupBy(*part).agg(F.max("_all").alias("n"), on(F.col("_first") == 1).alias("head"), on(F.col("_last") == F.col("_all")).alias("tail"), on(F.lit(True)).alias("most"))
+    zero = F.struct(F.lit(0).cast("long").alias("tail"), F.lit(0).cast("long").alias("most"))
+
+    def merged(a: Column, b: Column) -> Column:
+        joined = a["tail"] + b["head"]
+        return F.struct(F.when(b["tail"] == b["n"], joined).otherwise(b["tail"]).alias("tail"), F.greatest(a["most"], joined, b["most"]).alias("most"))
+
+    listed = F.array_sort(F.collect_list(F.struct("_part", "n", "head", "tail", "most")))
+    return parts.groupBy(*keys).agg(F.aggregate(listed, zero, merged)["most"].alias(name))
 
 
-def equity_stats(equity: DataFrame, keys=("run",), order: str = "bar_idx") -> DataFrame:
+def equity_stats(equity: DataFrame, keys=("run",), order: str = "bar_idx", chunk: int = chains.CHUNK) -> DataFrame:
     """Final equity, total return %, deepest fall in % and money, calmar and the longest fall in bars."""
-    dd = drawdown(equity, keys, order)
+    dd = drawdown(equity, keys, order, chunk)
     g = dd.groupBy(*keys).agg(F.min_by("equity", order).alias("_first"), F.max_by("equity", order).alias("final_equity"), F.min("dd_pct").alias("max_dd_pct"), F.min("dd").alias("max_dd"))
     ret = 100 * F.try_divide(F.col("final_equity") - F.col("_first"), F.col("_first"))
     g = g.withColumn("total_return", ret).withColumn("calmar", F.when(F.col("max_dd_pct") == 0, 0.0).otherwise(F.try_divide(F.col("total_return"), F.abs("max_dd_pct"))))
-    return g.drop("_first").join(longest_run(dd, F.col("dd") < 0, keys, [order], "longest_dd"), [*keys])
+    return g.drop("_first").join(longest_run(dd, F.col("dd") < 0, keys, [order], "longest_dd", F.floor(F.col(order) / chunk)), [*keys])
 
 
-def equity_curve(bars: DataFrame, trades: DataFrame, start: float, keys=("symbol",)) -> DataFrame:
+def equity_curve(bars: DataFrame, trades: DataFrame, start: float, keys=("symbol",), chunk: int = chains.CHUNK) -> DataFrame:
     """Realised equity at each bar: `start`, less half commissions at fills, plus pnl_net at exits."""
     entry = trades.select(*keys, F.col("fill_bar").alias("bar_idx"), (-F.col("commission") / 2).alias("cash"))
     exits = trades.select(*keys, F.col("exit_bar").alias("bar_idx"), F.col("pnl_net").alias("cash"))
     cash = entry.unionByName(exits).groupBy(*keys, "bar_idx").agg(F.sum("cash").alias("cash"))
-    w = Window.partitionBy(*keys).orderBy("bar_idx").rowsBetween(Window.unboundedPreceding, 0)
     rows = bars.select(*keys, "bar_idx", "ts").join(cash, [*keys, "bar_idx"], "left")
-    return rows.select(*keys, "bar_idx", "ts", (F.lit(float(start)) + F.sum(F.coalesce("cash", F.lit(0.0))).over(w)).alias("equity"))
+    return chains.running(rows, {"_won": (F.coalesce("cash", F.lit(0.0)), "sum")}, keys, chunk=chunk).select(*keys, "bar_idx", "ts", (F.lit(float(start)) + F.col("_won")).alias("equity"))
 
 
 def global_equity(events: DataFrame, start: float) -> DataFrame:
@@ -134,17 +149,16 @@ def global_equity(events: DataFrame, start: float) -> DataFrame:
     return rows.withColumn("equity", F.lit(float(start)) + F.col("_first") + F.col("_run")).drop("_day", "_run", "_first")
 
 
-def floating(bars: DataFrame, trades: DataFrame, keys=("symbol",)) -> DataFrame:
+def floating(bars: DataFrame, trades: DataFrame, keys=("symbol",), chunk: int = chains.CHUNK) -> DataFrame:
     """Floating profit of open trades at each close: close * open quantity - its cost, both running
     sums of opening and closing events, so trades are never paired with the bars they last."""
     sign = F.when(F.col("side") == "LONG", F.col("size")).otherwise(-F.col("size"))
     opened = trades.select(*keys, F.col("fill_bar").alias("bar_idx"), sign.alias("q"), (sign * F.col("fill_price")).alias("c"))
     closed = trades.select(*keys, F.col("exit_bar").alias("bar_idx"), (-sign).alias("q"), (-sign * F.col("fill_price")).alias("c"))
     events = opened.unionByName(closed).groupBy(*keys, "bar_idx").agg(F.sum("q").alias("q"), F.sum("c").alias("c"))
-    w = Window.partitionBy(*keys).orderBy("bar_idx").rowsBetween(Window.unboundedPreceding, 0)
     rows = bars.select(*keys, "bar_idx", "ts", "close").join(events, [*keys, "bar_idx"], "left")
-    q, c = (F.sum(F.coalesce(x, F.lit(0.0))).over(w) for x in "qc")
-    return rows.select(*keys, "bar_idx", "ts", (F.col("close") * q - c).alias("floating"))
+    rows = chains.running(rows, {f"_{x}": (F.coalesce(x, F.lit(0.0)), "sum") for x in "qc"}, keys, chunk=chunk)
+    return rows.select(*keys, "bar_idx", "ts", (F.col("close") * F.col("_q") - F.col("_c")).alias("floating"))
 
 
 def comparison(stats: DataFrame, key: str = "run") -> DataFrame:

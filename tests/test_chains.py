@@ -117,3 +117,22 @@ def test_units_are_taken_once(spark, chunk):
     got = chains.matched(df, F.col("at"), F.col("free"), F.col("zone"), chunk=chunk)
     assert sorted((r.symbol, r.signal_id) for r in got.collect()) == sorted(want)
     assert chains.matched(df.limit(0), F.col("at"), F.col("free"), F.col("zone"), chunk=chunk).collect() == []
+
+
+def test_curves_cut_anywhere_are_the_same(spark):
+    from tapeweave.operators import metrics
+
+    rng = random.Random(6)
+    rows = [(run, i, round(1000 + rng.gauss(0, 30), 2)) for run, n in (("a", 300), ("b", 1), ("c", 90)) for i in range(n)] + [("d", i, 5.0) for i in range(40)]
+    df = spark.createDataFrame(rows, "run string, bar_idx long, equity double")
+    seen = lambda d: sorted(tuple(r) for r in d.collect())
+    want = seen(metrics.equity_stats(df))
+    for chunk in (1, 7, 64):
+        assert seen(metrics.equity_stats(df, chunk=chunk)) == want
+    longest = {}
+    for run, i, equity in rows:
+        peak = max(e for r, j, e in rows if r == run and j <= i)
+        now = longest.setdefault(run, [0, 0])
+        now[0] = now[0] + 1 if equity < peak else 0
+        now[1] = max(now)
+    assert {r.run: r.longest_dd for r in metrics.equity_stats(df, chunk=16).collect()} == {run: most for run, (_, most) in longest.items()}
