@@ -7,10 +7,30 @@ ones only. A rolling value is null until its window holds `n` values.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, WindowSpec
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
+#: Bars of a chunk in `in_chunks`.
+CHUNK = 1 << 16
+
+
+def in_chunks(rows: DataFrame, look: int, made: Callable[[DataFrame, WindowSpec], DataFrame], keys=("symbol",), order: str = "bar_idx", chunk: int = CHUNK) -> DataFrame:
+    """`made`(rows, by), which adds columns that look back over windows `by`, with every series cut in chunks.
+
+    A chunk also gets the `look` rows before it, as many as a value can depend on in all (windows of windows add up);
+    they go when the columns are there. So no task holds a series, and values don't depend on where it is cut.
+    `order`: dense numbers.
+    """
+    own, reach = F.floor(F.col(order) / chunk), F.floor((F.col(order) + look) / chunk)
+    spread = rows.withColumn("_chunk", F.explode(F.sequence(own, reach)))
+    out = made(spread, Window.partitionBy(*keys, "_chunk").orderBy(order))
+    return out.where(F.col("_chunk") == own).drop("_chunk")
+
+
 def back(by: WindowSpec, n: int) -> WindowSpec:
     return by.rowsBetween(-(n - 1), 0)
 
@@ -35,11 +55,13 @@ def sma(x: Column, by: WindowSpec, n: int) -> Column:
     return full(x, F.avg(x).over(back(by, n)), back(by, n), n)
 
 
+def _summed(parts) -> Column:
+    return reduce(lambda a, b: a + b, parts)
+
+
 def wma(x: Column, by: WindowSpec, n: int) -> Column:
     """Weights 1 to n, the latest heaviest."""
-    values = F.collect_list(x).over(back(by, n))
-    weighed = F.aggregate(F.transform(values, lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v)
-    return full(x, weighed / (n * (n + 1) / 2), back(by, n), n)
+    return _summed(F.lag(x, j).over(by) * (n - j) for j in range(n)) / (n * (n + 1) / 2)  # null until there are n
 
 
 def bollinger(x: Column, by: WindowSpec, n: int = 20, k: float = 2.0) -> dict[str, Column]:
@@ -54,9 +76,8 @@ def stochastic_k(high: Column, low: Column, close: Column, by: WindowSpec, k: in
 
 def cci(high: Column, low: Column, close: Column, by: WindowSpec, n: int = 20) -> Column:
     tp = (high + low + close) / 3
-    values = F.collect_list(tp).over(back(by, n))
     mean = F.avg(tp).over(back(by, n))
-    mad = F.aggregate(values, F.lit(0.0), lambda a, v: a + F.abs(v - mean)) / n
+    mad = _summed(F.abs(F.lag(tp, j).over(by) - mean) for j in range(n)) / n
     return full(tp, F.try_divide(tp - mean, 0.015 * mad), back(by, n), n)
 
 

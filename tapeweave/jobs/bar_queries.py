@@ -13,8 +13,13 @@ from ..operators import align, quality, slices
 from ..sources import adapters, bars, tables
 
 
+#: Rows before a chunk that an indicator here can depend on, and the chunks that series are cut in.
+LOOK, CUT = 64, 256
+
+
 def by():
-    return Window.partitionBy("symbol").orderBy("bar_idx")
+    """The window of an indicator: rows of `roll.in_chunks`."""
+    return Window.partitionBy("symbol", "_chunk").orderBy("bar_idx")
 
 
 def hi():
@@ -87,9 +92,8 @@ def indicator(name: str, columns, sql: dict[str, str], steps: str = "", before=N
     """Registers a query of rounded indicator columns (made when it runs) on hourly bars."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = base(spark, sf_dir)
-        rows = before(rows) if before else rows
-        return rows.select("symbol", "ts", *(c.alias(n) if n in plain else r(c).alias(n) for n, c in columns().items()))
+        rows = roll.in_chunks(base(spark, sf_dir), LOOK, lambda cut, _: (before(cut) if before else cut).withColumns(columns()), chunk=CUT)
+        return rows.select("symbol", "ts", *(n if n in plain else r(F.col(n)).alias(n) for n in columns()))
 
     shown = ", ".join(f"{s if n in plain else r(s)} AS {n}" for n, s in sql.items())
     query(name, f"{WITH}{steps} SELECT symbol, ts, {shown} FROM {'x' if steps else 'bars'}")(run)
@@ -293,17 +297,21 @@ def _pair(spark, sf_dir):
     b = adapters.bars(spark, sf_dir)
     p = align.align_pair(b.where("symbol = 'click'"), b.where("symbol = 'view'"), ("close",)).select("ts", F.col("a_close").alias("a"), F.col("b_close").alias("b"), F.lit("p").alias("symbol"))
     p = adapters.numbered(p)
-    return p.withColumns({"s": F.col("a") - 1.5 * F.col("b"), "ra": roll.log_return(F.col("a"), by()), "rb": roll.log_return(F.col("b"), by())})
+    def made(cut, w):
+        cut = cut.withColumns({"s": F.col("a") - 1.5 * F.col("b"), "ra": roll.log_return(F.col("a"), w), "rb": roll.log_return(F.col("b"), w)})
+        return cut.withColumns({"z": roll.zscore(F.col("s"), w, 30), "corr": roll.rolling_corr(F.col("ra"), F.col("rb"), w, 40), "hedge": roll.rolling_hedge_ratio(F.col("a"), F.col("b"), w, 40)})
+
+    return roll.in_chunks(p, LOOK, made, chunk=CUT)
 
 
 @query("i12_pair_zscore", f"{_PAIR} SELECT ts, {r('s')} AS spread, {r(f'CASE WHEN count(s) OVER {_w(30)} = 30 THEN (s - avg(s) OVER {_w(30)}) / nullif(stddev_samp(s) OVER {_w(30)}, 0) END')} AS z FROM z")
 def pair_zscore(spark, sf_dir):
-    return _pair(spark, sf_dir).select("ts", r(F.col("s")).alias("spread"), r(roll.zscore(F.col("s"), by(), 30)).alias("z"))
+    return _pair(spark, sf_dir).select("ts", r(F.col("s")).alias("spread"), r(F.col("z")).alias("z"))
 
 
 @query("i13_i14_corr_hedge", f"{_PAIR} SELECT ts, {r(full('ra + rb', 'corr(ra, rb)', 40))} AS corr, {r(full('a + b', 'regr_slope(a, b)', 40))} AS hedge FROM z")
 def corr_hedge(spark, sf_dir):
-    return _pair(spark, sf_dir).select("ts", r(roll.rolling_corr(F.col("ra"), F.col("rb"), by(), 40)).alias("corr"), r(roll.rolling_hedge_ratio(F.col("a"), F.col("b"), by(), 40)).alias("hedge"))
+    return _pair(spark, sf_dir).select("ts", r(F.col("corr")).alias("corr"), r(F.col("hedge")).alias("hedge"))
 
 
 # --- recursive indicators ------------------------------------------------------------------------
@@ -363,5 +371,5 @@ def bar_gaps(spark, sf_dir):
 SELECT b.symbol, b.bar_idx, 'peeks' AS feature FROM bars b JOIN n USING (symbol) JOIN t USING (symbol) WHERE bar_idx < half AND bar_idx >= half - 5 AND abs(close / top_half - close / top_all) > 1e-9 * abs(close / top_all)""")
 def causality(spark, sf_dir):
     whole = Window.partitionBy("symbol")
-    features = lambda df: df.withColumns({"sma20": roll.sma(cl(), by(), 20), "peeks": cl() / F.max("close").over(whole)})
+    features = lambda df: df.withColumns({"sma20": roll.sma(cl(), whole.orderBy("bar_idx"), 20), "peeks": cl() / F.max("close").over(whole)})
     return quality.causality_audit(features, base(spark, sf_dir), ["sma20", "peeks"]).select("symbol", "bar_idx", "feature")

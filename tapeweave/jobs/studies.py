@@ -34,17 +34,16 @@ def trend_signals(rows: DataFrame, sma: str = "sma", k: float = 2.0, rr: float =
     return out.select(*keys, "bar_idx", F.lit("LONG").alias("side"), F.lit("market").alias("order_type"), c.alias("limit_price"), (c - k * F.col("atr")).alias("sl"), (c + k * rr * F.col("atr")).alias("tp"), F.lit(1).alias("expiry"), F.col("bar_idx").alias("signal_id"), F.lit(1.0).alias("size"))
 
 
-def gap_zones(rows: DataFrame, near: int = 20, most_age: int = 45, keys=("symbol",)) -> DataFrame:
+def gap_zones(rows: DataFrame, near: int = 20, most_age: int = 45, keys=("symbol",), chunk: int = chains.CHUNK) -> DataFrame:
     """Gap zones that have turned (zone: the gap's bar, side they are traded to, top, bottom, turned).
 
     A gap counts if a sweep of its side stands in the `near` bars before it; it turns at the first
     close beyond it within `most_age` bars: gaps up to short zones, gaps down to long ones. `rows`: bars with gap
     and sweep flags. All looks are bounded, so they are equi-joins on the bar.
     """
-    w = Window.partitionBy(*keys).orderBy("bar_idx").rowsBetween(-near, -1)
-    seen = {f"_{s}": F.max(F.col(f"sweep_{s}").cast("int")).over(w) for s in ("bear", "bull")}
+    seen = lambda cut, by: cut.withColumns({f"_{s}": F.max(F.col(f"sweep_{s}").cast("int")).over(by.rowsBetween(-near, -1)) for s in ("bear", "bull")})
     side = F.when(F.col("fvg_bear") & (F.col("_bear") == 1), "LONG").when(F.col("fvg_bull") & (F.col("_bull") == 1), "SHORT")
-    zones = rows.withColumns(seen).withColumn("side", side).where("side is not null and fvg_top > fvg_bottom").select(*keys, F.col("bar_idx").alias("zone"), "side", F.col("fvg_top").alias("top"), F.col("fvg_bottom").alias("bottom"))
+    zones = rolling.in_chunks(rows, near, seen, keys, chunk=chunk).withColumn("side", side).where("side is not null and fvg_top > fvg_bottom").select(*keys, F.col("bar_idx").alias("zone"), "side", F.col("fvg_top").alias("top"), F.col("fvg_bottom").alias("bottom"))
     ahead = zones.withColumn("bar_idx", F.explode(F.expr(f"sequence(zone + 1, zone + {most_age})")))
     beyond = F.when(F.col("side") == "LONG", F.col("close") > F.col("top")).otherwise(F.col("close") < F.col("bottom"))
     return ahead.join(rows.select(*keys, "bar_idx", "close"), [*keys, "bar_idx"]).where(beyond).groupBy(*keys, "zone", "side", "top", "bottom").agg(F.min("bar_idx").alias("turned"))
@@ -429,15 +428,18 @@ def pair_positions(rows: DataFrame, entry: float = 2.0, leave: float = 0.5, stop
     return taken.join(rows.select(*keys, F.col("bar_idx").alias("exit_bar"), "z"), [*keys, "exit_bar"]).select(*keys, "side", "entry_bar", "exit_bar", why.alias("why"))
 
 
-def hedge_columns(rows: DataFrame, n: int = 30, keys=("pair",)) -> DataFrame:
+def hedge_columns(rows: DataFrame, n: int = 30, keys=("pair",), chunk: int = chains.CHUNK) -> DataFrame:
     """`rows` with what a spread of any ratio needs over the last n bars: ratio (slope of a on b by least squares, as
     known at the bar), the means, variances and the covariance of both closes."""
-    by = Window.partitionBy(*keys).orderBy("bar_idx")
-    a, b, back = F.col("a_close"), F.col("b_close"), by.rowsBetween(1 - n, 0)
-    whole = F.count(a + b).over(back) == n
+    a, b = F.col("a_close"), F.col("b_close")
     sums = {"mean_a": F.avg(a), "mean_b": F.avg(b), "var_a": F.var_samp(a), "var_b": F.var_samp(b), "cov_ab": F.covar_samp(a, b)}
-    rows = rows.withColumns({"_slope": rolling.rolling_hedge_ratio(a, b, by, n), **{c: F.when(whole, f.over(back)) for c, f in sums.items()}})
-    return rows.withColumn("ratio", F.last("_slope", True).over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("_slope")
+
+    def made(cut: DataFrame, by) -> DataFrame:
+        back = rolling.back(by, n)
+        return cut.withColumns({"_slope": rolling.rolling_hedge_ratio(a, b, by, n), **{c: F.when(F.count(a + b).over(back) == n, f.over(back)) for c, f in sums.items()}})
+
+    rows = rolling.in_chunks(rows, n, made, keys, chunk=chunk)
+    return chains.running(rows, {"ratio": (F.col("_slope"), "last")}, keys, chunk=chunk).drop("_slope")
 
 
 def hedged_z(ratio: Column | str) -> Column:

@@ -489,8 +489,7 @@ def _pair_rows(spark, sf_dir, adx: bool = False):
     names = b.select("symbol").distinct()
     p = studies.pair_bars(b, names.select(F.col("symbol").alias("a")).join(names.select(F.col("symbol").alias("b")), F.col("a") < F.col("b")))
     p = adapters.numbered(p, ("pair",)).withColumn("spread", F.col("a_close") - F.col("b_close"))
-    by = Window.partitionBy("pair").orderBy("bar_idx")
-    p = p.withColumns({"z": roll.zscore(F.col("spread"), by, 30), "corr": roll.rolling_corr(F.col("a_close"), F.col("b_close"), by, 30)})
+    p = roll.in_chunks(p, 30, lambda cut, by: cut.withColumns({"z": roll.zscore(F.col("spread"), by, 30), "corr": roll.rolling_corr(F.col("a_close"), F.col("b_close"), by, 30)}), ("pair",), chunk=256)
     return tables.kept(rec.spread_adx(p, "spread", 14, chunk=128) if adx else p, "pairs")
 
 
@@ -620,10 +619,9 @@ cand AS (SELECT *, row_number() OVER (PARTITION BY symbol, p ORDER BY side DESC,
 
 
 def _zone_signals(spark, sf_dir):
-    by = Window.partitionBy("symbol").orderBy("bar_idx")
     h, lo, c = F.col("high"), F.col("low"), F.col("close")
     f = rec.atr(base(spark, sf_dir), chunk=128)
-    f = tables.kept(f.withColumns(roll.fair_value_gaps(h, lo, by) | roll.liquidity_sweeps(h, lo, c, F.col("atr"), by, 8, 0.02)), "zones")
+    f = tables.kept(roll.in_chunks(f, 8, lambda cut, by: cut.withColumns(roll.fair_value_gaps(h, lo, by) | roll.liquidity_sweeps(h, lo, c, F.col("atr"), by, 8, 0.02)), chunk=256), "zones")
     return studies.gap_zone_signals(f, 20, 8, 0.9, 0.8, 0.4, 5.0, "both", 50), f
 
 

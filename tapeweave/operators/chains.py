@@ -32,11 +32,12 @@ def ahead(rows: DataFrame, marks: dict[str, Column], keys=("symbol",), chunk: in
 
 
 def running(rows: DataFrame, totals: dict[str, tuple[Column, str]], keys=("symbol",), order: str = "bar_idx", chunk: int = CHUNK) -> DataFrame:
-    """`rows` with running sums, greatest or least values {name: (column, "sum", "max" or "min")} up to each row by the
-    whole numbers `order`; nulls don't count. Within chunks of `order`, and over one row a chunk."""
-    fold = {"sum": (F.sum, lambda a, b: F.coalesce(a + b, a, b)), "max": (F.max, F.greatest), "min": (F.min, F.least)}
+    """`rows` with running sums, greatest, least or last values {name: (column, "sum", "max", "min" or "last")} up to each
+    row by the whole numbers `order`; nulls don't count. Within chunks of `order`, and over one row a chunk."""
+    last = lambda x: F.last(x, True)
+    fold = {"sum": (F.sum, lambda a, b: F.coalesce(a + b, a, b)), "max": (F.max, F.greatest), "min": (F.min, F.least), "last": (last, F.coalesce)}
     rows = rows.withColumns({"_chunk": F.floor(F.col(order) / chunk), **{f"_v_{n}": x for n, (x, _) in totals.items()}})
-    parts = rows.groupBy(*keys, "_chunk").agg(*(fold[how][0](f"_v_{n}").alias(f"_b_{n}") for n, (_, how) in totals.items()))
+    parts = rows.groupBy(*keys, "_chunk").agg(*((F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.col(order))) if how == "last" else fold[how][0](f"_v_{n}")).alias(f"_b_{n}") for n, (_, how) in totals.items()))
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select(*keys, "_chunk", *(fold[how][0](f"_b_{n}").over(before).alias(f"_b_{n}") for n, (_, how) in totals.items()))
     own = Window.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

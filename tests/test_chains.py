@@ -136,3 +136,34 @@ def test_curves_cut_anywhere_are_the_same(spark):
         now[0] = now[0] + 1 if equity < peak else 0
         now[1] = max(now)
     assert {r.run: r.longest_dd for r in metrics.equity_stats(df, chunk=16).collect()} == {run: most for run, (_, most) in longest.items()}
+
+
+def test_windows_cut_anywhere_are_the_same(spark):
+    """Look-back columns and the last value known, for chunks shorter and longer than the look."""
+    from tapeweave.functions import rolling
+    from tapeweave.jobs import studies
+
+    rng = random.Random(7)
+    rows = [(s, i, rng.uniform(1, 9) if rng.random() < 0.97 else None, rng.uniform(1, 9)) for s, n in (("a", 200), ("b", 3)) for i in range(n)]
+    df = spark.createDataFrame(rows, "pair string, bar_idx long, a_close double, b_close double")
+    a, b = F.col("a_close"), F.col("b_close")
+
+    def made(cut, by):
+        return cut.withColumns({"w": rolling.wma(a, by, 5), "c": rolling.cci(a, b, a, by, 7), "m": rolling.sma(b, by, 6)}).withColumn("mm", rolling.rolling_max(F.col("m"), by, 4))
+
+    def seen(d, *digits):
+        return sorted(repr([round(v, 9) if isinstance(v, float) else v for v in r]) for r in d.select(*digits).collect())
+
+    names = "pair", "bar_idx", "w", "c", "m", "mm"
+    whole = seen(rolling.in_chunks(df, 16, made, ("pair",)), *names)
+    hedged = "pair", "bar_idx", "ratio", "mean_a", "var_b", "cov_ab"
+    want = seen(studies.hedge_columns(df, 6), *hedged)
+    assert len(whole) == len(rows) == len(want)
+    for chunk in (1, 5, 64):
+        assert seen(rolling.in_chunks(df, 16, made, ("pair",), chunk=chunk), *names) == whole
+        assert seen(studies.hedge_columns(df, 6, chunk=chunk), *hedged) == want
+    values = {(s, i): x for s, i, x, _ in rows}
+    for r in rolling.in_chunks(df, 16, made, ("pair",), chunk=8).collect():
+        own = [values.get((r.pair, r.bar_idx - j)) for j in range(5)]
+        want = None if None in own else sum(x * (5 - j) for j, x in enumerate(own)) / 15
+        assert r.w == pytest.approx(want) if want is not None else r.w is None
