@@ -166,22 +166,25 @@ def feature_sweep(rows: DataFrame, grid: DataFrame, warmup: int = 50, costs: Cos
 SCORES = {"pnl": "pnl", "pf": "profit_factor", "win_rate": "win_rate", "expectancy": "expectancy", "sharpe": "sharpe", "sortino": "sortino", "calmar": "calmar"}
 
 
-def scores(trades: DataFrame, rows: DataFrame, keys=("symbol", "combo_id"), start: float = 10_000.0) -> DataFrame:
-    """trade_stats with sharpe and sortino of days and calmar of realised equity, trade by trade."""
-    stats = metrics.trade_stats(trades, keys).join(metrics.sharpe_sortino(trades, F.to_date("exit_ts"), keys), [*keys])
-    w = Window.partitionBy(*keys).orderBy("exit_bar", "placed_bar").rowsBetween(Window.unboundedPreceding, 0)
-    curve = trades.withColumn("_eq", F.lit(start) + F.sum("pnl_net").over(w)).withColumn("_peak", F.greatest(F.max("_eq").over(w), F.lit(start)))
-    falls = curve.groupBy(*keys).agg(F.max(100 * (F.col("_peak") - F.col("_eq")) / F.col("_peak")).alias("_fall"))
-    rate = F.when(F.col("_fall") == 0, 0.0).otherwise(100 * F.col("pnl") / start / F.col("_fall"))
-    return stats.join(falls, [*keys]).withColumn("calmar", rate).drop("_fall")
-
-
-def walk_forward(rows: DataFrame, grid: DataFrame, window: int, step: int, score: str | Column = "pnl", warmup: int = 50, anchored: bool = False, costs: Costs = Costs(), chunk: int = rec.CHUNK) -> DataFrame:
+def scores(trades: DataFrame, rows: DataFrame, keys=("symbol", "combo_id"), start: float = 10_000.0, buckets: Column | None = None) -> DataFrame:
+    """trade_stats with sharpe and sortino of buckets (`buckets`: by default the days of exits) and calmar of the
+    realised curve: its return over its deepest fall. The curve moves only where trades fill or end."""
+    stats = metrics.trade_stats(trades, keys).join(metrics.sharpe_sortino(trades, F.to_date("exit_ts") if buckets is None else buckets, keys), [*keys])
+    events = trades.select(*keys, F.col("fill_bar").alias("bar_idx"), (-F.col("commission") / 2).alias("cash")).unionByName(trades.select(*keys, F.col("exit_bar").alias("bar_idx"), F.col("pnl_net").alias("cash")))
+    curve = chains.running(events.groupBy(*keys, "bar_idx").agg(F.sum("cash").alias("cash")), {"_won": (F.col("cash"), "sum")}, keys).withColumn("_eq", F.lit(start) + F.col("_won"))
+    curve = chains.running(curve, {"_peak": (F.col("_eq"), "max")}, keys).withColumn("_peak", F.greatest("_peak", F.lit(start)))
+    falls = curve.groupBy(*keys).agg(F.max(100 * (F.col("_peak") - F.col("_eq")) / F.col("_peak")).alias("_fall"), F.max_by("_won", "bar_idx").alias("_all"))
+    rate = F.when(F.col("_fall") == 0, 0.0).otherwise(100 * F.col("_all") / start / F.col("_fall"))
+    return stats.join(falls, [*keys]).withColumn("calmar", rate).drop("_fall", "_all")
+
+
+def walk_forward(rows: DataFrame, grid: DataFrame, window: int, step: int, score: str | Column = "pnl", warmup: int = 50, anchored: bool = False, costs: Costs = Costs(), chunk: int = rec.CHUNK, bucket_bars: int | None = None) -> DataFrame:
     """Best combination of each in-sample window and its out-of-sample trades' figures.
 
     Columns: symbol, window_idx, combo_id, k, rr, is_score, oos_score, oos_n. Every slice restarts its
     averages; features are made once a slice, signals multiplied by the grid. No trades score -999;
-    of equal scores the first combination wins.
+    of equal scores the first combination wins. Sharpe and sortino are of days, or with `bucket_bars` of so many bars
+    of the slice each.
     """
     by = score if isinstance(score, Column) else F.col(SCORES[score])
     cut = slices.window_slices(rows, window, step, anchored)
@@ -189,7 +192,8 @@ def walk_forward(rows: DataFrame, grid: DataFrame, window: int, step: int, score
     cut = cut.join(starts, ["symbol", "window_idx", "phase"])
     slice_ = cut.withColumns({"of": F.col("symbol"), "symbol": F.concat_ws("|", "symbol", "window_idx", "phase"), "bar_idx": F.col("bar_idx") - F.col("_first")}).drop("_first")
     trades = feature_sweep(slice_.drop("of", "window_idx", "phase"), grid, warmup, costs, chunk)
-    stats = scores(trades, slice_).withColumn("_score", F.coalesce(by, F.lit(-999.0)))
+    buckets = None if bucket_bars is None else F.floor(F.col("exit_bar") / bucket_bars)
+    stats = scores(trades, slice_, buckets=buckets).withColumn("_score", F.coalesce(by, F.lit(-999.0)))
     names = slice_.select("symbol", "of", "window_idx", "phase").distinct().crossJoin(F.broadcast(grid))
     scored = names.join(stats, ["symbol", "combo_id"], "left").withColumns({"_score": F.coalesce("_score", F.lit(-999.0)), "n": F.coalesce("n", F.lit(0))})
     best = scored.where("phase = 'IS'").groupBy(F.col("of"), "window_idx").agg(F.max_by(F.struct("combo_id", "k", "rr", F.col("_score").alias("is_score")), F.struct(F.round("_score", 9), -F.col("combo_id"))).alias("b")).select("of", "window_idx", "b.*")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import datetime
 import uuid
 
@@ -188,6 +189,13 @@ def atr_slippage(spark, sf_dir):
     return rounded(t.select("symbol", "placed_bar", "fill_price"))
 
 
+@query("t5_inverse_price", f"""{_CROSS}, {_CHOSEN} SELECT symbol, p AS placed_bar, {r('CASE WHEN exit_price > 0 THEN gross / exit_price ELSE gross END')} AS pnl_gross, {r('CASE WHEN exit_price > 0 THEN gross / exit_price ELSE gross END - 0.401 / 2')} AS pnl_net FROM net""")
+def inverse_price(spark, sf_dir):
+    """Profit in the quote currency turned into the account's at the exit price."""
+    f = _feats(spark, sf_dir)
+    return rounded(studies.backtest(f, studies.cross_signals(f), dataclasses.replace(COSTS, inverse_price=True)).select("symbol", "placed_bar", "pnl_gross", "pnl_net"))
+
+
 @query("t8_floating_pnl", f"""{_CROSS}, {_CHOSEN} SELECT b.symbol, b.bar_idx, {r("coalesce(sum(CASE WHEN side = 'LONG' THEN b.close - fill_price ELSE fill_price - b.close END), 0)", 4)} AS floating
 FROM bars b LEFT JOIN net n ON n.symbol = b.symbol AND b.bar_idx >= n.fb AND b.bar_idx < n.xb GROUP BY 1, 2""")
 def floating(spark, sf_dir):
@@ -326,15 +334,52 @@ def feature_sweep(spark, sf_dir):
     return rounded(metrics.trade_stats(t, ("symbol", "combo_id")))
 
 
-_WALK = f"""{_scans(f"""{_ALL}, {_GRID}, wins AS (SELECT sy, unnest(generate_series(0, n - 1)) AS w FROM (SELECT symbol AS sy, (count(*) - 300) // 100 AS n FROM all_bars GROUP BY 1) WHERE n > 0),
-slices AS (SELECT sy, w, 'IS' AS ph, 100 * w AS a, 100 * w + 300 AS z FROM wins UNION ALL SELECT sy, w, 'OOS', 300 + 100 * w, 400 + 100 * w FROM wins),
+def _walk(score: str = "sums AS (SELECT symbol, count(*) AS n, sum(pnl_net) AS score FROM net GROUP BY 1)", start: str = "100 * w", net: str = _PLAIN) -> str:
+    """Best combinations of in-sample windows; `score`: CTEs up to sums (symbol, n, score); start of the windows."""
+    return f"""{_scans(f"""{_ALL}, {_GRID}, wins AS (SELECT sy, unnest(generate_series(0, n - 1)) AS w FROM (SELECT symbol AS sy, (count(*) - 300) // 100 AS n FROM all_bars GROUP BY 1) WHERE n > 0),
+slices AS (SELECT sy, w, 'IS' AS ph, {start} AS a, 100 * w + 300 AS z FROM wins UNION ALL SELECT sy, w, 'OOS', 300 + 100 * w, 400 + 100 * w FROM wins),
 bars AS (SELECT concat_ws('|', sy, w, ph, combo_id) AS symbol, ts, open, high, low, close, volume, bar_idx - a AS bar_idx, k, rr FROM all_bars JOIN slices ON symbol = sy AND bar_idx >= a AND bar_idx < z, grid)""")},
-{_signals("k", "rr", 30)}, {_EXITS}, {_PLAIN}, sums AS (SELECT symbol, count(*) AS n, sum(pnl_net) AS pnl FROM net GROUP BY 1),
-scored AS (SELECT sy, w, ph, combo_id, k, rr, coalesce(pnl, -999.0) AS score, coalesce(n, 0) AS n FROM slices CROSS JOIN grid LEFT JOIN sums ON sums.symbol = concat_ws('|', sy, w, ph, combo_id)),
+{_signals("k", "rr", 30)}, {_EXITS}, {net}, {score},
+scored AS (SELECT sy, w, ph, combo_id, k, rr, coalesce(score, -999.0) AS score, coalesce(n, 0) AS n FROM slices CROSS JOIN grid LEFT JOIN sums ON sums.symbol = concat_ws('|', sy, w, ph, combo_id)),
 best AS (SELECT * FROM scored WHERE ph = 'IS' QUALIFY row_number() OVER (PARTITION BY sy, w ORDER BY round(score, 9) DESC, combo_id) = 1),
 walked AS (SELECT b.sy AS symbol, b.w AS window_idx, b.combo_id, b.k, b.rr, b.score AS is_score, o.score AS oos_score, o.n AS oos_n FROM best b LEFT JOIN scored o ON o.sy = b.sy AND o.w = b.w AND o.combo_id = b.combo_id AND o.ph = 'OOS')"""
 
 
+_WALK = _walk()
+_WALKED = f"SELECT symbol, window_idx, combo_id, k, rr, {r('is_score')} AS is_score, {r('oos_score')} AS oos_score, oos_n FROM walked"
+
+
+def _rated(bucket: str, spread: str) -> str:
+    """Mean over deviation of sums by bucket."""
+    return f"""sums AS (SELECT symbol, CAST(sum(n) AS BIGINT) AS n, CASE WHEN count(*) >= 2 AND {spread} > 0 THEN avg(x) / {spread} * sqrt(252) ELSE 0 END AS score FROM (SELECT symbol, {bucket} AS bk, sum(pnl_net) AS x, count(*) AS n FROM net GROUP BY 1, 2) GROUP BY 1)"""
+
+
+_CALMAR = """ev AS (SELECT symbol, b, sum(c) AS c FROM (SELECT symbol, fb AS b, -0.401 / 2 AS c FROM net UNION ALL SELECT symbol, xb, pnl_net FROM net) GROUP BY 1, 2),
+cv AS (SELECT symbol, b, 10000 + sum(c) OVER (PARTITION BY symbol ORDER BY b) AS eq FROM ev), pv AS (SELECT *, greatest(10000, max(eq) OVER (PARTITION BY symbol ORDER BY b)) AS pk FROM cv),
+tv AS (SELECT symbol, max(100 * (pk - eq) / pk) AS fall, last(eq ORDER BY b) / 100 - 100 AS ret FROM pv GROUP BY 1),
+sums AS (SELECT symbol, any_value(n) AS n, any_value(CASE WHEN fall = 0 THEN 0 ELSE ret / fall END) AS score FROM tv JOIN (SELECT symbol, count(*) AS n FROM net GROUP BY 1) USING (symbol) GROUP BY 1)"""
+
+
+@query("x4_walk_forward_sharpe_anchored", f"{_walk(_rated('CAST(exit_ts AS DATE)', 'stddev_pop(x)'), '0')} {_WALKED}")
+def walk_forward_sharpe(spark, sf_dir):
+    return rounded(studies.walk_forward(base(spark, sf_dir), _grid(spark), 300, 100, "sharpe", 30, anchored=True))
+
+
+@query("x4_walk_forward_sortino", f"{_walk(_rated('xb // 20', 'stddev_pop(x) FILTER (x < 0)'))} {_WALKED}")
+def walk_forward_sortino(spark, sf_dir):
+    return rounded(studies.walk_forward(base(spark, sf_dir), _grid(spark), 300, 100, "sortino", 30, bucket_bars=20))
+
+
+@query("x4_walk_forward_calmar", f"{_walk(_CALMAR, net=_CHOSEN)} {_WALKED}")
+def walk_forward_calmar(spark, sf_dir):
+    return rounded(studies.walk_forward(base(spark, sf_dir), _grid(spark), 300, 100, "calmar", 30, costs=COSTS))
+
+
+@query("x4_walk_forward_own_score", f"{_walk("sums AS (SELECT symbol, count(*) AS n, sum(pnl_net) / sqrt(count(*)) AS score FROM net GROUP BY 1)")} {_WALKED}")
+def walk_forward_own_score(spark, sf_dir):
+    return rounded(studies.walk_forward(base(spark, sf_dir), _grid(spark), 300, 100, F.col("pnl") / F.sqrt("n"), 30))
+
+
 @query("x4_walk_forward", f"{_WALK} SELECT symbol, window_idx, combo_id, k, rr, {r('is_score')} AS is_score, {r('oos_score')} AS oos_score, oos_n FROM walked")
 def walk_forward(spark, sf_dir):
     return rounded(studies.walk_forward(base(spark, sf_dir), _grid(spark), 300, 100, warmup=30))
