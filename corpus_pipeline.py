@@ -56,9 +56,10 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their sequence and place."""
+    """Training sequences (sequence_id, doc_ids of its pieces in their order, ids as little-endian unsigned 32-bit
+    integers): what a training run reads."""
     common.keep_batches_small(spark)
-    return packing.pack_documents(docs)
+    return packing.sequences(packing.pack_documents(docs, with_ids=True))
 
 
 STAGES = [
