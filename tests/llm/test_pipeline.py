@@ -1,9 +1,14 @@
 """The pipeline's stages on a small corpus with planted cases."""
 
+import collections
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tapeweave.llm import queries as registered
+from tapeweave.llm import tokens
 
 from .test_operators import prose
 
@@ -46,13 +51,24 @@ def test_stages_keep_clean_documents_and_catch_planted_ones(spark, tmp_path):
     assert set(kept[1]) == clean - {201, 202}
     assert set(kept[2]) == clean - {201, 202, 203}
     assert kept[3][205].endswith("write to [EMAIL]") and kept[3][206] == texts[206] and set(kept[3]) == set(kept[2])
-    assert {r.doc_id for r in docs.select("doc_id").distinct().collect()} == set(kept[3])
+    # the sequences hold the ids of every document that is left, in full pieces, at most 1024 each
+    encoder = tokens.Encoder(tokens.tokenizer_path(), 50).tokenizer
+    want = collections.Counter()
+    for text in kept[3].values():
+        want.update([*encoder.encode(text or "", add_special_tokens=False).ids, 2])
+    sequences, got = docs.collect(), collections.Counter()
+    for r in sequences:
+        ids = np.frombuffer(r.ids, "<u4")
+        assert 0 < len(ids) <= 1024 and (ids == 2).sum() <= len(r.doc_ids)
+        got.update(ids.tolist())
+    assert got == want and {i for r in sequences for i in r.doc_ids} == set(kept[3])
+    assert len({r.sequence_id for r in sequences}) == len(sequences)
 
 
 def test_run_and_registration(spark, tmp_path):
     at = f"{tmp_path}/t"
     tables(spark, at)
-    assert corpus_pipeline.run(spark, at).select("doc_id").distinct().count() > 150
+    assert corpus_pipeline.run(spark, at).select(F.explode("doc_ids")).distinct().count() > 150
     assert sorted(int(n[2:].split("_")[0]) for n in registered.queries()) == list(range(1, 14))
 
 
@@ -95,4 +111,4 @@ def test_stages_on_odd_tables(spark, tmp_path):
             assert sorted(r.doc_id for r in kept) == list(range(8)) and all(tuple(r)[5:] == rest for r in kept)
             assert [r.text for r in kept if r.doc_id == 6][0].startswith("mail [EMAIL] ")
         packed = corpus_pipeline.STAGES[-1][1](spark, docs, at)
-        assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in kept}
+        assert {i for r in packed.collect() for i in r.doc_ids} == {r.doc_id for r in kept}
