@@ -97,10 +97,10 @@ def orders(rows: DataFrame, signals: DataFrame, costs: Costs = Costs(), most_ope
 
     With `sizing`, sizes follow from the equity at hand; `capital`: keys that share one equity (those of
     the run if none), with `ranks` (symbol, symbol_rank) as the order of their symbols at equal times and caps on open
-    positions and risk over all of them. Exits trail where the costs say so.
+    positions and risk over all of them. Exits trail or break even where the costs say so.
     """
     filled = kept(exits.resolve_fills(signals, rows, costs), "fills")
-    resolve = exits.resolve_trailing_exits if costs.trail_pct else exits.resolve_exits
+    resolve = exits.resolve_trailing_exits if costs.trail_pct or costs.break_even else exits.resolve_exits
     resolved = resolve(filled, rows, costs)
     if sizing is None:
         return exits.priced(exits.select_trades(resolved, most_open, keys, once_a_direction, unit=unit), costs)

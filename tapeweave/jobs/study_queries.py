@@ -239,7 +239,20 @@ SELECT g.symbol, g.p AS placed_bar, coalesce(h.xb, e.xb) AS exit_bar, coalesce(r
 def trailing_stops(spark, sf_dir):
     f = _feats(spark, sf_dir)
     filled = exits.resolve_fills(studies.cross_signals(f), f)
-    t = exits.resolve_trailing_exits(filled, f, Costs(trail_pct=0.05, trail_activation=0.02), 8).where("status = 'filled'")
+    t = exits.resolve_trailing_exits(filled, f, Costs(trail_pct=0.05, trail_activation=0.02)).where("status = 'filled'")
+    return rounded(t.select("symbol", "placed_bar", "exit_bar", "exit_reason", "raw_exit"))
+
+
+@query("j6_break_even", f"""{_FEATS}, {_SIGNALS}, path AS (SELECT g.symbol, g.p, side, tp, b.bar_idx, b.open, b.high, b.low, CASE WHEN coalesce(max(CASE WHEN side = 'LONG' THEN (b.high - raw_fill) / raw_fill ELSE (raw_fill - b.low) / raw_fill END) OVER v >= 0.03, false)
+  THEN CASE WHEN side = 'LONG' THEN greatest(sl, raw_fill) ELSE least(sl, raw_fill) END ELSE sl END AS stop FROM sig g JOIN bars b ON b.symbol = g.symbol AND b.bar_idx > fb WHERE raw_fill IS NOT NULL WINDOW v AS (PARTITION BY g.symbol, g.p ORDER BY b.bar_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+rs AS (SELECT *, CASE WHEN side = 'LONG' THEN CASE WHEN open <= stop THEN 'gap sl' WHEN open >= tp THEN 'gap tp' WHEN low <= stop THEN 'sl' WHEN high >= tp THEN 'tp' END ELSE CASE WHEN open >= stop THEN 'gap sl' WHEN open <= tp THEN 'gap tp' WHEN high >= stop THEN 'sl' WHEN low <= tp THEN 'tp' END END AS why FROM path),
+hit AS (SELECT symbol, p, bar_idx AS xb, replace(why, 'gap ', '') AS reason, CASE WHEN why LIKE 'gap%' THEN open WHEN why = 'sl' THEN stop ELSE tp END AS px FROM rs WHERE why IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol, p ORDER BY bar_idx) = 1),
+ends AS (SELECT symbol, max(bar_idx) AS xb, last(close ORDER BY bar_idx) AS px FROM bars GROUP BY 1)
+SELECT g.symbol, g.p AS placed_bar, coalesce(h.xb, e.xb) AS exit_bar, coalesce(reason, 'end_of_data') AS exit_reason, {r('coalesce(h.px, e.px)')} AS raw_exit FROM sig g JOIN ends e USING (symbol) LEFT JOIN hit h ON h.symbol = g.symbol AND h.p = g.p WHERE raw_fill IS NOT NULL""")
+def break_even_stops(spark, sf_dir):
+    f = _feats(spark, sf_dir)
+    filled = exits.resolve_fills(studies.cross_signals(f), f)
+    t = exits.resolve_trailing_exits(filled, f, Costs(break_even=0.03)).where("status = 'filled'")
     return rounded(t.select("symbol", "placed_bar", "exit_bar", "exit_reason", "raw_exit"))
 
 

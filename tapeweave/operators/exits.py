@@ -31,6 +31,8 @@ class Costs:
     #: Share of the best price that a trailing stop keeps away, 0: none; profit (share of the fill) it starts at.
     trail_pct: float = 0.0
     trail_activation: float = 0.0
+    #: Profit (share of the fill) whose first bar moves the stop to the fill's price from the next bar on, 0: never.
+    break_even: float = 0.0
     #: Slippage of market fills in multiples of the signal's `atr`.
     slippage_atr: float = 0.0
 
@@ -114,10 +116,6 @@ def resolve_exits(filled: DataFrame, bars: DataFrame, costs: Costs = Costs(), bl
     return out.select(*filled.columns, "_x.*")
 
 
-#: Bars that a trailing stop is followed over at first; twice as many in each further round.
-HORIZON = 64
-
-
 def _fill_price(costs: Costs, columns: list[str]) -> Column:
     """The price paid: slippage raises it on either side for market orders, long ones pay the spread."""
     slip = F.col("raw_fill") * costs.slippage_pct + costs.slippage
@@ -128,45 +126,113 @@ def _fill_price(costs: Costs, columns: list[str]) -> Column:
     return F.col("raw_fill") + F.when(F.col("order_type") == "market", slip).otherwise(0.0) + F.when(F.col("side") == "LONG", spread_at(F.col("fill_ts"), costs)).otherwise(0.0)
 
 
-def resolve_trailing_exits(filled: DataFrame, bars: DataFrame, costs: Costs, horizon: int = HORIZON) -> DataFrame:
-    """`resolve_exits` with a trailing stop, which never widens: at each bar it is the better of the stop
-    so far and the bar's best price less `trail_pct`, once that price is `trail_activation` above the fill.
+#: Nodes in a group of the tree that moving stops are looked up in.
+GROUP = 64
+
+
+def _stop_tree(bars: DataFrame, trail_pct: float, group: int) -> list[DataFrame]:
+    """Levels of (symbol, node, lo, hi, falls, rises), the bars first, then groups of `group` nodes each, written once.
+
+    `falls`: some bar's low is `trail_pct` or more below the highest high from the node's start up to that bar; `rises`
+    is the same for highs above the lowest low. Both are put together from a group's nodes: one falls by itself, or
+    its low is that far below the highest high of those before it.
+    """
+    down, up = 1.0 - trail_pct, 1.0 + trail_pct
+    levels = [bars.select("symbol", F.col("bar_idx").alias("node"), F.col("low").alias("lo"), F.col("high").alias("hi"), (F.col("low") <= F.col("high") * down).alias("falls"), (F.col("high") >= F.col("low") * up).alias("rises"))]
+    before = Window.partitionBy("symbol", "_up").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
+    last = bars.agg(F.max("bar_idx")).first()[0] or 0
+    while last >= group ** len(levels):
+        at = levels[-1].withColumn("_up", F.floor(F.col("node") / group))
+        at = at.withColumns({"falls": F.col("falls") | F.coalesce(F.col("lo") <= F.max("hi").over(before) * down, F.lit(False)), "rises": F.col("rises") | F.coalesce(F.col("hi") >= F.min("lo").over(before) * up, F.lit(False))})
+        levels.append(kept(at.groupBy("symbol", F.col("_up").alias("node")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.bool_or("falls").alias("falls"), F.bool_or("rises").alias("rises")), f"stops-{len(levels)}"))
+    return levels
+
+
+def _first_bar(levels: list[DataFrame], asks: DataFrame, keys: list[str], hit: Column, group: int) -> DataFrame:
+    """`asks` (`keys`, symbol, side, after, more) with `bar`, the first bar behind `after` for which `hit`, and `best`, the
+    best price of the bars between both (null: none). `hit` sees a node's lo, hi, falls, rises and its own such `best`;
+    it must hold for a node if it does for one of its bars.
+
+    Outwards, each level looks at the nodes behind the one it came from, in the same group; inwards, at the nodes of the
+    group found. So an ask meets at most `group` nodes a level, by equality.
+    """
+    long, own = F.col("side") == "LONG", asks.columns
+    before = Window.partitionBy(*keys).orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
+    better = lambda hi, lo: F.when(long, F.greatest(hi, "best")).otherwise(F.least(lo, "best"))
+
+    def met(state: DataFrame, level: int, up: Column, behind: Column) -> DataFrame:
+        nodes = levels[level].select(F.col("symbol").alias("_symbol"), F.floor(F.col("node") / group).alias("_of"), "node", "lo", "hi", "falls", "rises")
+        spots = state.withColumns({"_up": up, "_behind": behind})
+        at = spots.join(nodes, (F.col("symbol") == F.col("_symbol")) & (F.col("_up") == F.col("_of")) & (F.col("node") > F.col("_behind")), "left")
+        at = at.withColumns({"_end": better(F.col("hi"), F.col("lo")), "best": better(F.max("hi").over(before), F.min("lo").over(before))})
+        ends = F.when(long, F.max("_end")).otherwise(F.min("_end"))
+        rows = at.groupBy(*own, "bar", "level").agg(F.min_by(F.struct("node", "best"), F.when(hit, F.col("node"))).alias("_x"), ends.alias("_end"), F.first("best", ignorenulls=False).alias("_kept"))
+        return rows.select(*own, F.coalesce("_x.node", "bar").alias("bar"), F.when(F.col("_x").isNotNull(), F.lit(level)).otherwise(F.col("level")).alias("level"), F.when(F.col("_x").isNotNull(), F.col("_x.best")).otherwise(F.coalesce("_end", "_kept")).alias("best"))
+
+    state = asks.withColumns({"bar": F.lit(None).cast("long"), "level": F.lit(None).cast("int"), "best": F.lit(None).cast("double")})
+    for level in range(len(levels)):
+        at = F.floor(F.col("after") / F.lit(group**level))
+        state = met(state, level, F.when(F.col("bar").isNull(), F.floor(at / group)), at)
+    for level in range(len(levels) - 2, -1, -1):
+        state = met(state, level, F.when(F.col("level") == level + 1, F.col("bar")), F.lit(-1))
+    return state.drop("level")
+
+
+def resolve_trailing_exits(filled: DataFrame, bars: DataFrame, costs: Costs, group: int = GROUP) -> DataFrame:
+    """`resolve_exits` with a stop that moves and never widens. At each bar it is the best of the order's stop, the best
+    price since the fill less `trail_pct` once that price is `trail_activation` above the fill, and the fill's price
+    on bars behind the first whose profit is `break_even` or more. Bars must have low <= open, close <= high.
 
     A gap at the open is held against the stop of the bar before, the rest of the bar against its own.
-    Trades meet the next `horizon` bars by equality; those still open go on from there with the best
-    price so far, over twice as many bars a round. So the work is that of the bars that trades last.
+
+    A trade trails from the bar that reaches the activation, which is then its best price; what follows depends on that
+    bar alone, so trades (of a sweep, say) that start to trail together are looked up once. All looks go through a tree
+    of groups (`_stop_tree`), logarithmic in how long the trade lasts.
     """
     long = F.col("side") == "LONG"
-    ends = kept(bars.groupBy("symbol").agg(F.max_by(F.struct(F.col("bar_idx").alias("exit_bar"), F.col("ts").alias("exit_ts"), F.col("close").alias("raw_exit"), F.lit("end_of_data").alias("exit_reason")), "bar_idx").alias("_e")), "ends")
-    start = filled.where("status = 'filled'").select("symbol", "signal_id", "side", "sl", "tp", "fill_bar", _fill_price(costs, filled.columns).alias("_paid"), (F.col("fill_bar") + 1).alias("_from"), F.lit(None).cast("double").alias("_best"))
-    open_ = kept(start.join(ends.select("symbol", F.col("_e.exit_bar").alias("_last")), "symbol").where("_from <= _last"), "open")
-    path = bars.select("symbol", "bar_idx", "ts", "open", "high", "low", "close")
-    by = Window.partitionBy("symbol", "signal_id").orderBy("bar_idx")
-    upto, before = by.rowsBetween(Window.unboundedPreceding, 0), by.rowsBetween(Window.unboundedPreceding, -1)
-    best = lambda w: F.when(long, F.greatest(F.max("high").over(w), "_best")).otherwise(F.least(F.min("low").over(w), "_best"))
-    started = lambda b: F.when(long, (b - F.col("_paid")) / F.col("_paid")).otherwise((F.col("_paid") - b) / F.col("_paid")) >= costs.trail_activation
-    stop = lambda b: F.when(long, F.greatest("sl", F.when(started(b), b * (1.0 - costs.trail_pct)))).otherwise(F.least("sl", F.when(started(b), b * (1.0 + costs.trail_pct))))
-    done = []
-    while open_.take(1):
-        looks = open_.withColumn("bar_idx", F.explode(F.sequence("_from", F.least(F.col("_from") + horizon - 1, "_last"))))
-        at = looks.join(path, ["symbol", "bar_idx"]).withColumns({"_now": best(upto), "_was": best(before)}).withColumn("_was", F.coalesce("_was", "_best"))
-        at = at.withColumns({"_stop": stop(F.col("_now")), "_held": stop(F.col("_was"))})
-        gap_sl = F.lit(costs.gap_fill) & F.when(long, F.col("open") <= F.col("_held")).otherwise(F.col("open") >= F.col("_held"))
-        gap_tp = F.lit(costs.gap_fill) & F.when(long, F.col("open") >= F.col("tp")).otherwise(F.col("open") <= F.col("tp"))
-        hit_sl = F.when(long, F.col("low") <= F.col("_stop")).otherwise(F.col("high") >= F.col("_stop"))
-        hit_tp = F.when(long, F.col("high") >= F.col("tp")).otherwise(F.col("low") <= F.col("tp"))
-        tp_first = F.lit(costs.intrabar_path) & F.when(long, F.col("close") < F.col("open")).otherwise(F.col("close") >= F.col("open"))
-        reason = F.when(gap_sl, "sl").when(gap_tp, "tp").when(hit_sl & hit_tp, F.when(tp_first, "tp").otherwise("sl")).when(hit_sl, "sl").when(hit_tp, "tp")
-        price = F.when(gap_sl | gap_tp, F.col("open")).when(reason == "sl", F.col("_stop")).otherwise(F.col("tp"))
-        exit_ = F.struct(F.col("bar_idx").alias("exit_bar"), F.col("ts").alias("exit_ts"), price.alias("raw_exit"), reason.alias("exit_reason"))
-        first = at.groupBy("symbol", "signal_id").agg(F.min_by(exit_, F.when(reason.isNotNull(), F.col("bar_idx"))).alias("_x"), F.max_by("_now", "bar_idx").alias("_best"))
-        seen = kept(open_.drop("_best").join(first, ["symbol", "signal_id"]), "trailed")
-        done.append(seen.where("_x is not null").select("symbol", "signal_id", "_x"))
-        open_ = kept(seen.where("_x is null").withColumn("_from", F.col("_from") + horizon).where("_from <= _last").select(*open_.columns), "open")
-        horizon *= 2
-    found = done[0] if done else open_.select("symbol", "signal_id", F.lit(None).cast(ends.schema["_e"].dataType).alias("_x"))
-    for part in done[1:]:
-        found = found.unionByName(part)
+    levels = _stop_tree(bars, costs.trail_pct, group)
+    trades = kept(filled.where("status = 'filled'").select("symbol", "signal_id", "side", "sl", "tp", "fill_bar", _fill_price(costs, filled.columns).alias("_paid")), "open")
+    reached = F.when(long, (F.col("hi") - F.col("_paid")) / F.col("_paid")).otherwise((F.col("_paid") - F.col("lo")) / F.col("_paid"))
+    asked = {"fixed": F.when(long, (F.col("lo") <= F.col("sl")) | (F.col("hi") >= F.col("tp"))).otherwise((F.col("hi") >= F.col("sl")) | (F.col("lo") <= F.col("tp")))}
+    if costs.trail_pct:
+        asked["trails"] = reached >= costs.trail_activation
+    if costs.break_even:
+        asked["even"] = reached >= costs.break_even
+    hit = F.lit(False)
+    for kind, when in asked.items():
+        hit = F.when(F.col("kind") == kind, when).otherwise(hit)
+    asks = trades.withColumn("kind", F.explode(F.array(*(F.lit(k) for k in asked)))).withColumn("after", F.col("fill_bar"))
+    seen = _first_bar(levels, asks, ["symbol", "signal_id", "kind"], hit, group)
+    bar_of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("bar"))).alias(f"_{kind}")
+    seen = kept(seen.groupBy(*trades.columns).agg(*(bar_of(kind) for kind in ("fixed", "trails", "even"))), "starts")
+    if costs.trail_pct:
+        trail = F.when(long, F.col("falls") | F.coalesce(F.col("lo") <= F.col("best") * (1.0 - costs.trail_pct), F.lit(False))).otherwise(F.col("rises") | F.coalesce(F.col("hi") >= F.col("best") * (1.0 + costs.trail_pct), F.lit(False)))
+        starts = seen.where("_trails is not null").select("symbol", "side", (F.col("_trails") - 1).alias("after")).distinct()
+        trailed = _first_bar(levels, starts, ["symbol", "side", "after"], trail, group).select("symbol", "side", (F.col("after") + 1).alias("_trails"), F.col("bar").alias("_trail_bar"), F.col("best").alias("_was"))
+        seen = seen.join(trailed, ["symbol", "side", "_trails"], "left")
+    else:
+        seen = seen.withColumns({"_trail_bar": F.lit(None).cast("long"), "_was": F.lit(None).cast("double")})
+    if costs.break_even:
+        back = F.when(long, F.col("lo") <= F.col("_paid")).otherwise(F.col("hi") >= F.col("_paid"))
+        backs = _first_bar(levels, seen.where("_even is not null").select("symbol", "signal_id", "side", "_paid", F.col("_even").alias("after")), ["symbol", "signal_id"], back, group)
+        seen = seen.join(backs.select("symbol", "signal_id", F.col("bar").alias("_back")), ["symbol", "signal_id"], "left")
+    else:
+        seen = seen.withColumn("_back", F.lit(None).cast("long"))
+    at = seen.withColumn("bar_idx", F.least("_fixed", "_trail_bar", "_back")).join(bars.select("symbol", "bar_idx", "ts", "open", "high", "low", "close"), ["symbol", "bar_idx"])
+    # the trailing stop only matters at the bar that touches it, `_was` being the best price before that bar
+    trails, even = F.col("bar_idx") == F.col("_trail_bar"), F.when(F.col("bar_idx") > F.col("_even"), F.col("_paid"))
+    best = F.when(long, F.greatest("high", "_was")).otherwise(F.least("low", "_was"))
+    tightest = lambda b: F.when(long, F.greatest("sl", even, F.when(trails, b * (1.0 - costs.trail_pct)))).otherwise(F.least("sl", even, F.when(trails, b * (1.0 + costs.trail_pct))))
+    at = at.withColumns({"_stop": tightest(best), "_held": tightest(F.col("_was"))})
+    gap_sl = F.lit(costs.gap_fill) & F.when(long, F.col("open") <= F.col("_held")).otherwise(F.col("open") >= F.col("_held"))
+    gap_tp = F.lit(costs.gap_fill) & F.when(long, F.col("open") >= F.col("tp")).otherwise(F.col("open") <= F.col("tp"))
+    hit_sl = F.when(long, F.col("low") <= F.col("_stop")).otherwise(F.col("high") >= F.col("_stop"))
+    hit_tp = F.when(long, F.col("high") >= F.col("tp")).otherwise(F.col("low") <= F.col("tp"))
+    tp_first = F.lit(costs.intrabar_path) & F.when(long, F.col("close") < F.col("open")).otherwise(F.col("close") >= F.col("open"))
+    reason = F.when(gap_sl, "sl").when(gap_tp, "tp").when(hit_sl & hit_tp, F.when(tp_first, "tp").otherwise("sl")).when(hit_sl, "sl").otherwise("tp")
+    price = F.when(gap_sl | gap_tp, F.col("open")).when(reason == "sl", F.col("_stop")).otherwise(F.col("tp"))
+    found = at.select("symbol", "signal_id", F.struct(F.col("bar_idx").alias("exit_bar"), F.col("ts").alias("exit_ts"), price.alias("raw_exit"), reason.alias("exit_reason")).alias("_x"))
+    ends = bars.groupBy("symbol").agg(F.max_by(F.struct(F.col("bar_idx").alias("exit_bar"), F.col("ts").alias("exit_ts"), F.col("close").alias("raw_exit"), F.lit("end_of_data").alias("exit_reason")), "bar_idx").alias("_e"))
     out = filled.join(found, ["symbol", "signal_id"], "left").join(ends, "symbol").withColumn("_x", F.when(F.col("status") == "filled", F.coalesce("_x", "_e")))
     return out.select(*filled.columns, "_x.*")
 

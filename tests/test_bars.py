@@ -78,14 +78,15 @@ def test_a_backtest_reads_and_computes_its_features_once(spark):
     assert walked.count("FlatMapGroupsInPandas") == 0
 
 
-def test_trailing_stop_equals_a_walk_along_the_bars(spark):
+@pytest.mark.parametrize(("trail", "activation", "even", "group"), [(0.02, 0.01, 0.0, 5), (0.02, 0.01, 0.0, 64), (0.0, 0.0, 0.015, 16), (0.03, 0.02, 0.01, 7)])
+def test_moving_stop_equals_a_walk_along_the_bars(spark, trail, activation, even, group):
     b = walk(spark, 240)
     rows = b.orderBy("bar_idx").collect()
     side = F.when(F.col("bar_idx") % 2 == 0, "LONG").otherwise("SHORT")
     far = lambda sign: F.col("close") + F.when(F.col("bar_idx") % 2 == 0, sign).otherwise(-sign)
     s = b.where("bar_idx % 5 = 0").select("symbol", "bar_idx", side.alias("side"), F.lit("market").alias("order_type"), F.col("close").alias("limit_price"), far(-6.0).alias("sl"), far(9.0).alias("tp"), F.lit(1).alias("expiry"), F.col("bar_idx").alias("signal_id"), F.lit(1.0).alias("size"))
-    costs = Costs(spread=0.05, trail_pct=0.02, trail_activation=0.01)
-    got = {r.placed_bar: (r.exit_bar, r.exit_reason, round(r.raw_exit, 9)) for r in exits.resolve_trailing_exits(exits.resolve_fills(s, b), b, costs, 3).where("status = 'filled'").collect()}
+    costs = Costs(spread=0.05, trail_pct=trail, trail_activation=activation, break_even=even)
+    got = {r.placed_bar: (r.exit_bar, r.exit_reason, round(r.raw_exit, 9)) for r in exits.resolve_trailing_exits(exits.resolve_fills(s, b), b, costs, group).where("status = 'filled'").collect()}
     for g in s.collect():
         p, long = g.bar_idx, g.side == "LONG"
         if p + 1 >= len(rows):
@@ -98,16 +99,18 @@ def test_trailing_stop_equals_a_walk_along_the_bars(spark):
             elif (r.open >= g.tp) if long else (r.open <= g.tp):
                 end = (r.bar_idx, "tp", r.open)
             else:
-                if long and (r.high - paid) / paid >= 0.01:
-                    stop = max(stop, r.high * 0.98)
-                if not long and (paid - r.low) / paid >= 0.01:
-                    stop = min(stop, r.low * 1.02)
+                if trail and long and (r.high - paid) / paid >= activation:
+                    stop = max(stop, r.high * (1 - trail))
+                if trail and not long and (paid - r.low) / paid >= activation:
+                    stop = min(stop, r.low * (1 + trail))
                 if (r.low <= stop) if long else (r.high >= stop):
                     end = (r.bar_idx, "sl", stop)
                 elif (r.high >= g.tp) if long else (r.low <= g.tp):
                     end = (r.bar_idx, "tp", g.tp)
             if end:
                 break
+            if even and ((r.high - paid) / paid if long else (paid - r.low) / paid) >= even:
+                stop = max(stop, paid) if long else min(stop, paid)
         end = end or (rows[-1].bar_idx, "end_of_data", rows[-1].close)
         assert got[p] == (end[0], end[1], round(end[2], 9)), p
 
