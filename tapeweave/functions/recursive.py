@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..sources.tables import kept
+from .rolling import in_chunks, true_range
 
 CHUNK = 100_000
 
@@ -115,21 +116,19 @@ def dema_tema(rows: DataFrame, x: str, n: int, keys=("symbol",), chunk: int = CH
     return rows.withColumns({"dema": 2 * e1 - e2, "tema": 3 * e1 - 3 * e2 + e3}).drop("_e1", "_e2", "_e3")
 
 
-def _by(keys) -> Window:
-    return Window.partitionBy(*keys).orderBy("bar_idx")
-
-
 def atr(rows: DataFrame, n: int = 14, keys=("symbol",), name: str = "atr", chunk: int = CHUNK) -> DataFrame:
-    from .rolling import true_range
-
-    ranged = rows.withColumn("_tr", true_range(F.col("high"), F.col("low"), F.col("close"), _by(keys)))
+    ranged = in_chunks(rows, 1, lambda cut, by: cut.withColumn("_tr", true_range(F.col("high"), F.col("low"), F.col("close"), by)), keys, chunk=chunk)
     return ewm(ranged, {name: ("_tr", 1.0 / n)}, keys, chunk=chunk).drop("_tr")
 
 
 def rsi(rows: DataFrame, n: int = 14, keys=("symbol",), chunk: int = CHUNK) -> DataFrame:
     """Null where nothing was lost yet."""
-    d = F.col("close") - F.lag("close").over(_by(keys))
-    moved = rows.withColumns({"_up": F.greatest(d, F.lit(0.0)) + d * 0, "_down": F.greatest(-d, F.lit(0.0)) + d * 0})
+
+    def moves(cut: DataFrame, by: WindowSpec) -> DataFrame:
+        d = F.col("close") - F.lag("close").over(by)
+        return cut.withColumns({"_up": F.greatest(d, F.lit(0.0)) + d * 0, "_down": F.greatest(-d, F.lit(0.0)) + d * 0})
+
+    moved = in_chunks(rows, 1, moves, keys, chunk=chunk)
     out = ewm(moved, {"_u": ("_up", 1.0 / n), "_d": ("_down", 1.0 / n)}, keys, chunk=chunk)
     return out.withColumn("rsi", 100 - 100 / (1 + F.try_divide("_u", F.nullif(F.col("_d"), F.lit(0.0))))).drop("_up", "_down", "_u", "_d")
 
@@ -143,16 +142,16 @@ def macd(rows: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, keys=
 def adx(rows: DataFrame, n: int = 14, keys=("symbol",), chunk: int = CHUNK) -> DataFrame:
     """Directional movement counts the rise of the high if it exceeds the low's move in size, and
     mirrored for falls of the low."""
-    from .rolling import true_range
-
-    by = _by(keys)
-    dh, dl = F.col("high") - F.lag("high").over(by), F.col("low") - F.lag("low").over(by)
-    moves = rows.withColumns({
-        "_tr": true_range(F.col("high"), F.col("low"), F.col("close"), by),
-        "_p": F.when((dh > F.abs(dl)) & (dh > 0), dh).otherwise(0.0),
-        "_m": F.when((F.abs(dl) > dh) & (dl < 0), F.abs(dl)).otherwise(0.0),
-    })
-    smooth = ewm(moves, {"_a": ("_tr", 1.0 / n), "_pp": ("_p", 1.0 / n), "_mm": ("_m", 1.0 / n)}, keys, chunk=chunk)
+
+    def moves(cut: DataFrame, by: WindowSpec) -> DataFrame:
+        dh, dl = F.col("high") - F.lag("high").over(by), F.col("low") - F.lag("low").over(by)
+        return cut.withColumns({
+            "_tr": true_range(F.col("high"), F.col("low"), F.col("close"), by),
+            "_p": F.when((dh > F.abs(dl)) & (dh > 0), dh).otherwise(0.0),
+            "_m": F.when((F.abs(dl) > dh) & (dl < 0), F.abs(dl)).otherwise(0.0),
+        })
+
+    smooth = ewm(in_chunks(rows, 1, moves, keys, chunk=chunk), {"_a": ("_tr", 1.0 / n), "_pp": ("_p", 1.0 / n), "_mm": ("_m", 1.0 / n)}, keys, chunk=chunk)
     di = smooth.withColumns({"plus_di": 100 * F.try_divide("_pp", "_a"), "minus_di": 100 * F.try_divide("_mm", "_a")})
     total = F.col("plus_di") + F.col("minus_di")
     dx = di.withColumn("_dx", 100 * F.try_divide(F.abs(F.col("plus_di") - F.col("minus_di")), F.nullif(total, F.lit(0.0))))
@@ -161,9 +160,12 @@ def adx(rows: DataFrame, n: int = 14, keys=("symbol",), chunk: int = CHUNK) -> D
 
 def spread_adx(rows: DataFrame, spread: str, n: int = 14, keys=("pair",), chunk: int = CHUNK) -> DataFrame:
     """Adds adx of a single series: its rises and falls are the directional moves, their size the range."""
-    d = F.col(spread) - F.lag(spread).over(_by(keys))
-    moves = rows.withColumns({"_t": F.abs(d), "_p": F.when(d > 0, d).when(d <= 0, 0.0), "_m": F.when(d < 0, -d).when(d >= 0, 0.0)})
-    smooth = ewm(moves, {"_a": ("_t", 1.0 / n), "_pp": ("_p", 1.0 / n), "_mm": ("_m", 1.0 / n)}, keys, chunk=chunk)
+
+    def moves(cut: DataFrame, by: WindowSpec) -> DataFrame:
+        d = F.col(spread) - F.lag(spread).over(by)
+        return cut.withColumns({"_t": F.abs(d), "_p": F.when(d > 0, d).when(d <= 0, 0.0), "_m": F.when(d < 0, -d).when(d >= 0, 0.0)})
+
+    smooth = ewm(in_chunks(rows, 1, moves, keys, chunk=chunk), {"_a": ("_t", 1.0 / n), "_pp": ("_p", 1.0 / n), "_mm": ("_m", 1.0 / n)}, keys, chunk=chunk)
     up, down = (100 * F.try_divide(x, F.nullif(F.col("_a"), F.lit(0.0))) for x in (F.col("_pp"), F.col("_mm")))
     dx = smooth.withColumn("_dx", 100 * F.try_divide(F.abs(up - down), F.nullif(up + down, F.lit(0.0))))
     return ewm(dx, {"adx": ("_dx", 1.0 / n)}, keys, chunk=chunk).drop("_t", "_p", "_m", "_a", "_pp", "_mm", "_dx")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import recursive as rec
@@ -18,11 +19,13 @@ from ..sources.tables import kept
 
 def cross_signals(rows: DataFrame, fast: str = "ema_fast", slow: str = "ema_slow", k: float = 2.0, rr: float = 1.5, warmup: int = 50, session: str = "all", keys=("symbol",)) -> DataFrame:
     """Market orders where the fast average crosses the slow one; stops by `atr`. Rows of one bar a signal."""
-    by = Window.partitionBy(*keys).orderBy("bar_idx")
     f, s, c = F.col(fast), F.col(slow), F.col("close")
-    f1, s1 = F.lag(f).over(by), F.lag(s).over(by)
-    side = F.when((f1 <= s1) & (f > s), "LONG").when((f1 >= s1) & (f < s), "SHORT")
-    out = rows.withColumn("side", side).where(F.col("side").isNotNull() & F.col("atr").isNotNull() & (F.col("bar_idx") >= warmup)).where(slices.in_session(F.col("ts"), session))
+
+    def crossed(cut: DataFrame, by: WindowSpec) -> DataFrame:
+        f1, s1 = F.lag(f).over(by), F.lag(s).over(by)
+        return cut.withColumn("side", F.when((f1 <= s1) & (f > s), "LONG").when((f1 >= s1) & (f < s), "SHORT"))
+
+    out = rolling.in_chunks(rows, 1, crossed, keys).where(F.col("side").isNotNull() & F.col("atr").isNotNull() & (F.col("bar_idx") >= warmup)).where(slices.in_session(F.col("ts"), session))
     sign = F.when(F.col("side") == "LONG", 1.0).otherwise(-1.0)
     return out.select(*keys, "bar_idx", "side", F.lit("market").alias("order_type"), c.alias("limit_price"), (c - sign * k * F.col("atr")).alias("sl"), (c + sign * k * rr * F.col("atr")).alias("tp"), F.lit(1).alias("expiry"), F.col("bar_idx").alias("signal_id"), F.lit(1.0).alias("size"))
 
@@ -83,10 +86,7 @@ def zone_unit() -> Column:
 
 def features(rows: DataFrame, fast: int = 10, slow: int = 30, n: int = 14, keys=("symbol",), chunk: int = rec.CHUNK) -> DataFrame:
     """`rows` with ema_fast, ema_slow and atr, written once: a backtest reads them many times."""
-    from ..functions.rolling import true_range
-
-    by = Window.partitionBy(*keys).orderBy("bar_idx")
-    ranged = rows.withColumn("_tr", true_range(F.col("high"), F.col("low"), F.col("close"), by))
+    ranged = rolling.in_chunks(rows, 1, lambda cut, by: cut.withColumn("_tr", rolling.true_range(F.col("high"), F.col("low"), F.col("close"), by)), keys, chunk=chunk)
     all_ = {"ema_fast": ("close", rec.span(fast)), "ema_slow": ("close", rec.span(slow)), "atr": ("_tr", 1.0 / n)}
     return kept(rec.ewm(ranged, all_, keys, chunk=chunk).drop("_tr"), "features")
 
@@ -135,6 +135,36 @@ def param_grid(spark: SparkSession, grid: dict[str, list], most: int = 500) -> D
     return spark.createDataFrame([(i, *c.values()) for i, c in enumerate(combos)], ["combo_id", *grid])
 
 
+@dataclass(frozen=True)
+class Param:
+    """A parameter of a strategy: `options` to choose from, or a number that moves in steps of `step` (whole ones by 1, others
+    by 0.1 if not given) between `least` and `most`. Other values are fixed."""
+
+    default: object = None
+    step: float | None = None
+    least: float | None = None
+    most: float | None = None
+    options: tuple = ()
+
+    def around(self, value, reach: int = 2) -> list:
+        """What a sweep tries: all options, or `value` and those `reach` steps away, as far as the bounds let them."""
+        if self.options:
+            return list(self.options)
+        if isinstance(value, bool) or not isinstance(value, int | float):
+            return [value]
+        whole = isinstance(value, int)
+        away = reach * (self.step or (1 if whole else 0.1))
+        least = self.least if self.least is not None else 1 if whole else value - away
+        low, high = max(value - away, least), min(value + away, value + away if self.most is None else self.most)
+        return sorted({int(x) if whole else round(float(x), 6) for x in (low, value, high)})
+
+
+def default_grid(params: dict, current: dict | None = None) -> dict[str, list]:
+    """The grid for `param_grid` that follows from parameters (a `Param`, or a fixed value) and the values in use."""
+    described = {name: p if isinstance(p, Param) else Param(p, options=(p,)) for name, p in params.items()}
+    return {name: p.around((current or {}).get(name, p.default)) for name, p in described.items()}
+
+
 def sweep_signals(feats: DataFrame, grid: DataFrame, warmup: int = 50) -> DataFrame:
     """Cross signals for every (k, rr) of `grid`: the few crossings are multiplied, never the bars."""
     base = cross_signals(feats, k=1.0, rr=1.0, warmup=warmup)

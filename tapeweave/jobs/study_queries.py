@@ -336,6 +336,17 @@ def sweep(spark, sf_dir):
     return rounded(metrics.trade_stats(t, ("symbol", "combo_id")))
 
 
+_AROUND = "grid(combo_id, k, rr) AS (SELECT row_number() OVER (ORDER BY k, rr) - 1, k, rr FROM (VALUES (1.0::DOUBLE), (2.0), (3.0)) a(k), (VALUES (1.0::DOUBLE), (1.5), (1.75)) b(rr))"
+
+
+@query("x3_j12_default_grid", f"""{_scans(f"""{_ALL}, {_AROUND}, bars AS (SELECT symbol || '|' || combo_id AS symbol, ts, open, high, low, close, volume, bar_idx, k, rr FROM all_bars, grid)""")},
+{_signals("k", "rr")}, {_EXITS}, {_PLAIN} SELECT {_stats("split_part(symbol, '|', 1) AS symbol, CAST(split_part(symbol, '|', 2) AS BIGINT) AS combo_id")} FROM net GROUP BY net.symbol""")
+def default_grid_sweep(spark, sf_dir):
+    params = {"k": studies.Param(1.5, step=0.5, least=1.0), "rr": studies.Param(1.5, step=0.25, most=1.75)}
+    t = studies.parameter_sweep(_feats(spark, sf_dir), studies.param_grid(spark, studies.default_grid(params, {"k": 2.0})))
+    return rounded(metrics.trade_stats(t, ("symbol", "combo_id")))
+
+
 _SETS = [(5, 20, 1.0, 1.5), (5, 20, 2.0, 1.5), (10, 40, 2.0, 1.0), (10, 40, 3.0, 1.0)]
 
 

@@ -251,3 +251,10 @@ def test_session_hours(spark):
     hours = spark.range(24).select(F.col("id").alias("h"), F.expr("timestamp'2024-01-01 00:30:00' + make_interval(0, 0, 0, 0, id)").alias("ts"))
     within = {name: {r.h for r in hours.where(slices.in_session(F.col("ts"), name)).collect()} for name in ("london", "ny", "asia", "both", "all")}
     assert within == {"london": set(range(7, 12)), "ny": set(range(13, 17)), "asia": set(range(7)), "both": {*range(7, 12), *range(13, 17)}, "all": set(range(24))}
+
+
+def test_default_grid_follows_from_the_parameters():
+    params = {"n": studies.Param(14, step=2, least=12), "fast": studies.Param(2), "k": studies.Param(2.0, step=0.5, most=2.5), "free": studies.Param(0.1), "mode": studies.Param("a", options=("a", "b")), "on": studies.Param(True), "name": "x"}
+    want = {"n": [12, 14, 18], "fast": [1, 2, 4], "k": [1.0, 2.0, 2.5], "free": [-0.1, 0.1, 0.3], "mode": ["a", "b"], "on": [True], "name": ["x"]}
+    assert studies.default_grid(params) == want
+    assert studies.default_grid(params, {"n": 20, "fast": 9})["n"] == [16, 20, 24]
