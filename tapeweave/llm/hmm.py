@@ -122,8 +122,11 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame, texts: int) -> Vocabulary:
-    """`counts`: a stored table. Collects at most HEAD words and ENDINGS totals."""
-    level = F.floor(8 * F.log2("n")).cast("int")
+    """`counts`: a stored table. Collects at most HEAD words and ENDINGS totals.
+
+    The head is full whenever there are as many words: levels of counts (9 % wide) from the top, and of the level
+    that no longer fits as many words as there is room for, in the order of their hashes."""
+    level, prefix = F.floor(8 * F.log2("n")).cast("int"), F.shiftrightunsigned("word", 52)
     room, least = HEAD, 0
     for value, n in sorted(counts.groupBy(level.alias("l")).count().collect(), reverse=True):
         if n > room:
@@ -131,6 +134,14 @@ def vocabulary(counts: DataFrame, texts: int) -> Vocabulary:
             break
         room -= n
     is_head = level >= least
+    if least and room:
+        split, before = counts.where(level == least - 1), 0
+        for border, n in sorted(split.groupBy(prefix.alias("p")).count().collect()):  # at most 4,096 prefixes
+            if before + n >= room:
+                break
+            before += n
+        last = split.where(prefix == border).select("word").orderBy("word").limit(room - before).agg(F.max("word")).first()[0]
+        is_head = is_head | (level == least - 1) & ((prefix < border) | (prefix == border) & (F.col("word") <= last))
     rows = counts.where(is_head).select("word", "n").toArrow()
     head, n = rows.column(0).to_numpy().view(np.uint64), rows.column(1).to_numpy()
     order = np.argsort(head)
