@@ -509,15 +509,3 @@ def test_other_fields_leave_layouts_known_and_unknown_ones_stay(spark):
     assert [r.turns for r in chat.conversations(spark.createDataFrame([(1, "x")], "conv_id long, body string")).collect()] == [[]]
     odd = spark.createDataFrame([(1, [("user", "x")])], "conv_id long, messages array<struct<role:string,said:string>>")
     assert [(r.turns, r.unknown_layout) for r in chat.conversations(odd).collect()] == [([], of(["messages[].role", "messages[].said"]))]
-
-
-def test_hmm_head_is_full_whenever_there_are_as_many_words(spark, monkeypatch):
-    rows = [(h * 2**58 - 2**62, h % 5, 10 if h < 3 else 1) for h in range(30)]
-    counts = spark.createDataFrame(rows, "word long, ending int, n long")
-    for head in (2, 3, 7, 30, 40):
-        monkeypatch.setattr(hmm, "HEAD", head)
-        v = hmm.vocabulary(counts, 4)
-        assert len(v.head) == min(head, 30) and v.total == sum(n for *_, n in rows) + 4
-        assert sorted(v.head_counts.tolist(), reverse=True) == sorted((n for *_, n in rows), reverse=True)[:head]
-        assert v.head.tolist() == sorted(v.head.tolist())
-        assert hmm.vocabulary(counts.orderBy("n"), 4).head.tolist() == v.head.tolist()
