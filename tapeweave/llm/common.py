@@ -109,13 +109,27 @@ def apart(docs: DataFrame, *keep: str) -> tuple[DataFrame, Callable[..., DataFra
     return docs.toDF(*inner), back
 
 
-def range_bounds(df: DataFrame, key: str, ranges: int) -> np.ndarray:
-    """At most `ranges` - 1 ascending values of `key` that split its rows evenly (values that occur)."""
+LOWEST = np.iinfo(np.int64).min
+
+
+def range_cuts(df: DataFrame, key: str, ranges: int) -> np.ndarray:
+    """At most `ranges` - 1 ascending cuts of `key` that split its rows evenly; null counts as the lowest
+    number. A value with more rows than a range holds is a cut several times."""
     if ranges < 2:
         return np.empty(0, np.int64)
     cuts = [i / ranges for i in range(1, ranges)]
-    found = df.agg(F.percentile_approx(F.col(key).cast("long"), cuts, max(10_000, 4 * ranges)).alias("b")).first()["b"]
-    return np.unique(np.array(found or [], np.int64))
+    value = F.coalesce(F.col(key).cast("long"), F.lit(LOWEST))
+    found = df.agg(F.percentile_approx(value, cuts, max(10_000, 4 * ranges)).alias("b")).first()["b"]
+    return np.array(found or [], np.int64)
+
+
+def range_of(cuts: np.ndarray, keys: pa.Array, part: np.ndarray) -> np.ndarray:
+    """The range of each key. A key that is a cut k times fills k ranges, dealt by `part` (32-bit hashes of
+    the rest of the row), so ranges ascend by (key, part)."""
+    value = keys.fill_null(LOWEST).to_numpy(zero_copy_only=False)
+    below = np.searchsorted(cuts, value, "left")
+    times = np.searchsorted(cuts, value, "right") - below
+    return below + (times > 0) + (np.asarray(part, np.int64) * times >> 32)
 
 
 # --- Arrow batches -------------------------------------------------------------------------------

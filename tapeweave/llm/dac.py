@@ -5,14 +5,15 @@ every id of a shard and a bitmap of the ids that go on; level 1 holds the next c
 so on. A directory of counts before each block of a bitmap gives rank in constant time, so any id is
 read from one chunk a level, without decoding its neighbours.
 
-File format: a Parquet dataset with one row a shard. Rows of one `bucket` (a range of doc_id) are
+File format: a Parquet dataset with one row a shard. Rows of one `bucket` (a range of doc_id and hash) are
 shards of ascending doc_id; `bucket_start` counts the ids of its bucket before it. `codes` is
 
     uint32 levels, then per level: uint32 n, n chunks (uint8 or uint16),
     ceil(n / 8) bytes of bitmap (lowest bit first), uint32 ranks for every RANK_BLOCK bits.
 
-Null text: no ids but the end id. Repeated rows are kept. Null doc_ids come first. An empty table
-makes an empty dataset.
+Null text: no ids but the end id. Repeated rows are kept. Null doc_ids come first; rows of one doc_id
+follow by the hash of their ids, and a doc_id (or null) with many rows fills several ranges. An empty
+table makes an empty dataset.
 """
 
 from __future__ import annotations
@@ -113,8 +114,13 @@ class Codes:
 # --- Spark jobs ----------------------------------------------------------------------------------
 
 
-def encode_texts(docs: DataFrame, tokenizer: str, end_id: int | None, bounds: np.ndarray) -> DataFrame:
-    """bucket, doc_id, n, ids (packed little-endian in as few of 2 or 4 bytes as the vocabulary takes)."""
+def hash_ids(ids: list[bytes]) -> np.ndarray:
+    """32 evenly spread bits each: the order of documents that share a doc_id."""
+    return (common.mix(np.fromiter(map(zlib.crc32, ids), np.uint64, len(ids))) >> np.uint64(32)).astype(np.int64)
+
+
+def encode_texts(docs: DataFrame, tokenizer: str, end_id: int | None, cuts: np.ndarray) -> DataFrame:
+    """bucket, doc_id, part (hash of the ids), n, ids (packed little-endian in as few of 2 or 4 bytes as the vocabulary takes)."""
     path = tokens.tokenizer_path(tokenizer) if "/" not in tokenizer else tokenizer
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,18 +131,19 @@ def encode_texts(docs: DataFrame, tokenizer: str, end_id: int | None, bounds: np
                 part = batch.slice(at, 256)
                 keys = part.column(0)
                 ids = [enc.encode(t or "") + end for t in part.column(1).to_pylist()]
-                bucket = np.searchsorted(bounds, keys.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), "right")
+                hashes = hash_ids(ids)
+                bucket = common.range_of(cuts, keys, hashes)
                 n = np.fromiter(map(len, ids), np.int64, len(ids)) // enc.dtype.itemsize
-                yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), keys, pa.array(n), pa.array(ids, pa.binary())], ["bucket", "doc_id", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), keys, pa.array(hashes), pa.array(n), pa.array(ids, pa.binary())], ["bucket", "doc_id", "part", "n", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "bucket int, doc_id long, n long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "bucket int, doc_id long, part long, n long, ids binary")
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0, bits: int = 8, shard_ids: int = SHARD_IDS) -> None:
     """Encodes `docs` (doc_id, text) and writes the shards, ascending doc_id, as the dataset `path`."""
     rows = docs.count()
     buckets = max(1, min(MOST_BUCKETS, math.ceil(rows / BUCKET_ROWS)))
-    bounds = common.range_bounds(docs, "doc_id", buckets)
+    cuts = common.range_cuts(docs, "doc_id", buckets)
     wide = np.dtype("<u2") if tokens.encoder(tokens.tokenizer_path(tokenizer) if "/" not in tokenizer else tokenizer).vocabulary <= 1 << 16 else np.dtype("<u4")
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,8 +176,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k
         if doc_ids:
             yield flush()
 
-    encoded = encode_texts(docs, tokenizer, end_id, bounds)
-    sorted_docs = encoded.repartition(common.shuffle_partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket", "doc_id", "ids")
+    encoded = encode_texts(docs, tokenizer, end_id, cuts)
+    sorted_docs = encoded.repartition(common.shuffle_partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket", "doc_id", "part", "ids").drop("part")
     sorted_docs.mapInArrow(shards, SHARD_SCHEMA).write.parquet(path)
 
 

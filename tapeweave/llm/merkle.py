@@ -6,19 +6,21 @@ Sections are runs of paragraphs, cut where a paragraph's hash says so, so that b
 content and an edit changes only the branches above it. A leaf is a hash of a paragraph and its end, a
 branch one of its children's hashes in order, the root one of all sections' hashes.
 
-A fingerprint is `root|section:leaf.leaf|section:leaf...` in hex: equal roots mean equal texts,
-sections that differ say where, and their leaves say which paragraphs. Likeness is the share of
+A fingerprint is `root|section:leaf.leaf|section:leaf...`, the root in hex, the others in base64 (about a
+fifth of the text's bytes): equal roots mean equal texts, sections that differ say where, and their leaves
+say which paragraphs. Likeness is the share of
 leaves that two fingerprints share, as multisets, weighted alike: 2 shared / (leaves of both), 1 for
 equal roots.
 
 Null text: empty, with one empty leaf. Repeated rows are fingerprinted each; among rows of one doc_id
-the next document follows by text. Null doc_ids come first. Empty table: no rows.
+the next document follows by the hash of its text. Null doc_ids come first. Empty table: no rows.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from base64 import urlsafe_b64encode
 from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
@@ -36,9 +38,10 @@ _SENTENCE = re.compile(r".*?[.!?…。！？]+(?:\s+|\Z)|.+", re.DOTALL)
 #: Characters of a line from which it is cut at sentences, and of a sentence from which at words.
 LONG_LINE, LONG_SENTENCE = 40, 60
 #: One word in so many ends a piece of a long sentence; a word is looked at in stretches of WORD characters.
-CUT, WORD = 6, 200
+CUT, WORD = 8, 200
 SECTION = 8
-LEAF_BYTES, BRANCH_BYTES = 6, 8
+#: Characters of a leaf (30 bits) and of a branch (60 bits) in a fingerprint.
+LEAF, BRANCH = 5, 10
 ROWS_A_BUCKET, MOST_BUCKETS = 500, 100_000
 
 
@@ -80,7 +83,11 @@ def fingerprint(text: str) -> str:
             sections.append((_hash(b"".join(own), 16), own))
             start = i + 1
     root = _hash(b"".join(s for s, _ in sections), 16)
-    return "|".join([root.hex(), *(f"{s[:BRANCH_BYTES].hex()}:{'.'.join(x[:LEAF_BYTES].hex() for x in own)}" for s, own in sections)])
+    return "|".join([root.hex(), *(f"{_short(s, BRANCH)}:{'.'.join([_short(x, LEAF) for x in own])}" for s, own in sections)])
+
+
+def _short(digest: bytes, size: int) -> str:
+    return urlsafe_b64encode(digest[:9])[:size].decode()
 
 
 def likeness(a: str, b: str) -> float:
@@ -123,33 +130,44 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text and the text of the next row by ascending (doc_id, text); after the last, the first.
+    """doc_id, text and the text of the next row by ascending (doc_id, hash of the text, text); after the
+    last, the first.
 
-    Rows are dealt to ranges of doc_id whose borders occur as ids, so the first ids of a range are
-    known; their rows also go to the range before, as the next of its last row.
+    Rows are dealt to ranges of doc_id, and of the hash where one doc_id (or null) fills several. The
+    first row of each range also goes to the range before, as the next of its last row.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.select("doc_id", F.shiftrightunsigned(F.xxhash64("text"), 32).alias("part"), "text")
     buckets = max(1, min(MOST_BUCKETS, math.ceil(docs.count() / ROWS_A_BUCKET)))
-    bounds = common.range_bounds(rows, "doc_id", buckets)
-    lowest = rows.agg(F.min("doc_id"), F.max(F.col("doc_id").isNull())).first()
-    first = None if lowest[1] else lowest[0]
+    cuts = common.range_cuts(rows, "doc_id", buckets)
+
+    def lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, part = batch.column(0).fill_null(common.LOWEST).to_numpy(zero_copy_only=False), batch.column(1).to_numpy()
+            bucket = common.range_of(cuts, batch.column(0), part)
+            order = np.lexsort((part, key, bucket))
+            order = order[np.unique(bucket[order], return_index=True)[1]]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[order], pa.int32()), pa.array(key[order]), pa.array(part[order])], ["bucket", "key", "part"])
 
-    borders = {int(b): i for i, b in enumerate(bounds.tolist())}
+    # one row a range, at most MOST_BUCKETS
+    firsts = rows.select("doc_id", "part").mapInArrow(lowest, "bucket int, key long, part long").groupBy("bucket").agg(F.min(F.struct("key", "part")).alias("f"))
+    filled, first_key, first_part = np.array(sorted((b, f["key"], f["part"]) for b, f in firsts.collect()), np.int64).reshape(-1, 3).T
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            bucket = np.searchsorted(bounds, [np.iinfo(np.int64).min if i is None else i for i in ids], "right")
-            extra = [(k, borders[i]) for k, i in enumerate(ids) if i in borders]
-            wrap = [(k, len(bounds)) for k, i in enumerate(ids) if i == first]
-            take = pa.array([*range(len(ids)), *(k for k, _ in extra), *(k for k, _ in wrap)], pa.int64())
-            where = [*bucket.tolist(), *(b for _, b in extra), *(b for _, b in wrap)]
-            guest = [0] * len(ids) + [1] * len(extra) + [2] * len(wrap)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(where, pa.int32()), pa.array(guest, pa.int32())], ["doc_id", "text", "bucket", "guest"])
-
-    # a border's rows are guests of the range before it: bucket i ends where border i begins
-    dealt = rows.mapInArrow(deal, "doc_id long, text string, bucket int, guest int")
-    order = Window.partitionBy("bucket").orderBy(F.col("guest") == 2, F.col("doc_id").asc_nulls_first(), "text")
+            key, part = batch.column(0).fill_null(common.LOWEST).to_numpy(zero_copy_only=False), batch.column(1).to_numpy()
+            bucket = common.range_of(cuts, batch.column(0), part)
+            at = np.searchsorted(filled, bucket)
+            extra = np.flatnonzero((key == first_key[at]) & (part == first_part[at]))
+            # the range before; the first of all goes round to the last
+            host = filled[at[extra] - 1]
+            guest = np.where(at[extra] > 0, 1, 2)
+            take = pa.array(np.concatenate([np.arange(len(key)), extra]))
+            kinds = pa.array(np.concatenate([bucket, host]), pa.int32()), pa.array(np.concatenate([np.zeros(len(key), np.int64), guest]), pa.int32())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(take) for i in range(3)), *kinds], ["doc_id", "part", "text", "bucket", "guest"])
+
+    dealt = rows.mapInArrow(deal, "doc_id long, part long, text string, bucket int, guest int")
+    order = Window.partitionBy("bucket").orderBy(F.col("guest") == 2, F.col("doc_id").asc_nulls_first(), "part", "text")
     return dealt.withColumn("next_text", F.lead("text").over(order)).where("guest = 0").select("doc_id", "text", F.coalesce("next_text", F.lit("")).alias("next_text"))
 
 

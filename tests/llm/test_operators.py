@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tapeweave.llm import chat, dac, hmm, jaccard, merkle, packing, pii, tokens, toxicity, urls, winnowing
@@ -122,6 +123,30 @@ def test_token_files_round_trip_and_random_access(spark, tmp_path):
     assert dac.read_documents(spark, f"{path}-none").count() == 0
 
 
+def crowded(spark, n):
+    """A third of the rows without id, a third of one id, nothing in one place; ids beyond 2^53 too."""
+    texts = [f"text number {i % (n - 5)} of the crowd" for i in range(n)]
+    ids = [None if i % 3 == 0 else 7 if i % 3 == 1 else (2**60 + i * 2**40 if i % 2 else i) for i in range(n)]
+    return [*zip(ids, texts, strict=True)], spark.createDataFrame([*zip(ids, texts, strict=True)], "doc_id long, text string").repartition(5)
+
+
+def test_crowded_ids_fill_several_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(dac, "BUCKET_ROWS", 10)
+    pairs, table = crowded(spark, 300)
+    path = f"file://{tmp_path}/crowd"
+    dac.write_token_files(table, path)
+    files, _ = dac.open_token_files(spark, path)
+    assert max(len(r.doc_ids) for r in files.collect()) < 40
+    rows = dac.read_documents(spark, path).orderBy("start").collect()
+    assert [r.start for r in rows] == np.cumsum([0, *(r.n_tokens for r in rows)])[:-1].tolist()
+    assert [r.doc_id for r in rows] == sorted((i for i, _ in pairs), key=lambda i: (i is not None, i))
+    enc = tokens.Encoder(tokens.tokenizer_path())
+    assert Counter((r.doc_id, tuple(r.ids[:-1])) for r in rows) == Counter((i, tuple(np.frombuffer(enc.encode(t), enc.dtype).tolist())) for i, t in pairs)
+    hashes = dac.hash_ids([np.array(r.ids, enc.dtype).tobytes() for r in rows]).tolist()
+    inside = [(r.doc_id is not None, r.doc_id, h) for r, h in zip(rows, hashes, strict=True)]
+    assert inside == sorted(inside, key=lambda x: (x[0], x[1] or 0, x[2]))
+
+
 # --- decontamination, near duplicates ------------------------------------------------------------
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -245,6 +270,21 @@ def test_next_document_across_ranges(spark, monkeypatch):
     assert merkle.with_next(docs(spark, [])).count() == 0
 
 
+def test_next_document_with_crowded_ids(spark, monkeypatch):
+    for size in (3, 10, 1000):
+        monkeypatch.setattr(merkle, "ROWS_A_BUCKET", size)
+        pairs, table = crowded(spark, 120)
+        order = sorted(pairs, key=lambda p: (p[0] is not None, p[0] or 0, xxhash.xxh64_intdigest(p[1].encode(), 42) >> 32, p[1]))
+        want = Counter((i, t, u) for (i, t), (_, u) in zip(order, order[1:] + order[:1], strict=True))
+        assert Counter(map(tuple, merkle.with_next(table).collect())) == want
+
+
+def test_fingerprints_are_small_beside_their_texts():
+    rng = random.Random(5)
+    texts = [prose(rng, n) for n in (300, 900, 2000)]
+    assert sum(map(len, map(merkle.fingerprint, texts))) < 0.25 * sum(map(len, texts))
+
+
 def test_forward_equals_the_sum_over_all_paths():
     rng = np.random.default_rng(4)
     states, size = 3, 5
