@@ -50,20 +50,25 @@ class Encoder:
         self.code, self.dtype = ("H", np.dtype("<u2")) if self.vocabulary <= 1 << 16 else ("I", np.dtype("<u4"))
         self.letters = str.maketrans(_byte_letters())
         self.kept_words = kept_words
+        self.packs = [i.to_bytes(self.dtype.itemsize, "little") for i in range(self.vocabulary)]
         self.known: dict[str, bytes] = {}  # ids of a word after a space, or of `_AS_IS` and a stretch as it stands
         self.newline = self._pre_token("\n")
         self.older: dict[str, bytes] = {}  # what was known before; words met again move up
 
     def _pre_token(self, text: str) -> bytes:
-        shown = text.encode().decode("latin-1").translate(self.letters)
-        return array(self.code, [t.id for t in self.tokenize(shown)]).tobytes()
+        # the stand-ins of visible ASCII are the characters themselves
+        shown = text.replace(" ", self.letters[32]) if text.isascii() and text != "\n" else text.encode().decode("latin-1").translate(self.letters)
+        packs = self.packs
+        return b"".join([packs[t.id] for t in self.tokenize(shown)])
 
     def _learn(self, key: str) -> bytes | None:
         """None: blanks meet a space at this word, so its text must be cut at `_GAP` instead."""
         if (ids := self.older.get(key)) is None:
             as_is = key[:1] == _AS_IS
-            if m := _PLAIN.fullmatch(key, as_is):
-                bare = self.known.get(m[1]) if m[2] and not as_is else None
+            if key.isascii() and key.isalpha():
+                ids = self._pre_token(" " + key)
+            elif m := _PLAIN.fullmatch(key, as_is):
+                bare = (self.known.get(m[1]) or self.older.get(m[1])) if m[2] and not as_is else None
                 ids = (self._pre_token(m[1] if as_is else " " + m[1]) if bare is None else bare) + (self._marks(m[2]) if m[2] else b"")
             elif not key or not as_is and (key[0].isspace() or key[-1].isspace()):
                 return None
@@ -79,11 +84,16 @@ class Encoder:
         return found if (found := self.known.get(key := _AS_IS + marks)) is not None else self.known.setdefault(key, self._pre_token(marks))
 
     def _packed(self, keys: list[str]) -> bytes | None:
-        try:
-            return b"".join(map(self.known.get, keys))
-        except TypeError:
-            found = [ids if (ids := self.known.get(k)) is not None else self._learn(k) for k in keys]
-            return None if None in found else b"".join(found)
+        found = [*map(self.known.get, keys)]
+        if None in found:
+            at = -1
+            for _ in range(found.count(None)):
+                at = found.index(None, at + 1)
+                # a word may have been learned since, earlier in this text
+                if (ids := self.known.get(keys[at])) is None and (ids := self._learn(keys[at])) is None:
+                    return None
+                found[at] = ids
+        return b"".join(found)
 
     def encode(self, text: str) -> bytes:
         """The ids, packed one after another."""
