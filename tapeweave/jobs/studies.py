@@ -249,7 +249,8 @@ def stitch(curves: DataFrame, keys=("run",)) -> DataFrame:
 
 def portfolio_summary(trades: DataFrame, ranks: DataFrame, start: float) -> DataFrame:
     """n, win_rate, pnl and total_return (% of `start`) of each symbol's trades and of ALL, which has the
-    deepest fall of the common equity too, trade by trade in the order of (exit_ts, symbol_rank)."""
+    deepest fall of the common equity too, trade by trade in the order of (exit_ts, symbol_rank). Without trades
+    ALL stands alone, with n 0 and nulls."""
     from ..operators import align
 
     cash = trades.select("symbol", F.col("exit_ts").alias("ts"), F.col("pnl_net").alias("cash"))
@@ -263,7 +264,7 @@ def portfolio_summary(trades: DataFrame, ranks: DataFrame, start: float) -> Data
     inner = Window.partitionBy("_day").orderBy("ts", "symbol_rank").rowsBetween(Window.unboundedPreceding, 0)
     rows = curve.withColumn("_day", day).join(before, "_day").withColumn("_peak", F.greatest(peak.over(inner), "_before", F.lit(start)))
     whole = rows.agg(*out, F.max(100 * (F.col("_peak") - F.col("equity")) / F.col("_peak")).alias("max_dd"))
-    return each.unionByName(whole.where("n > 0").withColumn("symbol", F.lit("ALL")))
+    return each.unionByName(whole.withColumn("symbol", F.lit("ALL")))
 
 
 def in_order(trades: DataFrame, order: tuple[str, ...], ts: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Every query with SQL against DuckDB on the smallest tables; the others run and give rows."""
 
+import datetime
 import os
 
 import duckdb
@@ -37,3 +38,14 @@ def test_query_equals_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_query_without_sql_runs(spark, name):
     assert registry.queries()[name](spark, SF).columns
+
+
+def test_portfolio_summary_without_trades(spark, tmp_path):
+    start = datetime.datetime(2024, 1, 1)
+    ticks = [(i, start + datetime.timedelta(minutes=20 * i), 1, "view", 5.0 + i % 2, "{}") for i in range(600)]
+    spark.createDataFrame(ticks, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    ours = rows(registry.queries()["a13_portfolio_summary"](spark, str(tmp_path)).toArrow())
+    assert ours == rows(con.sql(registry.oracle_sql()["a13_portfolio_summary"]).to_arrow_table())
+    assert len(ours[1]) == 1
