@@ -132,8 +132,7 @@ def closed(spark, sf_dir):
 SELECT a.run, count(*) AS n, {r('100.0 * avg(CASE WHEN a.pnl_net + coalesce(b.pnl_net, 0) > 0 THEN 1.0 ELSE 0.0 END)')} AS win_rate, {r('sum(a.pnl_net + coalesce(b.pnl_net, 0))', 2)} AS pnl
 FROM n a LEFT JOIN n b ON a.run = b.run AND a.n = b.n AND b.side = 'SHORT' WHERE a.side = 'LONG' GROUP BY 1""")
 def legs(spark, sf_dir):
-    w = Window.partitionBy("run", "side").orderBy("exit_ts", "seq")
-    t = adapters.trades(spark, sf_dir).withColumn("n", F.row_number().over(w))
+    t = adapters.leg_trades(spark, sf_dir)
     pairs = align.pair_legs(t.where("side = 'LONG'"), t.where("side = 'SHORT'"))
     return pairs.groupBy("run").agg(F.count("*").alias("n"), r(100.0 * F.avg((F.col("combined") > 0).cast("double"))).alias("win_rate"), r(F.sum("combined"), 2).alias("pnl"))
 

@@ -20,14 +20,14 @@ def bars(spark: SparkSession, sf_dir: str, seconds: int = 3600) -> DataFrame:
     return resample(ticks(spark, sf_dir), seconds)
 
 
-def numbered(rows: DataFrame, keys=("symbol",), name: str = "bar_idx", day=None) -> DataFrame:
+def numbered(rows: DataFrame, keys=("symbol",), name: str = "bar_idx", day=None, order=("ts",)) -> DataFrame:
     """Dense numbers from 0 by time within `keys`, without one task for a long series: days are
-    counted, the small table of days is summed up, and rows are numbered within their day."""
+    counted, the small table of days is summed up, and rows are numbered by `order` within their day."""
     day = F.to_date("ts") if day is None else day
     days = rows.groupBy(*keys, day.alias("_day")).agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
     starts = days.select(*keys, "_day", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    inner = Window.partitionBy(*keys, "_day").orderBy("ts")
+    inner = Window.partitionBy(*keys, "_day").orderBy(*order)
     local = rows.withColumn("_day", day).withColumn("_local", F.row_number().over(inner) - 1)
     return local.join(starts, [*keys, "_day"]).withColumn(name, (F.col("_first") + F.col("_local")).cast("long")).drop("_day", "_first", "_local")
 
@@ -41,11 +41,11 @@ def dirty_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 TRADE_ORDER = ("exit_ts", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
 
 
-def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as closed trades of three runs; `seq` orders the trades of a day."""
+def _line_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as closed trades, with the columns of `TRADE_ORDER`."""
     li = table(spark, sf_dir, "lineitem")
     pnl = F.floor(F.col("l_extendedprice") * (F.col("l_discount") - 0.05) + 0.5) / 100  # cents, half up
-    out = li.select(
+    return li.select(
         F.col("l_returnflag").alias("run"),
         F.when(F.col("l_linestatus") == "F", "LONG").otherwise("SHORT").alias("side"),
         F.date_sub(F.to_date("l_shipdate"), F.col("l_linenumber").cast("int") + 1).alias("fill_ts"),
@@ -55,8 +55,22 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_quantity").cast("double").alias("size"),
         *TRADE_ORDER[1:],
     )
+
+
+def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as closed trades of three runs; `seq` orders the trades of a day."""
     day = Window.partitionBy("run", "exit_ts").orderBy(*TRADE_ORDER[1:])
-    return out.withColumn("seq", F.row_number().over(day)).drop(*TRADE_ORDER[1:])
+    return _line_trades(spark, sf_dir).withColumn("seq", F.row_number().over(day)).drop(*TRADE_ORDER[1:])
+
+
+def leg_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same trades with `n`, their number within run and side by exit; runs and days that are null count as
+    one more each, the days last."""
+    run = F.coalesce(F.concat(F.lit("="), "run"), F.lit(""))
+    day = F.coalesce(F.unix_date("exit_ts").cast("long"), F.lit(1 << 40))
+    order = [F.col(c).asc_nulls_last() for c in TRADE_ORDER[1:]]
+    rows = _line_trades(spark, sf_dir).withColumn("_run", run)
+    return numbered(rows, ("_run", "side"), "n", day, order).drop("_run", *TRADE_ORDER[1:])
 
 
 def equity(spark: SparkSession, sf_dir: str, start: float = 1_000_000.0) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import datetime
 import os
+import re
 
 import duckdb
 import pytest
@@ -49,3 +50,17 @@ def test_portfolio_summary_without_trades(spark, tmp_path):
     ours = rows(registry.queries()["a13_portfolio_summary"](spark, str(tmp_path)).toArrow())
     assert ours == rows(con.sql(registry.oracle_sql()["a13_portfolio_summary"]).to_arrow_table())
     assert len(ours[1]) == 1
+
+
+def test_leg_pairing_numbers_within_days(spark, tmp_path):
+    start = datetime.datetime(1995, 1, 2)
+    kinds = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
+    items = [(i * 7 % 400, i, i % 9, i % 4, 1.0 + i % 5, 1000.0 + i, i % 11 / 100, (None, "A", "N", "R", "")[i % 5], "FO"[i // 3 % 2], None if i % 13 == 0 else start + datetime.timedelta(days=i * i % 17)) for i in range(400)]
+    spark.createDataFrame(items, kinds).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    found = registry.queries()["j10_leg_pairing"](spark, str(tmp_path))
+    assert rows(found.toArrow()) == rows(con.sql(registry.oracle_sql()["j10_leg_pairing"]).to_arrow_table())
+    # no task numbers a whole leg
+    cuts = re.findall(r"Window \[row_number\(\).*?\], \[(.*?)\],", found._jdf.queryExecution().optimizedPlan().toString())
+    assert cuts and all("_day" in c for c in cuts)
