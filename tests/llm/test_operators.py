@@ -39,6 +39,13 @@ def test_cached_encoding_equals_the_library():
             assert np.frombuffer(enc.encode(t), enc.dtype).tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
+def test_a_word_is_kept_once_whatever_mark_follows():
+    enc = tokens.Encoder(tokens.tokenizer_path())
+    text = "zorbly, quent. zorbly. quent, zorbly quent\nzorbly.. quent,, Zé. 7, b"
+    assert np.frombuffer(enc.encode(text), enc.dtype).tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
+    assert {"quent", "zorbly"} <= enc.known.keys() and not {"quent.", "zorbly.", "quent,", "zorbly,"} & enc.known.keys()
+
+
 @pytest.mark.parametrize("select", ["norm", "dot"])
 def test_plan_fills_sequences_within_every_capacity(select):
     rng = random.Random(3)
