@@ -48,10 +48,27 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tapeweave/{label}-{uuid.uuid4().hex}"
 
 
+#: Spark's switch for removing a query's shuffle files when the query is over.
+CLEARED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_cleared(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the writes inside go when the write is over, not when the driver happens to collect its
+    garbage. For writes only: rows that are still being fetched when an action returns would be gone."""
+    before = spark.conf.get(CLEARED, "false")
+    spark.conf.set(CLEARED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEARED, before)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """`df` as a Parquet table in the shared folder: lineage ends there, lost executors don't matter."""
     path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
+    with shuffles_cleared(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -62,7 +79,8 @@ def scratch(spark: SparkSession) -> Iterator:
 
     def keep(df: DataFrame, label: str, *folders: str) -> DataFrame:
         paths.append(shared_path(spark, label))
-        df.write.partitionBy(*folders).parquet(paths[-1])
+        with shuffles_cleared(spark):
+            df.write.partitionBy(*folders).parquet(paths[-1])
         return spark.read.schema(df.schema).parquet(paths[-1])
 
     try:

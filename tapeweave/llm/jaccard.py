@@ -15,8 +15,10 @@ one-deletion neighbours are indexed instead.
 
 Sets that share an entry are connected by a forest, first within a task, so that a group of any size
 sends one entry a task; what hangs together is a cluster, and links only lie within clusters. Clusters
-of more than GIANT sets are indexed once more with prices counted among themselves. Then whole sets
-are compared within clusters: a cluster of up to PART sets in one task, exactly and finally; a larger
+of more than GIANT sets are indexed once more with prices counted among themselves. Clusters of more
+than a part are then cut by sketches: bits that each member of a set flips, so that two sets differ in
+as many members as bits at least; what may still be alike stays together. Then whole sets are compared
+within clusters: a cluster of up to PART sets in one task, exactly and finally; a larger
 one in parts of that size, each with the same few heads, which tie together the parts of a group of
 copies of any size. Sets that the largest such component of their cluster doesn't hold yet are then
 compared with all sets of the cluster, block by block. Only forests of links leave a task, never pairs.
@@ -49,6 +51,8 @@ ENTRIES = 1_000_000
 HELD = 400_000
 #: Buckets of the connections that tasks have found among their own sets.
 STARS = 64
+#: Bytes of an entry's hash that are sent beside its bucket. With 4, sets of 1,500 members each met some other by chance.
+SIG_BYTES = 5
 #: Members of a segment, on average, in the largest sets of a band.
 FILL = 2.4
 #: Sets, and members of sets, that are compared with one another in one task, about; heads in each part.
@@ -57,6 +61,8 @@ PART, PART_MEMBERS, HEADS = 512, 1 << 20, 8
 FEW = 100_000
 #: Clusters of more sets are indexed again with their own prices.
 GIANT = 4096
+#: Sets, and bytes of sketches, in a block that is compared with another one by sketches; bits of a sketch, as powers of 2.
+SKETCHED, SKETCH_BYTES, SKETCH_BITS = 1024, 1 << 22, (6, 17)
 #: Loose sets in a block of the last comparison, and sets that meet them there.
 LOOSE, OTHERS = 256, 1024
 
@@ -297,10 +303,19 @@ def _blobs(bucket: np.ndarray, sig, cls) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 3), strict=True)], ["bucket", "sig", "names", "at"])
 
 
-def _unblob(blob: tuple, kind) -> tuple[np.ndarray, np.ndarray]:
+def _packed(sig: np.ndarray) -> np.ndarray:
+    """The top SIG_BYTES of each hash, a row of bytes each."""
+    return (sig >> _U(64 - 8 * SIG_BYTES)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SIG_BYTES]
+
+
+def _unblob(blob: tuple, packed: bool) -> tuple[np.ndarray, np.ndarray]:
     sig, names, at = blob
     names = np.frombuffer(names, "<i8")
-    return np.frombuffer(sig, kind), names[np.frombuffer(at, _place_type(len(names)))]
+    if packed:
+        wide = np.zeros((len(sig) // SIG_BYTES, 8), np.uint8)
+        wide[:, :SIG_BYTES] = np.frombuffer(sig, np.uint8).reshape(-1, SIG_BYTES)
+        sig = wide
+    return np.frombuffer(sig, "<u8" if packed else "<i8"), names[np.frombuffer(at, _place_type(len(names)))]
 
 
 def index(docs: DataFrame, price: np.ndarray, buckets: int, words: int, percent: int) -> DataFrame:
@@ -325,7 +340,7 @@ def index(docs: DataFrame, price: np.ndarray, buckets: int, words: int, percent:
             yield from _blobs(-1 - pairs[:, 0] % STARS, pairs[:, 0], pairs[:, 1])
             lone = np.concatenate([[True], sig[1:] != sig[:-1]])
             sig, cls = sig[lone], cls[lone]
-            yield from _blobs((sig % _U(buckets)).astype(np.int64), (sig >> _U(32)).astype("<u4"), cls)
+            yield from _blobs((sig % _U(buckets)).astype(np.int64), _packed(sig), cls)
 
         held = 0
         for batch in batches:
@@ -382,7 +397,7 @@ def candidates(blobs: DataFrame) -> DataFrame:
                 if bucket != now:
                     yield from flush()
                     now = bucket
-                held.append(_unblob(blob, "<i8" if bucket < 0 else "<u4"))
+                held.append(_unblob(blob, bucket >= 0))
         yield from flush()
 
     n = common.shuffle_partitions(blobs.sparkSession)
@@ -561,6 +576,108 @@ def in_parts(docs: DataFrame, clusters: DataFrame, words: int, percent: int) ->
     return _by_cell(sets, work, "cluster long, class long, component long, whole boolean")
 
 
+def _band_step(percent: int) -> float:
+    """Sets that can be linked have sizes within one such factor, so they lie in one band or in two that follow."""
+    return 100.1 / percent
+
+
+def _sketch_bits(band: int, percent: int) -> int:
+    """Bits of the sketches that are compared in a band: two to four for each member of its smallest sets, within SKETCH_BITS."""
+    low, high = SKETCH_BITS
+    return 1 << min(high, max(low, math.ceil(band * math.log2(_band_step(percent))) + 1))
+
+
+def sketch(members: np.ndarray, bits: int) -> bytes:
+    """Each member flips one of `bits` bits, so the sketches of two sets differ in no more bits than the sets in members."""
+    at = np.bincount((common.mix(members ^ _TAG) & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(at.astype(np.uint8)).tobytes()
+
+
+def _bits_apart(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """In how many bits each sketch (row of bytes) of `left` differs from each of `right`."""
+    ones = [np.bitwise_count(x).sum(1, dtype=np.int64) for x in (left, right)]
+    both = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, left.shape[1], 128):
+        both += np.unpackbits(left[:, at : at + 128], axis=1).astype(np.float32) @ np.unpackbits(right[:, at : at + 128], axis=1).astype(np.float32).T
+    return ones[0][:, None] + ones[1][None, :] - 2 * both.astype(np.int64)
+
+
+def _joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest index of each one's component, of n that are linked a to b."""
+    label = np.arange(n)
+    while True:
+        low = label.copy()
+        np.minimum.at(low, a, label[b])
+        np.minimum.at(low, b, label[a])
+        low = low[low]
+        if (low == label).all():
+            return label
+        label = low
+
+
+def alike(docs: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs (a, b) that connect all sets of one cluster which sizes and sketches don't tell apart; every link is
+    among them. `rows`: class, cluster, doc_id, text_hash, n. Sets of a band meet those of their band and the
+    next, block by block; only sketches are sent, some bits a member."""
+    rows = rows.withColumn("band", F.floor(F.log("n") / math.log(_band_step(percent))).cast("int"))
+    meets = rows.select("cluster", F.explode(F.array("band", F.col("band") - 1)).alias("space"), "band")
+    bits = F.pow(F.lit(_band_step(percent)), F.col("space")) * 4  # or less
+    most = F.least(F.lit(SKETCHED), F.ceil(F.lit(8 * SKETCH_BYTES) / bits))
+    blocks = meets.groupBy("cluster", "space").agg(F.count("*").alias("sets"), F.max(F.col("band") == F.col("space")).alias("own")).where("own and sets > 1")
+    blocks = F.broadcast(blocks.select("cluster", "space", F.ceil(F.col("sets") / most).cast("int").alias("blocks")))
+    for name, space in (("own", F.col("band")), ("low", F.col("band") - 1)):
+        its = blocks.select(F.col("cluster").alias("_c"), F.col("space").alias("_s"), F.col("blocks").alias(name))
+        rows = rows.join(its, (F.col("cluster") == F.col("_c")) & (space == F.col("_s")), "left").drop("_c", "_s")
+    texts = _of_classes(docs, rows.select("doc_id", "text_hash", "cluster", "class", "n", "band", "own", "low"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
+        for batch in batches:
+            new = []
+            for c in batch.column(2).to_pylist():
+                new.append(c not in met)
+                met.add(c)
+            batch = batch.filter(pa.array(new, pa.bool_()))
+            for lo, hi, sh, _, count, _ in _steps(batch, words):
+                ends, of = np.concatenate([[0], np.cumsum(count)]), batch.column(4).slice(lo, hi - lo).to_pylist()
+                made = []
+                for own in (0, 1):
+                    asked = batch.column(5 + own).slice(lo, hi - lo).is_valid().to_pylist()
+                    made.append(pa.array([sketch(sh[a:b], _sketch_bits(g - own, percent)) if ask else None for a, b, g, ask in zip(ends, ends[1:], of, asked, strict=False)], pa.binary()))
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[1:]), *made], [*batch.schema.names[1:], "own_sketch", "low_sketch"])
+
+    made = texts.select("text", "cluster", "class", "n", "band", "own", "low").mapInArrow(run, "cluster long, class long, n long, band int, own int, low int, own_sketch binary, low_sketch binary")
+
+    def cells(of: str, space):
+        """The cells of block pairs i <= j that a set's block lies in; side 0: it is i, 1: it is j, 2: both."""
+        p, n = _place(of), F.col(of)
+        cell = lambda j: space.cast("long") * (1 << 40) + F.least(p, j).cast("long") * n + F.greatest(p, j)
+        side = lambda j: F.when(p == j, 2).otherwise((p > j).cast("int"))
+        found = F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.struct(cell(j).alias("place"), side(j).alias("side"), F.lit(of == "low").alias("low")))
+        return F.when(n.isNotNull(), found).otherwise(F.array().cast("array<struct<place:bigint,side:int,low:boolean>>"))
+
+    sets = made.select("*", F.explode(F.concat(cells("own", F.col("band")), cells("low", F.col("band") - 1))).alias("at"))
+    sets = sets.select("cluster", "at.place", "at.side", "class", "n", F.when(F.col("at.low"), F.col("low_sketch")).otherwise(F.col("own_sketch")).alias("sketch"))
+
+    def work(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        rows = list({r[3]: r for r in rows}.values())
+        side = np.array([r[2] for r in rows])
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        if not len(left) or not len(right):
+            return
+        cls, n = np.array([r[3] for r in rows]), np.array([r[4] for r in rows])
+        bits = np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(len(rows), -1)
+        x, y = n[left][:, None], n[right][None, :]
+        may = (_bits_apart(bits[left], bits[right]) <= (x + y) * (100 - percent) // (100 + percent)) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y))
+        a, b = np.nonzero(may)
+        label = _joined(len(rows), left[a], right[b])
+        moved = np.flatnonzero(label != np.arange(len(rows)))
+        if len(moved):
+            yield _pair_batch(np.stack([cls[label[moved]], cls[moved]], 1))
+
+    return _by_cell(sets, work, "a long, b long")
+
+
 def across_parts(docs: DataFrame, open_: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs (a, b) of components that links of whole sets connect: in each cluster, all sets that its
     largest component doesn't hold against all sets. `open_`: class, cluster, component, doc_id, text_hash, n."""
@@ -622,6 +739,13 @@ def _grouped(docs: DataFrame, words: int, percent: int, keep) -> DataFrame:
         again = clusters_of(texts, own_prices(texts, words), inside.agg(F.sum("n")).first()[0], words, percent, keep)
         clusters = clusters.join(giant, "cluster", "left_anti").select("class", "cluster").union(again)
     clusters = keep(clusters.join(heads, "class"), "clusters")
+    large = clusters.groupBy("cluster").agg(F.count("*").alias("sets"), F.sum("n").alias("members")).where(_parts("sets", "members", PART) > 1)
+    large = keep(large.select("cluster"), "large")
+    if large.take(1):
+        may = keep(alike(docs, clusters.join(F.broadcast(large), "cluster"), words, percent), "alike")
+        near = components(may, keep).withColumnRenamed("component", "cluster")
+        clusters = clusters.join(F.broadcast(large), "cluster", "left_anti").select("class", "cluster").union(near)
+        clusters = keep(clusters.join(heads, "class"), "clusters")
 
     found = keep(in_parts(docs, clusters, words, percent), "in-parts")
     labels, several = found.where("whole").select("class", "component"), found.where("not whole")

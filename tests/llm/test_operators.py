@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tapeweave.llm import chat, dac, hmm, jaccard, merkle, packing, pii, tokens, toxicity, urls, winnowing
+from tapeweave.llm import chat, common, dac, hmm, jaccard, merkle, packing, pii, tokens, toxicity, urls, winnowing
 
 DOC = "doc_id long, text string, lang string, score double, n_words long, spans string"
 
@@ -249,6 +249,67 @@ def test_jaccard_join_on_odd_tables(spark):
     assert sorted(tuple(r) for r in jaccard.near_duplicates(twice).collect()) == [(0, 2, 0)] * 2 + [(1, 0, 1)] * 2
 
 
+def test_index_entries_are_told_apart_by_40_bits(spark):
+    sig = np.array([0x1122334455667788, 0x1122334456667788, 0x9122334455667788, 0x91223344556677FF], np.uint64)
+    blobs = list(jaccard._blobs(np.zeros(4, np.int64), jaccard._packed(sig), np.array([5, 6, 7, 8])))
+    rows = [tuple(r.values()) for b in blobs for r in b.to_pylist()]
+    found = jaccard.candidates(spark.createDataFrame(rows, jaccard._BLOB)).collect()
+    assert [tuple(r) for r in found] == [(7, 8)]  # only those whose hashes have 40 bits in common
+
+
+def test_sketches_differ_in_no_more_bits_than_sets_in_members():
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 2**63, 900, np.uint64)
+    sets = [np.unique(rng.choice(pool, size)) for size in (1, 5, 60, 300, 600, 600)]
+    for bits in (64, 1024, 8192):
+        rows = np.frombuffer(b"".join(jaccard.sketch(x, bits) for x in sets), np.uint8).reshape(len(sets), -1)
+        apart = jaccard._bits_apart(rows, rows)
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets):
+                differ = len(np.setxor1d(x, y))
+                assert apart[i, j] <= differ and apart[i, j] % 2 == differ % 2
+        assert bits < 8192 or apart[4, 5] > 0.8 * len(np.setxor1d(sets[4], sets[5]))
+
+
+def test_sketches_cut_clusters_of_sets_that_are_not_alike(spark, monkeypatch):
+    for name, value in {"PART": 6, "HEADS": 2, "SKETCHED": 7}.items():
+        monkeypatch.setattr(jaccard, name, value)
+    compared, in_parts = [], jaccard.in_parts
+    monkeypatch.setattr(jaccard, "in_parts", lambda docs, clusters, *a: compared.append(clusters.groupBy("cluster").count().collect()) or in_parts(docs, clusters, *a))
+    rng = random.Random(23)
+    half, texts = prose(rng, 60, 10**6), []
+    texts += [half + " " + prose(rng, rng.randint(32, 50), 10**6) for _ in range(50)]  # they share a passage, none is alike
+    texts += [texts[0] + " tail", "head " + texts[0], edited(rng, texts[1], 0.01)]
+    want = brute_components(texts)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs(spark, texts)).collect()}
+    assert got == dict(enumerate(want))
+    clusters = spark.createDataFrame([(i, 1) for i in range(len(texts))], "doc_id long, cluster long")
+    made = docs(spark, texts).withColumn("text_hash", F.xxhash64("text"))
+    sizes = spark.createDataFrame([(i, n) for i, (n, _) in enumerate(want)], "doc_id long, n long")
+    rows = made.join(clusters, "doc_id").join(sizes, "doc_id").select(F.col("doc_id").alias("class"), "cluster", "doc_id", "text_hash", "n")
+    linked = {(r.a, r.b) for r in jaccard.alike(made, rows, 5, 75).collect()}
+    assert {x for pair in linked for x in pair} == {0, 1, 50, 51, 52}
+    assert max((r["count"] for r in compared[0]), default=0) <= 6
+
+
+def test_shuffle_files_of_written_tables_are_removed(spark):
+    import glob
+    import time
+
+    at = spark.sparkContext.getConf().get("spark.local.dir")
+    files = lambda: set(glob.glob(f"{at}/**/shuffle_*.data", recursive=True))
+    before = files()
+    with common.scratch(spark) as keep:
+        made = keep(spark.range(5000).repartition(3, "id").groupBy((F.col("id") % 97).alias("k")).count(), "made")
+        assert len(made.collect()) == 97
+    assert len(common.stored(spark.range(5000).repartition(3, "id"), "made").collect()) == 5000
+    left = time.time() + 20
+    while (more := files() - before) and time.time() < left:
+        time.sleep(0.2)
+    assert not more
+    assert spark.conf.get(common.CLEARED) == "false"
+
+
 # --- fingerprints, language model ----------------------------------------------------------------
 
 
