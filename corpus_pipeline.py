@@ -28,11 +28,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     # rows without words: each (doc_id, text) is a group of its own
     group = [F.when(~F.col("_wordless"), F.col("component")).alias("_group"), *(F.when(F.col("_wordless"), F.col(c)).alias(f"_{c}") for c in ("doc_id", "text_hash")), "_wordless"]
     heads = found.groupBy(*group).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("_head"))
-    heads = heads.select(F.col("_head.doc_id").alias("_id"), F.col("_head.text_hash").alias("_hash"), "_wordless")
-    kept = _of_rows(docs, heads, "inner")
-    # equal rows of a head come to one where they lie before they are moved
+    # documents are moved once: the join deals them by these columns, and equal rows of a head meet there
+    keys = ["_id", "_null", "_hash"]
+    of = lambda id_, hash_: [F.coalesce(id_, F.lit(0).cast("long")).alias("_id"), id_.isNull().alias("_null"), hash_.alias("_hash")]
+    heads = heads.select(*of(F.col("_head.doc_id"), F.col("_head.text_hash")), "_wordless")
+    kept = docs.select("*", *of(F.col("doc_id").cast("long"), F.xxhash64("text"))).join(heads, keys)
     each = F.when(F.col("_wordless"), F.monotonically_increasing_id())
-    one = kept.withColumn("_each", each).groupBy("_id", "_hash", "_each").agg(F.first(F.struct(*docs.columns)).alias("_row"))
+    one = kept.withColumn("_each", each).groupBy(*keys, "_each").agg(F.first(F.struct(*docs.columns)).alias("_row"))
     return back(one.select("_row.*"))
 
 

@@ -112,3 +112,16 @@ def test_stages_on_odd_tables(spark, tmp_path):
             assert [r.text for r in kept if r.doc_id == 6][0].startswith("mail [EMAIL] ")
         packed = corpus_pipeline.STAGES[-1][1](spark, docs, at)
         assert {i for r in packed.collect() for i in r.doc_ids} == {r.doc_id for r in kept}
+
+
+def test_near_duplicates_move_documents_once(spark):
+    rows = [(7, "one two three four five six", "en", "s", 1)] * 3 + [(None, "one two three four five six", "en", "s", 1), (8, "", "en", "s", 0), (8, "", "en", "s", 0), (None, None, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert not [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "_each" in x]
+        assert sorted((r.doc_id or 0, r.text or "") for r in found.collect()) == [(0, ""), (7, rows[0][1]), (8, ""), (8, "")]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
